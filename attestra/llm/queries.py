@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_dups, packing, quality, secrets, tokens, warc
+from . import interpolation, near_dups, packing, quality, secrets, tokens, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op4_bpe_segment_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.round_trip(table(spark, sf_dir, "documents"), tokens.vocabulary_path())
 
 
+def op5_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interpolation.score(table(spark, sf_dir, "documents"))
+
+
 def op7_min_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokens.vocabulary_path(), 1024, with_ids=False)
 
@@ -42,6 +46,7 @@ QUERIES = {
         op1_secret_ownership,
         op3_warc_segments,
         op4_bpe_segment_tree,
+        op5_deleted_interpolation,
         op7_min_slack_packing,
         op8_quality_rules,
         op9_hyperminhash,
