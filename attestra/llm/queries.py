@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import interpolation, near_dups, packing, quality, secrets, tokens, warc
+from . import interpolation, near_dups, packing, quality, secrets, tokens, url_templates, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +28,13 @@ def op5_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interpolation.score(table(spark, sf_dir, "documents"))
 
 
+def op6_path_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages have no labels of their own: those of the document with the same number stand in, low quality or toxic as bad."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    out = url_templates.url_filter(table(spark, sf_dir, "pages"), labels)
+    return out.select("page_id", "host", "path", "rule", "verdict")
+
+
 def op7_min_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokens.vocabulary_path(), 1024, with_ids=False)
 
@@ -47,6 +55,7 @@ QUERIES = {
         op3_warc_segments,
         op4_bpe_segment_tree,
         op5_deleted_interpolation,
+        op6_path_templates,
         op7_min_slack_packing,
         op8_quality_rules,
         op9_hyperminhash,
