@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import interpolation, near_dups, packing, quality, secrets, tokens, url_templates, warc
+from . import interpolation, licenses, near_dups, packing, quality, secrets, tokens, url_templates, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,10 @@ def op1_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.secret_scan(table(spark, sf_dir, "documents")))
 
 
+def op2_rare_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(table(spark, sf_dir, "documents"))
+
+
 def op3_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -52,6 +56,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_secret_ownership,
+        op2_rare_token_index,
         op3_warc_segments,
         op4_bpe_segment_tree,
         op5_deleted_interpolation,
