@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import interpolation, licenses, near_dups, packing, quality, secrets, tokens, url_templates, warc
+from . import interpolation, licenses, near_dups, order_minhash, packing, quality, secrets, tokens, url_templates, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +52,10 @@ def op9_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.fingerprints(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -64,5 +68,6 @@ QUERIES = {
         op7_min_slack_packing,
         op8_quality_rules,
         op9_hyperminhash,
+        op10_order_minhash,
     )
 }
