@@ -2,10 +2,12 @@
 
 Each bucket of a signature keeps the least hash of its own permutation as a leading-zero count plus mantissa bits (16 bits in all).
 Rows of `BAND` registers are band keys. Documents with equal sets are one node from the start, so thousands of copies cost one
-signature. In a band's bucket the members are compared with one leader first; components of the confirmed links are contracted;
-then only members outside the bucket's largest component are compared with those of other components. Both rounds together reach
-every pair that shares a band key and is not yet connected, so components are those of all candidate links, while a bucket of
-thousands of near copies costs one comparison each instead of all pairs.
+signature. In a band's bucket the members are compared with one leader first, the one that shares most buckets with others; the
+components of these links are contracted. What is left are pairs of different components in a bucket. Buckets of up to `SMALL`
+members give those pairs out. The members of larger ones are gathered into families, and there only the nodes outside the
+family's largest component meet the rest, in blocks of bounded size that compare in place and give out no more links than they
+have nodes. So every pair that shares a band key is compared or connected already, and a family of thousands of near copies gives
+out rows in proportion to its members, not to their pairs.
 
 Comparisons: estimates on registers come first (a margin of five standard deviations below the threshold), then exact overlap of
 the full sets of 64-bit shingle hashes, shipped in blocks of bounded size, never a whole group to a task.
@@ -39,6 +41,10 @@ BUCKETS = BAND * BANDS
 MARGIN = 5 * (0.75 * 0.25 / BUCKETS) ** 0.5
 #: Shingles of partners beside one copy of a leader's set, on average: 8 MB.
 BLOCK = 1 << 20
+#: Members of a bucket up to which its pairs are given out.
+SMALL = 32
+#: Shingles in one block of a family, on average: 4 MB.
+FAMILY_BLOCK = 1 << 19
 WORD_CACHE = 500_000
 #: Shingles sketched at a time: their arrays stay in the processor's cache.
 SKETCH_WORDS = 1 << 16
@@ -187,6 +193,12 @@ def full_sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, k: int) -> D
     return materialize(found.mapInArrow(run, "node long, set binary").dropDuplicates(["node"]), "sets", compression="uncompressed")
 
 
+def overlap(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """100 * intersection >= percent * union of two sorted sets."""
+    common = int((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum())
+    return 100 * common >= percent * (len(a) + len(b) - common)
+
+
 def verified(near: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Pairs (a, b) of near (written) with 100 * intersection >= percent * union on full sets.
 
@@ -199,21 +211,87 @@ def verified(near: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent
     partners = dealt.join(sets.withColumnRenamed("node", "b"), "b").select("a", "block", "b", "set")
 
     def compare(group: pa.Table) -> pa.Table:
-        names, sets = group["b"].to_pylist(), group["set"].to_pylist()
-        lead = np.frombuffer(sets[names.index(None)], np.uint64)
-        out = []
-        for b, blob in zip(names, sets, strict=True):
-            if b is None:
-                continue
-            other = np.frombuffer(blob, np.uint64)
-            common = int((lead[np.minimum(np.searchsorted(lead, other), len(lead) - 1)] == other).sum())
-            if 100 * common >= percent * (len(lead) + len(other) - common):
-                out.append(b)
+        names, sets = group["b"].to_pylist(), [np.frombuffer(x, np.uint64) for x in group["set"].to_pylist()]
+        lead = sets[names.index(None)]
+        out = [b for b, other in zip(names, sets, strict=True) if b is not None and overlap(lead, other, percent)]
         return pa.table({"a": pa.array([group["a"][0].as_py()] * len(out), pa.int64()), "b": pa.array(out, pa.int64())})
 
     return leaders.unionByName(partners).groupBy("a", "block").applyInArrow(compare, "a long, b long")
 
 
+def pairs_in_bands(regs: np.ndarray, left: np.ndarray, right: np.ndarray, limit: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (one of left, one of right) that share a band, each in its first shared band, at most about limit at a time."""
+    keys = np.ascontiguousarray(regs).view(np.uint64)  # BAND registers of 16 bits are one number
+    for band in range(BANDS):
+        order = right[np.argsort(keys[right, band], kind="stable")]
+        lo, hi = (np.searchsorted(keys[order, band], keys[left, band], side) for side in ("left", "right"))
+        ends = np.cumsum(hi - lo)
+        at = 0
+        while at < len(left):
+            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit)))
+            n = (hi - lo)[at:stop]
+            x = np.repeat(left[at:stop], n)
+            y = order[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo[at:stop], n)]
+            first = (keys[x] == keys[y]).argmax(1) == band
+            yield x[first], y[first]
+            at = stop
+
+
+def family_links(members: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links between different components of a family. members: (family, node, label), written.
+
+    Nodes outside the largest component (outer) and those inside are dealt to blocks by their sets' size; each block of outer
+    nodes meets every block of the family once. A task holds two blocks and keeps only links that join what it has not yet joined.
+    """
+    least = percent / 100 - MARGIN
+    main = members.groupBy("family", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("family").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
+    sized = members.join(main, "family").join(nodes.select("node", "n_shingles", "registers"), "node").withColumn("outer", F.col("label") != F.col("main"))
+    parts = sized.groupBy("family").agg(*[F.ceil((F.sum(F.when(side, F.col("n_shingles")).otherwise(0)) + 1) / FAMILY_BLOCK).cast("int").alias(name) for name, side in (("n_outer", F.col("outer")), ("n_inner", ~F.col("outer")))])
+    sets = full_sets(members.select("node").distinct(), nodes, docs, k)
+    dealt = sized.join(parts, "family").withColumn("block", F.pmod(F.xxhash64("node"), F.when(F.col("outer"), F.col("n_outer")).otherwise(F.col("n_inner"))).cast("int"))
+    task = lambda i, inner, j: F.struct(i.alias("i"), F.lit(inner).alias("inner"), j.alias("j"))
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    block = F.col("block")
+    with_outer = F.transform(upto(F.col("n_outer")), lambda x: task(F.least(block, x), False, F.greatest(block, x)))
+    with_inner = F.transform(upto(F.col("n_inner")), lambda x: task(block, True, x))
+    of_inner = F.transform(upto(F.col("n_outer")), lambda x: task(x, True, block))
+    tasks = F.when(F.col("outer"), F.concat(with_outer, with_inner)).otherwise(of_inner)
+    rows = dealt.join(sets, "node").select("family", F.explode(tasks).alias("task"), "node", "label", "outer", "block", "n_shingles", "registers", "set").select("family", "task.*", "node", "label", "outer", "block", "n_shingles", "registers", "set")
+
+    def compare(group: pa.Table) -> pa.Table:
+        node, label, n = (group[c].to_numpy() for c in ("node", "label", "n_shingles"))
+        outer, block = group["outer"].to_numpy(), group["block"].to_numpy()
+        regs = np.frombuffer(b"".join(group["registers"].to_pylist()), np.uint16).reshape(-1, BUCKETS)
+        full = [np.frombuffer(x, np.uint64) for x in group["set"].to_pylist()]
+        inner, i, j = group["inner"][0].as_py(), group["i"][0].as_py(), group["j"][0].as_py()
+        left = np.flatnonzero(outer & (block == i))
+        right = np.flatnonzero(~outer) if inner else np.flatnonzero(outer & (block == j))
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (up := parent.get(x, x)) != x:
+                parent[x] = parent.get(up, up)
+                x = up
+            return x
+
+        out = []
+        for x, y in pairs_in_bands(regs, left, right):
+            keep = (label[x] != label[y]) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
+            x, y = x[keep], y[keep]
+            guess = estimate(regs[x], regs[y], n[x], n[y]) if len(x) else np.zeros(0)
+            for at in np.argsort(-guess):
+                if guess[at] < least:
+                    break
+                a, b = int(x[at]), int(y[at])
+                ra, rb = root(int(label[a])), root(int(label[b]))
+                if ra != rb and overlap(full[a], full[b], percent):
+                    parent[ra] = rb
+                    out.append((int(node[a]), int(node[b])))
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+    return rows.groupBy("family", "i", "inner", "j").applyInArrow(compare, "a long, b long")
+
+
 def components(links: DataFrame, name: str = "labels") -> DataFrame:
     """(node, label) for every node of links: label is the least node reachable. Alternating large and small stars, written each round.
 
@@ -239,41 +317,46 @@ def components(links: DataFrame, name: str = "labels") -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, *, percent: int = PERCENT, k: int = WORDS_PER_SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links (confirmed comparisons of the document's set), kept."""
+    """doc_id, n_shingles, component_id, kept."""
     keyed = texts(docs, id_col, text_col)
-    seen = sketch(keyed, k=k)
     # Node: the documents of one shingle set. Its number is a hash of the set's 128-bit digest.
-    seen = seen.withColumn("node", F.xxhash64("digest"))
+    seen = sketch(keyed, k=k).withColumn("node", F.xxhash64("digest"))
     nodes = materialize(
-        seen.where(F.col("digest").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("least_id"), F.min(F.struct("doc_id", "text_hash")).alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers")),
+        seen.where(F.col("digest").isNotNull())
+        .groupBy("node")
+        .agg(F.min("doc_id").alias("least_id"), F.min(F.struct("doc_id", "text_hash")).alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers")),
         "nodes",
     )
     bands = materialize(band_keys(nodes), "bands")
-    firsts = bands.groupBy("key").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    star = bands.join(firsts, "key").where("node > lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
+    sizes = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    buckets = materialize(bands.join(sizes, "key"), "buckets")
+    known = buckets.groupBy("node").agg(F.sum("n").alias("known"))
+    leads = materialize(buckets.join(known, "node").groupBy("key").agg(F.max(F.struct("known", "node")).alias("lead")).select("key", F.col("lead.node").alias("lead")), "leads")
+    star = buckets.join(leads, "key").where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
     links = confirm(star, nodes, keyed, k, percent, "star")
     labels = components(links)
 
-    # Second round: buckets that more than one component shares.
+    # Buckets that more than one component shares.
     label = F.coalesce("label", "node")
-    shared = bands.join(firsts.select("key"), "key", "left_semi").join(labels, "node", "left").select("key", "node", label.alias("label"))
-    parts = shared.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
-    main = parts.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts")
-    mixed = materialize(shared.join(main, "key"), "mixed")
-    rest = mixed.where("label <> main").select("key", F.col("node").alias("x"), F.col("label").alias("lx"))
-    every = mixed.select("key", F.col("node").alias("y"), F.col("label").alias("ly"), "main")
-    met = rest.join(every, "key").where((F.col("lx") != F.col("ly")) & ((F.col("ly") == F.col("main")) | (F.col("x") < F.col("y"))))
-    met = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    links = materialize(links.union(confirm(met, nodes, keyed, k, percent, "met")), "links")
-    labels = components(links, "labels2")
-
-    degree = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    named = nodes.select("node", "least_id").join(labels, "node", "left").join(degree, "node", "left").select("node", "least_id", label.alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    shared = buckets.join(labels, "node", "left").select("key", "node", "n", label.alias("label"))
+    mixed = shared.groupBy("key").agg((F.min("label") != F.max("label")).alias("mixed")).where("mixed").select("key")
+    mixed = materialize(shared.join(mixed, "key"), "mixed")
+    small = mixed.where(F.col("n") <= SMALL)
+    other = small.select("key", F.col("node").alias("b"), F.col("label").alias("other"))
+    pairs = small.withColumnRenamed("node", "a").join(other, "key").where("a < b AND label <> other").select("a", "b").distinct()
+    pairs = materialize(pairs, "small")
+    large = mixed.where(F.col("n") > SMALL)
+    families = components(large.join(leads, "key").select(F.col("lead").alias("a"), F.col("node").alias("b")), "families").withColumnRenamed("label", "family")
+    members = materialize(large.select("node", "label").distinct().join(families, "node"), "members")
+    more = confirm(pairs, nodes, keyed, k, percent, "small").union(materialize(family_links(members, nodes, keyed, k, percent), "family-links"))
+    labels = components(links.union(more), "labels")
+
+    named = nodes.select("node", "least_id").join(labels, "node", "left").select("node", "least_id", label.alias("label"))
     least = named.groupBy("label").agg(F.min("least_id").alias("component_id"))
-    final = materialize(named.join(least, "label").select("node", "component_id", "n_links"), "components")
+    final = materialize(named.join(least, "label").select("node", "component_id"), "components")
     out = seen.select("doc_id", "n_shingles", "digest", "node").join(final, "node", "left")
     own = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    return out.select("doc_id", "n_shingles", own.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
 def confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent: int, name: str) -> DataFrame:

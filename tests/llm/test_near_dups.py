@@ -82,3 +82,19 @@ def test_estimate_is_near_the_similarity():
         regs = near_dups.registers([np.unique(a), np.unique(b)])
         true = shared / (2 * n - shared)
         assert abs(near_dups.estimate(regs[:1], regs[1:], np.array([n]), np.array([n]))[0] - true) < 5 * (true * (1 - true) / near_dups.BUCKETS) ** 0.5
+
+
+def test_family_of_many_near_copies(spark, monkeypatch):
+    """Copies of one text with one to many words changed, so that most are alike to the original and few to each other."""
+    monkeypatch.setattr(near_dups, "SMALL", 4)
+    monkeypatch.setattr(near_dups, "FAMILY_BLOCK", 4000)
+    rng = random.Random(3)
+    base = [f"b{i}" for i in range(150)]
+    rows = []
+    for i in range(150):
+        ws = list(base)
+        for _ in range(rng.randrange(12)):
+            ws[rng.randrange(len(ws))] = f"x{rng.randrange(10_000)}"
+        rows.append((i, " ".join(ws)))
+    got = near_dups.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(brute(rows))
