@@ -5,15 +5,15 @@ the context. One fold of the training texts is deleted from the counts; expectat
 weights; the counts that score are those of all training texts.
 
 Plan: one pass cuts the corpus into chunks of bounded size (texts of the deleted fold apart from the rest), numbers the words
-of each chunk and writes them beside the chunk's distinct words and word pairs: sorted hashes with counts, one block for each
-hash range. Blocks of one range meet and are added up, and the sums go back to the chunks that asked. So the corpus crosses the
+of each chunk and writes them. A chunk's distinct words and word pairs are dealt out as sorted hashes with counts, one block for
+each hash range. Blocks of one range meet and are added up, and the sums go back to the chunks that asked. So the corpus crosses the
 network as the distinct n-grams of chunks, a frequent word costs a few bytes a chunk, and no table of n-grams is held by one
 task or broadcast; the number of ranges follows the size of the corpus. N-grams of the deleted fold are reduced to rows of equal
 counts before the weights are learned, so a round of expectation-maximisation reads far less than the corpus.
 
 Defined cases: null and empty texts score their end token alone; a null id counts as the empty string when its fold is drawn;
 repeated rows are learned and scored one by one; in an empty table nothing is learned or scored; other columns are not read;
-words are compared by 64-bit hash, pairs by a hash long enough that one in two million meets another.
+words are compared by 64-bit hash, pairs by a hash long enough that one in two hundred thousand meets another.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ TEST_FOLD, DELETED_FOLD = 0, 1
 #: Context buckets by powers of two of the context's frequency; bucket 0: context never seen.
 BUCKETS = 24
 ROUNDS = 12
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 #: Text behind one hash range.
 RANGE_BYTES = 16 << 20
 WORD_CACHE = 500_000
@@ -119,16 +119,31 @@ class Chunk:
         self.tokens.append(np.array(out, np.int32))
         self.size += len(text or "") + 1
 
-    def rows(self, chunk: int, range_bits: int, key_bits: int) -> list[tuple]:
-        """The chunk's own row (slice -1: ids, which are null, lengths, tokens, hashes) and one block per hash range and order."""
+    def row(self, chunk: int) -> tuple:
+        """A row of CHUNKS: ids, which are null, lengths, tokens, hashes of the words."""
         lengths = np.array([len(t) for t in self.tokens], np.int64)
-        flat = np.concatenate(self.tokens).astype(np.int64)
         hashes = np.array([MARK_START, MARK_END, *map(word_hash, self.number)], np.uint64)
-        lay = Layout(flat, lengths, hashes, key_bits)
-        learned = np.repeat(np.array([fold_of(i) != TEST_FOLD for i in self.ids]), lengths)
+        ids = np.array([i or 0 for i in self.ids]).astype(np.int64).view(np.uint64)
+        return (chunk, -1, 0, *map(squeeze, (ids, np.array([i is None for i in self.ids]), lengths, np.concatenate(self.tokens), hashes)))
+
+
+class Opened:
+    """A chunk's row, read again."""
+
+    def __init__(self, row: dict, key_bits: int):
+        raw, null, lengths, flat, hashes = (unsqueeze(row[c]) for c in "abcde")
+        self.ids = [None if x else i for i, x in zip(raw.view(np.int64).tolist(), null.tolist(), strict=True)]
+        self.lengths = lengths.astype(np.int64)
+        self.lay = Layout(flat.astype(np.int64), self.lengths, hashes, key_bits)
+        self.folds = [fold_of(i) for i in self.ids]
+
+    def blocks(self, chunk: int, range_bits: int, key_bits: int) -> list[tuple]:
+        """Rows of CHUNKS, one per hash range and order: sorted keys, counts in training texts, counts as contexts."""
+        lay = self.lay
+        learned = np.repeat(np.array(self.folds) != TEST_FOLD, self.lengths)
         tally = lambda at, n: np.bincount(at[learned], minlength=n)
-        words, contexts, pairs = tally(flat, len(hashes)), tally(lay.context, len(hashes)), tally(lay.token_pair, len(lay.left))
-        out = [(chunk, -1, 0, *map(squeeze, (np.array([i or 0 for i in self.ids]).astype(np.int64).view(np.uint64), np.array([i is None for i in self.ids]), lengths, flat, hashes)))]
+        words, contexts, pairs = tally(lay.flat, len(lay.word_order)), tally(lay.context, len(lay.word_order)), tally(lay.token_pair, len(lay.left))
+        out = []
         for order, keys, shift, counts, ctx in ((1, lay.word_keys, 64 - range_bits, words[lay.word_order], contexts[lay.word_order]), (2, lay.pair_keys, key_bits - range_bits, pairs[lay.pair_order], None)):
             owner = (keys >> np.uint64(shift)).astype(np.int64)
             edges = np.flatnonzero(np.diff(owner, prepend=-1))
@@ -137,8 +152,8 @@ class Chunk:
         return out
 
 
-BLOCKS = "chunk long, slice long, ngram int, a binary, b binary, c binary, d binary, e binary"
-ANSWERS = BLOCKS + ", n long, n_kept long, v long, v_kept long"
+CHUNKS = "chunk long, slice long, ngram int, a binary, b binary, c binary, d binary, e binary"
+ANSWERS = CHUNKS + ", n long, n_kept long, v long, v_kept long"
 
 
 def batch_of(rows: list[tuple], schema: str) -> pa.RecordBatch:
@@ -150,13 +165,11 @@ def batch_of(rows: list[tuple], schema: str) -> pa.RecordBatch:
 def sizes(docs: DataFrame) -> tuple[int, int]:
     """Bits of the hash ranges and of a pair's key: both follow the corpus' length."""
     total = int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
-    return max(2, (total // RANGE_BYTES).bit_length()), min(64, max(32, total.bit_length() - 2 + 21))
+    return max(2, (total // RANGE_BYTES).bit_length()), min(64, max(32, total.bit_length() - 2 + 18))
 
 
-def count(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, int]:
-    """Rows of BLOCKS: chunks and their n-gram blocks, written; and the bits of a pair's key. Chunks of the deleted fold have odd numbers."""
-    df = texts(docs, id_col, text_col)
-    range_bits, key_bits = sizes(df)
+def cut(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text) as rows of CHUNKS, written. Chunks of the deleted fold have odd numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, n, open_chunks = TaskContext.get().partitionId() << 32, 0, [Chunk(), Chunk()]
@@ -166,13 +179,25 @@ def count(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
                 odd = int(fold_of(doc_id) == DELETED_FOLD)
                 open_chunks[odd].add(doc_id, text.as_py())
                 if open_chunks[odd].size >= CHUNK_BYTES:
-                    yield batch_of(open_chunks[odd].rows(base + 2 * n + odd, range_bits, key_bits), BLOCKS)
+                    yield batch_of([open_chunks[odd].row(base + 2 * n + odd)], CHUNKS)
                     n, open_chunks[odd] = n + 1, Chunk()
         for odd, chunk in enumerate(open_chunks):
             if chunk.ids:
-                yield batch_of(chunk.rows(base + 2 * n + odd, range_bits, key_bits), BLOCKS)
+                yield batch_of([chunk.row(base + 2 * n + odd)], CHUNKS)
+
+    return materialize(docs.mapInArrow(run, CHUNKS), "chunks", compression="uncompressed")
 
-    return materialize(df.mapInArrow(run, BLOCKS), "ngram-blocks", compression="uncompressed"), key_bits
+
+def deal(chunks: DataFrame, range_bits: int, key_bits: int) -> DataFrame:
+    """The n-gram blocks of every chunk."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                (row,) = batch.slice(at, 1).to_pylist()
+                yield batch_of(Opened(row, key_bits).blocks(row["chunk"], range_bits, key_bits), CHUNKS)
+
+    return chunks.mapInArrow(run, CHUNKS)
 
 
 def sum_ranges(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -208,29 +233,25 @@ def sum_ranges(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
         return pa.Table.from_batches([batch_of(rows, ANSWERS)])
 
     # A group is one hash range of one order: about RANGE_BYTES of text stand behind it, and a hot n-gram has one entry a chunk.
-    both = materialize(blocks.where("slice >= 0").groupBy("slice", "ngram").applyInArrow(run, ANSWERS), "ngram-answers", compression="uncompressed")
+    both = materialize(blocks.groupBy("slice", "ngram").applyInArrow(run, ANSWERS), "ngram-answers", compression="uncompressed")
     return both.where("chunk >= 0").drop("n", "n_kept", "v", "v_kept"), both.where("chunk < 0").select("n", "n_kept", "v", "v_kept")
 
 
-class Answered:
+class Answered(Opened):
     """A chunk with the corpus' counts of its words, contexts and pairs; without: less the deleted fold."""
 
     def __init__(self, group: pa.Table, key_bits: int):
-        rows = sorted(group.to_pylist(), key=lambda r: (r["ngram"], r["slice"]))
-        own, answers = rows[0], rows[1:]
-        raw, null, lengths, flat, hashes = (unsqueeze(own[c]) for c in "abcde")
-        self.ids = [None if x else i for i, x in zip(raw.view(np.int64).tolist(), null.tolist(), strict=True)]
-        self.lengths = lengths.astype(np.int64)
-        self.lay = Layout(flat.astype(np.int64), self.lengths, hashes, key_bits)
-        self.folds = [fold_of(i) for i in self.ids]
-        self.answers = answers
+        order = np.lexsort((group["slice"].to_numpy(), group["ngram"].to_numpy()))
+        super().__init__(group.slice(int(order[0]), 1).to_pylist()[0], key_bits)
+        self.group, self.order = group, order[1:]
 
     def counts(self, without: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each pair's right word, its context and itself."""
+        ngram = self.group["ngram"].to_numpy()
 
         def spread(order: int, column: str, rank: np.ndarray) -> np.ndarray:
-            out = np.empty(len(rank), np.int64)
-            out[rank] = np.concatenate([unsqueeze(r[column]) for r in self.answers if r["ngram"] == order]).astype(np.int64)
+            out, values = np.empty(len(rank), np.int64), self.group[column]
+            out[rank] = np.concatenate([unsqueeze(values[int(i)].as_py()) for i in self.order if ngram[i] == order]).astype(np.int64)
             return out
 
         one, two = ("c", "d") if without else ("a", "b")
@@ -238,16 +259,16 @@ class Answered:
         return spread(1, one, lay.word_order)[lay.right], spread(1, two, lay.word_order)[lay.left], spread(2, one, lay.pair_order)
 
 
-def gather(blocks: DataFrame, answers: DataFrame) -> DataFrame:
+def gather(chunks: DataFrame, answers: DataFrame) -> DataFrame:
     """A chunk's own row beside its answers, grouped by chunk; a chunk's size is bounded."""
-    return blocks.where("slice = -1").unionByName(answers).groupBy("chunk")
+    return chunks.unionByName(answers).groupBy("chunk")
 
 
 def bucket_of(context: np.ndarray) -> np.ndarray:
     return np.minimum(np.ceil(np.log2(context + 1.0)).astype(np.int64), BUCKETS - 1)
 
 
-def heldout_rows(blocks: DataFrame, answers: DataFrame, key_bits: int) -> DataFrame:
+def heldout_rows(chunks: DataFrame, answers: DataFrame, key_bits: int) -> DataFrame:
     """(bucket, pair, context, word, n): deleted n-grams by their counts in the kept folds; rows of equal counts are added up."""
 
     def run(group: pa.Table) -> pa.Table:
@@ -258,7 +279,7 @@ def heldout_rows(blocks: DataFrame, answers: DataFrame, key_bits: int) -> DataFr
         return pa.table({"bucket": bucket_of(rows[:, 1]), "pair": rows[:, 0], "context": rows[:, 1], "word": rows[:, 2], "n": n})
 
     odd = F.col("chunk") % 2 == 1
-    each = gather(blocks.where(odd), answers.where(odd)).applyInArrow(run, "bucket long, pair long, context long, word long, n long")
+    each = gather(chunks.where(odd), answers.where(odd)).applyInArrow(run, "bucket long, pair long, context long, word long, n long")
     return materialize(each.groupBy("bucket", "pair", "context", "word").agg(F.sum("n").alias("n")), "heldout")
 
 
@@ -291,10 +312,12 @@ SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 
 def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
     """One row of SCORES per document, by a model learned from the training folds of the same table."""
-    blocks, key_bits = count(docs, id_col=id_col, text_col=text_col)
-    answers, parts = sum_ranges(blocks)
+    df = texts(docs, id_col, text_col)
+    range_bits, key_bits = sizes(df)
+    chunks = cut(df)
+    answers, parts = sum_ranges(deal(chunks, range_bits, key_bits))
     n, n_kept, v, v_kept = (int(x or 0) for x in parts.agg(*[F.sum(c) for c in ("n", "n_kept", "v", "v_kept")]).first())
-    weights = np.array(learn(heldout_rows(blocks, answers, key_bits), n_kept, v_kept, rounds))
+    weights = np.array(learn(heldout_rows(chunks, answers, key_bits), n_kept, v_kept, rounds))
 
     def run(group: pa.Table) -> pa.Table:
         chunk = Answered(group, key_bits)
@@ -307,4 +330,4 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ro
         columns = [chunk.ids, held, chunk.lengths.tolist(), per_text((word > 0).astype(np.int64)).tolist(), [n] * len(held), per_text(base).tolist(), per_text(np.log10(p)).tolist()]
         return pa.Table.from_batches([batch_of(list(zip(*columns, strict=True)), SCORES)])
 
-    return gather(blocks, answers).applyInArrow(run, SCORES)
+    return gather(chunks, answers).applyInArrow(run, SCORES)

@@ -97,13 +97,13 @@ def test_without_training_texts_and_empty(spark):
     assert lm.score(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_chunks_of_any_size_agree():
+def test_small_chunks_agree(spark, monkeypatch):
     rows = corpus()
-    a, b = lm.Chunk(), lm.Chunk()
-    for i, t in rows[:50]:
-        a.add(i, t)
-    for i, t in rows[50:100]:
-        b.add(i, t)
-    blocks = a.rows(0, 3, 40) + b.rows(2, 3, 40)
-    keys = [lm.unsqueeze_sorted(r[3]) for r in blocks if r[1] >= 0]
+    chunk = lm.Chunk()
+    for i, t in rows:
+        chunk.add(i, t)
+    opened = lm.Opened(dict(zip(("chunk", "slice", "ngram", "a", "b", "c", "d", "e"), chunk.row(0), strict=True)), 40)
+    assert opened.ids == [i for i, _ in rows]
+    keys = [lm.unsqueeze_sorted(r[3]) for r in opened.blocks(0, 3, 40)]
     assert all((k[1:] >= k[:-1]).all() for k in keys)
+    assert sum(len(k) for k in keys) == len(opened.lay.word_order) + len(opened.lay.left)
