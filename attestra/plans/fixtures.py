@@ -1,0 +1,70 @@
+"""Small literal relations that scoring and merging queries run on, as DataFrames and as SQL for the oracles."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+OBSERVATIONS = [
+    # query_id, brand, price, gender, size_category, observed_colorway, tag_code, page_code
+    (1, "Nike", 109.0, "men", "adult", "White/Black", "", "DD1391100"),
+    (2, "Nike", 0.0, "unknown", "adult", "Black White", "", ""),
+    (3, "Jordan", 220.0, "women", "gs", "Red/White", "CW1590100", ""),
+    (4, "", 95.0, "", "unknown", "", "", ""),
+    (5, "adidas", 100.0, "men", "adult", "Green", "", ""),
+]
+CANDIDATES = [
+    # query_id, style_code, name, colorway, retail_price, gender, size_category, brand, product_type, model_similarity, similarity, kinds, weights, agreement, trust, page_confirmed, ord
+    (1, "DD1391100", "Dunk Low Panda", "White/Black", 110.0, "men", "adult", "Nike", "sneakers", 1.0, 0.93, "page_sku,embedding,web", "0.9,0.9,0.6", 3, 2.4, True, 1),
+    (1, "DJ6188002", "Dunk Low Reverse", "Black/White", 110.0, "men", "adult", "Nike", "sneakers", 1.0, 0.88, "embedding,web", "0.8,0.5", 1, 0.7, False, 2),
+    (1, "CW1590100", "Dunk Low GS", "White/Black", 90.0, "kids", "gs", "Nike", "sneakers", 1.0, 0.91, "embedding", "0.8", 0, 0.0, False, 3),
+    (2, "DD1391100", "Dunk Low Panda", "White/Black", 110.0, "men", "adult", "Nike", "", 0.6, 0.80, "web,guess", "0.6,0.35", 4, 2.6, False, 1),
+    (2, "FD9064011", "Dunk Low 2024", "Black/White", 115.0, "men", "adult", "Nike", "shoes", 0.6, 0.80, "web,guess", "0.6,0.35", 4, 2.6, False, 2),
+    (3, "CW1590100", "Dunk Low GS", "White/Red", 90.0, "women", "gs", "Jordan", "sneakers", 0.9, None, "tag,catalog_search", "0.9,0.15", 0, 0.0, False, 1),
+    (3, "DD1399105", "Dunk High", "Red/White", 115.0, "women", "adult", "Nike", "hoodie", 0.41, 0.70, "embedding", "0.5", 0, 0.0, False, 2),
+    (4, "XX0000001", "", "", None, "", "", "", "", None, 0.95, "embedding", "0.9", 0, 0.0, False, 1),
+    (5, "GX8862", "Samba", "Green/White", 100.0, "men", "adult", "Puma", "sneakers", 1.0, 0.90, "page_sku", "0.8", 0, 0.0, True, 1),
+]
+VERDICTS = [(1, "DD1391100", "same", 0.9), (1, "DJ6188002", "different", 0.8), (2, "FD9064011", " Uncertain", 0.5)]
+TITLES = [
+    (1, "Air Jordan 4 Retro Bred Reimagined Men's"), (2, "Nike Dunk Low (GS) White/Black"), (3, "adidas Samba OG wmns"), (4, "New Balance 990v6 Made in USA"),
+    (5, "Converse Chuck 70 kids' toddler (TD)"), (6, "Vintage tee"), (7, None), (8, "UGG Tasman Slipper Women's"), (9, "Dr Martens 1460 boot youth"), (10, "NB 550 ladies Sea Salt"),
+    (11, "Cool Gray Jordan Little Kids (PS)"), (12, "Yeezy Boost 350 V2 male"),
+]
+COMPOUND = [(1, "DD1391-100/DD1391-101"), (2, "FV5029-006 (GS)"), (3, "GX8862"), (4, ""), (5, None), (6, "555088-101 / 555088101")]
+UPDATES = [
+    # key, name, color, price, authoritative, ord
+    ("A1", "", "white", 90.0, False, 1), ("A1", "Alpha", "", None, True, 2), ("A1", "Alpha two", "black", 95.0, False, 3),
+    ("B2", "Beta", "", 10.0, False, 1), ("B2", "", "red", 12.0, True, 2), ("C3", "", "", None, False, 1),
+]
+CURRENT = [("A1", "old alpha", "", None), ("B2", "", "blue", 9.0), ("D4", "Delta", "tan", 40.0)]
+
+SCHEMAS = {
+    "observations": "query_id long, brand string, price double, gender string, size_category string, observed_colorway string, tag_code string, page_code string",
+    "candidates": "query_id long, style_code string, name string, colorway string, retail_price double, cand_gender string, cand_size_category string, cand_brand string, product_type string, model_similarity double, similarity double, kinds string, weights string, agreement long, trust double, page_confirmed boolean, ord long",
+    "verdicts": "query_id long, style_code string, verdict string, confidence double",
+    "titles": "case_id long, title string",
+    "compound": "product_id long, style_id string",
+    "updates": "key string, name string, color string, price double, authoritative boolean, ord long",
+    "current_products": "key string, name string, color string, price double",
+}
+ROWS = {"observations": OBSERVATIONS, "candidates": CANDIDATES, "verdicts": VERDICTS, "titles": TITLES, "compound": COMPOUND, "updates": UPDATES, "current_products": CURRENT}
+
+
+def frame(spark: SparkSession, name: str) -> DataFrame:
+    return spark.createDataFrame(ROWS[name], SCHEMAS[name])
+
+
+def sql_values(name: str) -> str:
+    """name AS (VALUES ...) for a WITH clause."""
+    kinds = {"long": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+    fields = [f.strip().split(" ") for f in SCHEMAS[name].split(",")]
+
+    def literal(value: object, kind: str) -> str:
+        if value is None:
+            return f"CAST(NULL AS {kinds[kind]})"
+        if kind == "string":
+            return "'" + str(value).replace("'", "''") + "'"
+        return f"CAST({str(value).upper()} AS {kinds[kind]})"
+
+    rows = ", ".join("(" + ", ".join(literal(v, k) for v, (_, k) in zip(r, fields, strict=True)) + ")" for r in ROWS[name])
+    return f"{name}({', '.join(n for n, _ in fields)}) AS (VALUES {rows})"

@@ -1 +1,255 @@
-QUERIES = {}
+"""Queries of the library's own operators over the driver's tables and the literal fixtures."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import codes, text, urls
+from ..operators import knn, merge, relational, scoring
+from ..sources import pages as page_source
+from ..streaming import state
+from . import fixtures
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def asked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    vectors = table(spark, sf_dir, "embeddings")
+    return vectors.where("vec_id % 50 = 0"), vectors
+
+
+def knn_topk(spark, sf_dir):
+    queries, vectors = asked(spark, sf_dir)
+    return knn.nearest(queries, vectors, 10).select("query_id", "vec_id", F.round("similarity", 5).alias("similarity"), F.col("rank").cast("long").alias("rank"))
+
+
+def knn_resolve(spark, sf_dir):
+    """Nearest vectors, max-pooled by label, rescaled, ranked, with tier and runner-up ambiguity."""
+    queries, vectors = asked(spark, sf_dir)
+    pooled = knn.max_pool(knn.nearest(queries, vectors, 30), vectors)
+    df = pooled.withColumn("confidence", F.round(scoring.rescale(F.col("similarity"), 0.1, 0.5), 4))
+    w = Window.partitionBy("query_id").orderBy(F.desc("confidence"), "owner")
+    ranked = df.withColumns({"rank": F.row_number().over(w), "next": F.lead("confidence").over(w)}).where("rank = 1")
+    return ranked.select("query_id", F.col("owner").cast("long").alias("label"), "best_vec_id", "confidence", F.coalesce(F.col("next") >= F.col("confidence") - 0.05, F.lit(False)).alias("ambiguous"), scoring.tier(F.col("confidence")).alias("tier"))
+
+
+def similarity_to_group(spark, sf_dir):
+    queries, vectors = asked(spark, sf_dir)
+    return knn.similarity_to_owner(queries, vectors).select("query_id", F.col("owner").cast("long").alias("label"), F.round("similarity", 5).alias("similarity"))
+
+
+def url_normalize(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", urls.normalize_url(F.col("url")).alias("url_key"), urls.domain(F.col("url")).alias("domain"))
+
+
+def url_domain_counts(spark, sf_dir):
+    p = table(spark, sf_dir, "pages")
+    return p.groupBy(urls.domain(F.col("url")).alias("domain")).agg(F.count(F.lit(1)).alias("n_pages"), F.count_distinct(urls.normalize_url(F.col("url"))).alias("n_urls"))
+
+
+def page_fields(spark, sf_dir):
+    return page_source.extract_pages(table(spark, sf_dir, "pages")).select("page_id", "title", "h1", "lang", "n_links", "error")
+
+
+def page_tag_text(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.length(F.regexp_replace("html", "<[^>]+>", " ")).cast("long").alias("n_text"), F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1).alias("title"))
+
+
+def content_dedupe(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("digest"))
+    return merge.arg_first(d.select("digest", "doc_id"), ["digest"], ["doc_id"]).select("doc_id", "digest")
+
+
+def cache_key(spark, sf_dir):
+    p = table(spark, sf_dir, "pages")
+    hashes = F.array(F.sha2("html", 256), F.sha2("url", 256))
+    return p.select("page_id", urls.cache_key(hashes, F.col("url"), F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1)).alias("cache_key"))
+
+
+def token_scan(spark, sf_dir):
+    t = F.filter(F.regexp_extract_all("text", F.lit(codes.TOKEN), F.lit(0)), lambda x: x.rlike("[0-9]"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(t).cast("long").alias("n_tokens"), F.array_join(F.array_sort(F.array_distinct(t)), " ").alias("tokens"))
+
+
+def code_detect(spark, sf_dir):
+    """Codes in all documents, tokens classified by format, one row per document and code."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", F.lit("").alias("brand_hint"), F.lit(0.5).alias("base_confidence"))
+    return codes.detect_codes(d, key="doc_id").select("doc_id", "code", "display", "family", "labeled", "confidence", F.col("ord").cast("long").alias("ord"))
+
+
+def title_attributes(spark, sf_dir):
+    t = F.col("title")
+    return fixtures.frame(spark, "titles").select("case_id", text.known_brand(t).alias("brand"), text.brand_family(t).alias("family"), text.gender(t).alias("gender"), text.size_category(t).alias("size_category"))
+
+
+def colour_tokens(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(text.colour_tokens(F.col("p_name")), ",").alias("colours"))
+
+
+def colour_similarity(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    pairs = p.alias("a").join(p.alias("b"), F.col("b.p_partkey") == F.col("a.p_partkey") + 1)
+    return pairs.select(F.col("a.p_partkey").alias("p_partkey"), F.round(text.colour_similarity(F.col("a.p_name"), F.col("b.p_name")), 4).alias("similarity"))
+
+
+def json_identifiers(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return relational.json_pairs(e, "event_id", "props")
+
+
+def evidence_merge(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("query_id"), F.lit("all").alias("style_code"), F.col("event_type").alias("kind"), F.lit("").alias("detail"), F.col("value").alias("weight"), F.col("event_id").alias("ord"))
+    return merge.merge_evidence(e).select("query_id", "n_evidence", "best_weight", F.col("ord").alias("first_ord"), "kinds")
+
+
+def evidence_arg_max(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("user_id", "event_type", "value", "event_id")
+    return merge.arg_max(e, ["user_id", "event_type"], "value", ["event_id"])
+
+
+def web_agreement_trust(spark, sf_dir):
+    hits = table(spark, sf_dir, "pages").select(F.regexp_extract("url", r"/(\d+)", 1).alias("code"), urls.domain(F.col("url")).alias("domain"), (F.col("page_id") % 3 == 0).alias("labeled"), F.col("page_id").alias("ord"))
+    trust = spark.createDataFrame([("example.com", 1.0), ("example.org", 0.8)], "suffix string, trust double")
+    return relational.harvest(hits.where("code <> ''").withColumn("code", F.substring("code", 1, 2)), trust)
+
+
+def multi_source_keys(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.count_distinct("l_suppkey").alias("n_suppliers"), F.array_join(F.array_sort(F.collect_set("l_suppkey")), ",").alias("suppliers"))
+    return li.where("n_suppliers >= 20")
+
+
+def latest_n_per_key(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    top = merge.top_n(o, ["o_custkey"], 3, F.desc("o_orderdate"), F.col("o_orderkey"))
+    return top.select("o_custkey", "o_orderkey", F.col("rank").cast("long").alias("rank"))
+
+
+def anti_missing(spark, sf_dir):
+    return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left_anti").select("doc_id")
+
+
+def semi_held_out(spark, sf_dir):
+    return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").where("quality = 1"), "doc_id", "left_semi").select("doc_id", "source")
+
+
+def lookup_fill(spark, sf_dir):
+    c, n = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
+    hit = c.join(n.where("n_regionkey <> 2"), c.c_nationkey == n.n_nationkey, "left")
+    return hit.select("c_custkey", F.coalesce(F.nullif("n_name", F.lit("")), F.col("c_mktsegment")).alias("filled"))
+
+
+def segment_join(spark, sf_dir):
+    segments = relational.segments(fixtures.frame(spark, "compound"), "product_id", "style_id")
+    wanted = spark.createDataFrame([("DD1391101",), ("FV5029006",), ("555088101",), ("NONE00000",)], "style_code string")
+    return wanted.join(segments, "style_code", "left").select("style_code", "product_id")
+
+
+def choose_listing(spark, sf_dir):
+    return relational.choose_listing(table(spark, sf_dir, "part"))
+
+
+def market_min_max(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").select("l_partkey", F.when(F.col("l_returnflag") == "R", F.col("l_extendedprice")).alias("ask"), F.when(F.col("l_returnflag") == "A", F.col("l_extendedprice")).alias("bid"))
+    priced = li.where("ask IS NOT NULL OR bid IS NOT NULL")
+    return priced.groupBy("l_partkey").agg(F.min("ask").alias("lowest_ask"), F.max("bid").alias("highest_bid"), F.count(F.lit(1)).alias("n_rows"))
+
+
+def ttl_cache_lookup(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return relational.ttl_lookup(e.where("event_type = 'purchase'"), e.where("event_type = 'view'"), key="user_id", time="ts", row="event_id", days=7)
+
+
+def sliding_rate(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    seconds = e.withColumn("s", F.unix_micros(F.col("ts").cast("timestamp")))
+    w = Window.partitionBy("user_id").orderBy("s").rangeBetween(-3_600_000_000, 0)
+    return seconds.select("event_id", F.count(F.lit(1)).over(w).alias("in_window"))
+
+
+def rate_limit(spark, sf_dir):
+    """Exact admission: refused requests do not count; state per key (rows only)."""
+    return state.admit(table(spark, sf_dir, "events"), key="user_id", time="ts", row="event_id", most=3, window_s=86_400.0)
+
+
+def daily_budget(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
+    w = Window.partitionBy("day").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    return e.select("event_id", F.date_format("day", "yyyy-MM-dd").alias("day"), F.count(F.lit(1)).over(w).alias("used"))
+
+
+def rank_and_gap(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").withColumn("score", F.round(F.col("o_totalprice") / 500000.0, 4))
+    w = Window.partitionBy("o_custkey").orderBy(F.desc("score"), "o_orderkey")
+    r = o.withColumns({"rank": F.row_number().over(w), "next": F.lead("score").over(w)}).where("rank = 1")
+    return r.select("o_custkey", "o_orderkey", "score", F.coalesce(F.col("next") >= F.round(F.col("score") - 0.05, 4), F.lit(False)).alias("ambiguous"), scoring.tier(F.col("score")).alias("tier"))
+
+
+def _scored(spark):
+    cands = fixtures.frame(spark, "candidates").withColumns({"kinds": F.split("kinds", ","), "weights": F.transform(F.split("weights", ","), lambda x: x.cast("double")), "model": F.lit("")})
+    return scoring.score(cands.join(fixtures.frame(spark, "observations"), "query_id"))
+
+
+def score_candidates(spark, sf_dir):
+    return _scored(spark).select("query_id", "style_code", *[F.round(f"c_{c}", 4).alias(f"c_{c}") for c in ("sku", "model", "colorway", "embedding", "metadata", "agreement")], "raw_score")
+
+
+def contradictions(spark, sf_dir):
+    return scoring.contradict(_scored(spark)).select("query_id", "style_code", F.array_join("hard", ",").alias("hard"), F.array_join("soft", ",").alias("soft"), F.round("penalty", 4).alias("penalty"), "rejected", "score")
+
+
+def resolve_queries(spark, sf_dir):
+    judged = scoring.verify(scoring.contradict(_scored(spark)), fixtures.frame(spark, "verdicts"))
+    return scoring.resolve(fixtures.frame(spark, "observations"), judged)
+
+
+def review_queue(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").where("o_orderstatus = 'P' AND o_orderpriority <> '5-LOW'")
+    return o.orderBy(F.desc("o_orderdate"), "o_orderkey").limit(100).select("o_orderkey", "o_custkey")
+
+
+def eval_metrics(spark, sf_dir):
+    d, l = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    guess = F.when(F.size(F.split("text", " ")) >= 20, 1).otherwise(0)
+    return relational.evaluate(d.join(l, "doc_id").select(guess.alias("guess"), F.col("quality").alias("truth"), (F.length("text") % 1000).cast("double").alias("latency")))
+
+
+def upsert_merge(spark, sf_dir):
+    return merge.upsert(fixtures.frame(spark, "current_products"), fixtures.frame(spark, "updates"), "key", ["name", "color", "price"])
+
+
+def image_insert_absent(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    new = d.select("source", F.sha2("text", 256).alias("digest"), "doc_id")
+    return merge.insert_absent(new.where("doc_id % 3 = 0"), new, ["source", "digest"], ["doc_id"]).select("source", "digest", "doc_id")
+
+
+def latest_status(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("user_id", "event_type", "ts", "event_id")
+    return merge.latest(e, ["user_id"], "ts", "event_id").select("user_id", F.col("event_type").alias("status"), "event_id")
+
+
+def stream_latest_status(spark, sf_dir):
+    """The same by a streaming query that reads the events as files (rows only)."""
+    return state.stream_latest(spark, sf_dir, "events.parquet")
+
+
+def seeded_sample(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return d.orderBy(F.md5(F.concat(F.lit("7:"), F.col("doc_id").cast("string"))), "doc_id").limit(50).select("doc_id")
+
+
+def ordered_distinct_urls(spark, sf_dir):
+    p = table(spark, sf_dir, "pages").select(F.regexp_replace("url", r"\?.*$", "").alias("url_key"), "page_id", "url")
+    return merge.arg_first(p, ["url_key"], ["page_id"])
+
+
+QUERIES = {f.__name__: f for f in (
+    knn_topk, knn_resolve, similarity_to_group, url_normalize, url_domain_counts, page_fields, page_tag_text, content_dedupe, cache_key, token_scan, code_detect,
+    title_attributes, colour_tokens, colour_similarity, json_identifiers, evidence_merge, evidence_arg_max, web_agreement_trust, multi_source_keys, latest_n_per_key,
+    anti_missing, semi_held_out, lookup_fill, segment_join, choose_listing, market_min_max, ttl_cache_lookup, sliding_rate, rate_limit, daily_budget, rank_and_gap,
+    score_candidates, contradictions, resolve_queries, review_queue, eval_metrics, upsert_merge, image_insert_absent, latest_status, stream_latest_status, seeded_sample,
+    ordered_distinct_urls,
+)}

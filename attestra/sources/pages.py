@@ -1,0 +1,123 @@
+"""Product pages: fields of raw HTML by a streaming parser, one Arrow batch at a time."""
+
+from __future__ import annotations
+
+import json
+from collections.abc import Iterator
+from html.parser import HTMLParser
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..session import ship_package
+
+FIELDS = "page_id long, title string, h1 string, description string, image string, price double, currency string, brand string, code string, lang string, n_links long, n_images long, error string"
+
+
+class PageParser(HTMLParser):
+    """Title, first heading, meta properties, JSON-LD blobs and link counts of one page."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.meta: dict[str, str] = {}
+        self.texts = {"title": "", "h1": ""}
+        self.blobs: list[str] = []
+        self.inside: str | None = None
+        self.lang, self.links, self.images = "", 0, 0
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        a = {k: v or "" for k, v in attrs}
+        if tag == "html":
+            self.lang = a.get("lang", "")
+        elif tag == "meta" and (name := a.get("property") or a.get("name")):
+            self.meta.setdefault(name.lower(), a.get("content", ""))
+        elif tag == "a" and "href" in a:
+            self.links += 1
+        elif tag == "img":
+            self.images += 1
+        elif tag in self.texts and not self.texts[tag]:
+            self.inside = tag
+        elif tag == "script" and a.get("type") == "application/ld+json":
+            self.inside = "json"
+            self.blobs.append("")
+
+    def handle_endtag(self, tag: str) -> None:
+        if tag == self.inside or (tag == "script" and self.inside == "json"):
+            self.inside = None
+
+    def handle_data(self, data: str) -> None:
+        if self.inside == "json":
+            self.blobs[-1] += data
+        elif self.inside:
+            self.texts[self.inside] += data
+
+
+def products(node: object, depth: int = 0) -> Iterator[dict]:
+    """Product nodes of a JSON-LD tree."""
+    if depth > 12:
+        return
+    if isinstance(node, list):
+        for x in node[:200]:
+            yield from products(x, depth + 1)
+    elif isinstance(node, dict):
+        kinds = node.get("@type")
+        if "Product" in (kinds if isinstance(kinds, list) else [kinds]):
+            yield node
+        for key in ("@graph", "mainEntity", "itemListElement", "hasVariant", "isVariantOf"):
+            yield from products(node.get(key), depth + 1)
+
+
+def number(value: object) -> float | None:
+    try:
+        return float(str(value).replace(",", "").replace("$", "").strip())
+    except ValueError:
+        return None
+
+
+def parse_page(html: str | None) -> tuple:
+    """The fields of FIELDS after page_id: structured data first, then page properties, then the visible page."""
+    p = PageParser()
+    try:
+        p.feed(html or "")
+        p.close()
+    except Exception as e:  # a page that no parser reads is a row with an error
+        return ("", "", "", "", None, "", "", "", "", 0, 0, f"unreadable: {type(e).__name__}")
+    found: list[dict] = []
+    for blob in p.blobs:
+        try:
+            found += products(json.loads(blob))
+        except ValueError:
+            continue
+    node = found[0] if found else {}
+    offers = node.get("offers") or {}
+    offer = offers[0] if isinstance(offers, list) and offers else offers if isinstance(offers, dict) else {}
+    brand, image = node.get("brand"), node.get("image")
+    squeeze = lambda s: " ".join(str(s or "").split())
+    title = squeeze(node.get("name")) or squeeze(p.meta.get("og:title")) or squeeze(p.texts["title"])
+    image = (image[0] if isinstance(image, list) and image else image) or p.meta.get("og:image", "")
+    return (
+        title, squeeze(p.texts["h1"]), squeeze(node.get("description") or p.meta.get("og:description") or p.meta.get("description")), str(image.get("url", "") if isinstance(image, dict) else image or ""),
+        number(offer.get("price") or p.meta.get("product:price:amount")), str(offer.get("priceCurrency") or p.meta.get("product:price:currency") or ""),
+        squeeze(brand.get("name") if isinstance(brand, dict) else brand), str(node.get("sku") or node.get("mpn") or ""), p.lang, p.links, p.images,
+        "" if title or p.images else "no_metadata",
+    )
+
+
+def extract_pages(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    ship_package(pages.sparkSession)
+    names = [f.strip().split(" ")[0] for f in FIELDS.split(",")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame([(i, *parse_page(h)) for i, h in zip(batch["id"], batch["html"], strict=True)], columns=names)
+
+    return pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html")).mapInPandas(run, FIELDS)
+
+
+def load_cases(spark, path: str, tag: str | None = None) -> DataFrame:
+    """JSON lines without blank and # lines, of one tag if given."""
+    schema = "image_url string, image_path string, product_url string, title string, expected_style_code string, tags array<string>"
+    lines = spark.read.text(path).where(~F.trim("value").rlike("^(#|$)"))
+    rows = lines.select(F.from_json("value", schema).alias("c")).select("c.*")
+    return rows.where(F.array_contains("tags", tag)) if tag else rows
