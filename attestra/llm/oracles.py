@@ -1 +1,76 @@
-ORACLES = {}
+"""SQL for the corpus queries that it can express, computed another way than the operators do."""
+
+from __future__ import annotations
+
+from . import licenses, quality, secrets, url_templates
+from .common import SPACES, WORDS
+
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def quoted(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def names(xs: list[str]) -> str:
+    return ", ".join(map(quoted, xs))
+
+
+#: Windows are rows here, grouped by their text; covered words are counted as distinct positions.
+QUALITY = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+t AS (SELECT r, doc_id, text, regexp_extract_all(text, '{WORDS}') AS ws, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+w AS (SELECT r, i, array_to_string(ws[i:i + {quality.WINDOW - 1}], ' ') AS v FROM (SELECT r, ws, unnest(range(1, len(ws) - {quality.WINDOW - 2})) AS i FROM t WHERE len(ws) >= {quality.WINDOW})),
+twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, v) AS n FROM w) WHERE n > 1),
+cover AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + {quality.WINDOW})) AS p FROM twice) GROUP BY r),
+m AS (SELECT doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+    (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words, len(ls) AS n_lines, len(regexp_extract_all(text, '!')) AS n_shouts,
+    len(list_filter(ws, lambda x: rtrim(lower(x), '.,;:!?') IN ({names(quality.STOP_WORDS)}))) AS n_stop FROM t LEFT JOIN cover c USING (r)),
+f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+    NOT base_failed AND word_chars::DOUBLE / n_words BETWEEN 2.0 AND 15.0 AND n_symbols::DOUBLE / n_words <= 0.3 AND n_shouts::DOUBLE / n_words <= 0.4 AND n_dup_lines::DOUBLE / greatest(n_lines, 1) <= 0.5 AND n_stop::DOUBLE / n_words >= 0.01 AS kept FROM f"""
+
+
+def found(kind: str, order: int, pattern: str, group: int, least: int) -> str:
+    """Spans of one kind: the k-th match starts after the first k gaps and the k - 1 matches before it."""
+    p = quoted(pattern)
+    return f"""(SELECT r, {order} AS kind, start, start + length(hit) AS stop, val FROM (SELECT r, hits[k] AS hit, vals[k] AS val,
+        (list_sum(list_transform(gaps[1:k], lambda g: length(g))) + coalesce(list_sum(list_transform(hits[1:k - 1], lambda h: length(h))), 0))::BIGINT AS start
+        FROM (SELECT r, hits, vals, gaps, unnest(range(1, len(hits) + 1)) AS k FROM (SELECT r, regexp_extract_all(text, {p}) AS hits, regexp_extract_all(text, {p}, {group}) AS vals, string_split_regex(text, {p}) AS gaps FROM d WHERE regexp_matches(text, {p}))))
+        WHERE length(val) >= {least})"""
+
+
+SECRETS = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, coalesce(source, '') AS owner, coalesce(lang, '') AS repo FROM documents),
+base AS ({' UNION ALL '.join(found(kind, i, *rule) for i, (kind, rule) in enumerate(secrets.KINDS.items()))}),
+wide AS (SELECT w.* FROM {found(secrets.OWNED, len(secrets.KINDS), secrets.CANDIDATE, 0, 20)} w
+    WHERE regexp_matches(val, '[0-9]') AND regexp_matches(val, '[A-Za-z]') AND len(list_distinct(string_split(val, ''))) >= 10
+    AND NOT EXISTS (SELECT 1 FROM base b WHERE b.r = w.r AND b.start < w.stop AND w.start < b.stop)),
+every AS (SELECT * FROM base UNION ALL SELECT * FROM wide),
+freq AS (SELECT val, count(DISTINCT owner) AS owners, count(DISTINCT (owner, repo)) AS repos FROM every JOIN d USING (r) GROUP BY val),
+judged AS (SELECT e.*, owners <= 1 AND repos <= 2 AS live, ['assign', 'access', 'hex', 'owned'][kind + 1] || ':' || start || ':' || stop AS shown FROM every e JOIN freq USING (val)),
+s AS (SELECT r, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+    string_agg(shown, ',' ORDER BY start, kind) FILTER (kind < 3) AS base, string_agg(shown, ',' ORDER BY start, kind) FILTER (kind < 3 OR live) AS spans,
+    count(*) FILTER (live) AS n_live, count(*) FILTER (kind < 3 AND NOT live) AS n_copied FROM judged GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+    coalesce(n_live, 0)::BIGINT AS n_live, coalesce(n_copied, 0)::BIGINT AS n_copied FROM d LEFT JOIN s USING (r)"""
+
+#: Base 32 of a digest: forty hexadecimal digits are thirty-two groups of five bits.
+BITS = "array_to_string(list_transform(string_split(sha1(html), ''), lambda h: right('000' || bin(strpos('0123456789abcdef', h) - 1), 4)), '')"
+DIGEST = f"array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_sum(list_transform(range(1, 6), lambda k: substr({BITS}, 5 * i + k, 1)::INT * (16 >> (k - 1))))::BIGINT, 1)), '')"
+WARC = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages), w AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS winner FROM p),
+h AS (SELECT page_id, winner, html, {BITS} AS bits FROM w)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes, {DIGEST.replace(BITS, 'bits')} AS payload_digest, CASE WHEN page_id = winner THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> winner THEN winner END AS refers_to FROM h"""
+
+#: Links by an inverted index of shingles, components by repeated minimum.
+NEAR = rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({LOWER}, '{WORDS}') AS ws FROM documents),
+s AS (SELECT DISTINCT r, array_to_string(ws[i:i + 4], ' ') AS v FROM (SELECT r, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM d WHERE len(ws) > 0)),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+links AS (SELECT a.r AS a, b.r AS b FROM s a JOIN s b ON a.v = b.v AND a.r <> b.r JOIN n x ON x.r = a.r JOIN n y ON y.r = b.r GROUP BY a.r, b.r, x.n, y.n HAVING 100 * count(*) >= 75 * (x.n + y.n - count(*))),
+reach AS (SELECT r AS a, r AS b FROM d UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b),
+least AS (SELECT a AS r, min(doc_id) AS component_id FROM reach JOIN d ON d.r = reach.b GROUP BY a)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, coalesce(doc_id = component_id, false) AS kept FROM d LEFT JOIN n USING (r) JOIN least USING (r)"""
+
+ORACLES = {"op1_secret_ownership": SECRETS, "op3_warc_segments": WARC, "op8_quality_rules": QUALITY, "op9_hyperminhash": NEAR}
