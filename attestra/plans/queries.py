@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import codes, text, urls
+from ..functions import codes, models, text, urls
 from ..operators import knn, merge, relational, scoring
+from ..session import ship_package
 from ..sources import pages as page_source
 from ..streaming import state
 from . import fixtures
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -85,6 +87,19 @@ def title_attributes(spark, sf_dir):
     return fixtures.frame(spark, "titles").select("case_id", text.known_brand(t).alias("brand"), text.brand_family(t).alias("family"), text.gender(t).alias("gender"), text.size_category(t).alias("size_category"))
 
 
+def title_parse(spark, sf_dir):
+    """Titles with model, brand, gender, size, partner and quoted colours (patterns with lookahead: rows only)."""
+    return fixtures.frame(spark, "titles").select("case_id", *[c.alias(n) for n, c in models.parse_title(F.col("title")).items()])
+
+
+def model_pairs(spark, sf_dir):
+    """Similarity of each title with the next one (rows only)."""
+    ship_package(spark)
+    t = fixtures.frame(spark, "titles")
+    pairs = t.alias("a").join(t.alias("b"), F.col("b.case_id") == F.col("a.case_id") + 1)
+    return pairs.select(F.col("a.case_id").alias("case_id"), F.round(models.model_similarity(F.col("a.title"), F.col("b.title")), 4).alias("similarity"))
+
+
 def colour_tokens(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(text.colour_tokens(F.col("p_name")), ",").alias("colours"))
 
@@ -248,7 +263,7 @@ def ordered_distinct_urls(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     knn_topk, knn_resolve, similarity_to_group, url_normalize, url_domain_counts, page_fields, page_tag_text, content_dedupe, cache_key, token_scan, code_detect,
-    title_attributes, colour_tokens, colour_similarity, json_identifiers, evidence_merge, evidence_arg_max, web_agreement_trust, multi_source_keys, latest_n_per_key,
+    title_attributes, title_parse, model_pairs, colour_tokens, colour_similarity, json_identifiers, evidence_merge, evidence_arg_max, web_agreement_trust, multi_source_keys, latest_n_per_key,
     anti_missing, semi_held_out, lookup_fill, segment_join, choose_listing, market_min_max, ttl_cache_lookup, sliding_rate, rate_limit, daily_budget, rank_and_gap,
     score_candidates, contradictions, resolve_queries, review_queue, eval_metrics, upsert_merge, image_insert_absent, latest_status, stream_latest_status, seeded_sample,
     ordered_distinct_urls,
