@@ -12,6 +12,7 @@ holds changes the time but never the result.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -20,8 +21,12 @@ import regex
 
 #: The pre-tokenizer's pattern (fixed value of the public vocabulary).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The same for texts without a character of UNLIKE, where the standard engine's classes agree; it is about twice as fast.
+PLAIN = r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
+#: Anything but Latin letters, ASCII and common punctuation; of these, numerals that are no digits and separators are left out.
+UNLIKE = "[^\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f\u2010-\u2027]"
 FREE = np.int64(2**62)
-CACHE_PIECES = 400_000
+CACHE_PIECES = 700_000
 #: Pieces longer than this many bytes are encoded but not cached, so the cache is bounded in bytes too.
 CACHE_BYTES = 64
 #: Symbols merged in step at a time: bounds the arrays whatever the number or length of pieces.
@@ -84,13 +89,13 @@ class ByteBPE:
             self.of_byte[b] = vocab[letter]
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in spec["model"]["merges"]]
         self.pairs = PairRanks([(vocab[a], vocab[b]) for a, b in merges], [vocab[a + b] for a, b in merges])
-        self.piece = regex.compile(PATTERN)
+        self.piece, self.plain, self.unlike = regex.compile(PATTERN), re.compile(PLAIN), re.compile(UNLIKE)
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.cache: dict[str, bytes] = {}
 
     def pieces(self, text: str) -> list[str]:
         if self.split is None or not any(s in text for s in self.special):
-            return self.piece.findall(text)
+            return (self.piece if self.unlike.search(text) else self.plain).findall(text)
         return [p for i, part in enumerate(self.split.split(text)) for p in ([part] if i % 2 else self.piece.findall(part))]
 
     def merge(self, rows: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -40,18 +40,6 @@ ROUNDS = 12
 CHUNK_BYTES = 8 << 20
 #: Text behind one hash range.
 RANGE_BYTES = 16 << 20
-WORD_CACHE = 500_000
-
-_words: dict[bytes, int] = {}
-
-
-def word_hash(word: bytes) -> int:
-    if word not in _words:
-        if len(_words) > WORD_CACHE:
-            _words.clear()
-        _words[word] = xxhash.xxh3_64_intdigest(word)
-    return _words[word]
-
 
 #: Words are hashed with seed 0; the start and the end of a text have seed 1.
 MARK_START, MARK_END = xxhash.xxh3_64_intdigest(b"start", 1), xxhash.xxh3_64_intdigest(b"end", 1)
@@ -122,7 +110,7 @@ class Chunk:
     def row(self, chunk: int) -> tuple:
         """A row of CHUNKS: ids, which are null, lengths, tokens, hashes of the words."""
         lengths = np.array([len(t) for t in self.tokens], np.int64)
-        hashes = np.array([MARK_START, MARK_END, *map(word_hash, self.number)], np.uint64)
+        hashes = np.array([MARK_START, MARK_END, *map(xxhash.xxh3_64_intdigest, self.number)], np.uint64)
         ids = np.array([i or 0 for i in self.ids]).astype(np.int64).view(np.uint64)
         return (chunk, -1, 0, *map(squeeze, (ids, np.array([i is None for i in self.ids]), lengths, np.concatenate(self.tokens), hashes)))
 

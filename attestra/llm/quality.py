@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, let, texts
+from .common import SPACES, let
 
 SYMBOLS = r"[#*$%&|<>]"
 WINDOW = 8
@@ -55,13 +55,13 @@ def _repeated(words: Column, hashes: Column, w: int) -> Column:
 
 
 def measure(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", stop_words: list[str] | None = None, window: int = WINDOW) -> DataFrame:
-    """One row per document with the counts and ratios the rules read: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, and ratios."""
+    """The documents' own columns as struct ``document`` beside their measures. One row per document with the counts and ratios the rules read: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, and ratios."""
     stop = list(stop_words or STOP_WORDS)
     text = F.col("text")
     lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
-    df = texts(docs, id_col, text_col)
+    df = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"), F.struct(*[docs[c] for c in docs.columns]).alias("document"))
     df = df.select(
-        "doc_id",
+        "doc_id", "document",
         F.filter(F.split(text, SPACES), lambda w: w != "").alias("words"),
         F.length(F.regexp_replace(text, SPACES, "")).cast("long").alias("word_chars"),
         F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
@@ -70,7 +70,7 @@ def measure(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     )
     n, words = F.size("words"), F.col("words")
     df = df.select(
-        "doc_id", "word_chars", "n_symbols", "n_shouts",
+        "doc_id", "document", "word_chars", "n_symbols", "n_shouts",
         n.cast("long").alias("n_words"),
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
@@ -81,8 +81,11 @@ def measure(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     h = F.col("hashes")
     df = df.withColumn("n_repeat_words", F.when(F.size(F.array_distinct(h)) < F.size(h), _repeated(words, h, window)).otherwise(F.lit(0)).cast("long"))
     per_word = lambda c: F.coalesce(F.try_divide(F.col(c).cast("double"), F.col("n_words")), F.lit(0.0))
+    # A filter above must not be pushed below: it would compute the words anew for each measure it names. A field that
+    # depends on the row's number holds it here.
+    measured = F.when(F.monotonically_increasing_id() >= 0, F.col("n_words")).otherwise(F.lit(0)).alias("n_words")
     return df.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "doc_id", "document", measured, "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         per_word("word_chars").alias("mean_word_chars"),
         per_word("n_symbols").alias("symbols_per_word"),
         per_word("n_shouts").alias("shouts_per_word"),
@@ -111,3 +114,8 @@ def quality_rules(docs: DataFrame, thresholds: dict[str, tuple[float | None, flo
     m = measure(docs, id_col=id_col, text_col=text_col)
     base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     return m.withColumns({"base_failed": base, "kept": ~base & compile_rules(thresholds or THRESHOLDS)})
+
+
+def quality_filter(docs: DataFrame, thresholds: dict[str, tuple[float | None, float | None]] | None = None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that the rules keep, with their own columns; no join and no shuffle."""
+    return quality_rules(docs, thresholds, id_col=id_col, text_col=text_col).where("kept").select("document.*")

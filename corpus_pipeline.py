@@ -24,10 +24,7 @@ def numbered(docs: DataFrame) -> DataFrame:
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the threshold table keeps."""
-    ship_package(spark)
-    rows = numbered(docs)
-    kept = quality.quality_rules(rows, id_col=ROW).where("kept").select(F.col("doc_id").alias(ROW))
-    return rows.join(kept, ROW, "left_semi").select(*docs.columns)
+    return quality.quality_filter(docs)
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
