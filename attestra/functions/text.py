@@ -111,6 +111,14 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.try_divide(F.size(F.array_intersect(a, b)).cast("double"), F.size(F.array_union(a, b)))
 
 
+def nickname_score(nickname: Column, name: Column) -> Column:
+    """0.95 where both have the same words; 0.85 (several words) or 0.5 (one) where the nickname's are some of the name's; else null."""
+    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+"), lambda w: F.length(w) >= 2))
+    x, y = words(nickname), words(name)
+    inside = (F.size(x) > 0) & (F.size(F.array_except(x, y)) == 0)
+    return F.when(inside & (F.size(x) == F.size(y)), F.lit(0.95)).when(inside & (F.size(x) > 1), F.lit(0.85)).when(inside, F.lit(0.5))
+
+
 def colour_similarity(a: Column, b: Column) -> Column:
     """Jaccard of colour words, times 0.7 where the leading colours differ; null where either side has none."""
     x, y = colour_tokens(a), colour_tokens(b)

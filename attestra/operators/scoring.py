@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Settings
+from ..functions import models
 from ..functions import text as tx
 
 
@@ -54,11 +55,13 @@ def score(df: DataFrame, settings: Settings | None = None) -> DataFrame:
     w, t = s.weights, s.thresholds
     c = F.col
     strong = F.filter(F.array_distinct("kinds"), lambda k: k != "catalog_search")
+    # A release's nickname is compared with the colour words of the candidate's name, where observations carry one.
+    nickname = tx.nickname_score(c("nickname"), models.colour_text(c("name"))) if "nickname" in df.columns else F.lit(None).cast("double")
     df = df.withColumns(
         {
             "c_sku": sku_component(c("kinds"), c("weights"), c("agreement"), c("trust")),
             "c_model": F.coalesce(c("model_similarity"), F.lit(0.5)),
-            "c_colorway": F.coalesce(tx.colour_similarity(c("observed_colorway"), c("colorway")), F.lit(0.5)),
+            "c_colorway": F.coalesce(F.greatest(tx.colour_similarity(c("observed_colorway"), c("colorway")), nickname), F.lit(0.5)),
             "c_embedding": rescale(c("similarity"), t.similarity_floor, t.similarity_full),
             "c_metadata": metadata_component({"price": c("price"), "retail_price": c("retail_price"), "gender": c("gender"), "cand_gender": c("cand_gender"), "size": c("size_category"), "cand_size": c("cand_size_category"), "brand": c("brand"), "cand_brand": c("cand_brand")}),
             "c_agreement": F.least(F.lit(1.0), F.size(strong) / 2.0),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import codes, models, text, urls
+from ..functions import codes, models, search, text, urls
 from ..operators import knn, merge, relational, scoring
 from ..session import ship_package
 from ..sources import pages as page_source
@@ -92,6 +92,15 @@ def title_parse(spark, sf_dir):
     return fixtures.frame(spark, "titles").select("case_id", *[c.alias(n) for n, c in models.parse_title(F.col("title")).items()])
 
 
+def search_terms(spark, sf_dir):
+    """Search queries of each title, with a colour and partial codes where the candidate of the same number has them (rows only)."""
+    t = fixtures.frame(spark, "titles").withColumn("none", F.lit(None).cast("string"))
+    unseen = {k: F.col("none") for k in ("brand", "model", "sub_model", "colour")} | {"release_names": F.array().cast("array<string>")}
+    c = fixtures.frame(spark, "compound").select(F.col("product_id").alias("case_id"), "style_id")
+    asked = t.join(c, "case_id", "left")
+    return asked.select("case_id", F.array_join(search.search_queries(F.col("title"), F.array_join(text.colour_tokens(F.col("title")), "/"), unseen, F.split("style_id", "/")), " | ").alias("queries"))
+
+
 def model_pairs(spark, sf_dir):
     """Similarity of each title with the next one (rows only)."""
     ship_package(spark)
@@ -263,7 +272,7 @@ def ordered_distinct_urls(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     knn_topk, knn_resolve, similarity_to_group, url_normalize, url_domain_counts, page_fields, page_tag_text, content_dedupe, cache_key, token_scan, code_detect,
-    title_attributes, title_parse, model_pairs, colour_tokens, colour_similarity, json_identifiers, evidence_merge, evidence_arg_max, web_agreement_trust, multi_source_keys, latest_n_per_key,
+    title_attributes, title_parse, search_terms, model_pairs, colour_tokens, colour_similarity, json_identifiers, evidence_merge, evidence_arg_max, web_agreement_trust, multi_source_keys, latest_n_per_key,
     anti_missing, semi_held_out, lookup_fill, segment_join, choose_listing, market_min_max, ttl_cache_lookup, sliding_rate, rate_limit, daily_budget, rank_and_gap,
     score_candidates, contradictions, resolve_queries, review_queue, eval_metrics, upsert_merge, image_insert_absent, latest_status, stream_latest_status, seeded_sample,
     ordered_distinct_urls,
