@@ -3,9 +3,10 @@
 Rules name a host and a path; a rule fits its host, all subdomains and paths that start with its own, and the longest rule wins.
 Every rule of a host lies under one of the host's dot-separated suffixes, so rules are found by equi-joins on suffixes.
 
-Urls without a rule are judged by the tree. A node is (host, template of the path so far). Level by level, segments that vary
-(numbers, hashes, or more distinct values than `max_children` under one node) become wildcards, and sibling branches that cannot
-be told from their parent (same labelled rate within `z` standard errors) are merged into ``*``. Each url then has one template;
+Urls without a rule are judged by the tree. A node is (host, template of the path so far). Level by level, to the end of the
+longest path, segments that look variable (numbers, hashes) become wildcards, and sibling branches that cannot be told from their
+parent (same labelled rate within `z` standard errors) are merged into ``*``, however many there are; a branch that differs is
+kept however many siblings it has. A path that is alone at its node needs no more levels. Each url then has one template;
 templates are rejected when their labelled bad share, smoothed towards the share of the level above, reaches `reject`.
 Counting is by groupBy on nodes with partial sums, so a host with a third of all urls is a few counts per task.
 
@@ -57,29 +58,35 @@ def shape(segment: Column) -> Column:
     return F.concat(mark, ext)
 
 
-def grow(rows: DataFrame, levels: int, max_children: int, z: float) -> DataFrame:
+def grow(rows: DataFrame, z: float) -> DataFrame:
     """rows (row, host, path, n_labels, n_bad) with template: one pass of counts, judgement and join for each level."""
     segs = F.filter(F.split("path", "/"), lambda s: s != "")
-    shown = F.when(F.size(segs) > levels, F.concat(F.slice(segs, 1, levels), F.array(F.lit("**")))).otherwise(segs)
-    df = rows.withColumns({"segs": F.transform(shown, shape), "template": F.lit("")})
+    df = rows.withColumn("segs", F.transform(segs, shape))
     # The tree holds distinct shaped paths, not urls.
-    tree = df.groupBy("host", "segs").agg(F.count(F.lit(1)).alias("n"), F.sum("n_labels").alias("n_labels"), F.sum("n_bad").alias("n_bad")).withColumn("template", F.lit(""))
-    for level in range(levels + 1):
-        seg = F.get("segs", F.lit(level))
-        here = tree.withColumn("seg", seg)
-        branch = here.where("seg IS NOT NULL").groupBy("host", "template", "seg").agg(*[F.sum(c).alias(c) for c in ("n", "n_labels", "n_bad")])
-        node = branch.groupBy("host", "template").agg(F.count(F.lit(1)).alias("children"), F.sum("n_labels").alias("all_labels"), F.sum("n_bad").alias("all_bad"))
+    tree = df.groupBy("host", "segs").agg(F.sum("n_labels").alias("n_labels"), F.sum("n_bad").alias("n_bad"))
+    tree = materialize(tree.withColumns({"template": F.lit(""), "open": F.size("segs") > 0}), "url-tree")
+    ended, level = tree.where("NOT open"), 0
+    here = tree.where("open")
+    while not here.isEmpty():
+        here = here.withColumn("seg", F.get("segs", F.lit(level)))
+        branch = here.groupBy("host", "template", "seg").agg(F.count(F.lit(1)).alias("paths"), F.sum("n_labels").alias("n_labels"), F.sum("n_bad").alias("n_bad"))
+        node = branch.groupBy("host", "template").agg(F.count(F.lit(1)).alias("children"), F.sum("paths").alias("all_paths"), F.sum("n_labels").alias("all_labels"), F.sum("n_bad").alias("all_bad"))
         rate = (F.col("all_bad") + 0.5) / (F.col("all_labels") + 1)
         own = (F.col("n_bad") + rate) / (F.col("n_labels") + 1)
         error = F.sqrt(rate * (1 - rate) / (F.col("n_labels") + 1))
         # Too few labels to differ, or within z standard errors of the parent: the branch joins its alike siblings.
         alike = F.abs(own - rate) <= z * error
-        judged = branch.join(node, ["host", "template"]).select("host", "template", "seg", F.when((F.col("children") > max_children) | ((F.col("children") > 1) & alike), F.lit("*")).otherwise(F.col("seg")).alias("step"))
+        step = F.when((F.col("children") > 1) & alike, F.lit("*")).otherwise(F.col("seg"))
+        judged = branch.join(node, ["host", "template"]).select("host", "template", "seg", step.alias("step"), (F.col("all_paths") == 1).alias("alone"))
+        # What follows on a path that is alone has no siblings, so nothing merges there.
+        tail = F.when(F.col("alone"), F.concat_ws("/", F.slice("segs", F.lit(level + 1), F.size("segs")))).otherwise(F.col("step"))
+        further = ~F.col("alone") & (F.size("segs") > level + 1)
         tree = materialize(
-            here.join(judged, ["host", "template", "seg"], "left").select("host", "segs", "n", "n_labels", "n_bad", F.when(F.col("step").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "step")).alias("template")),
+            here.join(judged, ["host", "template", "seg"]).select("host", "segs", "n_labels", "n_bad", F.concat("template", F.lit("/"), tail).alias("template"), further.alias("open")),
             "url-tree",
         )
-    return df.drop("template").join(tree.select("host", "segs", "template"), ["host", "segs"])
+        ended, here, level = ended.unionByName(tree.where("NOT open")), tree.where("open"), level + 1
+    return df.join(ended.select("host", "segs", "template"), ["host", "segs"])
 
 
 def url_filter(
@@ -89,8 +96,6 @@ def url_filter(
     *,
     id_col: str = "page_id",
     url_col: str = "url",
-    levels: int = 4,
-    max_children: int = 20,
     z: float = 2.0,
     prior: float = 4.0,
     reject: float = 0.5,
@@ -104,7 +109,7 @@ def url_filter(
     rows = materialize(rows.withColumns({"n_labels": F.col("bad").isNotNull().cast("long"), "n_bad": F.coalesce(F.col("bad").cast("long"), F.lit(0))}).drop("bad"), "urls")
     total = rows.agg(((F.sum("n_bad") + 0.5) / (F.sum("n_labels") + 1)).alias("share")).first()["share"]
     share = F.lit(float(total if total is not None else 0.5))
-    placed = grow(rows, levels, max_children, z)
+    placed = grow(rows, z)
     by_host = rows.groupBy("host").agg(F.sum("n_labels").alias("host_labels"), F.sum("n_bad").alias("host_bad"))
     stats = placed.groupBy("host", "template").agg(F.sum("n_labels").alias("labels"), F.sum("n_bad").alias("bad")).join(by_host, "host")
     of_host = (F.col("host_bad") + prior * share) / (F.col("host_labels") + prior)

@@ -48,3 +48,21 @@ def test_alike_and_many_branches_merge(spark):
     rows = [(i, f"http://h.example/{chr(97 + i % 26)}x/p") for i in range(260)] + [(1000 + i, f"http://g.example/{'ab'[i % 2]}/p") for i in range(20)]
     got = ut.url_filter(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame([(1000 + i, False) for i in range(20)], "id long, bad boolean"), rules=[]).collect()
     assert {r.template for r in got} == {"/*/p"} and {r.verdict for r in got} == {"allow"}
+
+
+def test_a_bad_section_is_kept_among_many_siblings_and_at_any_depth(spark):
+    names = [f"{a}{b}" for a in "abcdef" for b in "ghijk"]  # 30 sections, one of them bad
+    rows = [(i, f"http://many.example/{names[i % 30]}/p") for i in range(1200)]
+    # The first segments that differ are the sixth ones.
+    rows += [(2000 + i, f"http://deep.example/a/b/c/d/e/{'spam' if i % 2 else 'item'}/x") for i in range(200)]
+    # Deeper than any other and alone: keeps its own segments.
+    rows += [(3000, "http://lone.example/" + "/".join("qrstuvwxyz")), (3001, "http://lone.example/"), (3002, "http://lone.example/q")]
+    labels = [(i, i % 30 == 7) for i in range(900)] + [(2000 + i, bool(i % 2)) for i in range(100)]
+    pages = spark.createDataFrame(rows, "page_id long, url string").repartition(3)
+    got = {r.page_id: r for r in ut.url_filter(pages, spark.createDataFrame(labels, "id long, bad boolean"), rules=[]).collect()}
+    assert len(got) == len(rows)
+    assert all((got[i].verdict == "block") == (i % 30 == 7) for i in range(1200))
+    assert got[7].template == f"/{names[7]}/p"
+    assert all((got[2000 + i].verdict == "block") == bool(i % 2) for i in range(200))
+    assert {got[2000 + i].template for i in range(200)} == {"/a/b/c/d/e/spam/x", "/a/b/c/d/e/item/x"}
+    assert [got[3000 + i].template for i in range(3)] == ["/q/r/s/t/u/v/w/x/y/z", "", "/q"]
