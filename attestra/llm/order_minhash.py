@@ -3,8 +3,9 @@
 A text's k-mers (k words each) are numbered by occurrence, so that repeats count; each gets a hash of the k-mer and its number.
 Hashes are dealt to `BUCKETS` buckets by their low bits; in each bucket the `PICKS` least are put back in text order and hashed as
 one tuple. Two texts agree in a bucket when they share its minimal k-mers in the same order, so the share of agreeing buckets
-falls with edit distance and not only with overlap. Candidates for the minima are the hashes below a bound that depends on the
-number of k-mers alone (`SPARE` candidates per pick on average), so a fingerprint is a function of its text.
+falls with edit distance and not only with overlap. To save sorting, the minima of a long text are first looked for below a bound
+that leaves `SPARE` candidates per pick on average; where a bucket has fewer than `PICKS` of them, that text's minima are taken
+again from all its k-mers. A fingerprint thus holds the minima over all k-mers, whatever the bound.
 
 `neighbours` finds each text's successor in an order over the whole table without a global window: ids are cut into ranges by
 quantiles, texts are shuffled once by range, and each range also receives the first text of the next one.
@@ -36,49 +37,49 @@ def signature(text: Column, k: int = K, buckets: int = BUCKETS, picks: int = PIC
     words = F.filter(F.split(text, SPACES), lambda w: w != "")
     n_kmers = lambda ws: F.greatest(F.size(ws) - (k - 1), F.lit(1))
     kmers = lambda ws: F.transform(F.sequence(F.lit(1), n_kmers(ws)), lambda i: F.struct(F.xxhash64(F.slice(ws, i, F.lit(k))).alias("h"), i.alias("i")))
-    kept = "array<struct<v:bigint,i:int>>"
-
-    def candidates(s: Column) -> Column:
-        n = F.size(s)
-        bound = F.when(n <= buckets * picks * SPARE, F.lit(2**63 - 1)).otherwise((F.lit(-(2.0**63)) + F.lit(2.0**64 * buckets * picks * SPARE) / n).cast("long"))
+    def numbered(s: Column) -> Column:
+        """Every k-mer with its occurrence in its hash, from the k-mers sorted by hash and place."""
         again = lambda x, j: F.coalesce(F.get(s, j - 1)["h"] == x["h"], F.lit(False))
         number = lambda x, occ: F.struct(F.xxhash64(x["h"], occ).alias("v"), x["i"].alias("i"))
         firsts = F.transform(F.filter(s, lambda x, j: ~again(x, j)), lambda x: number(x, F.lit(0)))
-        # Later occurrences, in order of hash and place: numbered by a running count; few in most texts.
-        zero = F.struct(F.lit(0).cast("long").alias("h"), F.lit(0).alias("occ"), F.array().cast(kept).alias("out"))
-
-        def below(limit: Column) -> Column:
-            def step(acc: Column, x: Column) -> Column:
-                occ = F.when((acc["occ"] > 0) & (acc["h"] == x["h"]), acc["occ"] + 1).otherwise(F.lit(1))
-                item = number(x, occ)
-                return F.struct(x["h"].alias("h"), occ.alias("occ"), F.when(item["v"] < limit, F.concat(acc["out"], F.array(item))).otherwise(acc["out"]).alias("out"))
-
-            return F.concat(F.filter(firsts, lambda x: x["v"] < limit), F.aggregate(F.filter(s, again), zero, step, lambda acc: acc["out"]))
-
-        return let(bound, below)
-
-    def deal(c: Column) -> Column:
-        # Sorted by bucket and hash, a bucket's picks are the places that follow its first.
-        s = F.sort_array(F.transform(c, lambda x: F.struct(F.pmod(x["v"], F.lit(buckets)).cast("int").alias("b"), x["v"].alias("v"), x["i"].alias("i"))))
-
-        def picked(s: Column) -> Column:
-            first = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda j: F.coalesce(F.get(s, j - 1)["b"] != F.get(s, j)["b"], F.lit(True)))
-
-            def tuple_at(j: Column) -> Column:
-                own = F.filter(F.slice(s, j + 1, F.lit(picks)), lambda x: x["b"] == F.get(s, j)["b"])
-                ordered = F.transform(F.sort_array(F.transform(own, lambda x: F.struct(x["i"], x["v"]))), lambda x: x["v"])
-                folded = F.xxhash64(ordered).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
-                return F.struct(F.get(s, j)["b"].alias("b"), F.greatest(folded, F.lit(1)).alias("t"))
-
-            return F.transform(first, tuple_at)
 
-        filled = let(s, picked)
+        def later(r: Column) -> Column:
+            heads = F.filter(F.sequence(F.lit(0), F.size(r) - 1), lambda j: F.coalesce(F.get(r, j - 1)["h"] != F.get(r, j)["h"], F.lit(True)))
+            run = lambda e, j, m: F.slice(r, j + 1, F.coalesce(F.get(e, m + 1), F.size(r)) - j)
+            return let(heads, lambda e: F.flatten(F.transform(e, lambda j, m: F.transform(run(e, j, m), lambda x, o: number(x, o + 1)))))
+
+        # Later occurrences are few in most texts.
+        return let(F.filter(s, again), lambda r: F.when(F.size(r) > 0, F.concat(firsts, later(r))).otherwise(firsts))
+
+    def dealt(c: Column) -> Column:
+        """Candidates sorted by bucket and hash: a bucket's picks are the places that follow its first."""
+        return F.sort_array(F.transform(c, lambda x: F.struct(F.pmod(x["v"], F.lit(buckets)).cast("int").alias("b"), x["v"].alias("v"), x["i"].alias("i"))))
+
+    def first_of(s: Column) -> Column:
+        return F.when(F.size(s) > 0, F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda j: F.coalesce(F.get(s, j - 1)["b"] != F.get(s, j)["b"], F.lit(True)))).otherwise(F.array().cast("array<int>"))
+
+    def candidates(c: Column) -> Column:
+        """Those below the bound if they give every bucket its picks, else all."""
+        n = F.size(c)
+        bound = (F.lit(-(2.0**63)) + F.lit(2.0**64 * buckets * picks * SPARE) / n).cast("long")
+        enough = lambda s: F.size(F.filter(first_of(s), lambda j: F.get(s, j + (picks - 1))["b"] == F.get(s, j)["b"])) == buckets
+        few = let(bound, lambda limit: dealt(F.filter(c, lambda x: x["v"] < limit)))
+        return F.when(n <= buckets * picks * SPARE, dealt(c)).otherwise(let(few, lambda s: F.when(enough(s), s).otherwise(dealt(c))))
+
+    def picked(s: Column) -> Column:
+        def tuple_at(j: Column) -> Column:
+            own = F.filter(F.slice(s, j + 1, F.lit(picks)), lambda x: x["b"] == F.get(s, j)["b"])
+            ordered = F.transform(F.sort_array(F.transform(own, lambda x: F.struct(x["i"], x["v"]))), lambda x: x["v"])
+            folded = F.xxhash64(ordered).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
+            return F.struct(F.get(s, j)["b"].alias("b"), F.greatest(folded, F.lit(1)).alias("t"))
+
+        filled = F.transform(first_of(s), tuple_at)
         return let(filled, lambda f: F.aggregate(f, F.array_repeat(F.lit(EMPTY), 0), lambda acc, x: F.concat(acc, F.array_repeat(F.lit(EMPTY), x["b"] - F.size(acc)), F.array(x["t"]))))
 
     def padded(f: Column) -> Column:
         return let(f, lambda x: F.concat(x, F.array_repeat(F.lit(EMPTY), F.lit(buckets) - F.size(x))))
 
-    some = lambda ws: let(F.sort_array(kmers(ws)), lambda s: let(candidates(s), lambda c: padded(deal(c))))
+    some = lambda ws: let(F.sort_array(kmers(ws)), lambda s: let(numbered(s), lambda c: let(candidates(c), lambda d: padded(picked(d)))))
     return let(words, lambda ws: F.when(F.size(ws) > 0, some(ws)).otherwise(F.array_repeat(F.lit(EMPTY), buckets)))
 
 

@@ -91,3 +91,29 @@ def test_one_document_empty_table_and_order_sensitivity(spark):
     rows = {r.doc_id: r for r in om.fingerprints(spark.createDataFrame([(2, there), (1, turned)], schema)).collect()}
     # The k-mers of the two are nearly the same set; their order is not.
     assert rows[2].near_next < 0.8
+
+
+def minima(text):
+    """The signature by its definition: of all k-mers, without a bound."""
+    ws = [w for w in re.split(r"[\x20\x09-\x0D]+", text) if w]
+    seen, items = Counter(), []
+    for i in range(max(len(ws) - om.K + 1, 1)):
+        h = fold(w.encode() for w in ws[i : i + om.K])
+        items.append((fold([struct.pack("<q", h), struct.pack("<i", seen[h])]), i))
+        seen[h] += 1
+    out = []
+    for b in range(om.BUCKETS):
+        own = sorted(x for x in items if x[0] % om.BUCKETS == b)[: om.PICKS]
+        t = fold(struct.pack("<q", v) for v, _ in sorted(own, key=lambda x: x[1])) & 0x7FFFFFFF
+        out.append(max(t, 1) if own else 0)
+    return "".join(f"{x:08x}" for x in out)
+
+
+def test_minima_are_those_of_all_kmers(spark):
+    rng = random.Random(11)
+    sizes = [190, 194, 195, 300, 1000, 4000]
+    texts = [" ".join(f"w{rng.randrange(v)}" for _ in range(n)) for n in sizes for v in (3, 30, 100_000) for _ in range(3)] + ["same " * 5000]
+    got = om.fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        assert r.fingerprint == minima(texts[r.doc_id]), r.doc_id
