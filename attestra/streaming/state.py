@@ -49,12 +49,18 @@ def deduplicate_within(events: DataFrame, keys: list[str], time: str, delay: str
 
 
 def stream_latest(spark: SparkSession, folder: str, files: str) -> DataFrame:
-    """Latest status per user by a streaming query over the files in folder, run to its end."""
+    """Latest status per user by a streaming query over the files in folder, run to its end; its result is a Parquet table."""
     schema = spark.read.parquet(f"{folder}/{files}").schema
     name = f"latest_{uuid.uuid4().hex}"
     told = spark.conf.get("spark.checkpoint.dir", None)
     place = f"{told.rstrip('/')}/{name}" if told else tempfile.mkdtemp(prefix="attestra-")
     stream = latest_by_key(spark.readStream.schema(schema).option("pathGlobFilter", files).parquet(folder))
-    query = stream.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", place).trigger(availableNow=True).start()
+    batches = []
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{place}-rows")
+        batches.append(number)
+
+    query = stream.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", place).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(stream.schema).parquet(f"{place}-rows") if batches else spark.createDataFrame([], stream.schema)

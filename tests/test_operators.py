@@ -90,3 +90,17 @@ def test_jsonl_cases(spark, tmp_path):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_streamed_latest_rows_are_files_not_driver_memory(spark, tmp_path):
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    events.repartition(3).write.parquet(str(tmp_path / "some"))
+    got = state.stream_latest(spark, "/root/testdata/sf0.001", "events.parquet")
+    assert got.inputFiles()
+    key = lambda r: r.user_id
+    assert sorted(got.collect(), key=key) == sorted(state.latest_by_key(events).collect(), key=key)
+    # Several files, and none.
+    got = state.stream_latest(spark, str(tmp_path / "some"), "*.parquet")
+    assert sorted(got.collect(), key=key) == sorted(state.latest_by_key(events).collect(), key=key)
+    events.limit(0).write.parquet(str(tmp_path / "none"))
+    assert state.stream_latest(spark, str(tmp_path / "none"), "*.parquet").count() == 0
