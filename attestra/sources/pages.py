@@ -53,19 +53,18 @@ class PageParser(HTMLParser):
             self.texts[self.inside] += data
 
 
-def products(node: object, depth: int = 0) -> Iterator[dict]:
-    """Product nodes of a JSON-LD tree."""
-    if depth > 12:
-        return
-    if isinstance(node, list):
-        for x in node[:200]:
-            yield from products(x, depth + 1)
-    elif isinstance(node, dict):
-        kinds = node.get("@type")
-        if "Product" in (kinds if isinstance(kinds, list) else [kinds]):
-            yield node
-        for key in ("@graph", "mainEntity", "itemListElement", "hasVariant", "isVariantOf"):
-            yield from products(node.get(key), depth + 1)
+def products(node: object) -> Iterator[dict]:
+    """Product nodes of a JSON-LD tree, in document order."""
+    left = [node]
+    while left:
+        node = left.pop()
+        if isinstance(node, list):
+            left += reversed(node)
+        elif isinstance(node, dict):
+            kinds = node.get("@type")
+            if "Product" in (kinds if isinstance(kinds, list) else [kinds]):
+                yield node
+            left += [node.get(key) for key in ("isVariantOf", "hasVariant", "itemListElement", "mainEntity", "@graph")]
 
 
 def number(value: object) -> float | None:

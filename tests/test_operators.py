@@ -104,3 +104,12 @@ def test_streamed_latest_rows_are_files_not_driver_memory(spark, tmp_path):
     assert sorted(got.collect(), key=key) == sorted(state.latest_by_key(events).collect(), key=key)
     events.limit(0).write.parquet(str(tmp_path / "none"))
     assert state.stream_latest(spark, str(tmp_path / "none"), "*.parquet").count() == 0
+
+
+def test_products_are_found_at_any_place_and_depth():
+    node = {"@type": "Product", "name": "p"}
+    assert [p["name"] for p in pages.products([{"@type": "Thing"}] * 500 + [node])] == ["p"]
+    for _ in range(300):
+        node = {"@graph": [node]}
+    tree = {"@type": ["Product"], "name": "first", "hasVariant": [{"@type": "Product", "name": "second"}], "isVariantOf": node}
+    assert [p["name"] for p in pages.products(tree)] == ["first", "second", "p"]
