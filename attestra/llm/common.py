@@ -19,10 +19,12 @@ _own_dir: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset and all run in one process."""
     told = spark.conf.get("spark.checkpoint.dir", None)
     if told:
         return told.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="attestra-"))
     return _own_dir[0]
@@ -41,6 +43,37 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body).getItem(0)
 
 
+def running(values: Column, zero: Column, add: Callable[[Column, Column], Column], block: int = 128) -> Column:
+    """For each place the fold of the values before it, and at the end that of all; n + 1 values.
+
+    Appending to one array would cost the square of n; blocks keep the arrays that grow short.
+    """
+
+    def folds(xs: Column, first: Column) -> Column:
+        return F.aggregate(xs, F.array(first), lambda acc, x: F.concat(acc, F.array(add(F.element_at(acc, -1), x))))
+
+    def joined(blocks: Column) -> Column:
+        totals = F.transform(blocks, lambda b: F.aggregate(b, zero, lambda acc, x: add(acc, x)))
+        inner = lambda firsts: F.zip_with(blocks, F.slice(firsts, F.lit(1), F.size(blocks)), lambda b, first: F.slice(folds(b, first), F.lit(1), F.size(b)))
+        return let(folds(totals, zero), lambda firsts: F.concat(F.flatten(inner(firsts)), F.array(F.element_at(firsts, -1))))
+
+    cut = lambda v: F.transform(F.sequence(F.lit(1), F.size(v), F.lit(block)), lambda i: F.slice(v, i, F.lit(block)))
+    return F.when(F.size(values) > 0, let(cut(values), joined)).otherwise(F.array(zero))
+
+
+def named(df: DataFrame, name: str) -> Column:
+    """The column of that very name, dots and all."""
+    return df["`" + name.replace("`", "``") + "`"]
+
+
+def unused(columns: list[str], stem: str) -> str:
+    """stem, lengthened until no column has that name in any case."""
+    taken = {c.lower() for c in columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased and nothing else; lower() does the same for pure ASCII and is faster there."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))

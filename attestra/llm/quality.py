@@ -3,8 +3,10 @@
 Every measure is a column expression over the whole text and every rule a comparison from the table, so one pass over the
 scan decides each document without user functions, joins or shuffles.
 
-Defined cases: a null or empty text has no words, all measures 0 and fails; repeated rows are judged alike, one row each; an
-empty table gives an empty result; extra columns are not read. Windows are compared by 64-bit hash within one text.
+Defined cases: a null or empty text has no words, all measures 0 and fails; a null id stays null; repeated rows are judged alike,
+one row each, and no rule compares rows, so there are no ties; an empty table gives an empty result; extra columns are not read
+by the rules and may have any name, dots included. A very long text is measured whole, in memory of some times its length. Windows
+are compared by 64-bit hash within one text.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, let
+from .common import SPACES, let, named
 
 SYMBOLS = r"[#*$%&|<>]"
 WINDOW = 8
@@ -59,7 +61,7 @@ def measure(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     stop = list(stop_words or STOP_WORDS)
     text = F.col("text")
     lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
-    df = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"), F.struct(*[docs[c] for c in docs.columns]).alias("document"))
+    df = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"), F.struct(*[named(docs, c) for c in docs.columns]).alias("document"))
     df = df.select(
         "doc_id", "document",
         F.filter(F.split(text, SPACES), lambda w: w != "").alias("words"),

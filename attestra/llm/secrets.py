@@ -8,8 +8,9 @@ Plan: one scan writes spans without texts; counts are partial sums by (hash, own
 rows reaches the shuffle once per task; the join back is an equi-join that adaptive execution may split.
 
 Defined cases: null or empty texts have no spans; null owners or repositories count as the empty name; repeated rows keep a
-row each; an empty table gives an empty result; columns other than those named are not read. Positions are code points, ends
-exclusive.
+row each; ties (spans of one start) are ordered by kind; an empty table gives an empty result; columns other than those named are not
+read, and may have any name. A very long text is scanned whole; time follows its length and its number of spans, not their product.
+Positions are code points, ends exclusive.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, materialize
+from .common import let, materialize, named, running
 
 SPAN = "array<struct<start:int,end:int,value:string>>"
 
@@ -43,35 +44,56 @@ ORDER = [*KINDS, OWNED]
 def find(text: Column, pattern: str, group: int, least: int) -> Column:
     """Spans of the leftmost non-overlapping matches: texts between matches give the starts."""
     rx = F.lit(pattern)
-    zero = F.struct(F.lit(0).alias("pos"), F.array().cast(SPAN).alias("out"))
+    zero = F.lit(0)
 
-    def step(acc: Column, m: Column) -> Column:
-        start = acc["pos"] + F.length(m["gap"])
-        end = start + F.length(m["hit"])
-        span = F.struct(start.alias("start"), end.alias("end"), m["value"].alias("value"))
-        return F.struct(end.alias("pos"), F.concat(acc["out"], F.array(span)).alias("out"))
+    def spans(parts: Column) -> Column:
+        lengths = F.transform(parts, lambda p: F.length(p["gap"]) + F.length(p["hit"]))
+        span = lambda ends: lambda p, i: F.struct((F.get(ends, i) + F.length(p["gap"])).alias("start"), F.get(ends, i + 1).alias("end"), p["value"].alias("value"))
+        return F.filter(let(running(lengths, zero, lambda a, x: a + x), lambda ends: F.transform(parts, span(ends))), lambda s: F.length(s["value"]) >= least)
 
-    def spans(hits: Column) -> Column:
-        parts = F.arrays_zip(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits)).alias("gap"), hits.alias("hit"), (F.regexp_extract_all(text, rx, F.lit(group)) if group else hits).alias("value"))
-        return F.filter(F.aggregate(parts, zero, step, lambda acc: acc["out"]), lambda s: F.length(s["value"]) >= least)
+    def matched(hits: Column) -> Column:
+        values = F.regexp_extract_all(text, rx, F.lit(group)) if group else hits
+        return let(F.arrays_zip(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits)).alias("gap"), hits.alias("hit"), values.alias("value")), spans)
 
-    return let(F.regexp_extract_all(text, rx, F.lit(0)), lambda hits: F.when(F.size(hits) > 0, spans(hits)).otherwise(F.array().cast(SPAN)))
+    return let(F.regexp_extract_all(text, rx, F.lit(0)), lambda hits: F.when(F.size(hits) > 0, matched(hits)).otherwise(F.array().cast(SPAN)))
 
 
-def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "lang") -> DataFrame:
-    """row, doc_id, owner, repo and the spans of each base kind and of the candidates outside base spans; written, without texts."""
+def apart(spans: Column, taken: Column) -> Column:
+    """Spans that overlap none of taken: in one order of starts, none taken before ends later and none taken after starts sooner."""
+    far = F.lit(2**31 - 1)
+    tagged = lambda xs, own: F.transform(xs, lambda s: F.struct(s["start"].alias("start"), F.lit(own).alias("own"), s["end"].alias("end"), s["value"].alias("value")))
+
+    def clear(every: Column) -> Column:
+        ends = F.transform(every, lambda x: F.when(x["own"] == 0, x["end"]).otherwise(F.lit(0)))
+        starts = F.reverse(F.transform(every, lambda x: F.when(x["own"] == 0, x["start"]).otherwise(far)))
+        latest, soonest = running(ends, F.lit(0), F.greatest), running(starts, far, F.least)
+        free = lambda e, s: lambda x, i: (x["own"] == 1) & (F.get(e, i) <= x["start"]) & (F.get(s, F.size(every) - 1 - i) >= x["end"])
+        return let(latest, lambda e: let(soonest, lambda s: F.filter(every, free(e, s))))
+
+    every = F.sort_array(F.concat(tagged(taken, 0), tagged(spans, 1)))
+    return F.transform(let(every, clear), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value")))
+
+
+def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "lang", with_documents: bool = False) -> DataFrame:
+    """row, doc_id, owner, repo and the spans of each base kind and of the candidates outside base spans; written, without texts.
+
+    with_documents: the rows' own columns, texts included, are kept in a struct ``document``.
+    """
+    document = [F.struct(*[named(docs, c) for c in docs.columns]).alias("document")] if with_documents else []
     df = docs.select(
         F.monotonically_increasing_id().alias("row"),
         docs[id_col].cast("long").alias("doc_id"),
         F.coalesce(docs[owner_col].cast("string"), F.lit("")).alias("owner"),
         F.coalesce(docs[repo_col].cast("string"), F.lit("")).alias("repo"),
         F.coalesce(docs[text_col], F.lit("")).alias("text"),
+        *document,
     )
-    df = df.select("row", "doc_id", "owner", "repo", *[find(F.col("text"), *rule).alias(kind) for kind, rule in KINDS.items()], find(F.col("text"), CANDIDATE, 0, 20).alias("wide"))
-    base = F.concat(*[F.col(k) for k in KINDS])
+    kept = ["row", "doc_id", "owner", "repo", *(["document"] if with_documents else [])]
+    df = df.select(*kept, *[find(F.col("text"), *rule).alias(kind) for kind, rule in KINDS.items()], find(F.col("text"), CANDIDATE, 0, 20).alias("wide"))
     # A live-looking value mixes letters and digits and repeats few characters; one that a base kind reports already is not added.
     looks = lambda v: v.rlike("[0-9]") & v.rlike("[A-Za-z]") & (F.size(F.array_distinct(F.split(v, ""))) >= 10)
-    wide = let(base, lambda b: F.filter("wide", lambda s: looks(s["value"]) & ~F.exists(b, lambda x: (x["start"] < s["end"]) & (s["start"] < x["end"]))))
+    likely = F.filter("wide", lambda s: looks(s["value"]))
+    wide = let(likely, lambda w: F.when(F.size(w) > 0, apart(w, F.concat(*[F.col(k) for k in KINDS]))).otherwise(w))
     return materialize(df.withColumn("wide", F.when(F.size("wide") > 0, wide).otherwise(F.col("wide"))), "secrets")
 
 
@@ -82,19 +104,23 @@ def ownership(found: DataFrame) -> DataFrame:
     return owners.groupBy("hash").agg(F.count(F.lit(1)).alias("n_owners"), F.sum("repos").alias("n_repos"), F.sum("n").alias("n_rows"))
 
 
-def secret_scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "lang", max_owners: int = 1, max_repos: int = 2) -> DataFrame:
-    """One row per document: row, doc_id, the base kinds' spans, spans (struct kind, start, end, hash, n_owners, n_repos, live) of all kinds in order."""
-    seen = scan(docs, id_col=id_col, text_col=text_col, owner_col=owner_col, repo_col=repo_col)
+def judged_spans(seen: DataFrame, max_owners: int, max_repos: int) -> DataFrame:
+    """row, spans: for rows of scan with any span to report, the base ones and the live-looking candidates in order."""
+
     def tag(column: str, kind: int) -> Column:
         return F.transform(column, lambda s: F.struct(s["start"].alias("start"), F.lit(kind).alias("kind"), s["end"].alias("end"), F.sha2(s["value"], 256).alias("hash")))
 
     tagged = F.concat(*[tag(k if k != OWNED else "wide", i) for i, k in enumerate(ORDER)])
     rows = seen.select("row", "owner", "repo", F.explode(tagged).alias("s")).select("row", "owner", "repo", "s.*")
-    freq = ownership(rows)
     live = (F.col("n_owners") <= max_owners) & (F.col("n_repos") <= max_repos)
-    judged = rows.join(freq, "hash").withColumn("live", live).where((F.col("kind") < len(KINDS)) | F.col("live"))
-    spans = judged.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end", "hash", "n_owners", "n_repos", "live"))).alias("spans"))
-    return seen.drop("owner", "repo", "wide").join(spans, "row", "left")
+    judged = rows.join(ownership(rows), "hash").withColumn("live", live).where((F.col("kind") < len(KINDS)) | F.col("live"))
+    return judged.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end", "hash", "n_owners", "n_repos", "live"))).alias("spans"))
+
+
+def secret_scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "lang", max_owners: int = 1, max_repos: int = 2) -> DataFrame:
+    """One row per document: row, doc_id, the base kinds' spans, spans (struct kind, start, end, hash, n_owners, n_repos, live) of all kinds in order."""
+    seen = scan(docs, id_col=id_col, text_col=text_col, owner_col=owner_col, repo_col=repo_col)
+    return seen.drop("owner", "repo", "wide").join(judged_spans(seen, max_owners, max_repos), "row", "left")
 
 
 def span_text(spans: Column) -> Column:
@@ -118,26 +144,44 @@ def digest(scanned: DataFrame) -> DataFrame:
     )
 
 
-def redact(docs: DataFrame, mark: str = "[secret]", *, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "lang") -> DataFrame:
+def cut_out(text: Column, spans: Column, mark: str, block: int = 1024) -> Column:
+    """text with each run of overlapping spans (sorted by start) replaced by mark.
+
+    The text is held in blocks, so that what lies between two marks costs its own length and not its place.
+    """
+
+    def between(blocks: Column, start: Column, end: Column) -> Column:
+        """Characters start to end: the parts that they have of each block they touch."""
+        first, last = F.floor(start / block).cast("int"), F.floor((end - 1) / block).cast("int")
+        low = lambda i: F.greatest(start - i * block, F.lit(0))
+        part = lambda i: F.substring(F.get(blocks, i), low(i) + 1, F.least(end - i * block, F.lit(block)) - low(i))
+        return F.when(end > start, F.array_join(F.transform(F.sequence(first, last), part), "")).otherwise(F.lit(""))
+
+    def parts(blocks: Column, ends: Column) -> Column:
+        """ends: how far the spans before each one reach. A span that starts inside them has its mark already."""
+        held = F.transform(spans, lambda s, i: F.when(s["start"] >= F.get(ends, i), F.concat(between(blocks, F.get(ends, i), s["start"]), F.lit(mark))).otherwise(F.lit("")))
+        return F.concat(F.array_join(held, ""), between(blocks, F.element_at(ends, -1), F.length(text)))
+
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{block}}}"), F.lit(0))
+    reach = running(F.transform(spans, lambda s: s["end"]), F.lit(0), F.greatest)
+    return let(blocks, lambda b: let(reach, lambda e: parts(b, e)))
+
+
+def redact(docs: DataFrame, mark: str = "[secret]", *, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "lang", max_owners: int = 1, max_repos: int = 2) -> DataFrame:
     """docs with every reported span replaced by mark: base kinds by their patterns, owned values where the corpus judged them live.
 
-    Texts are rewritten by splitting at merged spans, joined by a written row number, so repeated or null ids do no harm.
+    Documents without any span or candidate pass by without a shuffle; the others meet their judged spans by row number, so repeated
+    or null ids do no harm. A column n_chars, where there is one, follows the new text.
     """
-    cols = docs.columns
-    keyed = materialize(docs.withColumn("_attestra_row", F.monotonically_increasing_id()), "redact")
-    found = secret_scan(keyed.withColumn("_attestra_id", F.col("_attestra_row")), id_col="_attestra_id", text_col=text_col, owner_col=owner_col, repo_col=repo_col)
-    hits = found.where(F.col("spans").isNotNull()).select(F.col("doc_id").alias("_attestra_row"), F.col("spans").alias("_attestra_spans"))
-    joined = keyed.join(hits, "_attestra_row", "left")
-    zero = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
-    text = F.col(text_col)
-
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(text, acc["pos"] + 1, F.greatest(s["start"] - acc["pos"], F.lit(0)))
-        fresh = (s["start"] >= acc["pos"]) & (s["end"] > s["start"])
-        return F.struct(F.greatest(acc["pos"], s["end"]).alias("pos"), F.when(fresh, F.concat(acc["out"], gap, F.lit(mark))).otherwise(acc["out"]).alias("out"))
-
-    clean = F.aggregate("_attestra_spans", zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["pos"] + 1, F.length(text))))
-    out = joined.withColumn(text_col, F.when(F.col("_attestra_spans").isNotNull(), clean).otherwise(text))
-    if "n_chars" in cols:
-        out = out.withColumn("n_chars", F.when(F.col("_attestra_spans").isNotNull(), F.length(text_col).cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*cols)
+    seen = scan(docs, id_col=id_col, text_col=text_col, owner_col=owner_col, repo_col=repo_col, with_documents=True)
+    quiet = F.lit(True)
+    for k in (*KINDS, "wide"):
+        quiet = quiet & (F.size(k) == 0)
+    loud = seen.where(~quiet).select("row", "document").join(judged_spans(seen, max_owners, max_repos), "row", "left")
+    hit, own = F.col("spans").isNotNull(), lambda c: F.col("document")[c]
+    changed = {text_col: F.when(hit, cut_out(F.coalesce(own(text_col), F.lit("")), F.col("spans"), mark)).otherwise(own(text_col))}
+    loud = loud.select("document", "spans", changed[text_col].alias("clean"))
+    out = {text_col: F.col("clean")}
+    if "n_chars" in docs.columns:
+        out["n_chars"] = F.when(hit, F.length("clean").cast(docs.schema["n_chars"].dataType)).otherwise(own("n_chars"))
+    return seen.where(quiet).select("document.*").union(loud.select(*[out.get(c, own(c)).alias(c) for c in docs.columns]))

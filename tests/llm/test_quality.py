@@ -43,3 +43,11 @@ def test_prose_is_kept_and_empty_table(spark):
     schema = "doc_id long, text string"
     assert quality.quality_rules(spark.createDataFrame([(1, text)], schema)).first().kept
     assert quality.quality_rules(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_filter_keeps_columns_of_any_name_and_reads_long_texts_whole(spark):
+    long = "the plan of the " + " ".join(f"w{i}x" for i in range(60_000))
+    rows = [(1, "the report of the plan " * 2 + " ".join(f"a{i}" for i in range(30)), 5, 6), (None, long, 7, 8), (3, long + " again" * 60_000, 1, 2)]
+    out = quality.quality_filter(spark.createDataFrame(rows, "doc_id long, text string, `x.y` int, n_words int"), {"n_words": (20, None)})
+    assert out.columns == ["doc_id", "text", "x.y", "n_words"]
+    assert sorted((r["doc_id"] or 0, r["x.y"], r["n_words"]) for r in out.collect()) == [(0, 7, 8), (1, 5, 6)]
