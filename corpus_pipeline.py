@@ -1,7 +1,12 @@
 """The corpus pipeline: quality rules, near-duplicates, secret scans and packing, one after another over documents.
 
 Every stage takes (spark, docs, sf_dir) and works on all documents that the one before kept; all but the last return the columns
-of documents. A null or repeated doc_id is no key anywhere: verdicts are computed beside rows or joined by written row numbers.
+of documents.
+
+Defined cases: a null or repeated doc_id is no key anywhere: verdicts are computed beside rows or joined by written row numbers, and
+of near copies with equal or null ids the first row stays. Null and empty texts fail the quality rules; after them every text has
+words, is worked on whole, however long, and repeated rows are near copies. Empty tables give empty tables. Extra columns, whatever
+their names, are carried along by all stages but the last, which returns pieces.
 """
 
 from __future__ import annotations
@@ -10,18 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestra.llm import near_dups, packing, quality, secrets, tokens
-from attestra.llm.common import materialize
+from attestra.llm.common import materialize, named, unused
 from attestra.session import ship_package
 
-#: Name of the stages' own row number.
-ROW = "_attestra_row"
-
-
-def numbered(docs: DataFrame) -> DataFrame:
-    """docs with a row number, written so that the number stays."""
-    return materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
-
-
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the threshold table keeps."""
     return quality.quality_filter(docs)
@@ -30,11 +26,12 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, that of the smallest doc_id; texts without words are groups of their own."""
     ship_package(spark)
-    rows = numbered(docs)
-    groups = near_dups.near_duplicates(rows, id_col=ROW).select(F.col("doc_id").alias(ROW), F.col("component_id").alias("group"))
-    joined = rows.select(ROW, F.coalesce("doc_id", F.lit(2**63 - 1)).alias("key")).join(groups, ROW)
-    first = joined.groupBy("group").agg(F.min(F.struct("key", ROW)).alias("first")).select(F.col(f"first.{ROW}").alias(ROW))
-    return rows.join(first, ROW, "left_semi").select(*docs.columns)
+    row = unused(docs.columns, "row_number")
+    rows = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    groups = near_dups.near_duplicates(rows, id_col=row).select(F.col("doc_id").alias("row"), F.col("component_id").alias("group"))
+    ids = rows.select(F.col(row).alias("row"), F.coalesce("doc_id", F.lit(2**63 - 1)).alias("key"))
+    first = ids.join(groups, "row").groupBy("group").agg(F.min(F.struct("key", "row")).alias("first")).select(F.col("first.row").alias(row))
+    return rows.join(first, row, "left_semi").select(*[named(rows, c) for c in docs.columns])
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
