@@ -3,7 +3,8 @@
 Each piece of a text (the public pre-tokenizer's pattern) holds its symbols in a row and a segment tree over the ranks of its
 adjacent pairs. The root is the leftmost lowest-ranked pair: it is merged, the two or three pairs beside it get new ranks by
 point updates of logarithmic cost, and this goes on until the root says that no pair can merge. Many pieces are merged in step:
-row i of every array below is piece i, so one numpy operation advances all trees of a size class at once.
+row i of every array below is piece i, so one numpy operation advances all trees of a size class at once. A size class of few
+pieces, such as one unbroken run of a million letters, gains nothing by that: each of its pieces has a tree in plain arrays.
 
 Texts repeat their pieces, so each Python worker keeps the ids of pieces it has seen in a cache of bounded size; which pieces it
 holds changes the time but never the result.
@@ -13,6 +14,7 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -29,6 +31,8 @@ FREE = np.int64(2**62)
 CACHE_PIECES = 700_000
 #: Pieces longer than this many bytes are encoded but not cached, so the cache is bounded in bytes too.
 CACHE_BYTES = 64
+#: Size classes of fewer pieces are merged one piece after another.
+FEW = 32
 #: Symbols merged in step at a time: bounds the arrays whatever the number or length of pieces.
 STEP_SYMBOLS = 1 << 20
 
@@ -89,6 +93,8 @@ class ByteBPE:
             self.of_byte[b] = vocab[letter]
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in spec["model"]["merges"]]
         self.pairs = PairRanks([(vocab[a], vocab[b]) for a, b in merges], [vocab[a + b] for a, b in merges])
+        # Pair to (rank, merged id) in one number, for pieces that are merged alone; the first rank of a pair holds.
+        self.rank_of = {(vocab[a] << 20) | vocab[b]: (rank << 20) | vocab[a + b] for rank, (a, b) in reversed(list(enumerate(merges)))}
         self.piece, self.plain, self.unlike = regex.compile(PATTERN), re.compile(PLAIN), re.compile(UNLIKE)
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.cache: dict[str, bytes] = {}
@@ -155,6 +161,52 @@ class ByteBPE:
             rows_now = r[tree[r, 1] != FREE]
         return sym[alive], alive.sum(1)
 
+    def merge_alone(self, piece: bytes) -> bytes:
+        """Ids of one piece, by the same tree over arrays of 28 bytes a symbol."""
+        n = len(piece)
+        if n == 1:
+            return np.uint32(self.of_byte[piece[0]]).tobytes()
+        bits = (n - 1).bit_length()
+        width, none, rank_of = 1 << bits, int(FREE), self.rank_of.get
+        sym = array("i", self.of_byte[np.frombuffer(piece, np.uint8)].astype("i4").tobytes())
+        left, right = array("i", range(-1, n - 1)), array("i", range(1, n + 1))
+        tree = array("q", [none]) * (2 * width)
+
+        def key(a: int, b: int) -> int:
+            """Rank and place of the pair of symbols a and b; the lowest is the leftmost of the lowest rank."""
+            found = rank_of((sym[a] << 20) | sym[b])
+            return none if found is None else (found >> 20 << bits) | a
+
+        def put(at: int, value: int) -> None:
+            node = width + at
+            tree[node] = value
+            node >>= 1
+            while node:
+                x, y = tree[2 * node], tree[2 * node + 1]
+                low = x if x < y else y
+                if tree[node] == low:
+                    return
+                tree[node] = low
+                node >>= 1
+
+        for at in range(n - 1):
+            tree[width + at] = key(at, at + 1)
+        for node in range(width - 1, 0, -1):
+            tree[node] = min(tree[2 * node], tree[2 * node + 1])
+        while (top := tree[1]) != none:
+            a = top & (width - 1)
+            b = right[a]
+            sym[a] = rank_of((sym[a] << 20) | sym[b]) & 0xFFFFF
+            after = right[a] = right[b]
+            sym[b] = -1
+            put(b, none)
+            if after < n:
+                left[after] = a
+            put(a, key(a, after) if after < n else none)
+            if left[a] >= 0:
+                put(left[a], key(left[a], a))
+        return np.array([x for x in sym if x >= 0], "<u4").tobytes()
+
     def encode_pieces(self, pieces: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each piece."""
         out: list[bytes] = [b""] * len(pieces)
@@ -166,6 +218,10 @@ class ByteBPE:
             elif b:
                 classes.setdefault(1 << (len(b) - 1).bit_length(), []).append(i)
         for width, own in classes.items():
+            if len(own) < FEW:
+                for i in own:
+                    out[i] = self.merge_alone(raw[i])
+                continue
             step = max(1, STEP_SYMBOLS // width)
             for s in range(0, len(own), step):
                 part = own[s : s + step]

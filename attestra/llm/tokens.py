@@ -1,7 +1,9 @@
 """BPE encoding and decoding of documents as Spark stages: Arrow batches in, Arrow batches out, one vocabulary per worker.
 
-Defined cases: a null text counts as empty and has no ids; repeated rows give a row each; empty tables give empty results; other
-columns are not read. The vocabulary's special strings inside a text become their ids, as the public library does.
+Defined cases: a null text counts as empty and has no ids; a null id stays null; repeated rows give a row each and no rows are
+compared, so there are no ties; empty tables give empty results; other columns, whatever their names, are not read. A very long
+text is encoded whole, and so is one unbroken piece of it, in time of n log n. The vocabulary's special strings inside a text become
+their ids, as the public library does.
 """
 
 from __future__ import annotations

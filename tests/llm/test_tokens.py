@@ -42,6 +42,13 @@ def test_cache_of_any_size_gives_the_same_ids(monkeypatch):
     assert [own.encode_batch([t])[0] for t in texts] == want
 
 
+def test_long_unbroken_pieces_equal_the_library():
+    t, own, rng = library(), bpe.ByteBPE(PATH), random.Random(9)
+    texts = ["".join(rng.choice(letters) for _ in range(n)) for n in (1, 2, 3, 5, 33, 40_000) for letters in ("ab", "aehtns", " ", "é日本", "0123456789")]
+    for text, blob in zip(texts, own.encode_batch(texts), strict=True):
+        assert np.frombuffer(blob, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, text[:80]
+
+
 def test_spark_round_trip(spark):
     t, texts = library(), [None, *samples()]
     docs = spark.createDataFrame([(i, x, 7) for i, x in enumerate(texts)] + [(None, "null id", 1)], "doc_id long, text string, n_tokens int")
