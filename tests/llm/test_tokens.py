@@ -93,7 +93,7 @@ def test_pack_covers_every_id_once(spark):
             assert r.ids_crc32 == zlib.crc32(part) and bytes(r.ids) == part
             at += r.length
         assert at == len(ids)
-    total = 0
+    total = padding = 0
     for own in by_seq.values():
         at = 0
         for r in sorted(own, key=lambda r: r.offset):
@@ -101,5 +101,23 @@ def test_pack_covers_every_id_once(spark):
             at += r.length
         assert at <= 1024
         total += at
-    assert len(by_seq) == -(-total // 1024) or len(by_seq) <= total / 1024 * 1.02 + 1
+        padding += 0 if at & (at - 1) == 0 else 1024 - at
+    assert padding == 0 and len(by_seq) == total // 1024 + bin(total % 1024).count("1")
     assert packing.pack(docs.limit(0), PATH).count() == 0
+
+
+def test_plans_place_every_token_once_without_padding():
+    rng = random.Random(2)
+    shapes = [{600: 1000}, {1: 3}, {}, {1024: 5}, {1023: 7, 1024: 2}] + [{rng.randrange(1, 1025): rng.randrange(1, 40) for _ in range(rng.randrange(1, 30))} for _ in range(30)]
+    for histogram in shapes:
+        windows, parts = defaultdict(list), defaultdict(list)
+        for piece, first, stop, skip, taken, each, base, offset in packing.plan_windows(histogram, 1024):
+            for turn in range(stop - first):
+                windows[base + turn // each].append((offset + turn % each * taken, taken))
+                parts[piece, first + turn].append((skip, taken))
+        for spans in (*windows.values(), *parts.values()):
+            spans.sort()
+            assert all(b[0] == a[0] + a[1] for a, b in zip(spans, spans[1:])) and spans[0][0] == 0
+        ends = lambda spans: sum(spans[-1])
+        assert all(ends(x) == 1024 or ends(x) & (ends(x) - 1) == 0 for x in windows.values())
+        assert sorted(parts) == [(k, i) for k in sorted(histogram) for i in range(histogram[k])] and all(ends(x) == k for (k, _), x in parts.items())
