@@ -14,8 +14,9 @@ the full sets of 64-bit shingle hashes, shipped in blocks of bounded size, never
 
 Defined cases: texts without words (null, empty, blank) have empty sets and link with nothing; fewer than five words make one
 shingle; repeated rows and repeated ids are copies like others; null ids are ignored when the smallest id of a component is
-taken (a component of null ids alone has none, and such rows are not kept); empty tables give empty results; other columns are
-not read.
+taken (a component of null ids alone has none, and such rows are not kept); ties between equal estimates or counts go to the larger
+node number, which changes the order of comparisons and never the components; empty tables give empty results; a very long text is
+one set, held whole by the task that compares it; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -39,12 +40,12 @@ BANDS = 32
 BUCKETS = BAND * BANDS
 #: Estimates below threshold - MARGIN are not verified: five standard deviations of a mean over BUCKETS trials.
 MARGIN = 5 * (0.75 * 0.25 / BUCKETS) ** 0.5
-#: Shingles of partners beside one copy of a leader's set, on average: 8 MB.
-BLOCK = 1 << 20
+#: Shingles of partners beside one copy of a leader's set, on average: 8 MB; and partners.
+BLOCK, BLOCK_ROWS = 1 << 20, 512
 #: Members of a bucket up to which its pairs are given out.
 SMALL = 32
-#: Shingles in one block of a family, on average: 4 MB.
-FAMILY_BLOCK = 1 << 19
+#: Shingles in one block of a family, on average: 4 MB; and nodes.
+FAMILY_BLOCK, FAMILY_ROWS = 1 << 19, 512
 WORD_CACHE = 500_000
 #: Shingles sketched at a time: their arrays stay in the processor's cache.
 SKETCH_WORDS = 1 << 16
@@ -199,14 +200,13 @@ def overlap(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(a) + len(b) - common)
 
 
-def verified(near: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+def verified(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of near (written) with 100 * intersection >= percent * union on full sets.
 
     A leader a with many partners is dealt to as many blocks as its partners' sets need, with a copy of its own set in each.
     """
-    blocks = near.groupBy("a").agg(F.ceil(F.sum("nb") / BLOCK).alias("blocks"))
+    blocks = near.groupBy("a").agg(F.ceil(F.greatest(F.sum("nb") / BLOCK, F.count(F.lit(1)) / BLOCK_ROWS)).alias("blocks"))
     dealt = materialize(near.join(blocks, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("blocks")).alias("block")), "dealt")
-    sets = full_sets(dealt.select(F.col("a").alias("node")).union(dealt.select(F.col("b").alias("node"))).distinct(), nodes, docs, k)
     leaders = dealt.select("a", "block").distinct().join(sets.withColumnRenamed("node", "a"), "a").select("a", "block", F.lit(None).cast("long").alias("b"), "set")
     partners = dealt.join(sets.withColumnRenamed("node", "b"), "b").select("a", "block", "b", "set")
 
@@ -237,7 +237,7 @@ def pairs_in_bands(regs: np.ndarray, left: np.ndarray, right: np.ndarray, limit:
             at = stop
 
 
-def family_links(members: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+def family_links(members: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between different components of a family. members: (family, node, label), written.
 
     Nodes outside the largest component (outer) and those inside are dealt to blocks by their sets' size; each block of outer
@@ -246,8 +246,8 @@ def family_links(members: DataFrame, nodes: DataFrame, docs: DataFrame, k: int,
     least = percent / 100 - MARGIN
     main = members.groupBy("family", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("family").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
     sized = members.join(main, "family").join(nodes.select("node", "n_shingles", "registers"), "node").withColumn("outer", F.col("label") != F.col("main"))
-    parts = sized.groupBy("family").agg(*[F.ceil((F.sum(F.when(side, F.col("n_shingles")).otherwise(0)) + 1) / FAMILY_BLOCK).cast("int").alias(name) for name, side in (("n_outer", F.col("outer")), ("n_inner", ~F.col("outer")))])
-    sets = full_sets(members.select("node").distinct(), nodes, docs, k)
+    blocks = lambda side: F.ceil(F.greatest((F.sum(F.when(side, F.col("n_shingles")).otherwise(0)) + 1) / FAMILY_BLOCK, F.count_if(side) / FAMILY_ROWS)).cast("int")
+    parts = sized.groupBy("family").agg(blocks(F.col("outer")).alias("n_outer"), blocks(~F.col("outer")).alias("n_inner"))
     dealt = sized.join(parts, "family").withColumn("block", F.pmod(F.xxhash64("node"), F.when(F.col("outer"), F.col("n_outer")).otherwise(F.col("n_inner"))).cast("int"))
     task = lambda i, inner, j: F.struct(i.alias("i"), F.lit(inner).alias("inner"), j.alias("j"))
     upto = lambda n: F.sequence(F.lit(0), n - 1)
@@ -319,21 +319,20 @@ def components(links: DataFrame, name: str = "labels") -> DataFrame:
 def near_duplicates(docs: DataFrame, *, percent: int = PERCENT, k: int = WORDS_PER_SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept."""
     keyed = texts(docs, id_col, text_col)
-    # Node: the documents of one shingle set. Its number is a hash of the set's 128-bit digest.
-    seen = sketch(keyed, k=k).withColumn("node", F.xxhash64("digest"))
-    nodes = materialize(
-        seen.where(F.col("digest").isNotNull())
-        .groupBy("node")
-        .agg(F.min("doc_id").alias("least_id"), F.min(F.struct("doc_id", "text_hash")).alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers")),
-        "nodes",
-    )
+    # Node: the documents of one shingle set, known by the set's 128-bit digest; its number is its place in the written table.
+    seen = sketch(keyed, k=k)
+    groups = seen.where(F.col("digest").isNotNull()).groupBy("digest")
+    of_group = [F.min("doc_id").alias("least_id"), F.min(F.struct("doc_id", "text_hash")).alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers")]
+    nodes = materialize(groups.agg(*of_group).withColumn("node", F.monotonically_increasing_id()), "nodes")
     bands = materialize(band_keys(nodes), "bands")
     sizes = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     buckets = materialize(bands.join(sizes, "key"), "buckets")
     known = buckets.groupBy("node").agg(F.sum("n").alias("known"))
     leads = materialize(buckets.join(known, "node").groupBy("key").agg(F.max(F.struct("known", "node")).alias("lead")).select("key", F.col("lead.node").alias("lead")), "leads")
     star = buckets.join(leads, "key").where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
-    links = confirm(star, nodes, keyed, k, percent, "star")
+    # The full sets of all nodes that share a band key with another, made once for all comparisons below.
+    sets = full_sets(buckets.select("node").distinct(), nodes, keyed, k)
+    links = confirm(star, nodes, sets, percent, "star")
     labels = components(links)
 
     # Buckets that more than one component shares.
@@ -348,18 +347,18 @@ def near_duplicates(docs: DataFrame, *, percent: int = PERCENT, k: int = WORDS_P
     large = mixed.where(F.col("n") > SMALL)
     families = components(large.join(leads, "key").select(F.col("lead").alias("a"), F.col("node").alias("b")), "families").withColumnRenamed("label", "family")
     members = materialize(large.select("node", "label").distinct().join(families, "node"), "members")
-    more = confirm(pairs, nodes, keyed, k, percent, "small").union(materialize(family_links(members, nodes, keyed, k, percent), "family-links"))
+    more = confirm(pairs, nodes, sets, percent, "small").union(materialize(family_links(members, nodes, sets, percent), "family-links"))
     labels = components(links.union(more), "labels")
 
-    named = nodes.select("node", "least_id").join(labels, "node", "left").select("node", "least_id", label.alias("label"))
-    least = named.groupBy("label").agg(F.min("least_id").alias("component_id"))
-    final = materialize(named.join(least, "label").select("node", "component_id"), "components")
-    out = seen.select("doc_id", "n_shingles", "digest", "node").join(final, "node", "left")
+    labelled = nodes.select("node", "digest", "least_id").join(labels, "node", "left").select("digest", "least_id", label.alias("label"))
+    least = labelled.groupBy("label").agg(F.min("least_id").alias("component_id"))
+    final = materialize(labelled.join(least, "label").select("digest", "component_id"), "components")
+    out = seen.select("doc_id", "n_shingles", "digest").join(final, "digest", "left")
     own = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", own.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
-def confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent: int, name: str) -> DataFrame:
+def confirm(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int, name: str) -> DataFrame:
     """Candidate pairs through the estimate and the exact comparison; written."""
     near = materialize(estimated(pairs, nodes, percent), f"{name}-near")
-    return materialize(verified(near, nodes, docs, k, percent), f"{name}-links")
+    return materialize(verified(near, sets, percent), f"{name}-links")
