@@ -1,13 +1,14 @@
 """WARC archives: records with chunked payloads, segmented where long, written as gzip members and read back by reassembly.
 
-An archive is a table of gzip members with an index beside them (record id, origin id, segment number), one row per member;
-members of one archive joined in order are a .warc.gz file, and such files can be read into the same table. Reading decodes whole
-records where they lie; only continuation segments are shuffled, still compressed, to be grouped by origin identifier, ordered
-by segment number, checked against the total length and cleared of chunked transfer framing.
+An archive is a table of gzip members, one row per member; members of one archive joined in order are a .warc.gz file, and such
+files can be read into the same table. Reading goes by the records' own headers: whole records are decoded where they lie; only
+segments are shuffled, still compressed, to be grouped by origin identifier, ordered by segment number, checked against the total
+length and cleared of chunked transfer framing.
 
 Defined cases: null payloads count as empty; null urls are written as an empty target; null page ids never win a response over a
 page with an id, and among equal payloads without ids all are responses; repeated rows of the winning page are all responses;
-empty tables give empty archives; other columns are not read.
+empty tables give empty archives; a very long payload is as many segments as it needs, and is held whole by the task that puts
+them together; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-MEMBERS = "archive long, position long, record_id string, origin_id string, segment int, member binary"
+MEMBERS = "archive long, position long, member binary"
 RECORDS = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
 CRLF = b"\r\n"
 #: Blocks longer than this are cut into continuation records; framing chunks are of this size as well.
@@ -63,11 +64,27 @@ def member(headers: list[tuple[str, object]], block: bytes) -> bytes:
     return packer.compress(f"WARC/1.1\r\n{head}\r\n".encode() + block + CRLF * 2) + packer.flush()
 
 
+def fields(head: bytes, encoding: str) -> dict[str, str]:
+    """Headers after the first line, names lower-cased."""
+    return {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in head.decode(encoding).split("\r\n")[1:])}
+
+
+def head_of(data: bytes) -> dict[str, str]:
+    """Headers of a gzip member, which is inflated no further than to their end."""
+    opener, raw = zlib.decompressobj(31), b""
+    while CRLF * 2 not in raw:
+        part = opener.decompress(opener.unconsumed_tail if raw else data, 1024)
+        if not part:
+            raise ValueError("record has no end of its headers")
+        raw += part
+    return fields(raw.partition(CRLF * 2)[0], "utf-8")
+
+
 def parse(data: bytes) -> tuple[dict[str, str], bytes]:
     """Headers (names lower-cased) and block of one gzip member."""
     raw = zlib.decompress(data, 31)
     head, _, rest = raw.partition(CRLF * 2)
-    headers = dict((k.strip().lower(), v.strip()) for k, _, v in (line.partition(":") for line in head.decode().split("\r\n")[1:]))
+    headers = fields(head, "utf-8")
     block = rest[: int(headers["content-length"])]
     if len(block) != int(headers["content-length"]):
         raise ValueError("record is cut short")
@@ -91,7 +108,7 @@ def write_records(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "
                 common = [("WARC-Record-ID", f"<{rid}>"), ("WARC-Target-URI", url.replace("\r", "%0D").replace("\n", "%0A")), ("WARC-Page-ID", "" if page_id is None else page_id), ("WARC-Payload-Digest", f"sha1:{sha}")]
                 if winner is not None and winner != page_id:
                     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
-                    rows.append((task, position, rid, None, None, member([("WARC-Type", "revisit"), *common, ("WARC-Refers-To", f"<urn:page:{winner}>")], http)))
+                    rows.append((task, position, member([("WARC-Type", "revisit"), *common, ("WARC-Refers-To", f"<urn:page:{winner}>")], http)))
                     position += 1
                     continue
                 block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked(payload)
@@ -102,10 +119,9 @@ def write_records(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "
                         kind.append(("WARC-Segment-Number", k))
                         if k == len(parts):
                             kind.append(("WARC-Segment-Total-Length", len(block)))
-                    rows.append((task, position, rid if k == 1 else f"{rid}:{k}", rid if len(parts) > 1 else None, k if len(parts) > 1 else None, member(kind, part)))
+                    rows.append((task, position, member(kind, part)))
                     position += 1
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.binary()]
-            yield pa.record_batch([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=["archive", "position", "record_id", "origin_id", "segment", "member"])
+            yield pa.record_batch([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["archive", "position", "member"])
 
     # Equal payloads may hold a third of all rows; adaptive execution splits such a partition of this join.
     joined = df.select("page_id", "url", "payload", "digest", "size").join(winners, ["digest", "size"], "left")
@@ -113,7 +129,7 @@ def write_records(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "
 
 
 def read_files(files: DataFrame) -> DataFrame:
-    """MEMBERS of .warc.gz files as read by format("binaryFile"): the gzip members are told apart by inflating, and indexed."""
+    """MEMBERS of .warc.gz files as read by format("binaryFile"): the gzip members are told apart by inflating."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -123,11 +139,9 @@ def read_files(files: DataFrame) -> DataFrame:
                     opener = zlib.decompressobj(31)
                     opener.decompress(rest)
                     data, rest = rest[: len(rest) - len(opener.unused_data)], opener.unused_data
-                    h, _ = parse(data)
-                    rid, number = h["warc-record-id"].strip("<>"), h.get("warc-segment-number")
-                    rows.append((archive, position, rid, (h.get("warc-segment-origin-id", rid).strip("<>") if number else None), int(number) if number else None, data))
+                    rows.append((archive, position, data))
                     position += 1
-                yield pd.DataFrame(rows, columns=["archive", "position", "record_id", "origin_id", "segment", "member"]).astype({"segment": "Int32"})
+                yield pd.DataFrame(rows, columns=["archive", "position", "member"])
 
     return files.select("path", "content").mapInPandas(run, MEMBERS)
 
@@ -135,14 +149,14 @@ def read_files(files: DataFrame) -> DataFrame:
 def decoded(headers: dict[str, str], block: bytes, with_payload: bool) -> tuple:
     """A row of RECORDS from the first segment's headers and the whole block; the digest is checked."""
     http, _, body = block.partition(CRLF * 2)
-    fields = dict((k.strip().lower(), v.strip()) for k, _, v in (line.partition(":") for line in http.decode("latin-1").split("\r\n")[1:]))
+    sent = fields(http, "latin-1")
     told = headers["warc-payload-digest"].removeprefix("sha1:")
     refers = headers.get("warc-refers-to", "").strip("<>").removeprefix("urn:page:")
     page = headers.get("warc-page-id", "")
     if headers["warc-type"] == "revisit":
-        size, payload = int(fields["content-length"]), None
+        size, payload = int(sent["content-length"]), None
     else:
-        payload = dechunk(body) if fields.get("transfer-encoding") == "chunked" else body
+        payload = dechunk(body) if sent.get("transfer-encoding") == "chunked" else body
         size = len(payload)
         if base32_sha1(payload) != told:
             raise ValueError(f"payload of {headers['warc-record-id']} does not have its digest")
@@ -169,16 +183,27 @@ def read_records(members: DataFrame, *, with_payload: bool = True) -> DataFrame:
         return pa.record_batch([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=names)
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Records that their headers call no segments."""
         for batch in batches:
-            yield table([decoded(*parse(data), with_payload) for data in batch.column(0).to_pylist()])
+            yield table([decoded(*parse(data), with_payload) for data in batch.column(0).to_pylist() if "warc-segment-number" not in head_of(data)])
 
-    def grouped(segments: pa.Table) -> pa.Table:
+    def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Segments under their origin, which for a first segment is its own identifier."""
+        for batch in batches:
+            rows = []
+            for archive, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                h = head_of(data)
+                if "warc-segment-number" in h:
+                    rows.append((archive, h.get("warc-segment-origin-id", h["warc-record-id"]), int(h["warc-segment-number"]), data))
+            columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.string(), pa.int32(), pa.binary()))]
+            yield pa.record_batch(columns, names=["archive", "origin_id", "segment", "member"])
+
+    def grouped(parts: pa.Table) -> pa.Table:
         # A group is one record, as large as its longest page and no larger.
-        return pa.Table.from_batches([table([reassemble(list(zip(segments["segment"].to_pylist(), segments["member"].to_pylist(), strict=True)), with_payload)])])
+        return pa.Table.from_batches([table([reassemble(list(zip(parts["segment"].to_pylist(), parts["member"].to_pylist(), strict=True)), with_payload)])])
 
-    single = members.where(F.col("segment").isNull()).select("member").mapInArrow(whole, RECORDS)
-    split = members.where(F.col("segment").isNotNull()).select("archive", "origin_id", "segment", "member")
-    return single.unionByName(split.groupBy("archive", "origin_id").applyInArrow(grouped, RECORDS))
+    split = members.select("archive", "member").mapInArrow(segments, "archive long, origin_id string, segment int, member binary")
+    return members.select("member").mapInArrow(whole, RECORDS).unionByName(split.groupBy("archive", "origin_id").applyInArrow(grouped, RECORDS))
 
 
 def round_trip(pages: DataFrame, **options: object) -> DataFrame:
