@@ -1,7 +1,7 @@
 """URL filters: host rules first, then a path-template tree whose templates are judged by smoothed labelled purity.
 
 Rules name a host and a path; a rule fits its host, all subdomains and paths that start with its own, and the longest rule wins.
-Every rule of a host lies under one of the host's dot-separated suffixes, so rules are found by equi-joins on suffixes.
+The rules are a parameter of bounded size, so they compile into one expression.
 
 Urls without a rule are judged by the tree. A node is (host, template of the path so far). Level by level, to the end of the
 longest path, segments that look variable (numbers, hashes) become wildcards, and sibling branches that cannot be told from their
@@ -10,8 +10,9 @@ kept however many siblings it has. A path that is alone at its node needs no mor
 templates are rejected when their labelled bad share, smoothed towards the share of the level above, reaches `reject`.
 Counting is by groupBy on nodes with partial sums, so a host with a third of all urls is a few counts per task.
 
-Defined cases: null urls and urls without ``://`` have empty host and path and no labels but are judged like others; null ids are
-never labelled; repeated rows are counted and judged one by one; empty tables give empty results; other columns are not read.
+Defined cases: null urls and urls without ``://`` have empty host and path and are judged like others; null ids are never
+labelled; repeated rows are counted and judged one by one; a share that ties with `reject` blocks; empty tables give empty results;
+a very long path is followed to its end, one level at a time as long as it has siblings; other columns are not read.
 """
 
 from __future__ import annotations
@@ -23,8 +24,6 @@ from .common import UPPER, materialize
 
 #: verdict, host, path.
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
-#: Suffixes of a host that are looked up: as many labels as the longest rule's host has.
-DEPTH = 4
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -37,7 +36,7 @@ def parts(url: Column) -> tuple[Column, Column]:
 
 
 def apply_rules(urls: DataFrame, rules: list[tuple[str, str, str]]) -> Column:
-    """struct(rule, verdict) of the longest fitting rule; the rules are a parameter, so they compile into one expression."""
+    """struct(rule, verdict) of the longest fitting rule; of rules of one length the last in order of text."""
     host, path = F.col("host"), F.col("path")
     fits = lambda h, p: ((host == h) | host.endswith("." + h)) & path.startswith(p)
     chain = F.lit(None).cast("struct<rule:string,verdict:string>")
@@ -58,12 +57,17 @@ def shape(segment: Column) -> Column:
     return F.concat(mark, ext)
 
 
+def shaped(path: Column) -> Column:
+    """The segments of a path, variable ones as wildcards."""
+    return F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), shape)
+
+
 def grow(rows: DataFrame, z: float) -> DataFrame:
-    """rows (row, host, path, n_labels, n_bad) with template: one pass of counts, judgement and join for each level."""
-    segs = F.filter(F.split("path", "/"), lambda s: s != "")
-    df = rows.withColumn("segs", F.transform(segs, shape))
-    # The tree holds distinct shaped paths, not urls.
-    tree = df.groupBy("host", "segs").agg(F.sum("n_labels").alias("n_labels"), F.sum("n_bad").alias("n_bad"))
+    """rows (host, segs, n_labels, n_bad) as (host, segs, n_labels, n_bad, template), one row for each host and shaped path.
+
+    One pass of counts, judgement and join for each level, over distinct shaped paths and not urls.
+    """
+    tree = rows.groupBy("host", "segs").agg(F.sum("n_labels").alias("n_labels"), F.sum("n_bad").alias("n_bad"))
     tree = materialize(tree.withColumns({"template": F.lit(""), "open": F.size("segs") > 0}), "url-tree")
     ended, level = tree.where("NOT open"), 0
     here = tree.where("open")
@@ -86,7 +90,7 @@ def grow(rows: DataFrame, z: float) -> DataFrame:
             "url-tree",
         )
         ended, here, level = ended.unionByName(tree.where("NOT open")), tree.where("open"), level + 1
-    return df.join(ended.select("host", "segs", "template"), ["host", "segs"])
+    return ended.select("host", "segs", "n_labels", "n_bad", "template")
 
 
 def url_filter(
@@ -100,21 +104,24 @@ def url_filter(
     prior: float = 4.0,
     reject: float = 0.5,
 ) -> DataFrame:
-    """page_id, host, path, rule, verdict, template, purity. labels: (id, bad) with bad a boolean, at most one row per id counted as true if any is."""
+    """page_id, host, path, rule, verdict, template, bad_share. labels: (id, bad) with bad a boolean, at most one row per id counted as true if any is."""
     urls = pages.select(F.monotonically_increasing_id().alias("row"), pages[id_col].cast("long").alias("page_id"), pages[url_col].alias("url"))
     host, path = parts(F.col("url"))
     marked = labels.select(labels.columns[0], labels.columns[1]).toDF("page_id", "bad").where("page_id IS NOT NULL AND bad IS NOT NULL")
     marked = marked.groupBy("page_id").agg(F.bool_or("bad").alias("bad"))
     rows = urls.select("row", "page_id", host.alias("host"), path.alias("path")).join(marked, "page_id", "left")
-    rows = materialize(rows.withColumns({"n_labels": F.col("bad").isNotNull().cast("long"), "n_bad": F.coalesce(F.col("bad").cast("long"), F.lit(0))}).drop("bad"), "urls")
+    rows = rows.withColumns({"n_labels": F.col("bad").isNotNull().cast("long"), "n_bad": F.coalesce(F.col("bad").cast("long"), F.lit(0)), "segs": shaped(F.col("path"))})
+    rows = materialize(rows.drop("bad"), "urls")
     total = rows.agg(((F.sum("n_bad") + 0.5) / (F.sum("n_labels") + 1)).alias("share")).first()["share"]
     share = F.lit(float(total if total is not None else 0.5))
-    placed = grow(rows, z)
-    by_host = rows.groupBy("host").agg(F.sum("n_labels").alias("host_labels"), F.sum("n_bad").alias("host_bad"))
-    stats = placed.groupBy("host", "template").agg(F.sum("n_labels").alias("labels"), F.sum("n_bad").alias("bad")).join(by_host, "host")
+    # Templates are judged on the tree; urls meet it once, by host and shaped path.
+    tree = grow(rows, z)
+    by_host = tree.groupBy("host").agg(F.sum("n_labels").alias("host_labels"), F.sum("n_bad").alias("host_bad"))
+    stats = tree.groupBy("host", "template").agg(F.sum("n_labels").alias("labels"), F.sum("n_bad").alias("bad")).join(by_host, "host")
     of_host = (F.col("host_bad") + prior * share) / (F.col("host_labels") + prior)
     purity = (F.col("bad") + prior * of_host) / (F.col("labels") + prior)
-    judged = placed.join(stats.select("host", "template", purity.alias("bad_share")), ["host", "template"])
+    known = tree.select("host", "segs", "template").join(stats.select("host", "template", purity.alias("bad_share")), ["host", "template"])
+    judged = rows.join(materialize(known, "url-verdicts"), ["host", "segs"])
     judged = judged.withColumn("hit", apply_rules(judged, rules if rules is not None else RULES))
     verdict = F.coalesce("hit.verdict", F.when(F.col("bad_share") >= reject, F.lit("block")).otherwise(F.lit("allow")))
     return judged.select("page_id", "host", "path", F.col("hit.rule").alias("rule"), verdict.alias("verdict"), "template", "bad_share")
