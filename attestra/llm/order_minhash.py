@@ -1,6 +1,6 @@
 """Document fingerprints by Order MinHash: minimal occurrence-numbered k-mers, kept in text order, hashed as tuples.
 
-A text's k-mers (k words each) are numbered by occurrence, so that repeats count; each gets a hash of the k-mer and its number.
+A text's k-mers (k words each) are numbered by occurrence, so that repeats count; each gets a hash of its words and its number.
 Hashes are dealt to `BUCKETS` buckets by their low bits; in each bucket the `PICKS` least are put back in text order and hashed as
 one tuple. Two texts agree in a bucket when they share its minimal k-mers in the same order, so the share of agreeing buckets
 falls with edit distance and not only with overlap. To save sorting, the minima of a long text are first looked for below a bound
@@ -12,11 +12,14 @@ quantiles, texts are shuffled once by range, and each range also receives the fi
 
 Defined cases: null texts count as empty, and empty texts have a fingerprint of empty buckets, alike to itself only (likeness 1
 between two such); texts shorter than k words are one k-mer; among equal ids the order is by hash of the text, null ids come
-last; repeated rows give a row each; an empty table gives an empty result; other columns are not read.
+last; repeated rows give a row each; an empty table gives an empty result; a very long text is fingerprinted whole, in memory of
+some times its length; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,14 +32,19 @@ SPARE = 3
 #: Text behind one range of ids, and the number of quantiles that cut them; beyond it ranges are cut evenly once more.
 RANGE_BYTES = 8 << 20
 QUANTILES = 1000
+#: Ranges that one row stands for where ranges are put in order.
+STRETCH = 1024
 EMPTY = 0
 
 
 def signature(text: Column, k: int = K, buckets: int = BUCKETS, picks: int = PICKS) -> Column:
     """array<int> of bucket hashes; 0 stands for an empty bucket."""
     words = F.filter(F.split(text, SPACES), lambda w: w != "")
-    n_kmers = lambda ws: F.greatest(F.size(ws) - (k - 1), F.lit(1))
-    kmers = lambda ws: F.transform(F.sequence(F.lit(1), n_kmers(ws)), lambda i: F.struct(F.xxhash64(F.slice(ws, i, F.lit(k))).alias("h"), i.alias("i")))
+    n_kmers = lambda hs: F.greatest(F.size(hs) - (k - 1), F.lit(1))
+    # Each word is hashed once; a k-mer's hash is that of its words' hashes (a place beyond the last word adds nothing).
+    kmer = lambda hs, i: F.xxhash64(*[F.get(hs, i + j) for j in range(k)])
+    kmers = lambda hs: F.transform(F.sequence(F.lit(0), n_kmers(hs) - 1), lambda i: F.struct(kmer(hs, i).alias("h"), i.alias("i")))
+
     def numbered(s: Column) -> Column:
         """Every k-mer with its occurrence in its hash, from the k-mers sorted by hash and place."""
         again = lambda x, j: F.coalesce(F.get(s, j - 1)["h"] == x["h"], F.lit(False))
@@ -79,8 +87,9 @@ def signature(text: Column, k: int = K, buckets: int = BUCKETS, picks: int = PIC
     def padded(f: Column) -> Column:
         return let(f, lambda x: F.concat(x, F.array_repeat(F.lit(EMPTY), F.lit(buckets) - F.size(x))))
 
-    some = lambda ws: let(F.sort_array(kmers(ws)), lambda s: let(numbered(s), lambda c: let(candidates(c), lambda d: padded(picked(d)))))
-    return let(words, lambda ws: F.when(F.size(ws) > 0, some(ws)).otherwise(F.array_repeat(F.lit(EMPTY), buckets)))
+    some = lambda hs: let(F.sort_array(kmers(hs)), lambda s: let(numbered(s), lambda c: let(candidates(c), lambda d: padded(picked(d)))))
+    hashes = F.transform(words, lambda w: F.xxhash64(w))
+    return let(hashes, lambda hs: F.when(F.size(hs) > 0, some(hs)).otherwise(F.array_repeat(F.lit(EMPTY), buckets)))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -97,16 +106,26 @@ def as_text(fingerprint: Column) -> Column:
 
 
 def id_range(bounds: list[int], parts: int) -> Column:
-    """Number of the id's range, descending: quantile cell, then `parts` even cuts inside it. Null ids have the last."""
+    """Number of the row's range by descending id, then text_hash: quantile cell, then `parts` even cuts inside it. Null ids have the last.
+
+    An id that is several quantiles has as many ranges of its own, times parts, cut by the hash of the text.
+    """
     i = F.col("doc_id")
     if not bounds:
         return F.when(i.isNull(), F.lit(1)).otherwise(F.lit(0)).cast("long")
-    edges = F.array(*[F.lit(b).cast("long") for b in sorted(bounds, reverse=True)])
+    times = Counter(bounds)
+    most = max(times.values()) * parts
+    ordered = sorted(times, reverse=True)
+    edges = F.array(*[F.lit(b).cast("long") for b in ordered])
+    shares = F.array(*[F.lit(times[b] * parts if times[b] > 1 else 0) for b in ordered])
     cell = F.size(F.filter(edges, lambda b: b >= i))
     high, low = F.get(edges, cell - 1).cast("double"), F.get(edges, cell).cast("double")
-    even = F.coalesce(F.floor((high - i.cast("double")) / F.greatest(high - low, F.lit(1.0)) * parts), F.lit(0))
-    number = cell * parts + F.greatest(F.lit(0), F.least(even, F.lit(parts - 1)))
-    return F.when(i.isNull(), F.lit((len(bounds) + 1) * parts)).otherwise(number).cast("long")
+    within = lambda share, n: F.greatest(F.lit(0), F.least(F.coalesce(F.floor(share * n), F.lit(0)), n - 1))
+    even = most + within((high - i.cast("double")) / F.greatest(high - low, F.lit(1.0)), F.lit(parts))
+    own = F.coalesce(F.when(F.get(edges, cell - 1) == i, F.get(shares, cell - 1)), F.lit(0))
+    among = within(F.col("text_hash").cast("double") / F.lit(2.0**64) + 0.5, own)
+    number = cell * (most + parts) + F.when(own > 0, among).otherwise(even)
+    return F.when(i.isNull(), F.lit((len(ordered) + 1) * (most + parts))).otherwise(number).cast("long")
 
 
 def neighbours(df: DataFrame, *columns: str) -> DataFrame:
@@ -115,13 +134,16 @@ def neighbours(df: DataFrame, *columns: str) -> DataFrame:
     ranges = max(1, int(size) // RANGE_BYTES)
     cuts = min(ranges - 1, QUANTILES)
     bounds = df.agg(F.percentile_approx("doc_id", [(j + 1) / (cuts + 1) for j in range(cuts)], 10 * (cuts + 1)).alias("q")).first()["q"] if cuts else None
-    number = id_range(sorted(set(bounds or [])), -(-ranges // (cuts + 1)))
+    number = id_range(bounds or [], -(-ranges // (cuts + 1)))
     # One row per range: its first row's id and hash, and the range before it, round the end.
     firsts = df.select(number.alias("range"), F.struct(F.coalesce(-F.col("doc_id"), F.lit(2**63 - 1)).alias("key"), "text_hash", "doc_id").alias("first")).groupBy("range").agg(F.min("first").alias("first"))
-    firsts = materialize(firsts, "ranges")
+    firsts = materialize(firsts.withColumn("stretch", F.floor(F.col("range") / STRETCH)), "ranges")
     last = firsts.agg(F.max("range").alias("last")).first()["last"]
-    order = Window.orderBy("range")  # rows are ranges: one for each RANGE_BYTES of text
-    before = firsts.select(F.coalesce(F.lag("range").over(order), F.lit(last).cast("long")).alias("into"), F.col("first.key").alias("key"), F.col("first.text_hash").alias("text_hash"))
+    # The one window without a key has a row for each stretch of ranges that is not empty.
+    ends = firsts.groupBy("stretch").agg(F.max("range").alias("end"))
+    ends = ends.select("stretch", F.coalesce(F.lag("end").over(Window.orderBy("stretch")), F.lit(last).cast("long")).alias("before"))
+    inside = Window.partitionBy("stretch").orderBy("range")
+    before = firsts.join(ends, "stretch").select(F.coalesce(F.lag("range").over(inside), F.col("before")).alias("into"), F.col("first.key").alias("key"), F.col("first.text_hash").alias("text_hash"))
     before = materialize(before, "ranges-before")
     key = F.coalesce(-F.col("doc_id"), F.lit(2**63 - 1))
     rows = df.withColumns({"range": number, "key": key}).join(before, ["key", "text_hash"], "left")

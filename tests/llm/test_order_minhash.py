@@ -26,20 +26,18 @@ def fold(parts):
 
 
 def signature(text):
-    ws = [w for w in re.split(r"[\x20\x09-\x0D]+", text) if w]
-    if not ws:
+    """By its definition: the minima of all numbered k-mers in each bucket, in text order."""
+    hs = [struct.pack("<q", fold([w.encode()])) for w in re.split(r"[\x20\x09-\x0D]+", text) if w]
+    if not hs:
         return [0] * om.BUCKETS
-    n = max(len(ws) - om.K + 1, 1)
     seen, items = Counter(), []
-    for i in range(n):
-        h = fold(w.encode() for w in ws[i : i + om.K])
+    for i in range(max(len(hs) - om.K + 1, 1)):
+        h = fold(hs[i : i + om.K])
         items.append((fold([struct.pack("<q", h), struct.pack("<i", seen[h])]), i))
         seen[h] += 1
-    most = om.BUCKETS * om.PICKS * om.SPARE
-    bound = 2**63 - 1 if n <= most else int(-(2.0**63) + 2.0**64 * most / n)
     out = []
     for b in range(om.BUCKETS):
-        own = sorted(x for x in items if x[0] < bound and x[0] % om.BUCKETS == b)[: om.PICKS]
+        own = sorted(x for x in items if x[0] % om.BUCKETS == b)[: om.PICKS]
         t = fold(struct.pack("<q", v) for v, _ in sorted(own, key=lambda x: x[1])) & 0x7FFFFFFF
         out.append(max(t, 1) if own else 0)
     return out
@@ -71,6 +69,21 @@ def corpus():
     return rows
 
 
+def test_one_id_in_a_third_of_all_rows_is_dealt_to_several_ranges(spark, monkeypatch):
+    monkeypatch.setattr(om, "RANGE_BYTES", 400)
+    monkeypatch.setattr(om, "QUANTILES", 9)
+    monkeypatch.setattr(om, "STRETCH", 4)
+    rng = random.Random(8)
+    rows = [(70 if i % 3 == 0 else i, " ".join(f"w{rng.randrange(50)}" for _ in range(rng.randrange(1, 12)))) for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = om.fingerprints(docs).collect()
+    key = lambda r: tuple(map(str, r))
+    assert sorted(map(tuple, got), key=key) == sorted(brute(rows), key=key)
+    bounds = [10, 40, 70, 70, 70, 100]
+    ranges = docs.withColumn("text_hash", om.F.xxhash64("text")).where("doc_id = 70").select(om.id_range(bounds, 2)).distinct().count()
+    assert ranges > 3
+
+
 @pytest.mark.parametrize("size", [1 << 30, 20_000, 3_000])
 def test_equals_brute_force(spark, monkeypatch, size):
     monkeypatch.setattr(om, "RANGE_BYTES", size)
@@ -93,27 +106,11 @@ def test_one_document_empty_table_and_order_sensitivity(spark):
     assert rows[2].near_next < 0.8
 
 
-def minima(text):
-    """The signature by its definition: of all k-mers, without a bound."""
-    ws = [w for w in re.split(r"[\x20\x09-\x0D]+", text) if w]
-    seen, items = Counter(), []
-    for i in range(max(len(ws) - om.K + 1, 1)):
-        h = fold(w.encode() for w in ws[i : i + om.K])
-        items.append((fold([struct.pack("<q", h), struct.pack("<i", seen[h])]), i))
-        seen[h] += 1
-    out = []
-    for b in range(om.BUCKETS):
-        own = sorted(x for x in items if x[0] % om.BUCKETS == b)[: om.PICKS]
-        t = fold(struct.pack("<q", v) for v, _ in sorted(own, key=lambda x: x[1])) & 0x7FFFFFFF
-        out.append(max(t, 1) if own else 0)
-    return "".join(f"{x:08x}" for x in out)
-
-
 def test_minima_are_those_of_all_kmers(spark):
     rng = random.Random(11)
     sizes = [190, 194, 195, 300, 1000, 4000]
-    texts = [" ".join(f"w{rng.randrange(v)}" for _ in range(n)) for n in sizes for v in (3, 30, 100_000) for _ in range(3)] + ["same " * 5000]
+    texts = [" ".join(f"w{rng.randrange(v)}" for _ in range(n)) for n in sizes for v in (3, 30, 100_000) for _ in range(3)] + ["same " * 5000, " ".join(f"w{i}" for i in range(100_000))]
     got = om.fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)).collect()
     assert len(got) == len(texts)
     for r in got:
-        assert r.fingerprint == minima(texts[r.doc_id]), r.doc_id
+        assert r.fingerprint == "".join(f"{x:08x}" for x in signature(texts[r.doc_id])), r.doc_id
