@@ -8,12 +8,16 @@ Plan: one pass cuts the corpus into chunks of bounded size (texts of the deleted
 of each chunk and writes them. A chunk's distinct words and word pairs are dealt out as sorted hashes with counts, one block for
 each hash range. Blocks of one range meet and are added up, and the sums go back to the chunks that asked. So the corpus crosses the
 network as the distinct n-grams of chunks, a frequent word costs a few bytes a chunk, and no table of n-grams is held by one
-task or broadcast; the number of ranges follows the size of the corpus. N-grams of the deleted fold are reduced to rows of equal
-counts before the weights are learned, so a round of expectation-maximisation reads far less than the corpus.
+task or broadcast; the number of ranges follows the size of the corpus. Where there are more ranges than `1 << COARSE_BITS`, a chunk's
+blocks would become small and their number would grow with the square of the corpus: then blocks are cut by coarse ranges, batches of
+chunks are added up first, the batches' sums meet by fine ranges, and the answers go back the same way. N-grams of the deleted fold
+are reduced to rows of equal counts before the weights are learned, so a round of expectation-maximisation reads far less than the
+corpus; rounds go on until no weight moves by `TOLERANCE`.
 
 Defined cases: null and empty texts score their end token alone; a null id counts as the empty string when its fold is drawn;
-repeated rows are learned and scored one by one; in an empty table nothing is learned or scored; other columns are not read;
-words are compared by 64-bit hash, pairs by a hash long enough that one in two hundred thousand meets another.
+repeated rows are learned and scored one by one, and no rows are ranked, so there are no ties; in an empty table nothing is learned or
+scored; a very long text is one chunk, held whole; other columns, whatever their names, are not read. Words and pairs are compared by
+64-bit hash.
 """
 
 from __future__ import annotations
@@ -23,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -35,11 +40,14 @@ FOLDS = 10
 #: Of the folds, 0 is held out of training altogether; 1 is deleted from the counts while the weights are learned.
 TEST_FOLD, DELETED_FOLD = 0, 1
 #: Context buckets by powers of two of the context's frequency; bucket 0: context never seen.
-BUCKETS = 24
-ROUNDS = 12
+BUCKETS = 64
+#: Expectation-maximisation ends when no weight moves by as much.
+TOLERANCE = 1e-4
 CHUNK_BYTES = 8 << 20
 #: Text behind one hash range.
 RANGE_BYTES = 16 << 20
+#: Of a range's number, the bits by which chunks cut their blocks: some hundred n-grams of a full chunk in each.
+COARSE_BITS = 12
 
 #: Words are hashed with seed 0; the start and the end of a text have seed 1.
 MARK_START, MARK_END = xxhash.xxh3_64_intdigest(b"start", 1), xxhash.xxh3_64_intdigest(b"end", 1)
@@ -77,13 +85,13 @@ def fold_of(doc_id: int | None) -> int:
 class Layout:
     """A chunk's words and pairs in the order of their hashes: the same when it is counted and when it is scored."""
 
-    def __init__(self, flat: np.ndarray, lengths: np.ndarray, hashes: np.ndarray, key_bits: int):
+    def __init__(self, flat: np.ndarray, lengths: np.ndarray, hashes: np.ndarray):
         starts = np.cumsum(lengths) - lengths
         context = np.concatenate([[0], flat[:-1]])
         context[starts] = 0
         code, self.token_pair = np.unique(context * len(hashes) + flat, return_inverse=True)
         self.left, self.right = code // len(hashes), code % len(hashes)
-        keys = pair_hash(hashes[self.left], hashes[self.right]) >> np.uint64(64 - key_bits)
+        keys = pair_hash(hashes[self.left], hashes[self.right])
         self.flat, self.context, self.starts = flat, context, starts
         self.word_order, self.pair_order = np.argsort(hashes, kind="stable"), np.argsort(keys, kind="stable")
         self.word_keys, self.pair_keys = hashes[self.word_order], keys[self.pair_order]
@@ -118,26 +126,29 @@ class Chunk:
 class Opened:
     """A chunk's row, read again."""
 
-    def __init__(self, row: dict, key_bits: int):
+    def __init__(self, row: dict):
         raw, null, lengths, flat, hashes = (unsqueeze(row[c]) for c in "abcde")
         self.ids = [None if x else i for i, x in zip(raw.view(np.int64).tolist(), null.tolist(), strict=True)]
         self.lengths = lengths.astype(np.int64)
-        self.lay = Layout(flat.astype(np.int64), self.lengths, hashes, key_bits)
+        self.lay = Layout(flat.astype(np.int64), self.lengths, hashes)
         self.folds = [fold_of(i) for i in self.ids]
 
-    def blocks(self, chunk: int, range_bits: int, key_bits: int) -> list[tuple]:
+    def blocks(self, chunk: int, range_bits: int) -> list[tuple]:
         """Rows of CHUNKS, one per hash range and order: sorted keys, counts in training texts, counts as contexts."""
         lay = self.lay
         learned = np.repeat(np.array(self.folds) != TEST_FOLD, self.lengths)
         tally = lambda at, n: np.bincount(at[learned], minlength=n)
         words, contexts, pairs = tally(lay.flat, len(lay.word_order)), tally(lay.context, len(lay.word_order)), tally(lay.token_pair, len(lay.left))
-        out = []
-        for order, keys, shift, counts, ctx in ((1, lay.word_keys, 64 - range_bits, words[lay.word_order], contexts[lay.word_order]), (2, lay.pair_keys, key_bits - range_bits, pairs[lay.pair_order], None)):
-            owner = (keys >> np.uint64(shift)).astype(np.int64)
-            edges = np.flatnonzero(np.diff(owner, prepend=-1))
-            for lo, hi in zip(edges, [*edges[1:], len(keys)], strict=True):
-                out.append((chunk, int(owner[lo]), order, squeeze_sorted(keys[lo:hi]), squeeze(counts[lo:hi]), squeeze(ctx[lo:hi]) if order == 1 else None, None, None))
-        return out
+        one = cut_by_range(chunk, 1, range_bits, lay.word_keys, words[lay.word_order], contexts[lay.word_order])
+        return one + cut_by_range(chunk, 2, range_bits, lay.pair_keys, pairs[lay.pair_order], None)
+
+
+def cut_by_range(chunk: int, order: int, range_bits: int, keys: np.ndarray, counts: np.ndarray, contexts: np.ndarray | None) -> list[tuple]:
+    """Rows of CHUNKS for sorted keys, one for each range that has any."""
+    owner = (keys >> np.uint64(64 - range_bits)).astype(np.int64)
+    edges = np.flatnonzero(np.diff(owner, prepend=-1))
+    block = lambda a, lo, hi: None if a is None else squeeze(a[lo:hi])
+    return [(chunk, int(owner[lo]), order, squeeze_sorted(keys[lo:hi]), block(counts, lo, hi), block(contexts, lo, hi), None, None) for lo, hi in zip(edges, [*edges[1:], len(keys)], strict=True)]
 
 
 CHUNKS = "chunk long, slice long, ngram int, a binary, b binary, c binary, d binary, e binary"
@@ -150,10 +161,10 @@ def batch_of(rows: list[tuple], schema: str) -> pa.RecordBatch:
     return pa.record_batch([pa.array([r[i] for r in rows], kinds[kind]) for i, (_, kind) in enumerate(fields)], names=[name for name, _ in fields])
 
 
-def sizes(docs: DataFrame) -> tuple[int, int]:
-    """Bits of the hash ranges and of a pair's key: both follow the corpus' length."""
+def range_bits_of(docs: DataFrame) -> int:
+    """Bits of the hash ranges' number, which follows the corpus' length."""
     total = int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
-    return max(2, (total // RANGE_BYTES).bit_length()), min(64, max(32, total.bit_length() - 2 + 18))
+    return max(2, (total // RANGE_BYTES).bit_length())
 
 
 def cut(docs: DataFrame) -> DataFrame:
@@ -176,14 +187,14 @@ def cut(docs: DataFrame) -> DataFrame:
     return materialize(docs.mapInArrow(run, CHUNKS), "chunks", compression="uncompressed")
 
 
-def deal(chunks: DataFrame, range_bits: int, key_bits: int) -> DataFrame:
+def deal(chunks: DataFrame, range_bits: int) -> DataFrame:
     """The n-gram blocks of every chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(batch.num_rows):
                 (row,) = batch.slice(at, 1).to_pylist()
-                yield batch_of(Opened(row, key_bits).blocks(row["chunk"], range_bits, key_bits), CHUNKS)
+                yield batch_of(Opened(row).blocks(row["chunk"], range_bits), CHUNKS)
 
     return chunks.mapInArrow(run, CHUNKS)
 
@@ -225,12 +236,50 @@ def sum_ranges(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
     return both.where("chunk >= 0").drop("n", "n_kept", "v", "v_kept"), both.where("chunk < 0").select("n", "n_kept", "v", "v_kept")
 
 
+def count_all(chunks: DataFrame, range_bits: int, coarse_bits: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """sum_ranges for the blocks of all chunks, in one step or, beyond coarse_bits, by batches of chunks."""
+    coarse_bits = COARSE_BITS if coarse_bits is None else coarse_bits
+    if range_bits <= coarse_bits:
+        return sum_ranges(deal(chunks, range_bits))
+    # A batch has as much of a coarse range as a fine range has of all chunks; even and odd chunks have batches of their own.
+    batches = 1 << (range_bits - coarse_bits)
+    batch = 2 * (F.col("slice") * batches + F.pmod(F.xxhash64("chunk"), F.lit(batches))) + F.col("chunk") % 2
+    blocks = materialize(deal(chunks, coarse_bits), "blocks", compression="uncompressed").withColumn("batch", batch)
+
+    def union(parts: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        keys = [unsqueeze_sorted(b) for b in parts["a"].to_pylist()]
+        return (keys, *np.unique(np.concatenate(keys), return_inverse=True))
+
+    def add_up(parts: pa.Table) -> pa.Table:
+        order, (_, every, inverse) = parts["ngram"][0].as_py(), union(parts)
+        total = lambda c: np.bincount(inverse, np.concatenate([unsqueeze(b) for b in parts[c].to_pylist()]).astype(np.float64), len(every)).astype(np.int64)
+        return pa.Table.from_batches([batch_of(cut_by_range(parts["batch"][0].as_py(), order, range_bits, every, total("b"), total("c") if order == 1 else None), CHUNKS)])
+
+    def hand_back(parts: pa.Table) -> pa.Table:
+        asked, told = parts.filter(parts["asks"]), parts.filter(pc.invert(parts["asks"])).sort_by("slice")
+        # Answers of a batch by rising range are those of its keys in their order.
+        sums = [np.concatenate([unsqueeze(x) for x in told[c].to_pylist()]) if told[c][0].as_py() is not None else None for c in "abcd"]
+        keys, _, inverse = union(asked)
+        rows, at = [], 0
+        for chunk, own_slice, own in zip(asked["chunk"].to_pylist(), asked["slice"].to_pylist(), keys, strict=True):
+            i = inverse[at : at + len(own)]
+            at += len(own)
+            rows.append((chunk, own_slice, asked["ngram"][0].as_py(), *[None if s is None else squeeze(s[i]) for s in sums], None))
+        return pa.Table.from_batches([batch_of(rows, CHUNKS)])
+
+    answers, parts = sum_ranges(blocks.groupBy("batch", "ngram").applyInArrow(add_up, CHUNKS))
+    asked = blocks.withColumn("asks", F.lit(True))
+    told = answers.withColumns({"batch": F.col("chunk"), "asks": F.lit(False)}).select(*asked.columns)
+    both = asked.unionByName(told).groupBy("batch", "ngram").applyInArrow(hand_back, CHUNKS)
+    return materialize(both, "chunk-answers", compression="uncompressed"), parts
+
+
 class Answered(Opened):
     """A chunk with the corpus' counts of its words, contexts and pairs; without: less the deleted fold."""
 
-    def __init__(self, group: pa.Table, key_bits: int):
+    def __init__(self, group: pa.Table):
         order = np.lexsort((group["slice"].to_numpy(), group["ngram"].to_numpy()))
-        super().__init__(group.slice(int(order[0]), 1).to_pylist()[0], key_bits)
+        super().__init__(group.slice(int(order[0]), 1).to_pylist()[0])
         self.group, self.order = group, order[1:]
 
     def counts(self, without: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -256,11 +305,11 @@ def bucket_of(context: np.ndarray) -> np.ndarray:
     return np.minimum(np.ceil(np.log2(context + 1.0)).astype(np.int64), BUCKETS - 1)
 
 
-def heldout_rows(chunks: DataFrame, answers: DataFrame, key_bits: int) -> DataFrame:
+def heldout_rows(chunks: DataFrame, answers: DataFrame) -> DataFrame:
     """(bucket, pair, context, word, n): deleted n-grams by their counts in the kept folds; rows of equal counts are added up."""
 
     def run(group: pa.Table) -> pa.Table:
-        chunk = Answered(group, key_bits)
+        chunk = Answered(group)
         word, context, pair = chunk.counts(without=True)
         rows, inverse = np.unique(np.stack([pair, context, word], 1), axis=0, return_inverse=True)
         n = np.bincount(inverse.reshape(-1), np.bincount(chunk.lay.token_pair), len(rows)).astype(np.int64)
@@ -271,10 +320,11 @@ def heldout_rows(chunks: DataFrame, answers: DataFrame, key_bits: int) -> DataFr
     return materialize(each.groupBy("bucket", "pair", "context", "word").agg(F.sum("n").alias("n")), "heldout")
 
 
-def learn(heldout: DataFrame, n: int, v: int, rounds: int = ROUNDS) -> list[tuple[float, float, float]]:
+def learn(heldout: DataFrame, n: int, v: int, tolerance: float = TOLERANCE) -> list[tuple[float, float, float]]:
     """(l2, l1, l0) for each context bucket by expectation-maximisation; only sums per bucket reach the driver."""
     weights = [(0.0, 1 / 2, 1 / 2), *[(1 / 3, 1 / 3, 1 / 3)] * (BUCKETS - 1)]
-    for _ in range(rounds):
+    moved = 1.0
+    while moved >= tolerance:
         table = F.array(*[F.array(*map(F.lit, w)) for w in weights])
         w = table[F.col("bucket").cast("int")]
         parts = [
@@ -290,25 +340,24 @@ def learn(heldout: DataFrame, n: int, v: int, rounds: int = ROUNDS) -> list[tupl
             # A hundredth of an event keeps the uniform part from vanishing where the deleted fold has few contexts.
             floor = (0.01 if r["bucket"] else 0.0, 0.01, 0.01)
             weights[r["bucket"]] = tuple((r[f"s{i}"] + x) / (total + sum(floor)) for i, x in enumerate(floor))
-        if max(abs(a - b) for x, y in zip(before, weights, strict=True) for a, b in zip(x, y, strict=True)) < 1e-4:
-            break
+        moved = max(abs(a - b) for x, y in zip(before, weights, strict=True) for a, b in zip(x, y, strict=True))
     return weights
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
+def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tolerance: float = TOLERANCE) -> DataFrame:
     """One row of SCORES per document, by a model learned from the training folds of the same table."""
     df = texts(docs, id_col, text_col)
-    range_bits, key_bits = sizes(df)
+    range_bits = range_bits_of(df)
     chunks = cut(df)
-    answers, parts = sum_ranges(deal(chunks, range_bits, key_bits))
+    answers, parts = count_all(chunks, range_bits)
     n, n_kept, v, v_kept = (int(x or 0) for x in parts.agg(*[F.sum(c) for c in ("n", "n_kept", "v", "v_kept")]).first())
-    weights = np.array(learn(heldout_rows(chunks, answers, key_bits), n_kept, v_kept, rounds))
+    weights = np.array(learn(heldout_rows(chunks, answers), n_kept, v_kept, tolerance))
 
     def run(group: pa.Table) -> pa.Table:
-        chunk = Answered(group, key_bits)
+        chunk = Answered(group)
         word, context, pair = chunk.counts(without=False)
         base = np.log10((word + 0.1) / (n + 0.1 * (v + 1)))
         w = weights[bucket_of(context)]

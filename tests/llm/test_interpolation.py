@@ -36,7 +36,7 @@ def brute(rows):
     n, v = sum(uni.values()), len(uni)
     events = [(bucket(ctx[a]), bi[a, w] / ctx[a] if ctx[a] else 0, uni[w] / max(n, 1), 1 / (v + 1)) for i, t in rows if fold(i) == 1 for a, w in zip([START, *tokens(t)], tokens(t))]
     weights = [[0, 0.5, 0.5]] + [[1 / 3] * 3 for _ in range(lm.BUCKETS - 1)]
-    for _ in range(lm.ROUNDS):
+    while True:
         sums = {}
         for b, *ps in events:
             e = [x * p for x, p in zip(weights[b], ps)]
@@ -84,6 +84,23 @@ def test_equals_brute_force(spark, monkeypatch):
     close(lm.score(docs).collect(), brute(rows))
 
 
+def test_batches_of_chunks_and_fine_ranges_agree(spark, monkeypatch):
+    monkeypatch.setattr(lm, "CHUNK_BYTES", 300)
+    monkeypatch.setattr(lm, "RANGE_BYTES", 400)
+    monkeypatch.setattr(lm, "COARSE_BITS", 2)
+    monkeypatch.setattr(lm, "cut", lambda docs, cut=lm.cut: cut(docs.repartition(3)))
+    rows = corpus()
+    docs = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, n int, `a.b` string")
+    assert lm.range_bits_of(lm.texts(docs)) > lm.COARSE_BITS
+    close(lm.score(docs).collect(), brute(rows))
+
+
+def test_a_very_long_text(spark):
+    rng = random.Random(3)
+    rows = [(i, " ".join(f"w{rng.randrange(40)}" for _ in range(n))) for i, n in enumerate([200_000, 30, 3, 100, 50, 60, 80, 20, 90, 40, 70])]
+    close(lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect(), brute(rows))
+
+
 def test_held_out_texts_are_likelier_than_under_the_base(spark):
     rng = random.Random(1)
     rows = [(i, " ".join(rng.choice(["the cat sat on the mat", "a dog ran to the park", "we all saw it then"]) for _ in range(20))) for i in range(200)]
@@ -102,8 +119,8 @@ def test_small_chunks_agree(spark, monkeypatch):
     chunk = lm.Chunk()
     for i, t in rows:
         chunk.add(i, t)
-    opened = lm.Opened(dict(zip(("chunk", "slice", "ngram", "a", "b", "c", "d", "e"), chunk.row(0), strict=True)), 40)
+    opened = lm.Opened(dict(zip(("chunk", "slice", "ngram", "a", "b", "c", "d", "e"), chunk.row(0), strict=True)))
     assert opened.ids == [i for i, _ in rows]
-    keys = [lm.unsqueeze_sorted(r[3]) for r in opened.blocks(0, 3, 40)]
+    keys = [lm.unsqueeze_sorted(r[3]) for r in opened.blocks(0, 3)]
     assert all((k[1:] >= k[:-1]).all() for k in keys)
     assert sum(len(k) for k in keys) == len(opened.lay.word_order) + len(opened.lay.left)
