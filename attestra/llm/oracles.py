@@ -73,4 +73,63 @@ reach AS (SELECT r AS a, r AS b FROM d UNION SELECT reach.a, links.b FROM reach
 least AS (SELECT a AS r, min(doc_id) AS component_id FROM reach JOIN d ON d.r = reach.b GROUP BY a)
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, coalesce(doc_id = component_id, false) AS kept FROM d LEFT JOIN n USING (r) JOIN least USING (r)"""
 
-ORACLES = {"op1_secret_ownership": SECRETS, "op3_warc_segments": WARC, "op8_quality_rules": QUALITY, "op9_hyperminhash": NEAR}
+
+
+def word_list(phrase: str) -> str:
+    return "[" + names(phrase.split()) + "]"
+
+
+def licence_sql() -> str:
+    """Alignments as groups of (row, template, offset) over unnested words joined with the templates' postings."""
+    index = licenses.Index()
+    postings = ", ".join(f"({quoted(w)}, {t}, {p})" for w, ps in zip(index.vocabulary, index.postings, strict=True) for t, p in ps)
+    in_place = " AND ".join(
+        f"(template <> {t} OR ({' AND '.join(f'off + {at} >= 0 AND ws[off + {at} + 1:off + {at + len(index.phrases[p].split())}] = {word_list(index.phrases[p])}' for p, at in keys)}))" for t, keys in enumerate(index.places)
+    )
+    label_of = "CASE template " + " ".join(f"WHEN {t} THEN {quoted(x.label)}" for t, x in enumerate(index.templates)) + " END"
+    most = max(len(p.split()) for p in licenses.PHRASES.values())
+    leads = ", ".join(f"lead(w, {i}) OVER o AS w{i}" for i in range(1, most))
+    stands = lambda p: " AND ".join(f"w{i or ''} = {quoted(x)}" for i, x in enumerate(p.split()))
+    base_of = "CASE " + " ".join(f"WHEN {stands(p)} THEN {quoted(label)}" for label, p in licenses.PHRASES.items()) + " END"
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({LOWER}, {quoted(licenses.WORD)}) AS ws FROM documents),
+e AS (SELECT r, unnest(ws) AS w, unnest(range(len(ws))) AS pos FROM d),
+b AS (SELECT r, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, list(DISTINCT base) AS base FROM (SELECT r, pos, {base_of} AS base FROM (SELECT *, {leads} FROM e WINDOW o AS (PARTITION BY r ORDER BY pos))) WHERE base IS NOT NULL GROUP BY r),
+postings(w, template, p) AS (VALUES {postings}),
+t AS (SELECT * FROM e WHERE w IN (SELECT w FROM postings)),
+aligned AS (SELECT r, template, pos - p AS off, count(*) AS n FROM t JOIN postings USING (w) GROUP BY ALL),
+counted AS (SELECT r, template, count(*) AS whole FROM (SELECT DISTINCT r, w FROM t) JOIN postings USING (w) GROUP BY ALL),
+good AS (SELECT r, {label_of} AS label, least(n::DOUBLE / whole, 1.0::DOUBLE) AS share FROM aligned JOIN counted USING (r, template) JOIN d USING (r) WHERE n >= 0.6::DOUBLE * whole AND n >= 2 AND {in_place}),
+m AS (SELECT r, list(DISTINCT label) AS own, max(share) AS score FROM good GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, array_to_string(list_sort(coalesce(base, [])), ',') AS base_labels,
+    array_to_string(list_sort(list_distinct(coalesce(base, []) || coalesce(own, []))), ',') AS labels, coalesce(score, 0.0)::DOUBLE AS score
+FROM d LEFT JOIN b USING (r) LEFT JOIN m USING (r)"""
+
+
+def url_sql() -> str:
+    """The tree level by level as a recursion over distinct shaped paths; node and branch counts are windows."""
+    rules = sorted(url_templates.RULES, key=lambda r: (len(r[1]) + len(r[2]), r[1] + r[2]), reverse=True)
+    fits = lambda h, p: f"(host = {quoted(h)} OR ends_with(host, {quoted('.' + h)})) AND starts_with(path, {quoted(p)})"
+    case = lambda pick: "CASE " + " ".join(f"WHEN {fits(h, p)} THEN {quoted(pick(v, h, p))}" for v, h, p in rules) + " END"
+    stem = r"regexp_extract(s, '^(.*?)(\.[A-Za-z0-9]{1,5})?$', 1)"
+    mark = f"CASE WHEN regexp_matches({stem}, '^[0-9]+$') THEN '{{n}}' WHEN regexp_matches({stem}, '^[0-9a-fA-F-]{{16,}}$') THEN '{{id}}' WHEN regexp_matches({stem}, '[0-9]{{3,}}') THEN regexp_replace({stem}, '[0-9]+', '{{n}}', 'g') ELSE {stem} END"
+    shape = f"{mark} || regexp_extract(s, '^(.*?)(\\.[A-Za-z0-9]{{1,5}})?$', 2)".replace("\\\\", "\\")
+    return rf"""
+WITH RECURSIVE u AS (SELECT page_id, url, contains(url, '://') AS there, regexp_replace(url, '(?s)^.*?://', '') AS rest FROM pages),
+h AS (SELECT page_id, coalesce(CASE WHEN there THEN translate(regexp_extract(rest, '(?s)^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END, '') AS host,
+    coalesce(CASE WHEN there THEN regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1) ELSE '' END, '') AS path FROM u),
+k AS (SELECT doc_id AS page_id, bool_or(quality = 0 OR toxic = 1) AS bad FROM labels WHERE doc_id IS NOT NULL AND (quality = 0 OR toxic = 1) IS NOT NULL GROUP BY doc_id),
+p AS (SELECT page_id, host, path, list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''), lambda s: {shape}) AS segs, (bad IS NOT NULL)::BIGINT AS n_labels, coalesce(bad::BIGINT, 0) AS n_bad FROM h LEFT JOIN k USING (page_id)),
+g AS (SELECT host, segs, sum(n_labels)::DOUBLE AS n_labels, sum(n_bad)::DOUBLE AS n_bad, '' AS template, len(segs) > 0 AS open, 0 AS level FROM p GROUP BY host, segs
+    UNION ALL
+    SELECT host, segs, n_labels, n_bad, template || '/' || CASE WHEN paths = 1 THEN array_to_string(segs[level + 1:], '/') WHEN least_seg <> most_seg AND abs((branch_bad + rate) / (branch_labels + 1) - rate) <= 2 * sqrt(rate * (1 - rate) / (branch_labels + 1)) THEN '*' ELSE segs[level + 1] END,
+        paths > 1 AND len(segs) > level + 1, level + 1
+    FROM (SELECT *, (sum(n_bad) OVER node + 0.5::DOUBLE) / (sum(n_labels) OVER node + 1) AS rate, count(*) OVER node AS paths, min(segs[level + 1]) OVER node AS least_seg, max(segs[level + 1]) OVER node AS most_seg, sum(n_labels) OVER branch AS branch_labels, sum(n_bad) OVER branch AS branch_bad
+        FROM g WHERE open WINDOW node AS (PARTITION BY host, template), branch AS (PARTITION BY host, template, segs[level + 1]))),
+e AS (SELECT *, sum(n_labels) OVER t AS t_labels, sum(n_bad) OVER t AS t_bad, sum(n_labels) OVER o AS h_labels, sum(n_bad) OVER o AS h_bad FROM g WHERE NOT open WINDOW t AS (PARTITION BY host, template), o AS (PARTITION BY host)),
+s AS (SELECT (sum(n_bad) + 0.5::DOUBLE) / (sum(n_labels) + 1) AS share FROM p),
+j AS (SELECT host, segs, (t_bad + 4 * (h_bad + 4 * share) / (h_labels + 4)) / (t_labels + 4) AS bad_share FROM e, s)
+SELECT page_id, host, path, {case(lambda v, h, p: h + p)} AS rule, coalesce({case(lambda v, h, p: v)}, CASE WHEN bad_share >= 0.5 THEN 'block' ELSE 'allow' END) AS verdict FROM p JOIN j USING (host, segs)"""
+
+
+ORACLES = {"op2_rare_token_index": licence_sql(), "op6_path_templates": url_sql(), "op1_secret_ownership": SECRETS, "op3_warc_segments": WARC, "op8_quality_rules": QUALITY, "op9_hyperminhash": NEAR}
