@@ -2,39 +2,29 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
+
 #: Java and RE2 read these alike: ASCII white space and maximal runs of anything else.
 SPACES = r"[\x20\x09-\x0D]+"
 WORDS = r"[^\x20\x09-\x0D]+"
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
-_own_dir: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset and all run in one process."""
-    told = spark.conf.get("spark.checkpoint.dir", None)
-    if told:
-        return told.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if not _own_dir:
-        _own_dir.append(tempfile.mkdtemp(prefix="attestra-"))
-    return _own_dir[0]
+def materialize(df: DataFrame, name: str, compression: str = "zstd", row_group: int | None = None) -> DataFrame:
+    """Write df as a Parquet table in the shared folder and read it back: lineage ends here and survives lost executors.
 
-
-def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back: lineage ends here and survives lost executors."""
+    row_group: bytes that a writing task gathers before it writes; for tables with large values.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
+    writer = df.write.option("compression", compression)
+    (writer.option("parquet.block.size", row_group) if row_group else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

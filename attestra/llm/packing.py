@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from . import bpe
 from .common import materialize, texts
 
+#: Characters encoded at a time, and bytes of pieces that a task gathers before it writes: ids are held in neither for long.
+BATCH_CHARS, ROW_GROUP = 1 << 20, 16 << 20
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, task long, task_rank long, ids binary"
 #: Pieces [first, stop) of a length, from token `skip` on for `taken` tokens, go to windows, per_window at a time.
 PLAN = "piece_length long, first long, stop long, skip long, taken long, per_window long, base_window long, base_offset long"
@@ -42,7 +44,7 @@ def pieces(docs: DataFrame, path: str, window: int = 1024, end_id: int = 0, *, i
         for batch in batches:
             names = batch.column(0).to_pylist()
             at = 0
-            for run in bpe.small_batches(batch.column(1).to_pylist()):
+            for run in bpe.small_batches(batch.column(1).to_pylist(), BATCH_CHARS):
                 rows: list[list] = [[] for _ in range(8)]
                 for blob in tok.encode_batch(run):
                     blob += end
@@ -192,4 +194,4 @@ def place(cut: DataFrame, window: int = 1024, *, with_ids: bool = False) -> Data
 
 def pack(docs: DataFrame, path: str, window: int = 1024, *, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, ids where asked for, sequence_id, offset."""
-    return place(materialize(pieces(docs, path, window, id_col=id_col, text_col=text_col), "pieces"), window, with_ids=with_ids)
+    return place(materialize(pieces(docs, path, window, id_col=id_col, text_col=text_col), "pieces", row_group=ROW_GROUP), window, with_ids=with_ids)
