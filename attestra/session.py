@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+_own_dir: list[str] = []
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -23,3 +25,22 @@ def ship_package(spark: SparkSession) -> None:
         for path in sorted(root.rglob("*.py")):
             z.write(path, str(path.relative_to(root.parent)))
     context.addPyFile(str(archive))
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset and all run in one process."""
+    told = spark.conf.get("spark.checkpoint.dir", None)
+    if told:
+        return told.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not _own_dir:
+        _own_dir.append(tempfile.mkdtemp(prefix="attestra-"))
+    return _own_dir[0]
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the shared folder, read back: it is computed once, and its lineage ends here."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
