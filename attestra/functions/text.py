@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -45,12 +47,42 @@ GENDERS = [
     ("women", r"\(w\)|\bwmns\b|\bwomen'?s?\b|\bwoman'?s?\b|\bwmn\b|\bladies\b|\bfemale\b"),
     ("men", r"\bmen'?s?\b|\bmens\b|\bmale\b"),
 ]
+#: What a colour word or phrase is called (fixed values); phrases of several words become one token.
+SYNONYMS = {
+    "wht": "white", "blk": "black", "gry": "grey", "gray": "grey", "univ red": "university red", "university red": "university red",
+    "varsity red": "varsity red", "gym red": "gym red", "sail": "sail", "cream": "cream", "off white": "off white", "offwhite": "off white",
+    "off-white": "off white", "midnight navy": "midnight navy", "navy": "navy", "royal": "royal", "game royal": "game royal",
+    "photon dust": "photon dust", "wolf grey": "wolf grey", "cool grey": "cool grey", "smoke grey": "smoke grey", "lt": "light", "dk": "dark",
+    "pnk": "pink", "grn": "green", "ylw": "yellow", "pur": "purple", "org": "orange", "brn": "brown", "gum": "gum", "coconut milk": "coconut milk",
+    "phantom": "phantom", "summit white": "summit white", "pale ivory": "pale ivory", "sesame": "sesame", "bone": "bone",
+    "cloud white": "cloud white", "core black": "core black", "collegiate green": "collegiate green", "sea salt": "sea salt",
+    "moonbeam": "moonbeam", "aluminum": "aluminum", "silver": "silver", "metallic silver": "metallic silver", "metallic gold": "metallic gold",
+    "gold": "gold",
+}
 #: Colour words by themselves (fixed values).
 COLOURS = (
-    "white black grey red blue green yellow orange purple pink brown navy royal sail cream gum gold silver tan beige teal burgundy maroon "
-    "olive khaki ivory bone phantom sesame mint lilac coral turquoise aqua crimson scarlet bred chicago panda mocha obsidian volt infrared cement"
+    "white black grey red blue green yellow orange purple pink brown navy royal sail cream gum gold silver tan beige teal burgundy maroon olive khaki ivory bone phantom sesame "
+    "mint lilac coral turquoise aqua crimson scarlet bred chicago panda mocha obsidian volt infrared cement military neutral light dark pale metallic wolf cool smoke university "
+    "varsity gym midnight photon dust summit core cloud collegiate sea salt moonbeam aluminum coconut milk game pine malachite lucky medium true bright sport team anthracite iron "
+    "particle platinum hemp wheat mushroom taupe rattan sand desert stone concrete graphite carbon ash chalk linen oatmeal cacao chocolate espresso walnut hazel amber rust copper "
+    "bronze brass"
+).split()
+#: Release nicknames and qualifiers, compared with each other and never with colours (fixed values).
+NICKNAMES = (
+    "panda bred chicago mocha reverse inverse alternate alt next nature shadow royal pine lucky toe cement military cactus jack fragment og"
 ).split()
-SYNONYMS = {"wht": "white", "blk": "black", "gry": "grey", "gray": "grey", "pnk": "pink", "grn": "green", "ylw": "yellow", "pur": "purple", "org": "orange", "brn": "brown"}
+#: Colours that can lead a colourway (fixed values).
+PRIMARIES = (
+    "white black grey red blue green yellow orange purple pink brown navy sail cream gum gold silver tan beige teal olive royal burgundy maroon obsidian bone ivory khaki phantom"
+).split()
+#: Phrases that are one token, the longest first.
+PHRASES = sorted((x for x, name in SYNONYMS.items() if " " in x + name or "-" in x), key=lambda x: -len(x))
+KNOWN = sorted({*COLOURS, *NICKNAMES, *SYNONYMS.values()})
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value evaluated once per row."""
+    return F.transform(F.array(value), body).getItem(0)
 
 
 def known_brand(text: Column) -> Column:
@@ -74,6 +106,12 @@ def brand_family(text: Column) -> Column:
     return F.when(brand.isin("Nike", "Jordan"), F.lit("Nike")).otherwise(brand)
 
 
+def known_family(text: Column) -> Column:
+    """Brand family in lower case, and empty for a brand that is not known: such a string is no evidence of anything."""
+    brand = known_brand(text)
+    return F.lower(F.when(brand.isin("Nike", "Jordan"), F.lit("Nike")).otherwise(brand))
+
+
 def size_category(text: Column) -> Column:
     low = F.lower(F.coalesce(text, F.lit("")))
     chain = F.when(gender_word(low) != "unknown", F.lit("adult")).otherwise(F.lit("unknown"))
@@ -101,10 +139,13 @@ def compatible(a: Column, b: Column, *unknown: str) -> Column:
 
 
 def colour_tokens(text: Column) -> Column:
-    """Ordered distinct colour words; synonyms by their canonical name."""
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z]+"), lambda w: w != "")
+    """Ordered distinct colours and nicknames by their canonical names; a known phrase is one token, and what touches it is part of it."""
+    low = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "&| and ", "/"), r"[()\[\]']", " ")
+    gap = r"\s/,\-–|"
+    phrase = rf"[^{gap}]*?(?<![a-z])(?:{'|'.join(PHRASES)})(?![a-z])[^{gap}]*"
     names = F.create_map(*[F.lit(x) for pair in SYNONYMS.items() for x in pair])
-    return F.array_distinct(F.filter(F.transform(words, lambda w: F.coalesce(F.try_element_at(names, w), w)), lambda w: w.isin(COLOURS)))
+    words = F.transform(F.regexp_extract_all(low, F.lit(rf"{phrase}|[^{gap}]+"), F.lit(0)), lambda w: F.coalesce(F.try_element_at(names, w), w))
+    return F.array_distinct(F.filter(words, lambda w: w.isin(KNOWN)))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -120,7 +161,19 @@ def nickname_score(nickname: Column, name: Column) -> Column:
 
 
 def colour_similarity(a: Column, b: Column) -> Column:
-    """Jaccard of colour words, times 0.7 where the leading colours differ; null where either side has none."""
-    x, y = colour_tokens(a), colour_tokens(b)
-    lead = F.when(F.get(x, F.lit(0)) == F.get(y, F.lit(0)), F.lit(1.0)).otherwise(F.lit(0.7))
-    return F.when((F.size(x) > 0) & (F.size(y) > 0), jaccard(x, y) * lead)
+    """The lesser of two Jaccard measures, those of colours (times 0.7 where the leading primaries differ) and of nicknames.
+
+    Null where the texts have neither kind in common to compare.
+    """
+    colours = lambda t: F.filter(t, lambda w: ~w.isin(NICKNAMES))
+    nicknames = lambda t: F.filter(t, lambda w: w.isin(NICKNAMES))
+    lead = lambda t: F.get(F.filter(F.split(F.array_join(colours(t), " "), " "), lambda w: w.isin(PRIMARIES)), F.lit(0))
+    both = lambda x, y: (F.size(x) > 0) & (F.size(y) > 0)
+
+    def compared(x: Column, y: Column) -> Column:
+        turned = F.when(F.coalesce(lead(x) != lead(y), F.lit(False)), F.lit(0.7)).otherwise(F.lit(1.0))
+        by_colour = F.when(both(colours(x), colours(y)), jaccard(colours(x), colours(y)) * turned)
+        by_name = F.when(both(nicknames(x), nicknames(y)), jaccard(nicknames(x), nicknames(y)))
+        return F.least(by_colour, by_name)
+
+    return let(colour_tokens(a), lambda x: let(colour_tokens(b), lambda y: compared(x, y)))

@@ -11,52 +11,85 @@ from pyspark.sql import functions as F
 
 from ..session import ship_package
 
-#: A query set is broadcast; a larger one is to be given in parts.
-MOST_QUERIES = 10_000
+#: Queries go through the driver and to the executors in groups of about so many bytes; each group is one pass over the vectors.
+GROUP_BYTES = 64 << 20
+#: Queries and vectors that meet in one matrix product.
+QUERY_ROWS, VECTOR_ROWS = 1024, 8192
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-300)
 
 
-def best_of(query: int, ids: np.ndarray, sims: np.ndarray, k: int, exclude_self: bool) -> list[tuple[int, int, float]]:
-    """At least the k best of one batch, with all that tie with the last of them."""
-    keep = np.flatnonzero(ids != query) if exclude_self else np.arange(len(ids))
-    if len(keep) > k:
-        edge = np.partition(sims[keep], len(keep) - k)[len(keep) - k]
-        keep = keep[sims[keep] >= edge - 1e-9]
-    return [(query, int(ids[j]), float(sims[j])) for j in keep]
-
-
-def nearest(queries: DataFrame, vectors: DataFrame, k: int, *, id_col: str = "vec_id", vector_col: str = "embedding", exclude_self: bool = True) -> DataFrame:
+class Best:
+    """The k best vectors of every query so far: larger similarity first (to nine decimals), then the smaller id."""
+
+    def __init__(self, names: np.ndarray, matrix: np.ndarray, k: int, exclude_self: bool):
+        self.names, self.matrix, self.k, self.exclude_self = names, matrix, k, exclude_self
+        self.query, self.id, self.sim = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+
+    def add(self, ids: np.ndarray, rows: np.ndarray) -> None:
+        order = np.argsort(ids, kind="stable")
+        ids, rows = ids[order], unit(rows[order])
+        found = [(self.query, self.id, self.sim)]
+        for at in range(0, len(self.names), QUERY_ROWS):
+            sims = self.matrix[at : at + QUERY_ROWS] @ rows.T
+            # One number holds a similarity and, among equals, the place of the id: no two are the same.
+            key = (np.round(sims * 1e9).astype(np.int64) << 14) | (16383 - np.arange(len(ids)))
+            if self.exclude_self:
+                key[ids[None, :] == self.names[at : at + QUERY_ROWS, None]] = np.iinfo(np.int64).min
+            best = np.argpartition(-key, self.k - 1, axis=1)[:, : self.k] if len(ids) > self.k else np.broadcast_to(np.arange(len(ids)), sims.shape)
+            query = np.repeat(np.arange(at, at + len(sims)), best.shape[1])
+            place = best.reshape(-1)
+            keep = key[query - at, place] > np.iinfo(np.int64).min
+            found.append((query[keep], ids[place[keep]], sims[query[keep] - at, place[keep]]))
+        query, vec, sim = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((vec, -np.round(sim * 1e9), query))
+        query, vec, sim = query[order], vec[order], sim[order]
+        rank = np.arange(len(query)) - np.searchsorted(query, query)
+        self.query, self.id, self.sim = query[rank < self.k], vec[rank < self.k], sim[rank < self.k]
+
+
+def nearest(queries: DataFrame, vectors: DataFrame, k: int, *, id_col: str = "vec_id", vector_col: str = "embedding", exclude_self: bool = True, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """query_id, vec_id, similarity, rank: the k most alike vectors of every query, ties to the smaller id.
 
-    Each Arrow batch of vectors gives one matrix product with the queries and keeps its own k best, so k rows per query and batch
-    reach the shuffle, whatever the number of vectors. Null vectors are left out.
+    Queries are dealt to groups of bounded size. For each group, one pass over the vectors multiplies blocks of both and keeps k per
+    query and task, so k rows per query and task reach the shuffle, whatever the number of vectors. Null vectors are left out.
     """
     spark = queries.sparkSession
     ship_package(spark)
-    asked = queries.where(F.col(vector_col).isNotNull()).select(id_col, vector_col).limit(MOST_QUERIES + 1).collect()
-    if len(asked) > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries: give them in parts")
     schema = "query_id long, vec_id long, similarity double"
-    if not asked:
-        return spark.createDataFrame([], schema + ", rank int")
-    names = [r[0] for r in asked]
-    matrix = spark.sparkContext.broadcast(unit(np.array([r[1] for r in asked], np.float64)))
+    asked = queries.where(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    size = asked.agg(F.sum(8 * F.size("v") + 8)).first()[0] or 0
+    groups = -(-size // group_bytes)
+    known = vectors.where(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long"), F.col(vector_col).cast("array<double>"))
+    out = spark.createDataFrame([], schema)
+    for group in range(groups):
+        rows = asked.where(F.pmod(F.xxhash64("id"), F.lit(groups)) == group).toArrow()  # about group_bytes
+        if rows.num_rows:
+            out = out.union(known.mapInArrow(one_group(spark, rows, k, exclude_self), schema))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("similarity", 9)), "vec_id"))
+    return out.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def matrix_of(column: pa.ChunkedArray | pa.Array, n: int) -> np.ndarray:
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return flat.flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+
+
+def one_group(spark, rows: pa.Table, k: int, exclude_self: bool):
+    """The pass over vectors for one group of queries, as a function for mapInArrow."""
+    held = spark.sparkContext.broadcast((rows["id"].to_numpy(), unit(matrix_of(rows["v"], rows.num_rows))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = Best(*held.value, k, exclude_self)
         for batch in batches:
-            if batch.num_rows:
-                ids = batch.column(0).to_numpy()
-                sims = matrix.value @ unit(batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)).T
-                out = [x for q, row in zip(names, sims, strict=True) for x in best_of(q, ids, row, k, exclude_self)]
-                kinds = (pa.int64(), pa.int64(), pa.float64())
-                yield pa.record_batch([pa.array([o[i] for o in out], t) for i, t in enumerate(kinds)], names=["query_id", "vec_id", "similarity"])
+            for at in range(0, batch.num_rows, VECTOR_ROWS):
+                part = batch.slice(at, VECTOR_ROWS)
+                best.add(part.column(0).to_numpy(), matrix_of(part.column(1), part.num_rows))
+        yield pa.record_batch([pa.array(held.value[0][best.query]), pa.array(best.id), pa.array(best.sim)], names=["query_id", "vec_id", "similarity"])
 
-    known = vectors.where(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long"), F.col(vector_col).cast("array<double>"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("similarity", 9)), "vec_id"))
-    return known.mapInArrow(run, schema).withColumn("rank", rank).where(F.col("rank") <= k)
+    return run
 
 
 def max_pool(near: DataFrame, owners: DataFrame, *, id_col: str = "vec_id", owner_col: str = "label") -> DataFrame:

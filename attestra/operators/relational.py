@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.codes import normalize_code
+from ..functions.text import let
 
 
 def json_pairs(df: DataFrame, id_col: str, json_col: str) -> DataFrame:
@@ -26,11 +27,16 @@ def harvest(hits: DataFrame, trust: DataFrame, default: float = 0.5) -> DataFram
     return known.groupBy("code").agg(F.count(F.lit(1)).alias("n_domains"), F.round(F.sum(value), 6).alias("trust"), F.min("ord").alias("first_ord"))
 
 
+def segments_of(style_id: Column) -> Column:
+    """array<struct(code, display)> of a compound code: split at slashes, without what stands in parentheses, codes normalised and distinct."""
+    parts = F.transform(F.split(F.coalesce(style_id, F.lit("")), "/"), lambda x: F.trim(F.regexp_replace(x, r"\([^)]*\)", "")))
+    named = F.filter(F.transform(parts, lambda x: F.struct(normalize_code(x).alias("code"), x.alias("display"))), lambda x: x["code"] != "")
+    return let(named, lambda xs: let(F.transform(xs, lambda x: x["code"]), lambda cs: F.filter(xs, lambda x, i: F.array_position(cs, x["code"]) == i + 1)))
+
+
 def segments(df: DataFrame, id_col: str, code_col: str) -> DataFrame:
-    """id, style_code for each part of a compound code: split at slashes, without what stands in parentheses, normalised."""
-    parts = F.split(F.regexp_replace(F.coalesce(F.col(code_col), F.lit("")), r"\([^)]*\)", ""), "/")
-    codes = F.array_distinct(F.filter(F.transform(parts, normalize_code), lambda c: c != ""))
-    return df.select(F.col(id_col), F.explode(codes).alias("style_code"))
+    """id, style_code for each part of a compound code."""
+    return df.select(F.col(id_col), F.explode(F.transform(segments_of(F.col(code_col)), lambda x: x["code"])).alias("style_code"))
 
 
 def choose_listing(parts: DataFrame) -> DataFrame:

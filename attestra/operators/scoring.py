@@ -1,4 +1,8 @@
-"""Scoring and resolution of candidates as columns: components, contradictions, verdicts, tiers, winners."""
+"""Scoring and resolution of candidates as columns: components, contradictions, verdicts, tiers, winners, final rows.
+
+Pairs are candidates beside their query's observation (columns o_*, from `pair`). Every step adds columns; `resolve` and `finalize`
+rank by one window per query.
+"""
 
 from __future__ import annotations
 
@@ -8,97 +12,166 @@ from pyspark.sql import functions as F
 from ..config import Settings
 from ..functions import models
 from ..functions import text as tx
+from .observe import filled, text
+
+NEUTRAL = 0.5
+#: Words of a product type that is footwear (fixed values).
+FOOTWEAR = "sneaker|shoe|footwear|boot|slide|sandal|clog"
+#: Evidence that counts as a signal of its own (fixed values).
+SIGNALS = ("page_sku", "vision_tag", "web", "embedding", "vision_guess", "user")
+COMPONENTS = ("sku", "model", "colorway", "embedding", "metadata", "agreement")
 
 
 def rescale(similarity: Column, floor: float, full: float) -> Column:
     """Cosine to [0, 1] between floor and full; unknown is 0.5."""
     scaled = (similarity - floor) / max(1e-6, full - floor)
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), scaled)), F.lit(0.5))
-
-
-def sku_component(kinds: Column, weights: Column, agreement: Column, trust: Column) -> Column:
-    """Best of the evidence kinds (arrays kind, weight of equal length)."""
-    score = lambda k, w: (
-        F.when(k == "page_sku", F.when(w >= 0.85, F.lit(1.0)).otherwise(F.lit(0.8)))
-        .when(k == "tag", F.lit(0.9))
-        .when(k == "web", F.least(F.lit(1.0), 0.35 + 0.15 * F.coalesce(agreement, F.lit(0)) + 0.1 * F.least(F.coalesce(trust, F.lit(0.0)), F.lit(2.0))))
-        .when(k == "guess", F.lit(0.35))
-        .when(k == "catalog_search", F.lit(0.15))
-        .when(k == "embedding", F.lit(0.1))
+    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), scaled)), F.lit(NEUTRAL))
+
+
+def pair(candidates: DataFrame, observations: DataFrame, web: DataFrame) -> DataFrame:
+    """Candidates with their observation as o_* and what the web says of their code (query_id, style_code, agreement, trust)."""
+    own = observations.select("query_id", *[F.col(c).alias(f"o_{c}") for c in observations.columns if c != "query_id"])
+    said = web.select("query_id", "style_code", F.col("agreement").alias("web_agreement"), F.col("trust").alias("web_trust"))
+    return candidates.join(own, "query_id").join(said, ["query_id", "style_code"], "left")
+
+
+def sku_component(evidence: Column, agreement: Column, trust: Column) -> Column:
+    """struct(value, why): the best of the evidence (struct kind, weight); web evidence without a web row counts one domain of trust 0.5."""
+    kind, weight = (lambda e: e["kind"]), (lambda e: e["weight"])
+    web = F.least(F.lit(1.0), 0.35 + 0.15 * F.coalesce(agreement, F.lit(1)) + 0.1 * F.least(F.coalesce(trust, F.lit(0.5)), F.lit(2.0)))
+    value = lambda e: (
+        F.when(kind(e) == "page_sku", F.when(weight(e) >= 0.85, F.lit(1.0)).otherwise(F.lit(0.8)))
+        .when(kind(e) == "vision_tag", F.lit(0.9))
+        .when(kind(e) == "web", web)
+        .when(kind(e) == "vision_guess", F.lit(0.35))
+        .when(kind(e) == "catalog_search", F.lit(0.15))
+        .when(kind(e) == "embedding", F.lit(0.1))
         .otherwise(F.lit(0.0))
     )
-    return F.coalesce(F.array_max(F.zip_with(kinds, weights, score)), F.lit(0.0))
+    scored = F.transform(evidence, lambda e, i: F.struct(value(e).alias("value"), (-i).alias("order"), kind(e).alias("why")))
+    best = tx.let(F.array_max(scored), lambda b: F.when(b["value"] > 0, F.struct(b["value"].alias("value"), b["why"].alias("why"))))
+    return F.coalesce(best, F.struct(F.lit(0.0).alias("value"), F.lit("none").alias("why")))
 
 
 def mean_of_known(*checks: Column) -> Column:
     """Mean of the checks that are not null; 0.5 where none is."""
     known = F.filter(F.array(*checks), lambda x: x.isNotNull())
-    return F.coalesce(F.try_divide(F.aggregate(known, F.lit(0.0), lambda a, x: a + x), F.size(known)), F.lit(0.5))
-
-
-def metadata_component(d: dict[str, Column]) -> Column:
-    """Price ratio in [0.55, 1.35], gender, size category and brand family, as far as both sides know them."""
-    priced = (F.coalesce(d["price"], F.lit(0.0)) > 0) & (F.coalesce(d["retail_price"], F.lit(0.0)) > 0)
-    ratio = F.try_divide(d["price"], d["retail_price"])
-    flag = lambda same: F.when(same.isNull(), F.lit(None)).when(same, F.lit(1.0)).otherwise(F.lit(0.0))
-    return mean_of_known(
-        F.when(priced, F.when((ratio >= 0.55) & (ratio <= 1.35), F.lit(1.0)).otherwise(F.lit(0.3))),
-        flag(tx.compatible(d["gender"], d["cand_gender"], "unisex")),
-        flag(tx.compatible(d["size"], d["cand_size"])),
-        flag(tx.compatible(F.lower(tx.brand_family(d["brand"])), F.lower(tx.brand_family(d["cand_brand"])))),
-    )
+    return F.coalesce(F.try_divide(F.aggregate(known, F.lit(0.0), lambda a, x: a + x), F.size(known)), F.lit(NEUTRAL))
+
+
+def same_family(a: Column, b: Column) -> Column:
+    """Whether two brands are of one family; null where either is not known."""
+    x, y = tx.known_family(a), tx.known_family(b)
+    return F.when((x != "") & (y != ""), x == y)
+
 
+def colour_component(wanted: Column, colorway: Column, name: Column, name_colours: Column, nickname: Column) -> Column:
+    """The best likeness of the observed colour texts with the catalogue's colourway, else with the name's; or by the nickname."""
+    target = F.when(text(colorway) != "", colorway).when(text(name) != "", name_colours)
+    by_colour = F.array_max(F.transform(wanted, lambda c: tx.colour_similarity(c, target)))
+    by_name = F.when((nickname != "") & (text(name) != ""), tx.nickname_score(nickname, name_colours))
+    return F.coalesce(F.greatest(by_colour, by_name), F.lit(NEUTRAL))
 
-def score(df: DataFrame, settings: Settings | None = None) -> DataFrame:
-    """Candidates with component columns c_* and score before contradictions. Columns are named as in the fixtures."""
+
+def metadata_component(price: Column, retail: Column, *checks: Column) -> Column:
+    """Mean of a price ratio in [0.55, 1.35] and of the tri-state checks, as far as they are known."""
+    priced = (F.coalesce(price, F.lit(0.0)) != 0) & (F.coalesce(retail, F.lit(0.0)) != 0)
+    ratio = F.try_divide(price, retail)
+    flag = lambda same: F.when(same, F.lit(1.0)).when(~same, F.lit(0.0))
+    return mean_of_known(F.when(priced, F.when((ratio >= 0.55) & (ratio <= 1.35), F.lit(1.0)).otherwise(F.lit(0.3))), *map(flag, checks))
+
+
+def score(pairs: DataFrame, settings: Settings | None = None) -> DataFrame:
+    """Pairs with the components c_*, why (the evidence that gave c_sku), raw_score, and what contradictions need besides.
+
+    Candidates have query_id, style_code, evidence (array of struct kind, weight), similarity, ord and, empty where nothing is known,
+    name, brand, model, colorway, gender, size_category, retail_price, product_type, disagree (several listings that differ), and what
+    the name says: name_model, name_colours. Models of candidates are canonical names, as titles are parsed to.
+    """
     s = settings or Settings()
-    w, t = s.weights, s.thresholds
-    c = F.col
-    strong = F.filter(F.array_distinct("kinds"), lambda k: k != "catalog_search")
-    # A release's nickname is compared with the colour words of the candidate's name, where observations carry one.
-    nickname = tx.nickname_score(c("nickname"), models.colour_text(c("name"))) if "nickname" in df.columns else F.lit(None).cast("double")
-    df = df.withColumns(
+    t, c = s.thresholds, F.col
+    df = pairs.withColumn("own_model", filled(text("model"), text("name_model")))
+    df = df.withColumns({"same_size": tx.compatible(c("o_size_category"), c("size_category")), "same_gender": tx.compatible(c("o_gender"), c("gender"), "unisex"), "same_brand": same_family(c("o_brand"), c("brand"))})
+    df = models.with_model_similarity(df, "o_model", "own_model", "model_similarity", names=("o_model_name", "own_model"))
+    strong = F.array_intersect(F.transform("evidence", lambda e: e["kind"]), F.array(*map(F.lit, SIGNALS)))
+    df = df.withColumn("sku", sku_component(c("evidence"), c("web_agreement"), c("web_trust"))).withColumns(
         {
-            "c_sku": sku_component(c("kinds"), c("weights"), c("agreement"), c("trust")),
-            "c_model": F.coalesce(c("model_similarity"), F.lit(0.5)),
-            "c_colorway": F.coalesce(F.greatest(tx.colour_similarity(c("observed_colorway"), c("colorway")), nickname), F.lit(0.5)),
+            "c_sku": c("sku.value"),
+            "why": c("sku.why"),
+            "c_model": F.coalesce(c("model_similarity"), F.lit(NEUTRAL)),
+            "c_colorway": colour_component(c("o_colorways"), c("colorway"), c("name"), c("name_colours"), c("o_nickname")),
             "c_embedding": rescale(c("similarity"), t.similarity_floor, t.similarity_full),
-            "c_metadata": metadata_component({"price": c("price"), "retail_price": c("retail_price"), "gender": c("gender"), "cand_gender": c("cand_gender"), "size": c("size_category"), "cand_size": c("cand_size_category"), "brand": c("brand"), "cand_brand": c("cand_brand")}),
+            "c_metadata": metadata_component(c("o_price"), c("retail_price"), c("same_gender"), c("same_size"), c("same_brand")),
             "c_agreement": F.least(F.lit(1.0), F.size(strong) / 2.0),
         }
     )
-    total = sum((F.col(f"c_{n}") * getattr(w, n) for n in ("sku", "model", "colorway", "embedding", "metadata", "agreement")), F.lit(0.0))
-    return df.withColumn("raw_score", F.round(total, 4))
+    total = sum((c(f"c_{n}") * getattr(s.weights, n) for n in COMPONENTS), F.lit(0.0))
+    return df.withColumn("raw_score", F.round(total, 4)).drop("sku")
+
 
+def contradict(scored: DataFrame) -> DataFrame:
+    """Adds contradictions (hard ones first), penalty, rejected, rejection_reason and the score after the penalty.
 
-def contradict(df: DataFrame) -> DataFrame:
-    """Adds hard and soft contradictions, penalty, rejected and the score after both."""
+    What is known of the query from photos alone weighs against a candidate, and rejects it only where the photos are certain.
+    """
     c = F.col
-    size = tx.compatible(c("size_category"), c("cand_size_category"))
-    brand = tx.compatible(F.lower(tx.brand_family(c("brand"))), F.lower(tx.brand_family(c("cand_brand"))))
-    genders = tx.compatible(c("gender"), c("cand_gender"), "unisex")
-    kind = F.lower(F.coalesce(c("product_type"), F.lit("")))
-    wears = (kind == "") | kind.rlike("sneaker|shoe|footwear|boot|sandal|slide|clog|trainer")
-    when = lambda cond, name: F.when(F.coalesce(cond, F.lit(False)), F.lit(name))
-    hard = F.array_compact(F.array(when(~wears, "product_type_mismatch"), when(~size, "size_category_mismatch"), when(c("model_similarity") < 0.5, "model_mismatch"), when(~brand, "brand_mismatch")))
-    rules = [
-        (~genders, 0.15, "gender_mismatch"),
-        (c("c_colorway") < 0.2, 0.3, "colorway_mismatch"),
-        ((F.coalesce(c("tag_code"), F.lit("")) != "") & (c("tag_code") != c("style_code")), 0.4, "tag_style_code_mismatch"),
-        ((F.coalesce(c("page_code"), F.lit("")) != "") & (c("page_code") != c("style_code")), 0.25, "page_style_code_mismatch"),
+    kind = F.lower(text("product_type"))
+    asked, own, sim = c("o_model_name"), c("own_model"), c("model_similarity")
+    apart = (asked != "") & (own != "") & (asked != own)
+    other = apart & (sim < 0.5)
+    unsure = lambda what: c(f"o_{what}_from_photos") & ~c(f"o_{what}_certain")
+    hard = [
+        ((kind != "") & ~kind.rlike(FOOTWEAR), "product_type"),
+        (~c("same_size") & ~c("o_size_from_photos"), "size_category_mismatch"),
+        (other & ~unsure("model"), "model_mismatch"),
+        (~c("same_brand") & ~unsure("brand"), "brand_mismatch"),
     ]
-    penalty = sum((F.when(F.coalesce(cond, F.lit(False)), F.lit(p)).otherwise(F.lit(0.0)) for cond, p, _ in rules), F.lit(0.0))
-    soft = F.array_compact(F.array(*[when(cond, name) for cond, _, name in rules]))
-    return df.withColumns({"hard": hard, "soft": soft, "penalty": penalty}).withColumns({"rejected": F.size("hard") > 0, "score": F.round(F.greatest(F.lit(0.0), c("raw_score") - F.col("penalty")), 4)})
+    soft = [
+        (~c("same_size") & c("o_size_from_photos"), 0.25, "size_category_mismatch_in_photos"),
+        (~c("same_gender"), 0.15, "gender_mismatch"),
+        (other & unsure("model"), 0.3, "model_mismatch_in_photos"),
+        (apart & (sim >= 0.5) & (sim < 0.9), 0.05, "model_height_unspecified"),
+        ((F.round("c_colorway", 4) < 0.2) & (F.size("o_colorways") > 0) & (text("colorway") != ""), 0.3, "colorway_conflict"),
+        ((c("o_tag_code") != "") & (c("o_tag_code") != c("style_code")), 0.4, "tag_style_code_mismatch"),
+        ((F.size("o_labeled_codes") > 0) & ~F.array_contains("o_labeled_codes", c("style_code")), 0.25, "page_style_code_mismatch"),
+        (~c("same_brand") & unsure("brand"), 0.3, "brand_mismatch_in_photos"),
+        ((text("o_collab") != "") & (text("name") != "") & ~F.contains(F.lower("name"), F.lower(text("o_collab"))), 0.2, "collab_missing"),
+        (~c("o_images_consistent"), 0.1, "query_images_inconsistent"),
+        ((text("name") == "") & (text("model") == "") & (text("colorway") == ""), 0.3, "no_catalog_identity"),
+    ]
+    many = F.coalesce(c("disagree"), F.lit(False))
+    fired = lambda cond: F.coalesce(cond, F.lit(False))
+    penalty = sum((F.when(fired(cond), F.lit(p)).otherwise(F.lit(0.0)) for cond, p, _ in soft), F.lit(0.0)) + F.when(many, F.lit(0.05)).otherwise(F.lit(0.0))
+    names = lambda rules: F.array_compact(F.array(*[F.when(fired(r[0]), F.lit(r[-1])) for r in rules]))
+    df = scored.withColumns({"hard": names(hard), "soft": names([(many, "several_products"), *soft]), "penalty": penalty})
+    return df.withColumns(
+        {
+            "contradictions": F.concat("hard", "soft"),
+            "rejected": F.size("hard") > 0,
+            "rejection_reason": F.coalesce(F.get("hard", F.lit(0)), F.lit("")),
+            "score": F.round(F.greatest(F.lit(0.0), c("raw_score") - c("penalty")), 4),
+        }
+    ).drop("hard", "soft")
 
 
-def verify(df: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Verdicts joined by (query_id, style_code): different rejects, uncertain caps at 0.84, same lifts with its confidence."""
-    v = verdicts.select("query_id", "style_code", F.lower(F.trim("verdict")).alias("verdict"), F.col("confidence").alias("verdict_confidence"))
+def verify(df: DataFrame, verdicts: DataFrame, settings: Settings | None = None) -> DataFrame:
+    """Verdicts (query_id, style_code, verdict, confidence, contradictions) joined by code: different rejects and adds its notes,
+    uncertain caps the score below medium, same lifts it with its confidence."""
+    t, c = (settings or Settings()).thresholds, F.col
+    v = verdicts.select("query_id", "style_code", F.lower(F.trim("verdict")).alias("verdict"), c("confidence").alias("verdict_confidence"), c("contradictions").alias("notes"))
     joined = df.join(v, ["query_id", "style_code"], "left")
-    lift = F.when(F.col("verdict_confidence") >= 0.85, F.lit(0.10)).when(F.col("verdict_confidence") >= 0.7, F.lit(0.05)).otherwise(F.lit(0.0))
-    changed = F.when(F.col("verdict") == "same", F.least(F.lit(1.0), F.col("score") + lift)).when(F.col("verdict") == "uncertain", F.least(F.col("score"), F.lit(0.84))).otherwise(F.col("score"))
-    return joined.withColumns({"score": F.round(changed, 4), "rejected": F.col("rejected") | F.coalesce(F.col("verdict") == "different", F.lit(False))})
+    lift = F.when(c("verdict_confidence") >= 0.85, F.lit(0.10)).when(c("verdict_confidence") >= 0.7, F.lit(0.05)).otherwise(F.lit(0.0))
+    changed = F.when(c("verdict") == "same", F.round(F.least(F.lit(1.0), c("score") + lift), 4)).when(c("verdict") == "uncertain", F.round(F.least(c("score"), F.lit(t.medium - 0.01)), 4))
+    different = F.coalesce(c("verdict") == "different", F.lit(False))
+    notes = F.when(different, F.transform(F.coalesce("notes", F.array().cast("array<string>")), lambda n: F.concat(F.lit("verifier:"), n))).otherwise(F.array().cast("array<string>"))
+    return joined.withColumns(
+        {
+            "score": F.coalesce(changed, c("score")),
+            "rejected": c("rejected") | different,
+            "rejection_reason": F.when((c("rejection_reason") == "") & different, F.lit("verifier:different")).otherwise(c("rejection_reason")),
+            "contradictions": F.concat("contradictions", notes),
+        }
+    ).drop("notes")
 
 
 def tier(confidence: Column, settings: Settings | None = None) -> Column:
@@ -106,29 +179,109 @@ def tier(confidence: Column, settings: Settings | None = None) -> Column:
     return F.when(confidence >= t.high, F.lit("high")).when(confidence >= t.medium, F.lit("medium")).when(confidence >= t.low, F.lit("low")).otherwise(F.lit("unresolved"))
 
 
+def rank(candidates: DataFrame) -> DataFrame:
+    """Candidates with place: the living first, by score, then as they came."""
+    return candidates.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("rejected", F.desc("score"), "ord")))
+
+
 def resolve(queries: DataFrame, candidates: DataFrame, settings: Settings | None = None) -> DataFrame:
-    """One row per query: style_code, status, confidence, failure codes, review_required, identified.
+    """One row per query: style_code, confidence, status, failure and the notes that explain them.
 
-    One window per query ranks live candidates with an identity; the winner and its runner-up decide.
+    queries: query_id, confirmed (the catalogue confirms the leader), labeled_codes. One window per query puts living candidates
+    with an identity first; the winner and its runner-up decide.
     """
-    t = (settings or Settings()).thresholds
+    t, c = (settings or Settings()).thresholds, F.col
     own = Window.partitionBy("query_id").orderBy("dead", F.desc("score"), "ord")
-    known = (F.coalesce(F.col("name"), F.lit("")) != "") | (F.coalesce(F.col("colorway"), F.lit("")) != "") | (F.coalesce(F.col("model"), F.lit("")) != "")
-    df = candidates.withColumn("dead", F.when(F.col("rejected"), F.lit(2)).when(~known, F.lit(1)).otherwise(F.lit(0)))
-    df = df.withColumns({"rank": F.row_number().over(own), "next_dead": F.lead("dead").over(own), "next_score": F.lead("score").over(own), "next_verdict": F.lead("verdict").over(own)})
-    top = df.where("rank = 1").select("query_id", "style_code", "score", "dead", "verdict", "next_dead", "next_score", "next_verdict", "page_confirmed", "model_similarity", "c_colorway", F.size("hard").alias("n_hard"), F.size("soft").alias("n_soft"))
-    row = queries.select("query_id").join(top, "query_id", "left")
-    same = F.coalesce(F.col("verdict") == "same", F.lit(False))
-    settled = same & ~F.coalesce(F.col("next_verdict") == "same", F.lit(False))
-    close = F.coalesce((F.col("next_dead") == 0) & (F.col("next_score") >= F.col("score") - t.runner_up_gap), F.lit(False)) & ~settled
-    gone, unnamed = F.col("dead").isNull() | (F.col("dead") == 2), F.col("dead") == 1
-    page = F.coalesce(F.col("page_confirmed"), F.lit(False)) & (F.col("n_hard") + F.col("n_soft") == 0) & (F.coalesce("model_similarity", F.lit(0.5)) >= 0.5) & (F.col("c_colorway") >= 0.5) & ~close & ~F.coalesce(F.col("verdict") == "uncertain", F.lit(False))
-    base = F.when(close, F.least(F.col("score"), F.lit(t.medium - 0.01))).otherwise(F.col("score"))
-    lifted = F.when(page, F.greatest(base, F.lit(t.high))).otherwise(base)
-    capped = F.when((lifted >= t.high) & ~same & ~page, F.lit(t.high - 0.01)).otherwise(lifted)
-    confidence = F.round(F.when(gone, F.lit(0.0)).when(unnamed, F.least(F.col("score"), F.lit(t.low - 0.01))).otherwise(capped), 4)
-    failure = F.when(F.col("dead").isNull(), F.lit("NO_CANDIDATES")).when(gone, F.lit("CONTRADICTORY_EVIDENCE")).when(unnamed, F.lit("CATALOG_MATCH_UNCERTAIN")).when(close, F.lit("MULTIPLE_CANDIDATES")).otherwise(F.lit(""))
-    out = row.select("query_id", F.when(gone, F.lit(None)).otherwise(F.col("style_code")).alias("style_code"), confidence.alias("confidence"), failure.alias("failure"), (gone | unnamed).alias("void"))
-    status = F.when(F.col("void"), F.lit("unresolved")).otherwise(tier(F.col("confidence"), settings))
-    out = out.withColumn("status", status)
-    return out.select("query_id", "style_code", "confidence", "status", "failure", (F.col("status").isin("low", "unresolved") | F.col("failure").isin("MULTIPLE_CANDIDATES", "CATALOG_MATCH_UNCERTAIN")).alias("review_required"), F.col("status").isin("high", "medium").alias("identified"))
+    known = (text("name") != "") | (text("colorway") != "") | (text("model") != "")
+    df = candidates.withColumn("dead", F.when(c("rejected"), F.lit(2)).when(~known, F.lit(1)).otherwise(F.lit(0)))
+    df = df.withColumns({"turn": F.row_number().over(own), "next_dead": F.lead("dead").over(own), "next_score": F.lead("score").over(own), "next_verdict": F.lead("verdict").over(own)})
+    top = df.where("turn = 1").select("query_id", "style_code", "score", "dead", "verdict", "verdict_confidence", "next_dead", "next_score", "next_verdict", "contradictions", "c_model", "c_colorway")
+    yes = lambda cond: F.coalesce(cond, F.lit(False))
+    row = queries.select("query_id", "confirmed", "labeled_codes").join(top, "query_id", "left")
+    same, unsure = yes(c("verdict") == "same"), yes(c("verdict") == "uncertain")
+    gone, unnamed = c("dead").isNull() | (c("dead") == 2), yes(c("dead") == 1)
+    close = yes((c("next_dead") == 0) & (c("next_score") >= c("score") - t.runner_up_gap)) & ~(same & ~yes(c("next_verdict") == "same"))
+    agreed = same & yes(c("verdict_confidence") >= 0.7)
+    printed = (
+        yes(F.array_contains("labeled_codes", c("style_code"))) & yes(c("confirmed")) & yes(F.size("contradictions") == 0)
+        & yes(F.round("c_model", 4) >= NEUTRAL) & (yes(F.round("c_colorway", 4) >= NEUTRAL) | agreed) & ~close & ~unsure
+    )
+    row = row.withColumns({"gone": gone, "unnamed": unnamed, "close": close, "printed": printed, "same": same, "doubted": yes(F.exists("contradictions", lambda x: x.startswith("verifier:")))})
+    base = F.when(c("close"), F.least(c("score"), F.lit(t.medium - 0.01))).otherwise(c("score"))
+    lifted = F.when(c("printed"), F.greatest(base, F.lit(t.high))).otherwise(base)
+    capped = F.when((lifted >= t.high) & ~c("same") & ~c("printed"), F.lit(t.high - 0.01)).otherwise(lifted)
+    low = c("doubted") & (capped >= t.medium)
+    confidence = F.when(c("gone"), F.lit(0.0)).when(c("unnamed"), F.least(c("score"), F.lit(t.low - 0.01))).when(low, F.least(capped, F.lit(t.medium - 0.01))).otherwise(capped)
+    failure = F.when(c("dead").isNull(), F.lit("NO_CANDIDATES")).when(c("gone"), F.lit("CONTRADICTORY_EVIDENCE")).when(c("unnamed"), F.lit("CATALOG_MATCH_UNCERTAIN")).when(c("close"), F.lit("MULTIPLE_CANDIDATES")).otherwise(F.lit(""))
+    status = F.when(c("gone") | c("unnamed"), F.lit("unresolved")).when(low, F.lit("low")).otherwise(tier(capped, settings))
+    return row.select(
+        "query_id", F.when(~c("gone"), c("style_code")).alias("style_code"), F.round(confidence, 4).alias("confidence"), status.alias("status"), failure.alias("failure"),
+        c("printed").alias("page_confirmed"), c("close").alias("ambiguous"),
+    )
+
+
+def finalize(resolved: DataFrame, candidates: DataFrame, failures: DataFrame, catalog: DataFrame, most: int = 12, settings: Settings | None = None) -> DataFrame:
+    """One row per query with the final status, the canonical product, the catalogue's match and its market, and the best candidates.
+
+    failures: query_id, codes (array of failure codes of earlier steps). catalog: query_id, product_id, title, confirmed, lowest_ask,
+    highest_bid of the winner's listing. A contradiction noted earlier demotes high to medium and leaves the confidence; market data
+    are withheld from unresolved queries; an unconfirmed listing's match stays below medium.
+    """
+    t, c = (settings or Settings()).thresholds, F.col
+    ranked = rank(candidates).where(c("place") <= most)
+    shown = F.transform(F.array_sort(F.collect_list(F.struct("place", "style_code"))), lambda x: x["style_code"])
+    lists = ranked.groupBy("query_id").agg(shown.alias("candidates"))
+    own = candidates.select("query_id", "style_code", "display", "name", "brand", "model", "colorway", "gender", "size_category", "release_date", "o_brand", "o_model", "o_colorways")
+    df = resolved.join(own, ["query_id", "style_code"], "left").join(lists, "query_id", "left").join(failures, "query_id", "left").join(catalog.withColumnRenamed("confirmed", "listed"), "query_id", "left")
+    every = F.array_distinct(F.filter(F.concat(F.coalesce("codes", F.array().cast("array<string>")), F.array("failure")), lambda x: x != ""))
+    demoted = F.array_contains(every, "CONTRADICTORY_EVIDENCE") & (c("status") == "high")
+    df = df.withColumns({"failures": every, "status": F.when(demoted, F.lit("medium")).otherwise(c("status"))})
+    withheld = c("style_code").isNull() | (c("status") == "unresolved")
+    market = lambda x: F.when(~withheld, c(x)).alias(x)
+    match = F.when(F.coalesce("listed", F.lit(False)), c("confidence")).otherwise(F.round(F.least(c("confidence"), F.lit(t.medium - 0.01)), 4))
+    return df.select(
+        "query_id", "status", c("status").isin("high", "medium").alias("identified"), "confidence", F.array_join("failures", ",").alias("failures"),
+        (c("status").isin("low", "unresolved") | F.arrays_overlap("failures", F.array(F.lit("MULTIPLE_CANDIDATES"), F.lit("CATALOG_MATCH_UNCERTAIN")))).alias("review_required"),
+        F.when(c("style_code").isNotNull(), filled(text("display"), text("style_code"))).alias("style_code"),
+        F.when(c("style_code").isNotNull(), filled(text("brand"), text("o_brand"))).alias("brand"),
+        F.when(c("style_code").isNotNull(), filled(text("model"), text("o_model"))).alias("model"),
+        F.when(c("style_code").isNotNull(), filled(text("colorway"), text(F.get("o_colorways", F.lit(0))))).alias("colorway"),
+        F.when(c("style_code").isNotNull(), text("name")).alias("product_name"),
+        F.when(c("style_code").isNotNull(), c("product_id")).alias("product_id"),
+        F.when(c("style_code").isNotNull() & c("product_id").isNotNull(), match).alias("match_confidence"),
+        market("lowest_ask"), market("highest_bid"), F.array_join("candidates", ",").alias("candidates"),
+    )
+
+
+def confirm(leaders: DataFrame, listings: DataFrame) -> DataFrame:
+    """query_id, product_id, title, ambiguous, confirmed: the catalogue's listing of each query's leader.
+
+    leaders: query_id, style_code, o_model, o_model_name. listings: style_code, product_id, title, model (its canonical name),
+    ambiguous, one row per code. A listing confirms unless listings of the code disagree or its model is another one (similarity
+    below 0.6).
+    """
+    df = models.with_model_similarity(leaders.join(listings, "style_code"), "o_model", "title", "agree", names=("o_model_name", "model"))
+    alike = (text("o_model") == "") | F.col("agree").isNull() | (F.col("agree") >= 0.6)
+    return df.select("query_id", "product_id", "title", "ambiguous", (~F.col("ambiguous") & alike).alias("confirmed"))
+
+
+def override(resolved: DataFrame, decisions: DataFrame) -> DataFrame:
+    """resolved (query_id, style_code, confidence, status, review_required) after the latest human decision of each query.
+
+    decisions: query_id, action (confirm, select, manual_sku, reject), chosen, decided_at, ord. A match is high and certain, a rejection
+    has no product; a select or manual_sku without a recognisable code is no decision.
+    """
+    c = F.col
+    valid = decisions.where(c("action").isin("confirm", "reject") | (c("action").isin("select", "manual_sku") & (text("chosen") != "")))
+    last = valid.groupBy("query_id").agg(F.max_by(F.struct("action", "chosen"), F.struct("decided_at", "ord")).alias("d")).select("query_id", "d.action", "d.chosen")
+    df = resolved.join(last, "query_id", "left")
+    chosen = F.when(c("action") == "confirm", c("style_code")).otherwise(c("chosen"))
+    decided, out = c("action").isNotNull(), c("action") == "reject"
+    return df.select(
+        "query_id",
+        F.when(out, F.lit(None).cast("string")).when(decided, chosen).otherwise(c("style_code")).alias("style_code"),
+        F.when(decided & ~out, F.lit(1.0)).otherwise(c("confidence")).alias("confidence"),
+        F.when(out, F.lit("unresolved")).when(decided, F.lit("high")).otherwise(c("status")).alias("status"),
+        F.when(decided, F.lit(False)).otherwise(c("review_required")).alias("review_required"),
+        F.coalesce(c("action"), F.lit("")).alias("review"),
+    )

@@ -1,0 +1,117 @@
+"""Relations that resolution queries run on, made from the driver's whole tables by arithmetic on their keys.
+
+The driver's tables hold no product titles or catalogues. Each row of part becomes a listing of a catalogue, each row of customer a
+request with its evidence, web rows and verdicts. One text of expressions, in words that Spark and the oracles' engine share, makes
+the inputs on both sides; what the operators do with them is written twice.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+PHRASES = [
+    "Nike Dunk Low Retro", "Air Jordan 1 Retro High OG", "adidas Samba OG", "New Balance 990v6", "Nike Air Force 1 ''07 LV8", "Jordan 4 Retro", "Nike Dunk High", "Air Jordan 1 Little Kids Low",
+    "Travis Scott x Air Jordan 1 Low", "ASICS Gel-Kayano 14", "Nike Dunk", "plain canvas shoe", "Yeezy Boost 350 V2", "Nike SB Dunk Low Pro", "Air Jordan 11 Retro", "Vans Old Skool",
+]
+SIZES = ["", " (GS)", " Women''s", " Men''s", "", " WMNS", " (TD)", " Little Kids", ""]
+COLOURS = ["White/Black", "Black/White", "Off White/Black", "University Red", "Panda", "Sail/Gum", "Core Black & Gold", "Bred", "", "White and Varsity Red", "Reverse Panda"]
+
+
+def pick(key: str, words: list[str]) -> str:
+    return f"CASE ({key}) % {len(words)} " + " ".join(f"WHEN {i} THEN '{w}'" for i, w in enumerate(words)) + " END"
+
+
+def digits(key: str) -> str:
+    return f"lpad(CAST(({key}) % 1500 AS STRING), 4, '0')"
+
+
+def code(key: str) -> str:
+    """A code as it is printed; keys 1500 apart share one."""
+    return f"concat('DD', {digits(key)}, '-10', CAST(({key}) % 3 AS STRING))"
+
+
+def plain(key: str) -> str:
+    return f"concat('DD', {digits(key)}, '10', CAST(({key}) % 3 AS STRING))"
+
+
+def title(key: str) -> str:
+    colour = pick(f"({key}) * 5 + 1", COLOURS)
+    return f"concat({pick(key, PHRASES)}, {pick(f'({key}) * 4 + 2', SIZES)}, CASE WHEN ({key}) % 7 = 0 THEN concat(' ''', {colour}, '''') ELSE concat(' ', {colour}) END)"
+
+
+def number(value: str) -> str:
+    return f"CAST({value} AS DOUBLE)"
+
+
+#: name: (table, rows of each row of the table, expressions by column); k counts the rows of one row, n is its key.
+RELATIONS: dict[str, tuple[str, str, int, dict[str, str]]] = {
+    "listings_raw": ("part", "p_partkey", 1, {
+        "product_id": "concat('p', CAST(n AS STRING))",
+        "style_id": f"CASE WHEN n % 10 = 0 THEN concat({code('n')}, '/FV', {digits('n')}, '-006') WHEN n % 10 = 1 THEN concat({code('n')}, ' (GS)') ELSE {code('n')} END",
+        "title": title("n * 3 + 1"),
+        "brand": pick("n", ["Nike", "Jordan", "adidas", "", "New Balance", "nobody", "Nike"]),
+        "colorway": pick("n * 5 + 4", COLOURS),
+        "gender": pick("n", ["men", "women", "child", "unisex", "", "toddler", "Men"]),
+        "release_date": "CASE WHEN n % 4 = 0 THEN '' ELSE '2021-03-10' END",
+        "retail_price": f"CASE WHEN n % 9 = 0 THEN NULL ELSE {number('80 + n % 90')} END",
+        "product_type": pick("n", ["sneakers", "shoes", "sneakers", "sneakers", "", "Running Shoe", "sneakers", "apparel", "sneakers", "clog", "sneakers"]),
+        "ord": "n",
+    }),
+    "requests_raw": ("customer", "c_custkey", 1, {
+        "query_id": "n",
+        "title": f"CASE WHEN n % 13 = 5 THEN '' ELSE {title('n * 3 + CASE WHEN n % 5 = 0 THEN 4 ELSE 1 END')} END",
+        "page_brand": pick("n", ["Nike", "", "Jordan", "adidas", "Shop", "", ""]),
+        "price": f"CASE WHEN n % 6 = 0 THEN NULL ELSE {number('40 + n % 100')} END",
+        "page_colour": pick("n", ["", "White/Black", "", "Black", "", "", "Gum"]),
+        "labeled": f"CASE WHEN n % 3 = 0 THEN {plain('n')} WHEN n % 17 = 1 THEN concat({plain('n + 1')}, ',', {plain('n + 2')}) ELSE '' END",
+        "seen": "n % 4 <> 0",
+        "v_brand": pick("n", ["Nike", "Nike", "adidas", "Jordan", ""]),
+        "v_brand_confidence": number("n % 11 / 10.0"),
+        "v_model": pick("n", ["Nike Dunk Low", "Air Jordan 1 High", "", "Nike Dunk", "adidas Samba OG", "Air Jordan 4"]),
+        "v_model_confidence": number("n % 9 / 8.0"),
+        "v_colorway": pick("n * 5 + 1", COLOURS),
+        "v_official": pick("n", ["", "Panda", "", "University Red", "Reverse Panda", "White Black"]),
+        "v_gender": pick("n", ["men", "women", "", "unknown"]),
+        "v_size_category": pick("n", ["adult", "gs", "unknown", "adult", ""]),
+        "v_style_code": f"CASE WHEN n % 8 = 3 THEN {code('n')} WHEN n % 8 = 5 THEN {code('n + 1')} ELSE '' END",
+        "guesses": f"CASE WHEN n % 5 = 2 THEN concat({code('n + 1')}, ',nothing,', {code('n')}) ELSE '' END",
+        "v_consistent": "n % 10 <> 7",
+    }),
+    # Codes on pages, visual neighbours and web finds of each request; k tells which.
+    "signals_raw": ("customer", "c_custkey", 7, {
+        "query_id": "n",
+        "kind": pick("k", ["page_sku", "embedding", "web", "embedding", "web", "embedding", "page_sku"]),
+        # The code of the last row is in no catalogue.
+        "style_code": f"CASE WHEN k = 6 THEN concat('ZZ', {digits('n')}, '001') ELSE {plain('n + CASE k WHEN 3 THEN 1 WHEN 4 THEN 1 WHEN 5 THEN 2 ELSE 0 END')} END",
+        "display": f"CASE WHEN k = 6 THEN concat('ZZ', {digits('n')}, '-001') ELSE {code('n + CASE k WHEN 3 THEN 1 WHEN 4 THEN 1 WHEN 5 THEN 2 ELSE 0 END')} END",
+        "detail": pick("n + k", ["page:title", "page:body", "page:url"]),
+        "weight": number("45 + (n * 7 + k * 5) % 51") + " / 100",
+        "similarity": number("60 + (n * 37 + k * 11) % 40") + " / 100",
+        "agreement": "1 + (n + k) % 4",
+        "trust": number("(n + k) % 5 * 6") + " / 10",
+        "ord": "k",
+        "there": "(n + k) % 4 <> 1 AND n % 29 <> 3",
+    }),
+    "verdicts_raw": ("customer", "c_custkey", 2, {
+        "query_id": "n",
+        "style_code": plain("n + k"),
+        "verdict": pick("n + k", ["same", "different", " Uncertain", "SAME", "unheard of"]),
+        "confidence": number("60 + n % 40") + " / 100",
+        "note": "CASE WHEN n % 2 = 0 THEN 'sole differs' ELSE '' END",
+        "there": "(n + k) % 3 = 1",
+    }),
+}
+
+
+def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    table, key, copies, columns = RELATIONS[name]
+    rows = spark.read.parquet(f"{sf_dir}/{table}.parquet").selectExpr(f"{key} AS n", f"explode(sequence(0, {copies - 1})) AS k")
+    out = rows.selectExpr(*[f"{e} AS {c}" for c, e in columns.items()])
+    return out.where("there").drop("there") if "there" in columns else out
+
+
+def sql(name: str) -> str:
+    """name AS (...) for a WITH clause."""
+    table, key, copies, columns = RELATIONS[name]
+    out = f"SELECT {', '.join(f'{e} AS {c}' for c, e in columns.items())} FROM (SELECT {key} AS n, unnest(range({copies})) AS k FROM {table})"
+    return f"{name} AS (SELECT * FROM ({out}){' WHERE there' if 'there' in columns else ''})"

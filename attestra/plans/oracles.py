@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from ..functions import codes, text
-from .fixtures import sql_values
+from ..functions import codes
+from . import texts_sql as t
+from .derived import sql
+from .resolution_sql import ORACLES as RESOLUTION
+from .resolution_sql import normal, tier
 
 NORMAL_URL = r"CASE WHEN regexp_extract(coalesce(url, ''), '^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^;?#]*)', 2) = '' THEN '' ELSE lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^;?#]*)', 1)) || '://' || lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^;?#]*)', 2)) || regexp_replace(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^;?#]*)', 3), '/+$', '') END"
 DOMAIN = r"regexp_replace(lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)), '^www\.', '')"
@@ -12,102 +15,61 @@ TITLE = "regexp_extract(html, '(?s)<title>(.*?)</title>', 1)"
 COSINE = "list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) / (sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) * sqrt(list_dot_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[])))"
 
 
-def tier(c: str) -> str:
-    return f"CASE WHEN {c} >= 0.95 THEN 'high' WHEN {c} >= 0.85 THEN 'medium' WHEN {c} >= 0.70 THEN 'low' ELSE 'unresolved' END"
-
-
 def near(k: int) -> str:
     return f"""pairs AS (SELECT q.vec_id AS query_id, v.vec_id, v.label AS owner, {COSINE} AS s FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id),
     ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, vec_id) AS rank FROM pairs QUALIFY rank <= {k})"""
 
 
-def brand_case(low: str) -> str:
-    return "CASE " + " ".join(f"WHEN {' OR '.join(f"contains({low}, ' {a}')" for a in aliases)} THEN '{brand}'" for brand, aliases in text.BRANDS) + " ELSE '' END"
-
-
-def pattern_case(rules: list[tuple[str, str]], other: str) -> str:
-    quoted = [(name, pattern.replace("'", "''")) for name, pattern in rules]
-    return "CASE " + " ".join(f"WHEN regexp_matches(low, '{p}') THEN '{name}'" for name, p in quoted) + f" ELSE {other} END"
-
-
-COLOURS = ", ".join(f"'{c}'" for c in text.COLOURS)
-SYNONYMS = "CASE w " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in text.SYNONYMS.items()) + " ELSE w END"
-
-
-def colours(column: str) -> str:
-    """Ordered distinct colour words of a column, as a list."""
-    words = f"list_filter(list_transform(list_filter(string_split_regex(lower(coalesce({column}, '')), '[^a-z]+'), lambda w: w <> ''), lambda w: {SYNONYMS}), lambda w: w IN ({COLOURS}))"
-    return f"list_transform(list_filter(list_transform({words}, lambda w, i: {{'w': w, 'i': i}}), lambda p: list_position({words}, p.w) = p.i), lambda p: p.w)"
 
 
-COLOUR_SIMILARITY = "CASE WHEN len(x) > 0 AND len(y) > 0 THEN len(list_intersect(x, y))::DOUBLE / len(list_distinct(x || y)) * CASE WHEN x[1] = y[1] THEN 1.0 ELSE 0.7 END END"
-
-TITLE_ATTRIBUTES = f"""WITH {sql_values("titles")}, t AS (SELECT case_id, lower(coalesce(title, '')) AS low, coalesce(title, '') AS title FROM titles),
-    b AS (SELECT *, {brand_case("' ' || low || ' '")} AS brand, {pattern_case(text.GENDERS, "'unknown'")} AS word FROM t),
-    c AS (SELECT *, {pattern_case(text.CATEGORIES, "CASE WHEN word <> 'unknown' THEN 'adult' ELSE 'unknown' END")} AS size_category FROM b)
-    SELECT case_id, brand, CASE WHEN brand IN ('Nike', 'Jordan') THEN 'Nike' WHEN brand = '' THEN trim(title) ELSE brand END AS family, CASE WHEN size_category IN ('td', 'ps', 'gs') THEN 'kids' ELSE word END AS gender, size_category FROM c"""
+def folded(c: str) -> str:
+    text_of = f"coalesce({c}::VARCHAR, '') <> ''"
+    return f"arg_max({c}, ord) FILTER ({text_of} AND authoritative) AS {c}_a, arg_min({c}, ord) FILTER ({text_of}) AS {c}_f"
 
 
-def family(column: str) -> str:
-    low = f"' ' || lower(coalesce({column}, '')) || ' '"
-    return f"lower(CASE WHEN {brand_case(low)} IN ('Nike', 'Jordan') THEN 'Nike' WHEN {brand_case(low)} = '' THEN trim(coalesce({column}, '')) ELSE {brand_case(low)} END)"
+UPSERT = f"""WITH current AS (SELECT p_partkey AS key, CASE WHEN p_size > 25 THEN p_name END AS name, '' AS color, CASE WHEN p_size < 40 THEN p_retailprice END AS price FROM part),
+    updates AS (SELECT c_custkey AS key, c_name AS name, c_mktsegment AS color, c_acctbal AS price, false AS authoritative, 1 AS ord FROM customer UNION ALL SELECT s_suppkey, s_name, '', CASE WHEN s_acctbal > 0 THEN s_acctbal END, true, 2 FROM supplier),
+    n AS (SELECT key, {', '.join(map(folded, ('name', 'color', 'price')))} FROM updates GROUP BY key)
+    SELECT coalesce(o.key, n.key) AS key, coalesce(name_a, nullif(o.name, ''), name_f) AS name, coalesce(color_a, nullif(o.color, ''), color_f) AS color, coalesce(price_a, o.price, price_f) AS price FROM current o FULL JOIN n ON o.key = n.key"""
 
+SEGMENTS = f"""WITH {sql("listings_raw")}, {sql("signals_raw")}, parts AS (SELECT DISTINCT product_id, {normal("regexp_replace(part, '\\([^)]*\\)', '', 'g')")} AS style_code FROM (SELECT product_id, unnest(string_split(style_id, '/')) AS part FROM listings_raw))
+    SELECT query_id, style_code, product_id FROM (SELECT DISTINCT query_id, style_code FROM signals_raw) LEFT JOIN parts USING (style_code)"""
 
-def same(a: str, b: str, *unknown: str) -> str:
-    blank = ", ".join(f"'{x}'" for x in ("", "unknown", *unknown))
-    return f"CASE WHEN coalesce({a}, '') IN ({blank}) OR coalesce({b}, '') IN ({blank}) THEN NULL ELSE {a} = {b} END"
 
+def unescaped(c: str) -> str:
+    """The references that the driver's pages hold."""
+    for name, char in (("copy", "©"), ("middot", "·"), ("quot", '"'), ("lt", "<"), ("gt", ">"), ("amp", "&")):
+        c = f"replace({c}, '&{name};', '{char}')"
+    return c
 
-SCORED = f"""WITH {sql_values("observations")}, {sql_values("candidates")}, {sql_values("verdicts")},
-    j AS (SELECT c.*, o.brand, o.price, o.gender, o.size_category, o.observed_colorway, o.tag_code, o.page_code, string_split(c.kinds, ',') AS ks, list_transform(string_split(c.weights, ','), lambda x: x::DOUBLE) AS ws,
-        {colours("o.observed_colorway")} AS x, {colours("c.colorway")} AS y FROM candidates c JOIN observations o USING (query_id)),
-    f AS (SELECT *, {same("size_category", "cand_size_category")} AS same_size, {same("gender", "cand_gender", "unisex")} AS same_gender, {same("bf", "cf")} AS same_brand FROM (SELECT *, {family("brand")} AS bf, {family("cand_brand")} AS cf FROM j)),
-    m AS (SELECT *, list_filter([CASE WHEN price > 0 AND retail_price > 0 THEN CASE WHEN price / retail_price BETWEEN 0.55 AND 1.35 THEN 1.0::DOUBLE ELSE 0.3::DOUBLE END END, same_gender::INT::DOUBLE, same_size::INT::DOUBLE, same_brand::INT::DOUBLE], lambda v: v IS NOT NULL) AS checks FROM f),
-    s AS (SELECT *,
-        list_max(list_transform(list_zip(ks, ws), lambda p: CASE WHEN p[1] = 'page_sku' THEN CASE WHEN p[2] >= 0.85 THEN 1.0::DOUBLE ELSE 0.8::DOUBLE END WHEN p[1] = 'tag' THEN 0.9::DOUBLE
-            WHEN p[1] = 'web' THEN least(1.0::DOUBLE, 0.35::DOUBLE + 0.15::DOUBLE * agreement + 0.1::DOUBLE * least(trust, 2.0::DOUBLE)) WHEN p[1] = 'guess' THEN 0.35::DOUBLE WHEN p[1] = 'catalog_search' THEN 0.15::DOUBLE WHEN p[1] = 'embedding' THEN 0.1::DOUBLE ELSE 0.0::DOUBLE END)) AS c_sku,
-        coalesce(model_similarity, 0.5) AS c_model, coalesce({COLOUR_SIMILARITY}, 0.5)::DOUBLE AS c_colorway,
-        coalesce(greatest(0.0, least(1.0, (similarity - 0.70) / (0.92 - 0.70))), 0.5)::DOUBLE AS c_embedding,
-        CASE WHEN len(checks) > 0 THEN list_sum(checks) / len(checks) ELSE 0.5 END AS c_metadata,
-        least(1.0, len(list_filter(list_distinct(ks), lambda k: k <> 'catalog_search')) / 2.0)::DOUBLE AS c_agreement FROM m),
-    r AS (SELECT *, round(c_sku * 0.40 + c_model * 0.20 + c_colorway * 0.15 + c_embedding * 0.15 + c_metadata * 0.05 + c_agreement * 0.05, 4) AS raw_score FROM s),
-    h AS (SELECT *, list_filter([CASE WHEN NOT (coalesce(product_type, '') = '' OR regexp_matches(lower(product_type), 'sneaker|shoe|footwear|boot|sandal|slide|clog|trainer')) THEN 'product_type_mismatch' END,
-            CASE WHEN same_size = false THEN 'size_category_mismatch' END, CASE WHEN model_similarity < 0.5 THEN 'model_mismatch' END, CASE WHEN same_brand = false THEN 'brand_mismatch' END], lambda z: z IS NOT NULL) AS hard,
-        list_filter([CASE WHEN same_gender = false THEN 'gender_mismatch' END, CASE WHEN c_colorway < 0.2 THEN 'colorway_mismatch' END, CASE WHEN tag_code <> '' AND tag_code <> style_code THEN 'tag_style_code_mismatch' END,
-            CASE WHEN page_code <> '' AND page_code <> style_code THEN 'page_style_code_mismatch' END], lambda z: z IS NOT NULL) AS soft FROM r),
-    p AS (SELECT *, coalesce(list_sum(list_transform(soft, lambda z: CASE z WHEN 'gender_mismatch' THEN 0.15::DOUBLE WHEN 'colorway_mismatch' THEN 0.3::DOUBLE WHEN 'tag_style_code_mismatch' THEN 0.4::DOUBLE ELSE 0.25::DOUBLE END)), 0.0::DOUBLE) AS penalty FROM h),
-    z AS (SELECT *, len(hard) > 0 AS rejected, round(greatest(0.0, raw_score - penalty), 4) AS score FROM p)"""
 
-RESOLVED = f"""{SCORED},
-    v AS (SELECT z.* EXCLUDE (score, rejected), lower(trim(verdict)) AS verdict,
-        round(CASE WHEN lower(trim(verdict)) = 'same' THEN least(1.0, score + CASE WHEN verdicts.confidence >= 0.85 THEN 0.10 WHEN verdicts.confidence >= 0.7 THEN 0.05 ELSE 0.0 END) WHEN lower(trim(verdict)) = 'uncertain' THEN least(score, 0.84) ELSE score END, 4) AS score,
-        rejected OR coalesce(lower(trim(verdict)) = 'different', false) AS rejected FROM z LEFT JOIN verdicts USING (query_id, style_code)),
-    d AS (SELECT *, CASE WHEN rejected THEN 2 WHEN coalesce(name, '') = '' AND coalesce(colorway, '') = '' THEN 1 ELSE 0 END AS dead FROM v),
-    w AS (SELECT *, row_number() OVER o AS rn, lead(dead) OVER o AS next_dead, lead(score) OVER o AS next_score, lead(verdict) OVER o AS next_verdict FROM d WINDOW o AS (PARTITION BY query_id ORDER BY dead, score DESC, ord)),
-    t AS (SELECT observations.query_id, w.style_code, score, dead, w.page_confirmed, w.model_similarity, c_colorway, len(hard) + len(soft) AS n_bad, coalesce(verdict = 'same', false) AS is_same, coalesce(verdict = 'uncertain', false) AS unsure,
-        coalesce(next_dead = 0 AND next_score >= score - 0.05, false) AND NOT (coalesce(verdict = 'same', false) AND NOT coalesce(next_verdict = 'same', false)) AS close,
-        dead IS NULL OR dead = 2 AS gone, coalesce(dead = 1, false) AS unnamed FROM observations LEFT JOIN w ON w.query_id = observations.query_id AND rn = 1),
-    u AS (SELECT *, coalesce(page_confirmed, false) AND n_bad = 0 AND coalesce(model_similarity, 0.5) >= 0.5 AND c_colorway >= 0.5 AND NOT close AND NOT unsure AS page, CASE WHEN close THEN least(score, 0.84) ELSE score END AS base FROM t),
-    l AS (SELECT *, CASE WHEN page THEN greatest(base, 0.95) ELSE base END AS lifted FROM u),
-    c AS (SELECT *, round(CASE WHEN gone THEN 0.0 WHEN unnamed THEN least(score, 0.69) WHEN lifted >= 0.95 AND NOT is_same AND NOT page THEN 0.94 ELSE lifted END, 4)::DOUBLE AS confidence,
-        CASE WHEN dead IS NULL THEN 'NO_CANDIDATES' WHEN gone THEN 'CONTRADICTORY_EVIDENCE' WHEN unnamed THEN 'CATALOG_MATCH_UNCERTAIN' WHEN close THEN 'MULTIPLE_CANDIDATES' ELSE '' END AS failure FROM l),
-    e AS (SELECT query_id, CASE WHEN gone THEN NULL ELSE style_code END AS style_code, confidence, CASE WHEN gone OR unnamed THEN 'unresolved' ELSE {tier("confidence")} END AS status, failure FROM c)
-    SELECT *, status IN ('low', 'unresolved') OR failure IN ('MULTIPLE_CANDIDATES', 'CATALOG_MATCH_UNCERTAIN') AS review_required, status IN ('high', 'medium') AS identified FROM e"""
+def collapsed(c: str) -> str:
+    return rf"trim(regexp_replace({c}, '\s+', ' ', 'g'))"
 
-SEGMENTS = f"""WITH {sql_values("compound")}, parts AS (SELECT product_id, unnest(string_split(regexp_replace(coalesce(style_id, ''), '\\([^)]*\\)', '', 'g'), '/')) AS part FROM compound),
-    segments AS (SELECT DISTINCT product_id, regexp_replace(upper(part), '[^A-Z0-9]', '', 'g') AS style_code FROM parts)
-    SELECT w.style_code, s.product_id FROM (VALUES ('DD1391101'), ('FV5029006'), ('555088101'), ('NONE00000')) w(style_code) LEFT JOIN (SELECT * FROM segments WHERE style_code <> '') s USING (style_code)"""
 
+def visible(c: str) -> str:
+    """Text of a page outside its head, scripts, styles, navigation, header and footer; every tag parts words as it parts runs of text."""
+    for tag in ("head", "script", "style", "nav", "header", "footer", "noscript", "svg"):
+        c = rf"regexp_replace({c}, '(?s)<{tag}\b.*?</{tag}>', '', 'g')"
+    return collapsed(unescaped(f"regexp_replace(regexp_replace({c}, '(?s)<!--.*?-->', ' ', 'g'), '<[^>]+>', ' ', 'g')"))
 
-def folded(c: str) -> str:
-    text_of = f"coalesce({c}::VARCHAR, '') <> ''"
-    return f"arg_max({c}, ord) FILTER ({text_of} AND authoritative) AS {c}_a, arg_min({c}, ord) FILTER ({text_of}) AS {c}_f"
 
+INNER = lambda tag: collapsed(unescaped(f"regexp_replace(regexp_extract(html, '(?s)<{tag}>(.*?)</{tag}>', 1), '<[^>]+>', '', 'g')"))
+PAGE_FIELDS = f"""WITH p AS (SELECT page_id, url, html, {INNER('title')} AS title, {INNER('h1')} AS h1, {visible('html')} AS text FROM pages)
+    SELECT page_id, title, h1, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang, len(regexp_extract_all(html, '<a href='))::BIGINT AS n_links, CASE WHEN title = '' THEN 'no_metadata' ELSE '' END AS error, length(left(text, 60000))::BIGINT AS n_text, sha256(left(text, 60000)) AS text_sha256,
+        CASE WHEN regexp_matches(url, '^https?://[^/?#:]+') THEN '' ELSE 'blocked:only http(s) URLs are allowed' END AS blocked, CASE WHEN contains(url, '/products/') THEN NULL ELSE '' END AS product_key FROM p"""
 
-UPSERT = f"""WITH {sql_values("updates")}, {sql_values("current_products")}, n AS (SELECT key, {', '.join(map(folded, ('name', 'color', 'price')))} FROM updates GROUP BY key)
-    SELECT coalesce(o.key, n.key) AS key, coalesce(name_a, nullif(o.name, ''), name_f) AS name, coalesce(color_a, nullif(o.color, ''), color_f) AS color, coalesce(price_a, o.price, price_f) AS price FROM current_products o FULL JOIN n ON o.key = n.key"""
+#: Queries of each request in their order, the first of those that differ by case alone.
+SEARCH = f"""WITH {sql("requests_raw")}, {t.parsed("(SELECT title, page_brand AS hint FROM requests_raw)")},
+    asked AS (SELECT query_id, list_filter([
+        CASE WHEN r.title <> '' THEN trim(r.title) || ' style code' END, CASE WHEN r.title <> '' AND p.model <> '' THEN p.model || ' ' || p.colorway_text || ' style code' END, CASE WHEN r.title <> '' AND page_colour <> '' THEN trim(r.title) || ' ' || page_colour END,
+        CASE WHEN seen AND v_brand <> '' AND v_model <> '' THEN v_brand || ' ' || v_model || ' ' || coalesce(nullif(v_official, ''), v_colorway) || ' style code' END] || list_filter(string_split(labeled, ','), lambda x: x <> ''), lambda x: x IS NOT NULL) AS qs
+        FROM requests_raw r LEFT JOIN titled p ON p.title = r.title AND p.hint = r.page_brand),
+    clean AS (SELECT query_id, list_transform(qs, lambda q: trim(regexp_replace(q, '\\s+', ' ', 'g'))) AS qs FROM asked),
+    once AS (SELECT query_id, list_filter(qs, lambda q, i: list_position(list_transform(qs, lambda x: lower(x)), lower(q)) = i) AS qs FROM clean)
+    SELECT query_id, array_to_string(qs[1:6], ' | ') AS queries FROM once"""
 
-ORACLES = {
+ORACLES = RESOLUTION | {
     "knn_topk": f"WITH {near(10)} SELECT query_id, vec_id, round(s, 5) AS similarity, rank FROM ranked",
     "knn_resolve": f"""WITH {near(30)}, pooled AS (SELECT query_id, owner, max(s) AS s, arg_min(vec_id, (-round(s, 9), vec_id)) AS best_vec_id FROM ranked GROUP BY ALL),
         c AS (SELECT *, round(greatest(0.0, least(1.0, (s - 0.1) / (0.5 - 0.1))), 4)::DOUBLE AS confidence FROM pooled),
@@ -116,17 +78,20 @@ ORACLES = {
     "similarity_to_group": f"SELECT q.vec_id AS query_id, q.label::BIGINT AS label, round(max({COSINE}), 5) AS similarity FROM embeddings q JOIN embeddings v ON q.label = v.label AND q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0 GROUP BY ALL",
     "url_normalize": f"SELECT page_id, {NORMAL_URL} AS url_key, {DOMAIN} AS domain FROM pages",
     "url_domain_counts": f"SELECT {DOMAIN} AS domain, count(*) AS n_pages, count(DISTINCT {NORMAL_URL}) AS n_urls FROM pages GROUP BY 1",
+    "page_fields": PAGE_FIELDS,
     "page_tag_text": f"SELECT page_id, length(regexp_replace(html, '<[^>]+>', ' ', 'g'))::BIGINT AS n_text, {TITLE} AS title FROM pages",
     "content_dedupe": "SELECT min(doc_id) AS doc_id, sha256(text) AS digest FROM documents GROUP BY 2",
     "cache_key": rf"SELECT page_id, sha256(array_to_string(list_sort([sha256(html), sha256(url)]), '|') || '|' || {NORMAL_URL} || '|' || trim(regexp_replace(lower({TITLE}), '[ \t\n\r\f]+', ' ', 'g'))) AS cache_key FROM pages",
     "token_scan": f"WITH t AS (SELECT doc_id, list_filter(regexp_extract_all(text, '{codes.TOKEN}'), lambda x: regexp_matches(x, '[0-9]')) AS ts FROM documents) SELECT doc_id, len(ts)::BIGINT AS n_tokens, array_to_string(list_sort(list_distinct(ts)), ' ') AS tokens FROM t",
-    "title_attributes": TITLE_ATTRIBUTES,
-    "colour_tokens": f"SELECT p_partkey, array_to_string({colours('p_name')}, ',') AS colours FROM part",
-    "colour_similarity": f"WITH t AS (SELECT a.p_partkey, {colours('a.p_name')} AS x, {colours('b.p_name')} AS y FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1) SELECT p_partkey, round({COLOUR_SIMILARITY}, 4)::DOUBLE AS similarity FROM t",
+    "title_attributes": f"WITH {sql('listings_raw')} SELECT product_id, {t.known_brand('title')} AS brand, CASE WHEN {t.known_brand('title')} IN ('Nike', 'Jordan') THEN 'Nike' ELSE {t.canonical_brand('title')} END AS family, {t.gender('title')} AS gender, {t.size_category('title')} AS size_category FROM listings_raw",
+    "model_pairs": f"WITH {sql('listings_raw')}, {sql('requests_raw')}, pairs AS (SELECT product_id, l.title AS a, v_model AS b FROM listings_raw l JOIN requests_raw ON query_id = ord), {t.alike('pairs')} SELECT product_id, round(sim, 4) AS similarity FROM pairs JOIN alike USING (a, b)",
+    "search_terms": SEARCH,
+    "colour_tokens": f"WITH {sql('listings_raw')}, texts AS (SELECT p_name AS txt FROM part UNION ALL SELECT colorway FROM listings_raw), {t.tinted('texts')} SELECT txt, count(*) AS n, array_to_string(any_value(once), ',') AS colours FROM texts JOIN tinted USING (txt) GROUP BY txt",
+    "colour_similarity": f"WITH {sql('listings_raw')}, {sql('requests_raw')}, pairs AS (SELECT product_id, colorway, l.title, coalesce(nullif(v_official, ''), v_colorway) AS shown FROM listings_raw l JOIN requests_raw ON query_id = ord), texts AS (SELECT colorway AS txt FROM pairs UNION SELECT title FROM pairs UNION SELECT shown FROM pairs), {t.tinted('texts')} SELECT product_id, round({t.tint_similarity('x', 'y')}, 4) AS similarity, round({t.tint_similarity('x', 'z')}, 4) AS with_title FROM pairs JOIN tinted x ON x.txt = colorway JOIN tinted y ON y.txt = shown JOIN tinted z ON z.txt = title",
     "json_identifiers": "WITH k AS (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events WHERE json_valid(props)) SELECT event_id, lower(regexp_replace(k, '[- ]', '', 'g')) AS key, json_extract_string(props, '$.\"' || k || '\"') AS value FROM k",
     "evidence_merge": "WITH k AS (SELECT user_id, event_type, max(value) AS weight, min(event_id) AS ord FROM events GROUP BY ALL) SELECT user_id AS query_id, count(*) AS n_evidence, max(weight) AS best_weight, min(ord) AS first_ord, string_agg(event_type, ',' ORDER BY ord) AS kinds FROM k GROUP BY 1",
     "evidence_arg_max": "SELECT user_id, event_type, value, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY value DESC, event_id) = 1",
-    "web_agreement_trust": rf"""WITH h AS (SELECT substr(regexp_extract(url, '/(\d+)', 1), 1, 2) AS code, {DOMAIN} AS domain, page_id % 3 = 0 AS labeled, page_id AS ord FROM pages),
+    "web_agreement_trust": rf"""WITH h AS (SELECT regexp_extract(url, '/(\d+)', 1) AS code, {DOMAIN} AS domain, contains(url, '/en/') AS labeled, page_id AS ord FROM pages),
         f AS (SELECT code, domain, arg_min(labeled, ord) AS labeled, min(ord) AS ord FROM h WHERE code <> '' AND domain <> '' GROUP BY ALL)
         SELECT code, count(*) AS n_domains, round(sum(CASE WHEN domain LIKE '%.example.com' THEN 1.0::DOUBLE WHEN domain LIKE '%.example.org' THEN 0.8::DOUBLE ELSE 0.5::DOUBLE END * CASE WHEN labeled THEN 1.0::DOUBLE ELSE 0.7::DOUBLE END), 6) AS trust, min(ord) AS first_ord FROM f GROUP BY 1""",
     "multi_source_keys": "SELECT l_partkey, count(DISTINCT l_suppkey) AS n_suppliers, array_to_string(list_sort(list(DISTINCT l_suppkey)), ',') AS suppliers FROM lineitem GROUP BY 1 HAVING n_suppliers >= 20",
@@ -143,14 +108,11 @@ ORACLES = {
     "daily_budget": "SELECT event_id, strftime(ts, '%Y-%m-%d') AS day, count(*) OVER (PARTITION BY ts::DATE ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS used FROM events",
     "rank_and_gap": f"""WITH s AS (SELECT o_custkey, o_orderkey, round(o_totalprice / 500000.0, 4) AS score FROM orders), r AS (SELECT *, row_number() OVER w AS rn, lead(score) OVER w AS nxt FROM s WINDOW w AS (PARTITION BY o_custkey ORDER BY score DESC, o_orderkey))
         SELECT o_custkey, o_orderkey, score, coalesce(nxt >= round(score - 0.05, 4), false) AS ambiguous, {tier("score")} AS tier FROM r WHERE rn = 1""",
-    "score_candidates": f"{SCORED} SELECT query_id, style_code, {', '.join(f'round(c_{c}, 4) AS c_{c}' for c in ('sku', 'model', 'colorway', 'embedding', 'metadata', 'agreement'))}, raw_score FROM z",
-    "contradictions": f"{SCORED} SELECT query_id, style_code, array_to_string(hard, ',') AS hard, array_to_string(soft, ',') AS soft, round(penalty, 4) AS penalty, rejected, score FROM z",
-    "resolve_queries": RESOLVED,
     "review_queue": "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority <> '5-LOW' ORDER BY o_orderdate DESC, o_orderkey LIMIT 100",
     "eval_metrics": """WITH t AS (SELECT CASE WHEN len(string_split(text, ' ')) >= 20 THEN 1 ELSE 0 END AS g, quality AS q, (length(text) % 1000)::DOUBLE AS l FROM documents JOIN labels USING (doc_id))
         SELECT count(*) AS n, round(count(*) FILTER (g = q) / count(*), 6) AS accuracy, round(count(*) FILTER (g = q AND g = 1) / nullif(count(*) FILTER (g = 1), 0), 6) AS precision, round(count(*) FILTER (g = 1 AND q <> 1) / nullif(count(*) FILTER (q = 0), 0), 6) AS false_positive_rate, round(avg(l), 6) AS mean_latency, median(l) AS median_latency FROM t""",
     "upsert_merge": UPSERT,
-    "image_insert_absent": """WITH t AS (SELECT source, sha256(text) AS digest, doc_id FROM documents) SELECT source, digest, min(doc_id) AS doc_id FROM t a WHERE NOT EXISTS (SELECT 1 FROM t b WHERE b.doc_id % 3 = 0 AND b.source = a.source AND b.digest = a.digest) GROUP BY source, digest""",
+    "image_insert_absent": """WITH t AS (SELECT source, sha256(text) AS digest, doc_id, lang FROM documents) SELECT source, digest, min(doc_id) AS doc_id FROM t a WHERE NOT EXISTS (SELECT 1 FROM t b WHERE b.lang = 'en' AND b.source = a.source AND b.digest = a.digest) GROUP BY source, digest""",
     "latest_status": "SELECT user_id, event_type AS status, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
     "stream_latest_status": "SELECT user_id, event_type AS status, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
     "seeded_sample": "SELECT doc_id FROM documents ORDER BY md5('7:' || doc_id::VARCHAR), doc_id LIMIT 50",

@@ -1,4 +1,4 @@
-"""Queries of the library's own operators over the driver's tables and the literal fixtures."""
+"""Queries of the library's own operators over the driver's whole tables and what is derived from them."""
 
 from __future__ import annotations
 
@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import codes, models, search, text, urls
-from ..operators import knn, merge, relational, scoring
-from ..session import ship_package
+from ..operators import catalog, knn, merge, observe, relational, scoring
+from ..session import ship_package, written
 from ..sources import pages as page_source
 from ..streaming import state
-from . import fixtures
+from . import derived, resolution
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,7 +53,14 @@ def url_domain_counts(spark, sf_dir):
 
 
 def page_fields(spark, sf_dir):
-    return page_source.extract_pages(table(spark, sf_dir, "pages")).select("page_id", "title", "h1", "lang", "n_links", "error")
+    """Fields of every page, its visible text by length and digest."""
+    out = page_source.extract_pages(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "title", "h1", "lang", "n_links", "error", F.length("text").cast("long").alias("n_text"), F.sha2("text", 256).alias("text_sha256"), page_source.blocked(F.col("url")).alias("blocked"), page_source.product_key(F.col("url")).alias("product_key"))
+
+
+def page_codes(spark, sf_dir):
+    """Codes of every page from its identifiers, title, address, description and body (rows only)."""
+    return page_source.page_codes(page_source.extract_pages(table(spark, sf_dir, "pages")))
 
 
 def page_tag_text(spark, sf_dir):
@@ -84,39 +91,41 @@ def code_detect(spark, sf_dir):
 
 def title_attributes(spark, sf_dir):
     t = F.col("title")
-    return fixtures.frame(spark, "titles").select("case_id", text.known_brand(t).alias("brand"), text.brand_family(t).alias("family"), text.gender(t).alias("gender"), text.size_category(t).alias("size_category"))
+    return derived.frame(spark, sf_dir, "listings_raw").select("product_id", text.known_brand(t).alias("brand"), text.brand_family(t).alias("family"), text.gender(t).alias("gender"), text.size_category(t).alias("size_category"))
 
 
 def title_parse(spark, sf_dir):
-    """Titles with model, brand, gender, size, partner and quoted colours (patterns with lookahead: rows only)."""
-    return fixtures.frame(spark, "titles").select("case_id", *[c.alias(n) for n, c in models.parse_title(F.col("title")).items()])
+    """Every listing's title: brand, model, sub-model, gender, size, partner and colours."""
+    t = derived.frame(spark, sf_dir, "listings_raw").select("product_id", models.parse_title(F.col("title"), F.col("brand")).alias("p"))
+    return t.select("product_id", "p.*")
 
 
 def search_terms(spark, sf_dir):
-    """Search queries of each title, with a colour and partial codes where the candidate of the same number has them (rows only)."""
-    t = fixtures.frame(spark, "titles").withColumn("none", F.lit(None).cast("string"))
-    unseen = {k: F.col("none") for k in ("brand", "model", "sub_model", "colour")} | {"release_names": F.array().cast("array<string>")}
-    c = fixtures.frame(spark, "compound").select(F.col("product_id").alias("case_id"), "style_id")
-    asked = t.join(c, "case_id", "left")
-    return asked.select("case_id", F.array_join(search.search_queries(F.col("title"), F.array_join(text.colour_tokens(F.col("title")), "/"), unseen, F.split("style_id", "/")), " | ").alias("queries"))
+    """Search queries of every request."""
+    r = resolution.requests(spark, sf_dir)
+    shown = {"brand": F.col("v_brand"), "model": F.col("v_model"), "sub_model": F.lit(""), "colour": F.coalesce(F.nullif("v_official", F.lit("")), F.col("v_colorway")), "release_names": F.array().cast("array<string>")}
+    shown = {k: F.when(F.col("seen"), c) for k, c in shown.items()}
+    return r.select("query_id", F.array_join(search.search_queries(F.col("title"), F.col("page_colour"), shown, F.col("labeled_codes"), F.col("page_brand")), " | ").alias("queries"))
 
 
 def model_pairs(spark, sf_dir):
-    """Similarity of each title with the next one (rows only)."""
+    """Similarity of each listing's title with the model that photos show of the request of the same number."""
     ship_package(spark)
-    t = fixtures.frame(spark, "titles")
-    pairs = t.alias("a").join(t.alias("b"), F.col("b.case_id") == F.col("a.case_id") + 1)
-    return pairs.select(F.col("a.case_id").alias("case_id"), F.round(models.model_similarity(F.col("a.title"), F.col("b.title")), 4).alias("similarity"))
+    pairs = derived.frame(spark, sf_dir, "listings_raw").join(derived.frame(spark, sf_dir, "requests_raw").select(F.col("query_id").alias("ord"), "v_model"), "ord")
+    return models.with_model_similarity(pairs, "title", "v_model", "similarity").select("product_id", F.round("similarity", 4).alias("similarity"))
 
 
 def colour_tokens(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(text.colour_tokens(F.col("p_name")), ",").alias("colours"))
+    """Colours and nicknames of every part's name and of every listing's colourway."""
+    texts = table(spark, sf_dir, "part").select(F.col("p_name").alias("txt")).union(derived.frame(spark, sf_dir, "listings_raw").select("colorway"))
+    return texts.groupBy("txt").agg(F.count(F.lit(1)).alias("n")).select("txt", "n", F.array_join(text.colour_tokens(F.col("txt")), ",").alias("colours"))
 
 
 def colour_similarity(spark, sf_dir):
-    p = table(spark, sf_dir, "part")
-    pairs = p.alias("a").join(p.alias("b"), F.col("b.p_partkey") == F.col("a.p_partkey") + 1)
-    return pairs.select(F.col("a.p_partkey").alias("p_partkey"), F.round(text.colour_similarity(F.col("a.p_name"), F.col("b.p_name")), 4).alias("similarity"))
+    """Likeness of each listing's colourway with what photos show of the request of the same number."""
+    pairs = derived.frame(spark, sf_dir, "listings_raw").join(derived.frame(spark, sf_dir, "requests_raw").select(F.col("query_id").alias("ord"), "v_official", "v_colorway"), "ord")
+    shown = F.coalesce(F.nullif("v_official", F.lit("")), F.col("v_colorway"))
+    return pairs.select("product_id", F.round(text.colour_similarity(F.col("colorway"), shown), 4).alias("similarity"), F.round(text.colour_similarity(F.col("colorway"), F.col("title")), 4).alias("with_title"))
 
 
 def json_identifiers(spark, sf_dir):
@@ -135,9 +144,10 @@ def evidence_arg_max(spark, sf_dir):
 
 
 def web_agreement_trust(spark, sf_dir):
-    hits = table(spark, sf_dir, "pages").select(F.regexp_extract("url", r"/(\d+)", 1).alias("code"), urls.domain(F.col("url")).alias("domain"), (F.col("page_id") % 3 == 0).alias("labeled"), F.col("page_id").alias("ord"))
+    """Domains that name a code (the number in a page's path); a path in English counts as labelled."""
+    hits = table(spark, sf_dir, "pages").select(F.regexp_extract("url", r"/(\d+)", 1).alias("code"), urls.domain(F.col("url")).alias("domain"), F.contains("url", F.lit("/en/")).alias("labeled"), F.col("page_id").alias("ord"))
     trust = spark.createDataFrame([("example.com", 1.0), ("example.org", 0.8)], "suffix string, trust double")
-    return relational.harvest(hits.where("code <> ''").withColumn("code", F.substring("code", 1, 2)), trust)
+    return relational.harvest(hits.where("code <> ''"), trust)
 
 
 def multi_source_keys(spark, sf_dir):
@@ -166,9 +176,10 @@ def lookup_fill(spark, sf_dir):
 
 
 def segment_join(spark, sf_dir):
-    segments = relational.segments(fixtures.frame(spark, "compound"), "product_id", "style_id")
-    wanted = spark.createDataFrame([("DD1391101",), ("FV5029006",), ("555088101",), ("NONE00000",)], "style_code string")
-    return wanted.join(segments, "style_code", "left").select("style_code", "product_id")
+    """Listings of every code that a request is told of, by the parts of compound codes."""
+    segments = relational.segments(derived.frame(spark, sf_dir, "listings_raw"), "product_id", "style_id")
+    wanted = derived.frame(spark, sf_dir, "signals_raw").select("query_id", "style_code").distinct()
+    return wanted.join(segments, "style_code", "left").select("query_id", "style_code", "product_id")
 
 
 def choose_listing(spark, sf_dir):
@@ -211,22 +222,57 @@ def rank_and_gap(spark, sf_dir):
     return r.select("o_custkey", "o_orderkey", "score", F.coalesce(F.col("next") >= F.round(F.col("score") - 0.05, 4), F.lit(False)).alias("ambiguous"), scoring.tier(F.col("score")).alias("tier"))
 
 
-def _scored(spark):
-    cands = fixtures.frame(spark, "candidates").withColumns({"kinds": F.split("kinds", ","), "weights": F.transform(F.split("weights", ","), lambda x: x.cast("double")), "model": F.lit("")})
-    return scoring.score(cands.join(fixtures.frame(spark, "observations"), "query_id"))
+def observations(spark, sf_dir):
+    """What is known of each request, from page, title and photos."""
+    o = observe.observe(resolution.requests(spark, sf_dir)).drop("model_name")
+    return o.withColumns({"colorways": F.array_join("colorways", "|"), "labeled_codes": F.array_join("labeled_codes", ",")})
+
+
+def evidence_pool(spark, sf_dir):
+    """The union of all sources of evidence, one candidate per request and code."""
+    p = resolution.candidates(spark, sf_dir)
+    return p.withColumn("evidence", F.array_join(F.transform("evidence", lambda e: F.concat(e["kind"], F.lit(":"), e["detail"])), "|"))
+
+
+def catalog_listings(spark, sf_dir):
+    """One listing per code of the whole catalogue, compound codes by their parts."""
+    ship_package(spark)
+    cols = ["style_code", "product_id", "title", "brand", "model", "colorway", "gender", "size_category", "retail_price", "ambiguous", "n_listings"]
+    return catalog.listings(derived.frame(spark, sf_dir, "listings_raw")).select(*cols)
 
 
 def score_candidates(spark, sf_dir):
-    return _scored(spark).select("query_id", "style_code", *[F.round(f"c_{c}", 4).alias(f"c_{c}") for c in ("sku", "model", "colorway", "embedding", "metadata", "agreement")], "raw_score")
+    return resolution.scored(spark, sf_dir).select("query_id", "style_code", *[F.round(f"c_{c}", 4).alias(f"c_{c}") for c in scoring.COMPONENTS], "raw_score")
 
 
 def contradictions(spark, sf_dir):
-    return scoring.contradict(_scored(spark)).select("query_id", "style_code", F.array_join("hard", ",").alias("hard"), F.array_join("soft", ",").alias("soft"), F.round("penalty", 4).alias("penalty"), "rejected", "score")
+    c = scoring.contradict(resolution.scored(spark, sf_dir))
+    return c.select("query_id", "style_code", F.array_join("contradictions", ",").alias("contradictions"), F.round("penalty", 4).alias("penalty"), "rejected", "rejection_reason", "score")
+
+
+def verify_candidates(spark, sf_dir):
+    j = resolution.judged(spark, sf_dir)
+    return j.select("query_id", "style_code", F.array_join("contradictions", ",").alias("contradictions"), "rejected", "rejection_reason", "score")
 
 
 def resolve_queries(spark, sf_dir):
-    judged = scoring.verify(scoring.contradict(_scored(spark)), fixtures.frame(spark, "verdicts"))
-    return scoring.resolve(fixtures.frame(spark, "observations"), judged)
+    listed = resolution.listings(spark, sf_dir)
+    judged = written(resolution.judged(spark, sf_dir, listed), "judged")
+    return resolution.resolved(judged, scoring.confirm(resolution.leaders(judged), listed), spark, sf_dir)
+
+
+def final_rows(spark, sf_dir):
+    """Final status, product, catalogue match and market of every request; a listing's market is that of the part it came from."""
+    listed = resolution.listings(spark, sf_dir)
+    judged = written(resolution.judged(spark, sf_dir, listed), "judged")
+    confirmed = written(scoring.confirm(resolution.leaders(judged), listed), "confirmed")
+    asked, none = resolution.requests(spark, sf_dir), F.lit(None).cast("string")
+    doubt = asked.select("query_id", F.when(F.col("seen") & ~F.col("v_consistent"), F.lit("CONTRADICTORY_EVIDENCE")).alias("doubt"))
+    unsure = resolution.leaders(judged).join(confirmed, "query_id", "left").select("query_id", F.when(F.col("product_id").isNull() | F.col("ambiguous"), F.lit("CATALOG_MATCH_UNCERTAIN")).otherwise(none).alias("unsure"))
+    failures = doubt.join(unsure, "query_id", "left").select("query_id", F.array_compact(F.array("doubt", "unsure")).alias("codes"))
+    li = table(spark, sf_dir, "lineitem").groupBy(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("product_id")).agg(F.min("l_extendedprice").alias("lowest_ask"), F.max("l_extendedprice").alias("highest_bid"))
+    matches = confirmed.drop("ambiguous").join(li, "product_id", "left")
+    return scoring.finalize(resolution.resolved(judged, confirmed, spark, sf_dir), judged, failures, matches)
 
 
 def review_queue(spark, sf_dir):
@@ -241,13 +287,18 @@ def eval_metrics(spark, sf_dir):
 
 
 def upsert_merge(spark, sf_dir):
-    return merge.upsert(fixtures.frame(spark, "current_products"), fixtures.frame(spark, "updates"), "key", ["name", "color", "price"])
+    """Parts as the current table, customers and suppliers of the same number as updates; suppliers are authoritative."""
+    of = lambda name, key, *cols: table(spark, sf_dir, name).select(F.col(key).alias("key"), *cols)
+    current = of("part", "p_partkey", F.when(F.col("p_size") > 25, F.col("p_name")).alias("name"), F.lit("").alias("color"), F.when(F.col("p_size") < 40, F.col("p_retailprice")).alias("price"))
+    told = of("customer", "c_custkey", F.col("c_name").alias("name"), F.col("c_mktsegment").alias("color"), F.col("c_acctbal").alias("price"), F.lit(False).alias("authoritative"), F.lit(1).alias("ord"))
+    sure = of("supplier", "s_suppkey", F.col("s_name").alias("name"), F.lit("").alias("color"), F.when(F.col("s_acctbal") > 0, F.col("s_acctbal")).alias("price"), F.lit(True).alias("authoritative"), F.lit(2).alias("ord"))
+    return merge.upsert(current, told.union(sure), "key", ["name", "color", "price"])
 
 
 def image_insert_absent(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    new = d.select("source", F.sha2("text", 256).alias("digest"), "doc_id")
-    return merge.insert_absent(new.where("doc_id % 3 = 0"), new, ["source", "digest"], ["doc_id"]).select("source", "digest", "doc_id")
+    """Texts that a source has and its English part has not."""
+    new = table(spark, sf_dir, "documents").select("source", F.sha2("text", 256).alias("digest"), "doc_id", "lang")
+    return merge.insert_absent(new.where("lang = 'en'"), new.drop("lang"), ["source", "digest"], ["doc_id"]).select("source", "digest", "doc_id")
 
 
 def latest_status(spark, sf_dir):
@@ -271,9 +322,9 @@ def ordered_distinct_urls(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    knn_topk, knn_resolve, similarity_to_group, url_normalize, url_domain_counts, page_fields, page_tag_text, content_dedupe, cache_key, token_scan, code_detect,
+    knn_topk, knn_resolve, similarity_to_group, url_normalize, url_domain_counts, page_fields, page_codes, page_tag_text, content_dedupe, cache_key, token_scan, code_detect,
     title_attributes, title_parse, search_terms, model_pairs, colour_tokens, colour_similarity, json_identifiers, evidence_merge, evidence_arg_max, web_agreement_trust, multi_source_keys, latest_n_per_key,
     anti_missing, semi_held_out, lookup_fill, segment_join, choose_listing, market_min_max, ttl_cache_lookup, sliding_rate, rate_limit, daily_budget, rank_and_gap,
-    score_candidates, contradictions, resolve_queries, review_queue, eval_metrics, upsert_merge, image_insert_absent, latest_status, stream_latest_status, seeded_sample,
+    observations, evidence_pool, catalog_listings, score_candidates, contradictions, verify_candidates, resolve_queries, final_rows, review_queue, eval_metrics, upsert_merge, image_insert_absent, latest_status, stream_latest_status, seeded_sample,
     ordered_distinct_urls,
 )}

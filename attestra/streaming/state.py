@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections import deque
 from collections.abc import Iterator
@@ -11,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
+
 
 def admit(requests: DataFrame, *, key: str, time: str, row: str, most: int, window_s: float) -> DataFrame:
     """row, admitted: at most `most` admitted requests of a key in any window_s seconds; refused ones do not count.
@@ -52,8 +53,7 @@ def stream_latest(spark: SparkSession, folder: str, files: str) -> DataFrame:
     """Latest status per user by a streaming query over the files in folder, run to its end; its result is a Parquet table."""
     schema = spark.read.parquet(f"{folder}/{files}").schema
     name = f"latest_{uuid.uuid4().hex}"
-    told = spark.conf.get("spark.checkpoint.dir", None)
-    place = f"{told.rstrip('/')}/{name}" if told else tempfile.mkdtemp(prefix="attestra-")
+    place = f"{shared_dir(spark)}/{name}"
     stream = latest_by_key(spark.readStream.schema(schema).option("pathGlobFilter", files).parquet(folder))
     batches = []
 

@@ -46,10 +46,38 @@ def test_gender_and_size(spark, title, gender, size):
     assert (r.g, r.s) == (gender, size)
 
 
-def test_colour_similarity_orders(spark):
-    rows = [("White/Black", "White/Black"), ("White/Black", "Black/White"), ("White/Black", "Sail/Red"), ("", "White")]
-    a, b, c, d = (r[0] for r in spark.createDataFrame(rows, "a string, b string").select(text.colour_similarity(F.col("a"), F.col("b"))).collect())
-    assert a == 1.0 and c < b < a and d is None
+COLOURS = [
+    ("White/Black-Gum", ["white", "black", "gum"]), ("Sail/University Red", ["sail", "university red"]), ("WHT/BLK", ["white", "black"]), ("Off White & Univ Red", ["off white", "university red"]),
+    ("off-white/offwhite", ["off white"]), ("lt grey and (dk) red", ["light", "grey", "dark", "red"]), ("xoff white", ["white"]), ("Panda 'Black Cat'", ["panda", "black"]),
+    ("Summit White–Photon Dust|Gold", ["summit white", "photon dust", "gold"]), ("university red.", []), ("plain", []), (None, []),
+]
+
+
+def test_colour_tokens(spark):
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(COLOURS)], "i int, t string")
+    assert [r.c for r in df.select("i", text.colour_tokens(F.col("t")).alias("c")).orderBy("i").collect()] == [c for _, c in COLOURS]
+
+
+PAIRS = [
+    ("White/Black", "White/Black", 1.0), ("White/Black", "Black/White", 0.7), ("", "White", None), ("Off White/Black", "White/Black", 1 / 3), ("University Red", "Varsity Red", 0.0),
+    ("Panda", "White/Black", None), ("Panda", "Reverse Panda", 0.5), ("White Panda", "White Reverse Panda", 0.5), ("Core Black", "Black", 0.0), ("Panda/White", "Bred", 0.0),
+]
+
+
+def test_colour_similarity(spark):
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(PAIRS)], "i int, a string, b string, s double")
+    for r in df.select("i", "s", text.colour_similarity(F.col("a"), F.col("b")).alias("got")).collect():
+        assert r.got == pytest.approx(r.s) if r.s is not None else r.got is None, PAIRS[r.i]
+
+
+def test_families_and_identifiers(spark):
+    rows = [("Nike SB", "nike"), ("Air Jordan", "nike"), ("NEW BALANCE", "new balance"), ("nobody", ""), (None, "")]
+    assert [r[0] for r in spark.createDataFrame(rows, "b string, f string").coalesce(1).select(text.known_family(F.col("b"))).collect()] == [f for _, f in rows]
+    rows = [("DV0831-101-10.5", "nike", "DV0831101"), ("12345", "", None), (None, "", None), ("CD0461", "nike", None), ("GX8862", "", "GX8862")]
+    got = spark.createDataFrame(rows, "v string, h string, c string").coalesce(1).select("c", codes.identifier_code(F.col("v"), F.col("h")).alias("x")).collect()
+    assert [r.x and r.x.code for r in got] == [c for _, _, c in rows] and got[0].x.display == "DV0831-101" and got[0].x.confidence == 0.9
+    days = [("20240315", True), ("20241301", False), ("202403", True), ("189912", False), ("196155451231", True), ("DD1391100", False), ("123456789", False)]
+    assert [r[0] for r in spark.createDataFrame(days, "n string, x boolean").coalesce(1).select(codes.implausible(F.col("n"))).collect()] == [x for _, x in days]
 
 
 def test_urls(spark):

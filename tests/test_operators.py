@@ -2,33 +2,14 @@ import random
 from collections import defaultdict, deque
 
 import numpy as np
-import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from attestra.operators import knn, merge, scoring
-from attestra.plans import fixtures
-from attestra.plans.queries import QUERIES
+from attestra.operators import knn, merge
 from attestra.sources import pages
 from attestra.streaming import state
 
 
-def test_resolution_scenarios(spark):
-    got = {r.query_id: r for r in QUERIES["resolve_queries"](spark, "").collect()}
-    assert got[1].status == "high" and got[1].style_code == "DD1391100" and not got[1].review_required
-    assert got[2].failure == "MULTIPLE_CANDIDATES" and got[2].confidence <= 0.84
-    assert got[4].status == "unresolved" and got[4].failure == "CATALOG_MATCH_UNCERTAIN"
-    assert got[5].failure == "CONTRADICTORY_EVIDENCE" and got[5].style_code is None
-    scores = QUERIES["contradictions"](spark, "").collect()
-    assert all(0 <= r.score <= 1 for r in scores)
-    assert "size_category_mismatch" in next(r for r in scores if (r.query_id, r.style_code) == (1, "CW1590100")).hard
-
-
-def test_no_candidates(spark):
-    judged = scoring.verify(scoring.contradict(scoring.score(fixtures.frame(spark, "candidates").limit(0).withColumns({"kinds": F.split("kinds", ","), "weights": F.array(F.lit(0.0)), "model": F.lit("")}).join(fixtures.frame(spark, "observations"), "query_id"))), fixtures.frame(spark, "verdicts"))
-    assert {r.failure for r in scoring.resolve(fixtures.frame(spark, "observations"), judged).collect()} == {"NO_CANDIDATES"}
-
-
 def test_knn_equals_numpy(spark):
     rng = np.random.default_rng(0)
     vectors = rng.normal(size=(300, 16))
@@ -42,16 +23,29 @@ def test_knn_equals_numpy(spark):
         s = v @ v[q]
         s[q] = -9
         assert got[q] == np.argsort(-s)[:4].tolist()
-    with pytest.raises(ValueError):
-        knn.MOST_QUERIES, most = 3, knn.MOST_QUERIES
-        try:
-            knn.nearest(df, df, 2)
-        finally:
-            knn.MOST_QUERIES = most
+    key = lambda r: tuple(r)
+    whole, parts = knn.nearest(df, df, 4), knn.nearest(df, df, 4, group_bytes=1000)
+    assert sorted(parts.collect(), key=key) == sorted(whole.collect(), key=key) and whole.count() == 1200
+
+
+def test_knn_of_equal_vectors_prefers_small_ids(spark):
+    df = spark.createDataFrame([(i, [1.0, float(i == 5)], 0) for i in range(60)], "vec_id long, embedding array<double>, label int").repartition(7)
+    got = sorted(tuple(r) for r in knn.nearest(df.where("vec_id = 3"), df, 3).select("rank", "vec_id").collect())
+    assert got == [(1, 0), (2, 1), (3, 2)]
+    assert knn.nearest(df.limit(0), df, 3).count() == 0 and knn.nearest(df, df.limit(0), 3).count() == 0
+
+
+UPDATES = [
+    # key, name, color, price, authoritative, ord
+    ("A1", "", "white", 90.0, False, 1), ("A1", "Alpha", "", None, True, 2), ("A1", "Alpha two", "black", 95.0, False, 3),
+    ("B2", "Beta", "", 10.0, False, 1), ("B2", "", "red", 12.0, True, 2), ("C3", "", "", None, False, 1),
+]
+CURRENT = [("A1", "old alpha", "", None), ("B2", "", "blue", 9.0), ("D4", "Delta", "tan", 40.0)]
 
 
 def test_upsert_is_idempotent(spark):
-    current, updates = fixtures.frame(spark, "current_products"), fixtures.frame(spark, "updates")
+    current = spark.createDataFrame(CURRENT, "key string, name string, color string, price double")
+    updates = spark.createDataFrame(UPDATES, "key string, name string, color string, price double, authoritative boolean, ord long")
     once = merge.upsert(current, updates, "key", ["name", "color", "price"])
     twice = merge.upsert(once, updates, "key", ["name", "color", "price"])
     assert sorted(once.collect(), key=str) == sorted(twice.collect(), key=str)
@@ -74,14 +68,6 @@ def test_admission_does_not_count_refused(spark):
         assert got[i] == ok
 
 
-def test_page_fields():
-    html = """<html lang="en"><head><title> T </title><meta property="og:title" content="OG"><script type="application/ld+json">{"@graph":[{"@type":"Product","name":"Air 4","brand":{"name":"Jordan"},"sku":"FV5029-006","offers":{"price":"1,215.0","priceCurrency":"USD"},"image":["i.jpg"]}]}</script>
-    <script type="application/ld+json">{broken</script></head><body><h1>H <b>1</b></h1><a href="/x">x</a><img src="a"></body></html>"""
-    assert pages.parse_page(html) == ("Air 4", "H 1", "", "i.jpg", 1215.0, "USD", "Jordan", "FV5029-006", "en", 1, 1, "")
-    assert pages.parse_page(None)[-1] == "no_metadata"
-    assert pages.parse_page("<title>only</title>")[0] == "only"
-
-
 def test_jsonl_cases(spark, tmp_path):
     (tmp_path / "c.jsonl").write_text('# note\n\n{"title":"a","tags":["gs"]}\n{"title":"b","tags":[]}\n')
     assert [r.title for r in pages.load_cases(spark, str(tmp_path / "c.jsonl"), "gs").collect()] == ["a"]
@@ -104,12 +90,3 @@ def test_streamed_latest_rows_are_files_not_driver_memory(spark, tmp_path):
     assert sorted(got.collect(), key=key) == sorted(state.latest_by_key(events).collect(), key=key)
     events.limit(0).write.parquet(str(tmp_path / "none"))
     assert state.stream_latest(spark, str(tmp_path / "none"), "*.parquet").count() == 0
-
-
-def test_products_are_found_at_any_place_and_depth():
-    node = {"@type": "Product", "name": "p"}
-    assert [p["name"] for p in pages.products([{"@type": "Thing"}] * 500 + [node])] == ["p"]
-    for _ in range(300):
-        node = {"@graph": [node]}
-    tree = {"@type": ["Product"], "name": "first", "hasVariant": [{"@type": "Product", "name": "second"}], "isVariantOf": node}
-    assert [p["name"] for p in pages.products(tree)] == ["first", "second", "p"]
