@@ -98,3 +98,11 @@ def test_family_of_many_near_copies(spark, monkeypatch):
         rows.append((i, " ".join(ws)))
     got = near_dups.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(brute(rows))
+
+
+def test_very_long_texts_and_columns_of_any_name(spark):
+    words = [f"w{i % 5000}x{i // 7}" for i in range(60_000)]
+    near = words[:55_000] + ["other"] * 5000
+    rows = [(5, " ".join(words), 1, "d", 2), (3, " ".join(near), 1, "d", 2), (9, " ".join(reversed(words)), 1, "d", 2), (None, None, None, None, None)]
+    got = near_dups.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, digest int, `x.y` string, registers int").repartition(3)).collect()
+    assert {(r.doc_id, r.component_id, r.kept) for r in got} == {(5, 3, False), (3, 3, True), (9, 9, True), (None, None, False)}

@@ -121,3 +121,12 @@ def test_plans_place_every_token_once_without_padding():
         ends = lambda spans: sum(spans[-1])
         assert all(ends(x) == 1024 or ends(x) & (ends(x) - 1) == 0 for x in windows.values())
         assert sorted(parts) == [(k, i) for k in sorted(histogram) for i in range(histogram[k])] and all(ends(x) == k for (k, _), x in parts.items())
+
+
+def test_pieces_of_a_very_long_text_beside_clashing_columns(spark):
+    t, long = library(), "word and more 123 " * 60_000
+    docs = spark.createDataFrame([(1, long, 5, 6, 7), (None, "tail", 1, 2, 3), (1, long, 5, 6, 7)], "doc_id long, text string, length int, `a.b` int, ids int")
+    rows = packing.pack(docs, PATH, with_ids=False).collect()
+    n = len(t.encode(long, add_special_tokens=False).ids) + 1
+    assert sum(r.length for r in rows if r.doc_id == 1) == 2 * n and {r.doc_tokens for r in rows if r.doc_id == 1} == {n}
+    assert sum(r.length for r in rows if r.doc_id is None) == len(t.encode("tail", add_special_tokens=False).ids) + 1

@@ -1,3 +1,4 @@
+import random
 import re
 
 from attestra.llm import url_templates as ut
@@ -66,3 +67,65 @@ def test_a_bad_section_is_kept_among_many_siblings_and_at_any_depth(spark):
     assert all((got[2000 + i].verdict == "block") == bool(i % 2) for i in range(200))
     assert {got[2000 + i].template for i in range(200)} == {"/a/b/c/d/e/spam/x", "/a/b/c/d/e/item/x"}
     assert [got[3000 + i].template for i in range(3)] == ["/q/r/s/t/u/v/w/x/y/z", "", "/q"]
+
+
+def brute_verdicts(rows, labels, z=2.0, prior=4.0, reject=0.5):
+    """Template and verdict of every url by walking the tree of each host, node by node."""
+    def shape(s):
+        stem, ext = re.match(r"^(.*?)(\.[A-Za-z0-9]{1,5})?$", s).groups()
+        mark = "{n}" if re.fullmatch("[0-9]+", stem) else "{id}" if re.fullmatch("[0-9a-fA-F-]{16,}", stem) else re.sub("[0-9]+", "{n}", stem) if re.search("[0-9]{3}", stem) else stem
+        return mark + (ext or "")
+
+    bad = {}
+    for i, b in labels:
+        bad[i] = bad.get(i, False) or b
+    tree, paths = {}, {}
+    for i, url in rows:
+        host, path, _, _ = brute(url)
+        key = host, tuple(shape(s) for s in path.split("/") if s)
+        n = tree.setdefault(key, [0, 0])
+        paths[i] = key
+        if i in bad:
+            n[0] += 1
+            n[1] += bad[i]
+    templates = {}
+
+    def judge(host, template, own, level):
+        for key in [k for k in own if len(k[1]) <= level]:
+            templates[key] = template
+        own = [k for k in own if len(k[1]) > level]
+        if len(own) == 1:
+            templates[own[0]] = template + "/" + "/".join(own[0][1][level:])
+            return
+        labels, bads = (sum(tree[k][j] for k in own) for j in (0, 1))
+        rate, steps = (bads + 0.5) / (labels + 1), {}
+        for seg in {k[1][level] for k in own}:
+            branch = [k for k in own if k[1][level] == seg]
+            n, b = (sum(tree[k][j] for k in branch) for j in (0, 1))
+            alike = abs((b + rate) / (n + 1) - rate) <= z * (rate * (1 - rate) / (n + 1)) ** 0.5
+            steps.setdefault("*" if alike and len({k[1][level] for k in own}) > 1 else seg, []).extend(branch)
+        for step, branch in steps.items():
+            judge(host, f"{template}/{step}", branch, level + 1)
+
+    for host in {k[0] for k in tree}:
+        judge(host, "", [k for k in tree if k[0] == host], 0)
+    total = sum(n for n, _ in tree.values()), sum(b for _, b in tree.values())
+    share, out = (total[1] + 0.5) / (total[0] + 1), {}
+    for i, key in paths.items():
+        add = lambda test: [sum(tree[k][j] for k in tree if test(k)) for j in (0, 1)]  # noqa: E731, B023
+        n, b = add(lambda k: k[0] == key[0] and templates[k] == templates[key])  # noqa: B023
+        hn, hb = add(lambda k: k[0] == key[0])  # noqa: B023
+        of_host = (hb + prior * share) / (hn + prior)
+        out[i] = templates[key], "block" if (b + prior * of_host) / (n + prior) >= reject else "allow"
+    return out
+
+
+def test_templates_and_verdicts_equal_brute_force(spark):
+    rng = random.Random(6)
+    hosts, words = ["a.example", "B.example", "c.example"], ["news", "shop", "spam", "item", "x1", "deadbeefdeadbeef", "p2024.html", "42", "7.html", "big9999"]
+    rows = [(i, f"http://{rng.choice(hosts)}/" + "/".join(rng.choice(words) for _ in range(rng.randrange(5)))) for i in range(600)] + [(900, None), (901, "http://c.example/" + "/".join(["deep"] * 40))]
+    labels = [(i, rng.random() < (0.9 if "spam" in (u or "") else 0.1)) for i, u in rows if rng.random() < 0.6]
+    pages = spark.createDataFrame([(*r, "t", 1) for r in rows], "page_id long, url string, template string, `a.b` int").repartition(3)
+    got = {r.page_id: r for r in ut.url_filter(pages, spark.createDataFrame(labels, "id long, bad boolean"), rules=[]).collect()}
+    want = brute_verdicts(rows, labels)
+    assert {i: (r.template, r.verdict) for i, r in got.items()} == want and {v for _, v in want.values()} == {"allow", "block"}
