@@ -13,6 +13,19 @@ from .relational import segments_of
 
 #: Genders of children's sizes and the size category each means (fixed values).
 CHILD_SIZES = {"child": "gs", "kids": "gs", "youth": "gs", "preschool": "ps", "toddler": "td", "infant": "td"}
+#: Terms that a catalogue is first filled with (fixed values).
+SEED_QUERIES = [
+    "Nike Air Force 1", "Nike Air Force 1 Low", "Nike Air Force 1 High", "Nike Air Force 1 Shadow", "Air Jordan 1", "Air Jordan 1 Low", "Air Jordan 1 High", "Air Jordan 1 Mid", "Air Jordan 2", "Air Jordan 3",
+    "Air Jordan 4", "Air Jordan 5", "Air Jordan 6", "Air Jordan 7", "Air Jordan 9", "Air Jordan 11", "Air Jordan 12", "Air Jordan 13", "Air Jordan 14", "Travis Scott Jordan", "Off-White Jordan", "Union Jordan",
+    "Fragment Jordan", "Nike Dunk Low", "Nike Dunk High", "Nike SB Dunk Low", "Nike SB Dunk High", "StrangeLove Dunk", "Off-White Dunk", "Chunky Dunky", "Travis Scott Dunk", "Parra Dunk", "Nike Air Max 1",
+    "Nike Air Max 90", "Nike Air Max 95", "Nike Air Max 97", "Nike Air Max 98", "Nike Air Max 270", "Nike Air Max Plus", "Nike Air Max 720", "Nike Cortez", "Nike Blazer Mid", "Nike Blazer Low", "Nike Vapormax",
+    "Nike P-6000", "Nike Shox", "Nike Vomero 5", "Nike Kobe", "Nike LeBron", "Adidas Yeezy 350", "Adidas Yeezy 500", "Adidas Yeezy 700", "Adidas Yeezy 380", "Adidas Yeezy 450", "Adidas Yeezy Slide",
+    "Adidas Yeezy Foam Runner", "Adidas Samba", "Adidas Gazelle", "Adidas Superstar", "Adidas Stan Smith", "Adidas Campus", "Adidas Ultraboost", "Adidas NMD", "Adidas Forum Low", "Adidas Forum High",
+    "Adidas Handball Spezial", "Adidas SL 72", "New Balance 550", "New Balance 574", "New Balance 990", "New Balance 991", "New Balance 992", "New Balance 993", "New Balance 996", "New Balance 997",
+    "New Balance 2002R", "New Balance 327", "New Balance 9060", "New Balance 1906R", "New Balance 530", "Asics Gel-Kayano 14", "Asics Gel-1130", "Asics Gel-NYC", "Asics Gel-Lyte III", "Asics Gel-1090",
+    "Asics GT-2160", "Converse Chuck 70", "Converse Chuck Taylor", "Vans Old Skool", "Vans Sk8-Hi", "Vans Authentic", "Puma Suede", "Puma RS-X", "Puma Palermo", "Puma Speedcat", "Reebok Classic Leather",
+    "Reebok Club C", "Reebok Question", "Salomon XT-6", "Salomon XT-4", "On Cloudmonster", "On Cloud 5", "Hoka Bondi", "Hoka Clifton", "Under Armour Curry", "Crocs Classic Clog", "Timberland 6 Inch Boot", "UGG Tasman",
+]
 PRODUCT = "productId string, id string, urlKey string, styleId string, title string, brand string, productType string, productAttributes struct<colorway:string,gender:string,releaseDate:string,retailPrice:string>"
 VARIANT = "variantId string, variantValue string, variantName string, sizeChart struct<defaultConversion:struct<size:string,type:string>>"
 MARKET = "variantId string, variantValue string, lowestAskAmount string, highestBidAmount string, standardMarketData struct<lowestAsk:string,highestBidAmount:string>"
@@ -134,7 +147,8 @@ def seeds(catalog: DataFrame) -> DataFrame:
 def reparse(known: DataFrame) -> DataFrame:
     """style_code with new model, sub_model, gender, size_category where a product's name says otherwise than its row (null: unchanged)."""
     c = F.col
-    df = known.where(text("name") != "").withColumn("p", models.parse_title(c("name"), c("brand")))
+    # Written, so that the filter below does not parse each title again for every field it asks for.
+    df = written(known.where(text("name") != "").withColumn("p", models.parse_title(c("name"), c("brand"))), "reparsed")
     other = lambda f: F.when((c(f"p.{f}") != "") & (c(f"p.{f}") != text(f)), c(f"p.{f}"))
     gap = lambda f: F.when((c(f"p.{f}") != "unknown") & (text(f) == ""), c(f"p.{f}"))
     out = df.select("style_code", other("model").alias("model"), other("sub_model").alias("sub_model"), gap("gender").alias("gender"), gap("size_category").alias("size_category"))

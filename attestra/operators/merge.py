@@ -64,3 +64,12 @@ def insert_absent(current: DataFrame, new: DataFrame, keys: list[str], order: li
 def arg_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     rest = [c for c in df.columns if c not in keys]
     return df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("row")).select(*keys, "row.*")
+
+
+def exact_median(df: DataFrame, column: str) -> DataFrame:
+    """One row with the exact median of a column: values are counted before they meet, so what meets is their variety."""
+    counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+    upto = counts.withColumns({"upto": F.sum("n").over(Window.orderBy(column)), "total": F.sum("n").over(Window.partitionBy())})
+    low, high = F.floor((F.col("total") + 1) / 2), F.floor((F.col("total") + 2) / 2)
+    at = lambda place: F.min(F.when(F.col("upto") >= place, F.col(column)))
+    return upto.agg(((at(low) + at(high)) / 2.0).alias("median"))

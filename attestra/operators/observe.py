@@ -72,7 +72,7 @@ EVIDENCE = ["query_id", "style_code", "display", "kind", "detail", "weight", "si
 def evidence_of_photos(requests: DataFrame, first_ord: int = 1000) -> DataFrame:
     """EVIDENCE rows of what photos show: a code legible on a tag (0.9) and up to three codes that are guessed (0.35)."""
     hint = codes.family_of(F.concat_ws(" ", text("v_brand"), text("v_model")))
-    read = F.struct(F.lit("vision_tag").alias("kind"), F.lit("legible on tag/box").alias("detail"), F.lit(0.9).alias("weight"), F.col("v_style_code").alias("code"))
+    read = F.struct(F.lit("vision_tag").alias("kind"), F.lit("read on a tag or box").alias("detail"), F.lit(0.9).alias("weight"), F.col("v_style_code").alias("code"))
     guess = lambda c: F.struct(F.lit("vision_guess").alias("kind"), F.lit("recalled from photos").alias("detail"), F.lit(0.35).alias("weight"), c.alias("code"))
     guesses = F.transform(F.slice(F.coalesce("v_guesses", F.array().cast("array<string>")), 1, 3), guess)
     rows = requests.where("seen").select("query_id", hint.alias("hint"), F.posexplode(F.concat(F.array(read), guesses)).alias("i", "x"))

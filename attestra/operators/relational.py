@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.codes import normalize_code
 from ..functions.text import let
+from .merge import exact_median
 
 
 def json_pairs(df: DataFrame, id_col: str, json_col: str) -> DataFrame:
@@ -47,28 +48,53 @@ def choose_listing(parts: DataFrame) -> DataFrame:
     return joined.groupBy("p_brand").agg(F.max_by("p_partkey", rich).alias("chosen"), F.bool_or((F.col("p_type") != F.col("first.p_type")) | (F.col("p_size") != F.col("first.p_size"))).alias("ambiguous"), F.count(F.lit(1)).alias("n_listings"))
 
 
+def slices(time: Column, width_us: int) -> Column:
+    """array<struct(slice, guest)>: the slice of time that a row lies in, and as a guest the next one, which looks back into it."""
+    own = F.floor(F.unix_micros(time.cast("timestamp")) / width_us)
+    return F.array(F.struct(own.alias("slice"), F.lit(False).alias("guest")), F.struct((own + 1).alias("slice"), F.lit(True).alias("guest")))
+
+
 def ttl_lookup(requests: DataFrame, entries: DataFrame, *, key: str, time: str, row: str, days: int) -> DataFrame:
     """row of each request with that of the newest entry of its key within the last days, or null.
 
-    An as-of join without a range join: both sides go through one window per key, which carries the last entry along.
+    An as-of join without a range join: both sides go through one window per key and slice of `days`, which carries the last entry
+    along; entries are in the next slice as well. So a key with a third of all rows is as many tasks as it has slices.
     """
-    both = requests.select(key, time, row, F.lit(1).alias("asks")).unionByName(entries.select(key, time, row, F.lit(0).alias("asks")))
-    w = Window.partitionBy(key).orderBy(time, "asks", row).rowsBetween(Window.unboundedPreceding, 0)
-    last = F.last(F.when(F.col("asks") == 0, F.struct(F.col(time).alias("t"), F.col(row).alias("r"))), ignorenulls=True).over(w)
+    own = lambda df, asks: df.select(F.col(key).alias("k"), F.col(time).alias("t"), F.col(row).alias("r"), F.lit(asks).alias("asks"), slices(F.col(time), days * 86_400_000_000).alias("at"))
+    both = own(requests, 1).withColumn("at", F.slice("at", 1, 1)).unionByName(own(entries, 0)).withColumn("at", F.explode("at"))
+    w = Window.partitionBy("k", "at.slice").orderBy("t", "asks", "r").rowsBetween(Window.unboundedPreceding, 0)
+    last = F.last(F.when(F.col("asks") == 0, F.struct("t", "r")), ignorenulls=True).over(w)
     hit = both.withColumn("hit", last).where("asks = 1")
-    fresh = F.col("hit.t") >= F.col(time) - F.expr(f"INTERVAL {days} DAYS")
-    return hit.select(row, F.when(fresh, F.col("hit.r")).alias("cached"))
+    fresh = F.col("hit.t") >= F.col("t") - F.expr(f"INTERVAL {days} DAYS")
+    return hit.select(F.col("r").alias(row), F.when(fresh, F.col("hit.r")).alias("cached"))
+
+
+def counts_in_window(df: DataFrame, *, key: str, time: str, row: str, window_us: int) -> DataFrame:
+    """row and how many rows of its key lie in the window that ends with it, itself and its equals in time included; by key and slice."""
+    dealt = df.select(F.col(key).alias("k"), F.unix_micros(F.col(time).cast("timestamp")).alias("t"), F.col(row).alias(row), F.explode(slices(F.col(time), window_us)).alias("at"))
+    w = Window.partitionBy("k", "at.slice").orderBy("t").rangeBetween(-window_us, 0)
+    return dealt.withColumn("in_window", F.count(F.lit(1)).over(w)).where("NOT at.guest").select(row, "in_window")
+
+
+def running_counts(df: DataFrame, *, bucket: Column, part: Column, order: list[str], row: str) -> DataFrame:
+    """row, bucket and its place in the bucket by order. Parts of a bucket, in order, are numbered apart and shifted by the parts before."""
+    rows = df.select(bucket.alias("bucket"), part.alias("part"), F.col(row).alias(row), *[F.col(c).alias(f"o_{i}") for i, c in enumerate(order)])
+    sizes = rows.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("bucket").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    place = F.row_number().over(Window.partitionBy("bucket", "part").orderBy(*[f"o_{i}" for i in range(len(order))]))
+    numbered = rows.withColumn("place", place).join(sizes.select("bucket", "part", before.alias("before")), ["bucket", "part"])
+    return numbered.select(row, "bucket", (F.col("before") + F.col("place")).alias("used"))
 
 
 def evaluate(df: DataFrame) -> DataFrame:
     """One row of rates: accuracy, precision and false positives of guess against truth, mean and exact median latency."""
     right, said = F.col("guess") == F.col("truth"), F.col("guess") == 1
     share = lambda a, b: F.round(F.try_divide(F.count_if(a).cast("double"), b), 6)
-    return df.agg(
+    rates = df.agg(
         F.count(F.lit(1)).alias("n"),
         share(right, F.count(F.lit(1))).alias("accuracy"),
         share(right & said, F.count_if(said)).alias("precision"),
         share(said & ~right, F.count_if(F.col("truth") == 0)).alias("false_positive_rate"),
         F.round(F.avg("latency"), 6).alias("mean_latency"),
-        F.median("latency").alias("median_latency"),
     )
+    return rates.join(F.broadcast(exact_median(df, "latency").withColumnRenamed("median", "median_latency")), F.lit(True))

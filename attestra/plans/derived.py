@@ -92,6 +92,36 @@ RELATIONS: dict[str, tuple[str, str, int, dict[str, str]]] = {
         "ord": "k",
         "there": "(n + k) % 4 <> 1 AND n % 29 <> 3",
     }),
+    "results_raw": ("customer", "c_custkey", 3, {
+        "query_id": "n",
+        "ord": "k",
+        "url": f"concat('https://', {pick('n + k * 2', ['www.nike.com', 'goat.com', 'ebay.com', 'blog.example.org', 'goat.com'])}, '/p/', CAST(n AS STRING))",
+        "title": f"CASE WHEN (n + k) % 6 = 2 THEN '' ELSE concat('Nike shoe ', {code('n + k % 2')}) END",
+        "snippet": f"CASE WHEN (n + k) % 3 = 0 THEN concat('Style: ', {code('n')}, ' and ', {code('n + 3')}, ' or ', {code('n + 4')}) WHEN (n + k) % 3 = 1 THEN concat('nike ', {code('n + 1')}) ELSE 'sold out' END",
+        "width": "100 * ((n + k) % 7)",
+        "height": "100 * ((n + k * 3) % 5)",
+    }),
+    "outcomes_raw": ("customer", "c_custkey", 1, {
+        "query_id": "n",
+        "expected": code("n"),
+        "got": f"CASE WHEN n % 5 = 0 THEN NULL WHEN n % 5 = 1 THEN {plain('n + 1')} ELSE {plain('n')} END",
+        "ranked": f"concat({plain('n + 1')}, ',', CASE WHEN n % 4 = 0 THEN {plain('n + 2')} ELSE {plain('n')} END, ',', {plain('n + 3')}, ',', {plain('n')})",
+        "status": pick("n", ["high", "medium", "low", "unresolved", "medium", "low", "high"]),
+        "product_id": "CASE WHEN n % 3 = 0 THEN NULL ELSE concat('p', CAST(n AS STRING)) END",
+        "expected_product_id": "CASE WHEN n % 2 = 0 THEN '' ELSE concat('p', CAST(n % 50 AS STRING)) END",
+        "ms": "(n * 37) % 901",
+        "confidence": number("60 + n % 40") + " / 100",
+        "review_required": "n % 7 IN (2, 3, 5)",
+        "reviewed": "n % 9 = 2",
+    }),
+    "decisions_raw": ("customer", "c_custkey", 3, {
+        "query_id": "n",
+        "action": pick("n * 2 + k", ["confirm", "reject", "select", "manual_sku", "nonsense"]),
+        "chosen": f"CASE WHEN (n + k) % 3 = 0 THEN '' ELSE {plain('n + k')} END",
+        "decided_at": "(n * 7 + k * 5) % 11",
+        "ord": "k",
+        "there": "(n + k) % 2 = 0 AND n % 5 < 3",
+    }),
     "verdicts_raw": ("customer", "c_custkey", 2, {
         "query_id": "n",
         "style_code": plain("n + k"),
@@ -115,3 +145,11 @@ def sql(name: str) -> str:
     table, key, copies, columns = RELATIONS[name]
     out = f"SELECT {', '.join(f'{e} AS {c}' for c, e in columns.items())} FROM (SELECT {key} AS n, unnest(range({copies})) AS k FROM {table})"
     return f"{name} AS (SELECT * FROM ({out}){' WHERE there' if 'there' in columns else ''})"
+
+
+#: Raw JSON of a catalogue, its variants and its market, from parts and line items.
+PRODUCT_JSON = """CASE WHEN p_partkey % 13 = 5 THEN '{broken' ELSE concat('{"', CASE WHEN p_partkey % 11 = 3 THEN 'noId' WHEN p_partkey % 2 = 0 THEN 'id' ELSE 'productId' END, '": "', CAST(p_partkey AS STRING), '", "styleId": "DD', CAST(p_partkey AS STRING), '", "title": "', p_name, '", "brand": "', p_brand,
+    '", "productType": "', p_type, '", "productAttributes": {"colorway": "', p_name, '", "gender": ', CASE WHEN p_size > 25 THEN '"men"' ELSE 'null' END, ', "retailPrice": "', CASE WHEN p_partkey % 7 = 0 THEN 'n/a' ELSE concat('$1,', CAST(100 + p_partkey % 900 AS STRING), '.5') END, '"}}') END"""
+VARIANT_JSON = """concat('{"variantId": "', CASE WHEN p_partkey % 10 = 9 THEN '' ELSE concat('v', CAST(p_partkey AS STRING)) END, '", "variantValue": "', CAST(p_size AS STRING), 'v", "sizeChart": {"defaultConversion": {"size": "', CASE WHEN p_partkey % 4 = 0 THEN '' ELSE CAST(p_size AS STRING) END, '", "type": "', CASE WHEN p_partkey % 3 = 0 THEN 'US W' ELSE 'us m' END, '"}}}')"""
+MARKET_JSON = """concat('{"variantId": "v', CAST(l_partkey AS STRING), '", "variantValue": ', CASE WHEN l_linenumber % 2 = 0 THEN '"x"' ELSE 'null' END, ', "lowestAskAmount": "', CASE WHEN l_returnflag = 'R' THEN CAST(CAST(l_quantity AS BIGINT) AS STRING) ELSE '0' END, '", "standardMarketData": {"lowestAsk": ', CASE WHEN l_returnflag = 'A' THEN '"77"' ELSE 'null' END,
+    ', "highestBidAmount": ', CASE WHEN l_linestatus = 'F' THEN '"$5"' ELSE 'null' END, '}}')"""

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from ..functions import codes
+from ..operators import records
 from . import texts_sql as t
-from .derived import sql
+from .derived import MARKET_JSON, PRODUCT_JSON, VARIANT_JSON, sql
 from .resolution_sql import ORACLES as RESOLUTION
-from .resolution_sql import normal, tier
+from .resolution_sql import family_of, normal, tier
 
 NORMAL_URL = r"CASE WHEN regexp_extract(coalesce(url, ''), '^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^;?#]*)', 2) = '' THEN '' ELSE lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^;?#]*)', 1)) || '://' || lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^;?#]*)', 2)) || regexp_replace(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^;?#]*)', 3), '/+$', '') END"
 DOMAIN = r"regexp_replace(lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)), '^www\.', '')"
@@ -57,7 +58,7 @@ def visible(c: str) -> str:
 INNER = lambda tag: collapsed(unescaped(f"regexp_replace(regexp_extract(html, '(?s)<{tag}>(.*?)</{tag}>', 1), '<[^>]+>', '', 'g')"))
 PAGE_FIELDS = f"""WITH p AS (SELECT page_id, url, html, {INNER('title')} AS title, {INNER('h1')} AS h1, {visible('html')} AS text FROM pages)
     SELECT page_id, title, h1, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang, len(regexp_extract_all(html, '<a href='))::BIGINT AS n_links, CASE WHEN title = '' THEN 'no_metadata' ELSE '' END AS error, length(left(text, 60000))::BIGINT AS n_text, sha256(left(text, 60000)) AS text_sha256,
-        CASE WHEN regexp_matches(url, '^https?://[^/?#:]+') THEN '' ELSE 'blocked:only http(s) URLs are allowed' END AS blocked, CASE WHEN contains(url, '/products/') THEN NULL ELSE '' END AS product_key FROM p"""
+        CASE WHEN regexp_matches(url, '^https?://[^/?#:]+') THEN '' ELSE 'blocked:no http(s) address' END AS blocked, CASE WHEN contains(url, '/products/') THEN NULL ELSE '' END AS product_key FROM p"""
 
 #: Queries of each request in their order, the first of those that differ by case alone.
 SEARCH = f"""WITH {sql("requests_raw")}, {t.parsed("(SELECT title, page_brand AS hint FROM requests_raw)")},
@@ -69,7 +70,103 @@ SEARCH = f"""WITH {sql("requests_raw")}, {t.parsed("(SELECT title, page_brand AS
     once AS (SELECT query_id, list_filter(qs, lambda q, i: list_position(list_transform(qs, lambda x: lower(x)), lower(q)) = i) AS qs FROM clean)
     SELECT query_id, array_to_string(qs[1:6], ' | ') AS queries FROM once"""
 
+J = lambda path: f"coalesce(json_extract_string(j, '$.{path}'), '')"
+AMOUNT = lambda path: f"try_cast(trim(regexp_replace({J(path)}, '[,$]', '', 'g')) AS DOUBLE)"
+CATALOG = f"""WITH r AS (SELECT p_partkey, {PRODUCT_JSON} AS j FROM part), v AS (SELECT * FROM r WHERE json_valid(j))
+    SELECT p_partkey, coalesce(nullif({J('productId')}, ''), {J('id')}) AS product_id, {J('styleId')} AS style_id, {J('title')} AS title, {J('brand')} AS brand, {J('productAttributes.colorway')} AS colorway, {J('productAttributes.gender')} AS gender, {AMOUNT('productAttributes.retailPrice')} AS retail_price, {J('productType')} AS product_type
+    FROM v WHERE coalesce(nullif({J('productId')}, ''), {J('id')}) <> ''"""
+VSIZE = f"coalesce(nullif({J('sizeChart.defaultConversion.size')}, ''), {J('variantValue')})"
+MARKET = f"""WITH v AS (SELECT {J('variantId')} AS variant_id, CASE WHEN lower({J('sizeChart.defaultConversion.type')}) = 'us w' AND {VSIZE} <> '' AND NOT starts_with(upper({VSIZE}), 'W') THEN 'W' || {VSIZE} ELSE {VSIZE} END AS size FROM (SELECT {VARIANT_JSON} AS j FROM part)),
+    m AS (SELECT l_orderkey AS product_id, {J('variantId')} AS variant_id, {J('variantValue')} AS own, coalesce(nullif({AMOUNT('lowestAskAmount')}, 0), {AMOUNT('standardMarketData.lowestAsk')}) AS ask, coalesce(nullif({AMOUNT('highestBidAmount')}, 0), {AMOUNT('standardMarketData.highestBidAmount')}) AS bid FROM (SELECT l_orderkey, {MARKET_JSON} AS j FROM lineitem))
+    SELECT product_id, coalesce(nullif(size, ''), nullif(own, ''), 'ANY') AS size, min(ask) AS lowest_ask, max(bid) AS highest_bid, count(*) AS n FROM m LEFT JOIN v ON v.variant_id = m.variant_id AND m.variant_id <> '' WHERE ask IS NOT NULL OR bid IS NOT NULL GROUP BY 1, 2"""
+LISTED_TITLES = t.parsed("(SELECT title, brand AS hint FROM listings_raw)")
+FIRST_PART = "trim(regexp_replace(string_split(style_id, '/')[1], '\\([^)]*\\)', '', 'g'))"
+SEEDS = f"""WITH {sql('listings_raw')}, {LISTED_TITLES} SELECT {normal(FIRST_PART)} AS style_code, {FIRST_PART} AS display, l.title AS name, coalesce(nullif(p.brand, ''), l.brand) AS brand, model, sub_model, colorway, lower(l.gender) AS gender,
+    CASE WHEN size_category <> 'unknown' THEN size_category ELSE '' END AS size_category, release_date, retail_price, product_id, true AS authoritative, ord FROM listings_raw l JOIN titled p ON p.title = l.title AND p.hint = l.brand
+    WHERE contains(lower(coalesce(nullif(product_type, ''), 'sneakers')), 'sneaker') OR contains(lower(product_type), 'shoe')"""
+REPARSE = f"""WITH {sql('listings_raw')}, {LISTED_TITLES}, k AS (SELECT product_id AS style_code, p.*, CASE WHEN ord % 3 = 0 THEN 'Nike Dunk Low' ELSE '' END AS old_model, 'og' AS old_sub, l.gender AS old_gender, CASE WHEN ord % 2 = 0 THEN 'gs' END AS old_size FROM listings_raw l JOIN titled p ON p.title = l.title AND p.hint = l.brand WHERE l.title <> ''),
+    o AS (SELECT style_code, CASE WHEN model <> '' AND model <> old_model THEN model END AS model, CASE WHEN sub_model <> '' AND sub_model <> old_sub THEN sub_model END AS sub_model, CASE WHEN gender <> 'unknown' AND old_gender = '' THEN gender END AS gender, CASE WHEN size_category <> 'unknown' AND coalesce(old_size, '') = '' THEN size_category END AS size_category FROM k)
+    SELECT * FROM o WHERE model IS NOT NULL OR sub_model IS NOT NULL OR gender IS NOT NULL OR size_category IS NOT NULL"""
+LOW = "lower(title)"
+KEY_URL = NORMAL_URL.replace("url", "u")
+INTAKE = rf"""WITH p AS (SELECT page_id AS query_id, CASE WHEN page_id % 5 = 0 THEN '' WHEN page_id % 5 = 1 THEN 'ftp:' || url ELSE url END AS u, CASE WHEN page_id % 2 = 0 THEN '' ELSE trim({TITLE}) END AS t, CASE WHEN page_id % 3 = 0 THEN [sha256(html), sha256(url)] ELSE [] END AS hs FROM pages),
+    e AS (SELECT *, CASE WHEN len(hs) = 0 AND u = '' AND t = '' THEN 'nothing to identify: neither image, address nor title' WHEN u <> '' AND NOT regexp_matches(u, '(?i)^https?://') THEN 'no http(s) address' ELSE '' END AS error FROM p)
+    SELECT query_id, CASE WHEN error = '' THEN 'queued' ELSE 'error' END AS status, CASE WHEN u <> '' AND len(hs) > 0 THEN 'mixed' WHEN u <> '' THEN 'url' ELSE 'image' END AS input_kind, sha256(array_to_string(list_sort(hs), '|') || '|' || {KEY_URL} || '|' || trim(regexp_replace(lower(t), '[ 	
+
+]+', ' ', 'g'))) AS cache_key, error FROM e"""
+REUSE = """SELECT p.event_id AS query_id, arg_max(r.event_id, {'t': r.ts, 'i': r.event_id}) AS result_id FROM events p JOIN events r ON r.user_id = p.user_id AND r.event_type IN ('view', 'click') AND r.ts <= p.ts AND r.ts >= p.ts - INTERVAL 7 DAYS WHERE p.event_type = 'purchase' GROUP BY 1"""
+TRUST = "CASE domain " + " ".join(f"WHEN '{d}' THEN {x}::DOUBLE" for d, x in records.DOMAIN_TRUST.items()) + f" ELSE {records.DEFAULT_TRUST}::DOUBLE END"
+#: Codes of the results are of one format: labelled ones stand behind "Style:", bare ones anywhere; two count in a result, labelled ones first.
+DISCOVERY = f"""WITH {sql('results_raw')}, r AS (SELECT *, {DOMAIN} AS domain, trim(title || ' ' || snippet) AS txt FROM results_raw),
+    f AS (SELECT query_id, ord, domain, title, list_distinct(regexp_extract_all(txt, 'Style: ([A-Z]{{2}}[0-9]{{4}}-[0-9]{{3}})', 1)) AS ls, regexp_extract_all(txt, '[A-Z]{{2}}[0-9]{{4}}-[0-9]{{3}}') AS bs FROM r),
+    g AS (SELECT *, list_filter(bs, lambda b, i: list_position(bs, b) = i AND NOT list_contains(ls, b)) AS os FROM f),
+    x AS (SELECT query_id, domain, title, unnest((ls || os)[1:2]) AS display, unnest(range(len((ls || os)[1:2]))) AS i, ls, ord FROM g),
+    y AS (SELECT query_id, domain, title, display, replace(display, '-', '') AS style_code, list_contains(ls, display) AS labeled, ord * 2 + i AS ord FROM x),
+    d AS (SELECT query_id, style_code, domain, arg_min(labeled, ord) AS labeled, arg_min(display, ord) AS display, min(ord) AS ord FROM y GROUP BY ALL),
+    p AS (SELECT query_id, style_code, arg_min(display, ord) AS display, count(*) AS agreement, round(sum({TRUST} * CASE WHEN labeled THEN 1.0::DOUBLE ELSE 0.7::DOUBLE END), 6) AS trust, string_agg(domain, ',' ORDER BY ord, domain) AS domains, min(ord) AS first_ord FROM d GROUP BY ALL),
+    q AS (SELECT query_id, style_code, string_agg(title, '|' ORDER BY ord, title) AS titles FROM (SELECT query_id, style_code, title, min(ord) AS ord FROM y WHERE title <> '' GROUP BY ALL) GROUP BY ALL)
+    SELECT * FROM p LEFT JOIN q USING (query_id, style_code)"""
+IMAGES = f"""WITH {sql('results_raw')}, r AS (SELECT *, {DOMAIN} AS domain FROM results_raw) SELECT query_id, ord, row_number() OVER (PARTITION BY query_id ORDER BY {TRUST} DESC, (width >= 400 AND height >= 300) DESC, ord) AS rank FROM r QUALIFY rank <= 2"""
+ACCURACY = f"""WITH {sql('outcomes_raw')}, o AS (SELECT *, replace(expected, '-', '') AS want, status IN ('high', 'medium') AS sure FROM outcomes_raw), h AS (SELECT *, coalesce(got, '') = want AS hit, list_contains(string_split(ranked, ',')[1:3], want) AS three FROM o)
+    SELECT count(*) AS cases, round(avg(hit::INT::DOUBLE), 6) AS top1, round(avg(three::INT::DOUBLE), 6) AS top3, round(avg(sure::INT::DOUBLE), 6) AS confident, round(count(*) FILTER (sure AND hit) / nullif(count(*) FILTER (sure), 0)::DOUBLE, 6) AS exact_if_confident,
+        round(count(*) FILTER (sure AND hit AND product_id IS NOT NULL AND (expected_product_id = '' OR product_id = expected_product_id)) / nullif(count(*) FILTER (sure), 0)::DOUBLE, 6) AS mapped_if_confident, round(avg((sure AND NOT hit)::INT::DOUBLE), 6) AS false_positives, round(avg((status = 'unresolved')::INT::DOUBLE), 6) AS unresolved, round(avg(ms), 6) AS mean_ms, median(ms)::DOUBLE AS median_ms FROM h"""
+OVERRIDE = f"""WITH {sql('outcomes_raw')}, {sql('decisions_raw')}, d AS (SELECT query_id, action, chosen FROM decisions_raw WHERE action IN ('confirm', 'reject') OR (action IN ('select', 'manual_sku') AND chosen <> '') QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY decided_at DESC, ord DESC) = 1)
+    SELECT query_id, CASE WHEN action = 'reject' THEN NULL WHEN action = 'confirm' THEN got WHEN action IS NOT NULL THEN chosen ELSE got END AS style_code, CASE WHEN action IS NOT NULL AND action <> 'reject' THEN 1.0 ELSE confidence END::DOUBLE AS confidence, CASE WHEN action = 'reject' THEN 'unresolved' WHEN action IS NOT NULL THEN 'high' ELSE status END AS status,
+        CASE WHEN action IS NOT NULL THEN false ELSE review_required END AS review_required, coalesce(action, '') AS review FROM outcomes_raw LEFT JOIN d USING (query_id)"""
+
+
+
+def shown_code(norm: str, dash: int) -> str:
+    mark, at = ("-", dash) if dash > 0 else (".", -dash)
+    return norm if dash == 0 else f"substr({norm}, 1, {at}) || '{mark}' || substr({norm}, {at + 1})"
+
+
+def code_case(pick) -> str:
+    """The first format that fits norm under hint and label rules."""
+    out = "CASE"
+    for family, pattern, dash, bare in codes.FORMATS:
+        free = "true" if bare else "labelled"
+        if family == "nike":
+            free = f"{free} AND (labelled OR separated OR NOT regexp_matches(norm, '^[A-Z]{{2}}'))"
+        out += f" WHEN regexp_full_match(norm, {t.quoted(pattern)}) AND CASE WHEN hint IS NOT NULL THEN hint = '{family}' ELSE {free} END THEN {pick(family, dash)}"
+    return out + " END"
+
+
+#: Tokens are rows here, each distinct one tried once by its prefixes; the lookaround of spaced codes is a word boundary.
+DETECT = rf"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents), h AS (SELECT r, doc_id, {family_of("lower(text)")} AS hint,
+        [list_transform(regexp_extract_all(text, {t.quoted(codes.LABELLED)}, 1), lambda x: trim(x, ' .,;:')), regexp_extract_all(text, {t.quoted(codes.TOKEN)}), list_transform(regexp_extract_all(text, '(?i)\b(?:[A-Z]{{2}}\d{{4}}|\d{{6}})\s+\d{{3}}\b'), lambda x: regexp_replace(x, '\s+', '-'))] AS ts FROM d),
+    k AS (SELECT r, doc_id, hint, unnest(ts) AS tokens, unnest(range(3)) AS kind FROM h),
+    w AS (SELECT r, doc_id, hint, kind, unnest(tokens) AS token, unnest(range(len(tokens))) AS i FROM k),
+    c AS (SELECT * FROM w WHERE regexp_matches(token, '[0-9]') AND length(token) >= 6),
+    u AS (SELECT DISTINCT token, hint, kind = 0 AS labelled FROM c),
+    p AS (SELECT token, hint, labelled, regexp_extract_all(token, '[A-Za-z0-9]+|[-._/ ]') AS ps FROM u),
+    n AS (SELECT token, hint, labelled, n, trim(array_to_string(ps[1:n], '')) AS prefix FROM (SELECT *, unnest(range(1, len(ps) + 1)) AS n FROM p) WHERE regexp_matches(ps[n], '[A-Za-z0-9]')),
+    f AS (SELECT *, {normal('prefix')} AS norm, regexp_matches(prefix, '[-. _/]') AS separated FROM n),
+    g AS (SELECT * FROM f WHERE length(norm) BETWEEN 6 AND 13 AND NOT (regexp_full_match(norm, '[0-9]+') AND (length(norm) >= 12 OR (substr(norm, 1, 2) IN ('19', '20') AND (length(norm) = 6 OR (length(norm) = 8 AND substr(norm, 5, 2) BETWEEN '01' AND '12' AND substr(norm, 7, 2) BETWEEN '01' AND '31')))))),
+    e AS (SELECT token, hint, labelled, n, norm AS code, {code_case(lambda f, dash: t.quoted(f))} AS family, {code_case(lambda f, dash: shown_code('norm', dash))} AS display FROM g),
+    b AS (SELECT token, hint, labelled, arg_max({{'code': code, 'family': family, 'display': display}}, n) AS x FROM e WHERE family IS NOT NULL GROUP BY ALL),
+    o AS (SELECT r, doc_id, x.code AS code, x.family AS family, x.display AS display, labelled, kind, i FROM c JOIN b ON b.token = c.token AND b.hint IS NOT DISTINCT FROM c.hint AND b.labelled = (c.kind = 0)),
+    q AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY kind, i) AS seen FROM (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY r, code ORDER BY kind, i) = 1)),
+    z AS (SELECT *, CASE WHEN labelled THEN 0.9::DOUBLE ELSE 0.5::DOUBLE END AS confidence FROM q WHERE labelled OR seen <= 10)
+    SELECT doc_id, code, display, family, labelled AS labeled, confidence, row_number() OVER (PARTITION BY r ORDER BY confidence DESC, seen) AS ord FROM z"""
+
 ORACLES = RESOLUTION | {
+    "code_detect": DETECT,
+    "catalog_normalize": CATALOG,
+    "market_sizes": MARKET,
+    "seed_updates": SEEDS,
+    "reparse_products": REPARSE,
+    "eval_tags": f"WITH {sql('listings_raw')} SELECT product_id, array_to_string(list_filter(['cross_retailer', CASE WHEN contains({LOW}, '(gs)') OR contains({LOW}, 'grade school') OR contains({LOW}, 'kids') THEN 'gs' END, CASE WHEN contains({LOW}, 'women') OR contains({LOW}, 'wmns') OR contains({LOW}, '(w)') THEN 'womens' END], lambda x: x IS NOT NULL), ',') AS tags FROM listings_raw",
+    "request_intake": INTAKE,
+    "result_reuse": REUSE,
+    "web_discovery": DISCOVERY,
+    "image_ranking": IMAGES,
+    "accuracy": ACCURACY,
+    "human_override": OVERRIDE,
+    "failure_maps": "WITH c AS (SELECT user_id, event_type, min(event_id) AS o, coalesce(string_agg(event_id::VARCHAR, '+' ORDER BY event_id) FILTER (value > 50), '') AS told FROM events GROUP BY ALL) SELECT user_id AS query_id, string_agg(event_type, ',' ORDER BY o) AS codes, coalesce(string_agg(event_type || '=' || told, ';' ORDER BY o) FILTER (told <> ''), '') AS details FROM c GROUP BY 1",
+    "stage_timings": "WITH c AS (SELECT user_id, event_type, max(event_id) AS o, arg_max(value, event_id) AS v FROM events GROUP BY ALL) SELECT user_id AS query_id, string_agg(event_type || '=' || round(v * 100)::BIGINT, ';' ORDER BY o) AS timings FROM c GROUP BY 1",
+    "cascade_delete": "SELECT p_partkey AS product_id, 1::BIGINT AS n, (SELECT nullif(count(*), 0) FROM lineitem WHERE l_partkey = p_partkey) AS n_images FROM part WHERE p_size <= 40",
+
     "knn_topk": f"WITH {near(10)} SELECT query_id, vec_id, round(s, 5) AS similarity, rank FROM ranked",
     "knn_resolve": f"""WITH {near(30)}, pooled AS (SELECT query_id, owner, max(s) AS s, arg_min(vec_id, (-round(s, 9), vec_id)) AS best_vec_id FROM ranked GROUP BY ALL),
         c AS (SELECT *, round(greatest(0.0, least(1.0, (s - 0.1) / (0.5 - 0.1))), 4)::DOUBLE AS confidence FROM pooled),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import codes, models, search, text, urls
-from ..operators import catalog, knn, merge, observe, relational, scoring
+from ..operators import catalog, knn, merge, observe, records, relational, scoring
 from ..session import ship_package, written
 from ..sources import pages as page_source
 from ..streaming import state
@@ -198,10 +198,7 @@ def ttl_cache_lookup(spark, sf_dir):
 
 
 def sliding_rate(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    seconds = e.withColumn("s", F.unix_micros(F.col("ts").cast("timestamp")))
-    w = Window.partitionBy("user_id").orderBy("s").rangeBetween(-3_600_000_000, 0)
-    return seconds.select("event_id", F.count(F.lit(1)).over(w).alias("in_window"))
+    return relational.counts_in_window(table(spark, sf_dir, "events"), key="user_id", time="ts", row="event_id", window_us=3_600_000_000)
 
 
 def rate_limit(spark, sf_dir):
@@ -210,9 +207,10 @@ def rate_limit(spark, sf_dir):
 
 
 def daily_budget(spark, sf_dir):
-    e = table(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
-    w = Window.partitionBy("day").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return e.select("event_id", F.date_format("day", "yyyy-MM-dd").alias("day"), F.count(F.lit(1)).over(w).alias("used"))
+    """The number of each event in its day, counted by minutes."""
+    e = table(spark, sf_dir, "events")
+    out = relational.running_counts(e, bucket=F.date_format("ts", "yyyy-MM-dd"), part=F.date_trunc("minute", F.col("ts").cast("timestamp")), order=["ts", "event_id"], row="event_id")
+    return out.select("event_id", F.col("bucket").alias("day"), "used")
 
 
 def rank_and_gap(spark, sf_dir):
@@ -275,6 +273,92 @@ def final_rows(spark, sf_dir):
     return scoring.finalize(resolution.resolved(judged, confirmed, spark, sf_dir), judged, failures, matches)
 
 
+def catalog_normalize(spark, sf_dir):
+    """Listings from raw JSON, one object for each part; every eleventh part has no identifier, every thirteenth does not parse."""
+    raw = table(spark, sf_dir, "part").selectExpr("p_partkey", f"{derived.PRODUCT_JSON} AS json")
+    return catalog.products(raw).select("p_partkey", "product_id", "style_id", "title", "brand", "colorway", "gender", "retail_price", "product_type")
+
+
+def market_sizes(spark, sf_dir):
+    """Asks and bids by size: variants are parts, market rows line items, both as raw JSON."""
+    variants = catalog.sizes(table(spark, sf_dir, "part").selectExpr(f"{derived.VARIANT_JSON} AS json"))
+    rows = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS product_id", f"{derived.MARKET_JSON} AS json")
+    return catalog.market(rows, variants).groupBy("product_id", "size").agg(F.min("lowest_ask").alias("lowest_ask"), F.max("highest_bid").alias("highest_bid"), F.count(F.lit(1)).alias("n"))
+
+
+def seed_updates(spark, sf_dir):
+    """Updates of the product table from the catalogue's sneakers and shoes."""
+    return catalog.seeds(derived.frame(spark, sf_dir, "listings_raw"))
+
+
+def reparse_products(spark, sf_dir):
+    """What the names of known products say otherwise than their rows."""
+    known = derived.frame(spark, sf_dir, "listings_raw").select(F.col("product_id").alias("style_code"), F.col("title").alias("name"), "brand", F.when(F.col("ord") % 3 == 0, F.lit("Nike Dunk Low")).otherwise(F.lit("")).alias("model"), F.lit("og").alias("sub_model"), "gender", F.when(F.col("ord") % 2 == 0, F.lit("gs")).alias("size_category"))
+    return catalog.reparse(known)
+
+
+def eval_tags(spark, sf_dir):
+    return derived.frame(spark, sf_dir, "listings_raw").select("product_id", F.array_join(catalog.eval_tags(F.col("title")), ",").alias("tags"))
+
+
+def request_intake(spark, sf_dir):
+    """Requests made of all pages: some have an image, some no address or one of another scheme."""
+    p = table(spark, sf_dir, "pages").select(F.col("page_id").alias("query_id"), F.when(F.col("page_id") % 5 == 0, F.lit("")).when(F.col("page_id") % 5 == 1, F.concat(F.lit("ftp:"), "url")).otherwise(F.col("url")).alias("product_url"), F.when(F.col("page_id") % 2 == 0, F.lit("")).otherwise(F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1)).alias("title"), F.when(F.col("page_id") % 3 == 0, F.array(F.sha2("html", 256), F.sha2("url", 256))).alias("image_hashes"))
+    return records.intake(p)
+
+
+def result_reuse(spark, sf_dir):
+    """Purchases as requests, views and clicks of the same user as earlier results (views are high, clicks medium, others low)."""
+    e = table(spark, sf_dir, "events")
+    status = F.when(F.col("event_type") == "view", F.lit("high")).when(F.col("event_type") == "click", F.lit("medium")).otherwise(F.lit("low"))
+    asked = e.where("event_type = 'purchase'").select(F.col("event_id").alias("query_id"), F.col("user_id").alias("cache_key"), F.col("ts").alias("asked_at"))
+    return records.reuse(asked, e.select(F.col("event_id").alias("result_id"), F.col("user_id").alias("cache_key"), status.alias("status"), F.col("ts").alias("created_at")))
+
+
+def web_discovery(spark, sf_dir):
+    """Codes that search results name, with the domains that agree and their trust."""
+    d = records.discover(derived.frame(spark, sf_dir, "results_raw"))
+    return d.withColumns({"domains": F.array_join("domains", ","), "titles": F.array_join("titles", "|")})
+
+
+def image_ranking(spark, sf_dir):
+    r = records.rank_images(derived.frame(spark, sf_dir, "results_raw"), 2)
+    return r.select("query_id", "ord", F.col("rank").cast("long").alias("rank"))
+
+
+def accuracy(spark, sf_dir):
+    """Figures of an evaluation: top 1, top 3, confident, exact and mapped among these, false positives, latency."""
+    o = derived.frame(spark, sf_dir, "outcomes_raw")
+    return records.measure(o.withColumn("ranked", F.split("ranked", ",")))
+
+
+def human_override(spark, sf_dir):
+    """Results after the latest valid decision of a reviewer."""
+    o = derived.frame(spark, sf_dir, "outcomes_raw").select("query_id", F.col("got").alias("style_code"), F.col("confidence").cast("double").alias("confidence"), "status", "review_required")
+    return scoring.override(o, derived.frame(spark, sf_dir, "decisions_raw"))
+
+
+def failure_maps(spark, sf_dir):
+    """Errors of each user's events by type, with the values told."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("query_id"), F.col("event_type").alias("code"), F.when(F.col("value") > 50, F.col("event_id").cast("string")).alias("detail"), F.col("event_id").alias("ord"))
+    m = records.error_maps(e)
+    return m.select("query_id", F.array_join("codes", ",").alias("codes"), F.array_join(F.transform(F.map_entries("details"), lambda x: F.concat(x["key"], F.lit("="), F.array_join(x["value"], "+"))), ";").alias("details"))
+
+
+def stage_timings(spark, sf_dir):
+    """The last value of each event type of a user, as a map."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("query_id"), F.col("event_type").alias("stage"), F.col("value").alias("ms"), F.col("event_id").alias("ord"))
+    return records.timings(e).select("query_id", F.array_join(F.transform(F.map_entries("timings_ms"), lambda x: F.concat(x["key"], F.lit("="), F.round(x["value"] * 100).cast("long").cast("string"))), ";").alias("timings"))
+
+
+def cascade_delete(spark, sf_dir):
+    """Parts and the line items of parts that stay, without parts of the largest sizes."""
+    p = table(spark, sf_dir, "part").withColumnRenamed("p_partkey", "product_id")
+    li = table(spark, sf_dir, "lineitem").withColumnRenamed("l_partkey", "product_id")
+    products, images = records.delete_products(p, li, p.where("p_size > 40"))
+    return products.groupBy("product_id").agg(F.count(F.lit(1)).alias("n")).join(images.groupBy("product_id").agg(F.count(F.lit(1)).alias("n_images")), "product_id", "left")
+
+
 def review_queue(spark, sf_dir):
     o = table(spark, sf_dir, "orders").where("o_orderstatus = 'P' AND o_orderpriority <> '5-LOW'")
     return o.orderBy(F.desc("o_orderdate"), "o_orderkey").limit(100).select("o_orderkey", "o_custkey")
@@ -325,6 +409,7 @@ QUERIES = {f.__name__: f for f in (
     knn_topk, knn_resolve, similarity_to_group, url_normalize, url_domain_counts, page_fields, page_codes, page_tag_text, content_dedupe, cache_key, token_scan, code_detect,
     title_attributes, title_parse, search_terms, model_pairs, colour_tokens, colour_similarity, json_identifiers, evidence_merge, evidence_arg_max, web_agreement_trust, multi_source_keys, latest_n_per_key,
     anti_missing, semi_held_out, lookup_fill, segment_join, choose_listing, market_min_max, ttl_cache_lookup, sliding_rate, rate_limit, daily_budget, rank_and_gap,
-    observations, evidence_pool, catalog_listings, score_candidates, contradictions, verify_candidates, resolve_queries, final_rows, review_queue, eval_metrics, upsert_merge, image_insert_absent, latest_status, stream_latest_status, seeded_sample,
+    observations, evidence_pool, catalog_listings, score_candidates, contradictions, verify_candidates, resolve_queries, final_rows, catalog_normalize, market_sizes, seed_updates, reparse_products, eval_tags, request_intake, result_reuse, web_discovery, image_ranking, accuracy, human_override,
+    failure_maps, stage_timings, cascade_delete, review_queue, eval_metrics, upsert_merge, image_insert_absent, latest_status, stream_latest_status, seeded_sample,
     ordered_distinct_urls,
 )}

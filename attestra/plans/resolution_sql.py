@@ -45,7 +45,7 @@ OBSERVED = f"""obs AS (SELECT query_id, {BEST('brand', 'v_brand')} AS brand, {BE
 POOL = f"""web AS (SELECT query_id, style_code, display, detail, trust::DOUBLE AS trust, agreement, ord, row_number() OVER (PARTITION BY query_id ORDER BY trust DESC, agreement DESC, ord) AS rn FROM signals_raw WHERE kind = 'web'),
     photo AS (SELECT query_id, unnest([v_style_code] || string_split(guesses, ',')[1:3]) AS raw, unnest(range(1 + len(string_split(guesses, ',')[1:3]))) AS i, {family_of("lower(v_brand || ' ' || v_model)")} AS hint FROM requests_raw WHERE seen),
     evidence AS (SELECT query_id, style_code, display, 'page_sku' AS kind, detail, weight::DOUBLE AS weight, NULL::DOUBLE AS similarity, ord FROM signals_raw WHERE kind = 'page_sku'
-        UNION ALL SELECT query_id, CASE WHEN hint = 'adidas' THEN substr(raw, 1, 6) ELSE {normal('raw')} END, CASE WHEN hint = 'adidas' THEN substr(raw, 1, 6) ELSE raw END, CASE WHEN i = 0 THEN 'vision_tag' ELSE 'vision_guess' END, CASE WHEN i = 0 THEN 'legible on tag/box' ELSE 'recalled from photos' END, CASE WHEN i = 0 THEN 0.9::DOUBLE ELSE 0.35::DOUBLE END, NULL, 1000 + i FROM photo WHERE regexp_matches(raw, '^[A-Z]{{2}}[0-9]{{4}}-[0-9]{{3}}$') AND (hint IS NULL OR hint IN ('nike', 'adidas'))
+        UNION ALL SELECT query_id, CASE WHEN hint = 'adidas' THEN substr(raw, 1, 6) ELSE {normal('raw')} END, CASE WHEN hint = 'adidas' THEN substr(raw, 1, 6) ELSE raw END, CASE WHEN i = 0 THEN 'vision_tag' ELSE 'vision_guess' END, CASE WHEN i = 0 THEN 'read on a tag or box' ELSE 'recalled from photos' END, CASE WHEN i = 0 THEN 0.9::DOUBLE ELSE 0.35::DOUBLE END, NULL, 1000 + i FROM photo WHERE regexp_matches(raw, '^[A-Z]{{2}}[0-9]{{4}}-[0-9]{{3}}$') AND (hint IS NULL OR hint IN ('nike', 'adidas'))
         UNION ALL SELECT query_id, style_code, display, 'embedding', printf('cosine %.3f', similarity), similarity, similarity, 2000 + ord FROM signals_raw WHERE kind = 'embedding' AND similarity >= 0.7
         UNION ALL SELECT query_id, style_code, display, 'web', detail, least(1.0::DOUBLE, trust / 2), NULL, 3000 + rn FROM web WHERE rn <= 12),
     edges AS (SELECT query_id, style_code, kind, detail, arg_min(weight, ord) AS weight, arg_min(display, ord) AS display, max(similarity) AS similarity, min(ord) AS ord FROM evidence GROUP BY ALL),

@@ -409,7 +409,7 @@ def blocked(url: Column) -> Column:
     )
     six = host.rlike(r"^\[(::1?\]|f[cd]|fe[89ab]|ff|::ffff:|2001:db8:)")
     local = host.isin("localhost") | host.endswith(".localhost") | F.coalesce(four, F.lit(False)) | six
-    return F.when(host == "", F.lit("blocked:only http(s) URLs are allowed")).when(local, F.lit("blocked:private/internal addresses are not allowed")).otherwise(F.lit(""))
+    return F.when(host == "", F.lit("blocked:no http(s) address")).when(local, F.lit("blocked:address is not public")).otherwise(F.lit(""))
 
 
 def redirected(asked: Column, final: Column) -> Column:

@@ -7,9 +7,12 @@ from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.merge import arg_first
 from ..session import shared_dir
 
 
@@ -39,6 +42,47 @@ def admit(requests: DataFrame, *, key: str, time: str, row: str, most: int, wind
     return df.repartition("k").sortWithinPartitions("k", "t", "r").mapInPandas(run, f"{row} long, admitted boolean")
 
 
+def admit_stream(requests: DataFrame, *, key: str, time: str, row: str, most: int, window_s: float) -> DataFrame:
+    """The same for a stream: the state of a key is its last `most` admitted times, and is dropped once the watermark has left them behind.
+
+    requests has a watermark on its time column. Rows of a key are folded in order of time within each batch.
+    """
+
+    def run(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        held = deque(state.get[0] if state.exists else [])
+        for batch in [pd.concat(list(batches)).sort_values(["t", "r"])]:
+            out = []
+            for t, r in zip(batch["t"].tolist(), batch["r"].tolist(), strict=True):
+                while held and held[0] <= t - window_s:
+                    held.popleft()
+                if ok := len(held) < most:
+                    held.append(t)
+                out.append((r, ok))
+            yield pd.DataFrame(out, columns=[row, "admitted"])
+        state.update((list(held),))
+        state.setTimeoutTimestamp(max(int((max(held, default=0.0) + window_s) * 1000), state.getCurrentWatermarkMs() + 1))
+
+    seconds = (F.unix_micros(F.col(time).cast("timestamp")) / 1e6).alias("t")
+    df = requests.select(F.col(key).alias("k"), time, seconds, F.col(row).alias("r"))
+    return df.groupBy("k").applyInPandasWithState(run, f"{row} long, admitted boolean", "times array<double>", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def append_absent(batch: DataFrame, path: str, keys: list[str], order: list[str]) -> None:
+    """One batch of a stream into a growing Parquet table: rows whose key it has not yet, once each."""
+    spark = batch.sparkSession
+    new = arg_first(batch, keys, order)
+    try:
+        known = spark.read.schema(batch.schema).parquet(path).select(*keys)
+        new = new.join(known, keys, "left_anti")
+    except AnalysisException as e:  # the first batch finds no table
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    new.select(*batch.columns).write.mode("append").parquet(path)
+
+
 def latest_by_key(events: DataFrame) -> DataFrame:
     """The same plan for a batch and for a stream in update or complete mode."""
     return events.groupBy("user_id").agg(F.max_by(F.struct("event_type", "event_id"), F.struct("ts", "event_id")).alias("x")).select("user_id", F.col("x.event_type").alias("status"), F.col("x.event_id").alias("event_id"))
