@@ -28,7 +28,7 @@ from . import bpe
 from .common import materialize, texts
 
 #: Characters encoded at a time, and bytes of pieces that a task gathers before it writes: ids are held in neither for long.
-BATCH_CHARS, ROW_GROUP = 1 << 20, 16 << 20
+BATCH_CHARS, ROW_GROUP = 2 << 20, 16 << 20
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, task long, task_rank long, ids binary"
 #: Pieces [first, stop) of a length, from token `skip` on for `taken` tokens, go to windows, per_window at a time.
 PLAN = "piece_length long, first long, stop long, skip long, taken long, per_window long, base_window long, base_offset long"
@@ -168,10 +168,10 @@ def last_windows(stock: Stock, windows: int) -> list[tuple[int, ...]]:
 def place(cut: DataFrame, window: int = 1024, *, with_ids: bool = False) -> DataFrame:
     """cut (a written table of pieces) with sequence_id and offset for every piece; some are cut once more."""
     spark = cut.sparkSession
-    by_task = cut.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n"))
+    by_task = materialize(cut.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n")), "lengths")
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     shifts = by_task.select("length", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
-    histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `window` rows
+    histogram = {r["length"]: r["n"] for r in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `window` rows
     rows = plan_windows(histogram, window)
 
     def placed(some: DataFrame, plan: list[tuple[int, ...]]) -> DataFrame:
