@@ -160,20 +160,19 @@ def nickname_score(nickname: Column, name: Column) -> Column:
     return F.when(inside & (F.size(x) == F.size(y)), F.lit(0.95)).when(inside & (F.size(x) > 1), F.lit(0.85)).when(inside, F.lit(0.5))
 
 
-def colour_similarity(a: Column, b: Column) -> Column:
-    """The lesser of two Jaccard measures, those of colours (times 0.7 where the leading primaries differ) and of nicknames.
-
-    Null where the texts have neither kind in common to compare.
-    """
+def token_similarity(x: Column, y: Column) -> Column:
+    """The lesser of two Jaccard measures of colour tokens, those of colours (times 0.7 where the leading primaries differ) and of
+    nicknames; null where the two have neither kind in common to compare."""
     colours = lambda t: F.filter(t, lambda w: ~w.isin(NICKNAMES))
     nicknames = lambda t: F.filter(t, lambda w: w.isin(NICKNAMES))
-    lead = lambda t: F.get(F.filter(F.split(F.array_join(colours(t), " "), " "), lambda w: w.isin(PRIMARIES)), F.lit(0))
-    both = lambda x, y: (F.size(x) > 0) & (F.size(y) > 0)
+    lead = lambda t: F.get(F.filter(F.split(F.array_join(t, " "), " "), lambda w: w.isin(PRIMARIES)), F.lit(0))
+    both = lambda a, b: (F.size(a) > 0) & (F.size(b) > 0)
+    turned = lambda a, b: F.when(F.coalesce(lead(a) != lead(b), F.lit(False)), F.lit(0.7)).otherwise(F.lit(1.0))
+    by_colour = let(colours(x), lambda a: let(colours(y), lambda b: F.when(both(a, b), jaccard(a, b) * turned(a, b))))
+    by_name = let(nicknames(x), lambda a: let(nicknames(y), lambda b: F.when(both(a, b), jaccard(a, b))))
+    return F.least(by_colour, by_name)
 
-    def compared(x: Column, y: Column) -> Column:
-        turned = F.when(F.coalesce(lead(x) != lead(y), F.lit(False)), F.lit(0.7)).otherwise(F.lit(1.0))
-        by_colour = F.when(both(colours(x), colours(y)), jaccard(colours(x), colours(y)) * turned)
-        by_name = F.when(both(nicknames(x), nicknames(y)), jaccard(nicknames(x), nicknames(y)))
-        return F.least(by_colour, by_name)
 
-    return let(colour_tokens(a), lambda x: let(colour_tokens(b), lambda y: compared(x, y)))
+def colour_similarity(a: Column, b: Column) -> Column:
+    """token_similarity of two texts."""
+    return let(colour_tokens(a), lambda x: let(colour_tokens(b), lambda y: token_similarity(x, y)))

@@ -17,6 +17,10 @@ GROUP_BYTES = 64 << 20
 QUERY_ROWS, VECTOR_ROWS = 1024, 8192
 
 
+#: Below every key, and has a negative.
+OUT = np.int64(-(2**62))
+
+
 def unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-300)
 
@@ -37,11 +41,11 @@ class Best:
             # One number holds a similarity and, among equals, the place of the id: no two are the same.
             key = (np.round(sims * 1e9).astype(np.int64) << 14) | (16383 - np.arange(len(ids)))
             if self.exclude_self:
-                key[ids[None, :] == self.names[at : at + QUERY_ROWS, None]] = np.iinfo(np.int64).min
+                key[ids[None, :] == self.names[at : at + QUERY_ROWS, None]] = OUT
             best = np.argpartition(-key, self.k - 1, axis=1)[:, : self.k] if len(ids) > self.k else np.broadcast_to(np.arange(len(ids)), sims.shape)
             query = np.repeat(np.arange(at, at + len(sims)), best.shape[1])
             place = best.reshape(-1)
-            keep = key[query - at, place] > np.iinfo(np.int64).min
+            keep = key[query - at, place] > OUT
             found.append((query[keep], ids[place[keep]], sims[query[keep] - at, place[keep]]))
         query, vec, sim = (np.concatenate(x) for x in zip(*found, strict=True))
         order = np.lexsort((vec, -np.round(sim * 1e9), query))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import codes, models
+from ..functions import text as tx
 
 #: Photos tell brand or model before the title does from this confidence on, and decide alone from the second.
 SURE, CERTAIN = 0.5, 0.9
@@ -32,7 +33,7 @@ def known(*parts: Column) -> Column:
 
 
 def observe(requests: DataFrame) -> DataFrame:
-    """query_id with brand, model and its canonical name, colorways, gender, size_category, price, labeled_codes, tag_code, nickname, collab, colour_named,
+    """query_id with brand, model and its canonical name, colorways and their tokens, gender, size_category, price, labeled_codes, tag_code, nickname, collab, colour_named,
     images_consistent; whether size, model and brand come from photos alone, and whether these are certain of model and brand."""
     seen = F.coalesce(F.col("seen"), F.lit(False))
     titled = text("title") != ""
@@ -50,6 +51,7 @@ def observe(requests: DataFrame) -> DataFrame:
         model.alias("model"),
         models.canonical_model(model).alias("model_name"),
         colours.alias("colorways"),
+        F.transform(colours, tx.colour_tokens).alias("colour_sets"),
         known(said("gender"), shown("v_gender")).alias("gender"),
         known(said("size_category"), shown("v_size_category")).alias("size_category"),
         F.col("price").cast("double").alias("price"),

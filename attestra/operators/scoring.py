@@ -22,6 +22,11 @@ SIGNALS = ("page_sku", "vision_tag", "web", "embedding", "vision_guess", "user")
 COMPONENTS = ("sku", "model", "colorway", "embedding", "metadata", "agreement")
 
 
+def round4(x: Column) -> Column:
+    """Four decimals, halves up, by one rule of double arithmetic that other engines share to the bit."""
+    return F.floor(x * 10000 + 0.5) / 10000.0
+
+
 def rescale(similarity: Column, floor: float, full: float) -> Column:
     """Cosine to [0, 1] between floor and full; unknown is 0.5."""
     scaled = (similarity - floor) / max(1e-6, full - floor)
@@ -65,11 +70,11 @@ def same_family(a: Column, b: Column) -> Column:
     return F.when((x != "") & (y != ""), x == y)
 
 
-def colour_component(wanted: Column, colorway: Column, name: Column, name_colours: Column, nickname: Column) -> Column:
-    """The best likeness of the observed colour texts with the catalogue's colourway, else with the name's; or by the nickname."""
-    target = F.when(text(colorway) != "", colorway).when(text(name) != "", name_colours)
-    by_colour = F.array_max(F.transform(wanted, lambda c: tx.colour_similarity(c, target)))
-    by_name = F.when((nickname != "") & (text(name) != ""), tx.nickname_score(nickname, name_colours))
+def colour_component(wanted: Column, colorway: Column, colours: Column, name: Column, name_text: Column, name_colours: Column, nickname: Column) -> Column:
+    """The best likeness of the observed colours (arrays of tokens) with the catalogue's, else with the name's; or by the nickname."""
+    target = F.when(text(colorway) != "", colours).when(text(name) != "", name_colours)
+    by_colour = F.array_max(F.transform(wanted, lambda c: tx.token_similarity(c, target)))
+    by_name = F.when((nickname != "") & (text(name) != ""), tx.nickname_score(nickname, name_text))
     return F.coalesce(F.greatest(by_colour, by_name), F.lit(NEUTRAL))
 
 
@@ -86,7 +91,7 @@ def score(pairs: DataFrame, settings: Settings | None = None) -> DataFrame:
 
     Candidates have query_id, style_code, evidence (array of struct kind, weight), similarity, ord and, empty where nothing is known,
     name, brand, model, colorway, gender, size_category, retail_price, product_type, disagree (several listings that differ), and what
-    the name says: name_model, name_colours. Models of candidates are canonical names, as titles are parsed to.
+    the name says: name_model, name_colours, and the tokens of colourway and name: colour_set, name_set. Models of candidates are canonical names, as titles are parsed to.
     """
     s = settings or Settings()
     t, c = s.thresholds, F.col
@@ -99,14 +104,14 @@ def score(pairs: DataFrame, settings: Settings | None = None) -> DataFrame:
             "c_sku": c("sku.value"),
             "why": c("sku.why"),
             "c_model": F.coalesce(c("model_similarity"), F.lit(NEUTRAL)),
-            "c_colorway": colour_component(c("o_colorways"), c("colorway"), c("name"), c("name_colours"), c("o_nickname")),
+            "c_colorway": colour_component(c("o_colour_sets"), c("colorway"), c("colour_set"), c("name"), c("name_colours"), c("name_set"), c("o_nickname")),
             "c_embedding": rescale(c("similarity"), t.similarity_floor, t.similarity_full),
             "c_metadata": metadata_component(c("o_price"), c("retail_price"), c("same_gender"), c("same_size"), c("same_brand")),
             "c_agreement": F.least(F.lit(1.0), F.size(strong) / 2.0),
         }
     )
     total = sum((c(f"c_{n}") * getattr(s.weights, n) for n in COMPONENTS), F.lit(0.0))
-    return df.withColumn("raw_score", F.round(total, 4)).drop("sku")
+    return df.withColumn("raw_score", round4(total)).drop("sku")
 
 
 def contradict(scored: DataFrame) -> DataFrame:
@@ -149,7 +154,7 @@ def contradict(scored: DataFrame) -> DataFrame:
             "contradictions": F.concat("hard", "soft"),
             "rejected": F.size("hard") > 0,
             "rejection_reason": F.coalesce(F.get("hard", F.lit(0)), F.lit("")),
-            "score": F.round(F.greatest(F.lit(0.0), c("raw_score") - c("penalty")), 4),
+            "score": round4(F.greatest(F.lit(0.0), c("raw_score") - c("penalty"))),
         }
     ).drop("hard", "soft")
 
@@ -161,7 +166,7 @@ def verify(df: DataFrame, verdicts: DataFrame, settings: Settings | None = None)
     v = verdicts.select("query_id", "style_code", F.lower(F.trim("verdict")).alias("verdict"), c("confidence").alias("verdict_confidence"), c("contradictions").alias("notes"))
     joined = df.join(v, ["query_id", "style_code"], "left")
     lift = F.when(c("verdict_confidence") >= 0.85, F.lit(0.10)).when(c("verdict_confidence") >= 0.7, F.lit(0.05)).otherwise(F.lit(0.0))
-    changed = F.when(c("verdict") == "same", F.round(F.least(F.lit(1.0), c("score") + lift), 4)).when(c("verdict") == "uncertain", F.round(F.least(c("score"), F.lit(t.medium - 0.01)), 4))
+    changed = F.when(c("verdict") == "same", round4(F.least(F.lit(1.0), c("score") + lift))).when(c("verdict") == "uncertain", round4(F.least(c("score"), F.lit(t.medium - 0.01))))
     different = F.coalesce(c("verdict") == "different", F.lit(False))
     notes = F.when(different, F.transform(F.coalesce("notes", F.array().cast("array<string>")), lambda n: F.concat(F.lit("verifier:"), n))).otherwise(F.array().cast("array<string>"))
     return joined.withColumns(
@@ -215,7 +220,7 @@ def resolve(queries: DataFrame, candidates: DataFrame, settings: Settings | None
     failure = F.when(c("dead").isNull(), F.lit("NO_CANDIDATES")).when(c("gone"), F.lit("CONTRADICTORY_EVIDENCE")).when(c("unnamed"), F.lit("CATALOG_MATCH_UNCERTAIN")).when(c("close"), F.lit("MULTIPLE_CANDIDATES")).otherwise(F.lit(""))
     status = F.when(c("gone") | c("unnamed"), F.lit("unresolved")).when(low, F.lit("low")).otherwise(tier(capped, settings))
     return row.select(
-        "query_id", F.when(~c("gone"), c("style_code")).alias("style_code"), F.round(confidence, 4).alias("confidence"), status.alias("status"), failure.alias("failure"),
+        "query_id", F.when(~c("gone"), c("style_code")).alias("style_code"), round4(confidence).alias("confidence"), status.alias("status"), failure.alias("failure"),
         c("printed").alias("page_confirmed"), c("close").alias("ambiguous"),
     )
 
@@ -238,7 +243,7 @@ def finalize(resolved: DataFrame, candidates: DataFrame, failures: DataFrame, ca
     df = df.withColumns({"failures": every, "status": F.when(demoted, F.lit("medium")).otherwise(c("status"))})
     withheld = c("style_code").isNull() | (c("status") == "unresolved")
     market = lambda x: F.when(~withheld, c(x)).alias(x)
-    match = F.when(F.coalesce("listed", F.lit(False)), c("confidence")).otherwise(F.round(F.least(c("confidence"), F.lit(t.medium - 0.01)), 4))
+    match = F.when(F.coalesce("listed", F.lit(False)), c("confidence")).otherwise(round4(F.least(c("confidence"), F.lit(t.medium - 0.01))))
     return df.select(
         "query_id", "status", c("status").isin("high", "medium").alias("identified"), "confidence", F.array_join("failures", ",").alias("failures"),
         (c("status").isin("low", "unresolved") | F.arrays_overlap("failures", F.array(F.lit("MULTIPLE_CANDIDATES"), F.lit("CATALOG_MATCH_UNCERTAIN")))).alias("review_required"),

@@ -75,9 +75,9 @@ SCORED = f"""cand AS (SELECT c.query_id, c.style_code, c.display, c.ev, c.simila
     comp AS (SELECT f.*, s.sim, s.x AS asked, s.y AS named, CASE WHEN f1 <> '' AND f2 <> '' THEN f1 = f2 END AS same_brand, CASE WHEN nickname <> '' AND name <> '' THEN {t.nickname_score('nickname', 'name_colours')} END AS nick, hue
         FROM fact f LEFT JOIN alike s ON o_model <> '' AND own <> '' AND s.a = o_model AND s.b = own LEFT JOIN hue USING (query_id, style_code)),
     checked AS (SELECT *, list_filter([CASE WHEN coalesce(price, 0) <> 0 AND coalesce(retail_price, 0) <> 0 THEN CASE WHEN price / retail_price BETWEEN 0.55 AND 1.35 THEN 1.0{D} ELSE 0.3{D} END END, {FLAG('same_gender')}, {FLAG('same_size')}, {FLAG('same_brand')}], lambda v: v IS NOT NULL) AS checks FROM comp),
-    parts AS (SELECT *, list_max(list_transform(ev, lambda e: {VALUE})) AS c_sku, coalesce(sim, 0.5){D} AS c_model, coalesce(greatest(hue, nick), 0.5){D} AS c_colorway, coalesce(greatest(0.0{D}, least(1.0{D}, (similarity - 0.70{D}) / 0.22{D})), 0.5){D} AS c_embedding,
+    parts AS (SELECT *, list_max(list_transform(ev, lambda e: {VALUE})) AS c_sku, coalesce(sim, 0.5){D} AS c_model, coalesce(greatest(hue, nick), 0.5){D} AS c_colorway, coalesce(greatest(0.0{D}, least(1.0{D}, (similarity - 0.70{D}) / (0.92{D} - 0.70{D}))), 0.5){D} AS c_embedding,
         CASE WHEN len(checks) > 0 THEN list_sum(checks) / len(checks) ELSE 0.5 END{D} AS c_metadata, least(1.0{D}, len(list_intersect(list_distinct(list_transform(ev, lambda e: e.kind)), [{t.names(list(scoring.SIGNALS))}])) / 2.0){D} AS c_agreement FROM checked),
-    scored AS (SELECT *, round(c_sku * 0.40{D} + c_model * 0.20{D} + c_colorway * 0.15{D} + c_embedding * 0.15{D} + c_metadata * 0.05{D} + c_agreement * 0.05{D}, 4) AS raw_score FROM parts)"""
+    scored AS (SELECT *, (floor((c_sku * 0.40{D} + c_model * 0.20{D} + c_colorway * 0.15{D} + c_embedding * 0.15{D} + c_metadata * 0.05{D} + c_agreement * 0.05{D}) * 10000 + 0.5{D}) / 10000) AS raw_score FROM parts)"""
 
 
 def rules(pairs: list[tuple[str, str]]) -> str:
@@ -109,10 +109,10 @@ SOFT = [
     ("name = '' AND model = '' AND colorway = ''", 0.3, "no_catalog_identity"),
 ]
 CONTRADICTED = f"""found AS (SELECT *, {rules(HARD)} AS hard, {rules([(c, n) for c, _, n in SOFT])} AS soft, {' + '.join(f'CASE WHEN {c} THEN {p}{D} ELSE 0.0{D} END' for c, p, _ in SOFT)} AS penalty FROM scored),
-    against AS (SELECT *, hard || soft AS contradictions, len(hard) > 0 AS rejected0, coalesce(hard[1], '') AS reason0, round(greatest(0.0{D}, raw_score - penalty), 4) AS score0 FROM found)"""
+    against AS (SELECT *, hard || soft AS contradictions, len(hard) > 0 AS rejected0, coalesce(hard[1], '') AS reason0, (floor((greatest(0.0{D}, raw_score - penalty)) * 10000 + 0.5{D}) / 10000) AS score0 FROM found)"""
 VERIFIED = f"""judged AS (SELECT a.* EXCLUDE (contradictions), lower(trim(v.verdict)) AS verdict, v.confidence AS sure,
         contradictions || CASE WHEN lower(trim(v.verdict)) = 'different' AND v.note <> '' THEN ['verifier:' || v.note] ELSE [] END AS contradictions,
-        CASE lower(trim(v.verdict)) WHEN 'same' THEN round(least(1.0{D}, score0 + CASE WHEN v.confidence >= 0.85 THEN 0.10{D} WHEN v.confidence >= 0.7 THEN 0.05{D} ELSE 0.0{D} END), 4) WHEN 'uncertain' THEN round(least(score0, 0.84{D}), 4) ELSE score0 END AS score,
+        CASE lower(trim(v.verdict)) WHEN 'same' THEN (floor((least(1.0{D}, score0 + CASE WHEN v.confidence >= 0.85 THEN 0.10{D} WHEN v.confidence >= 0.7 THEN 0.05{D} ELSE 0.0{D} END)) * 10000 + 0.5{D}) / 10000) WHEN 'uncertain' THEN (floor((least(score0, 0.84{D})) * 10000 + 0.5{D}) / 10000) ELSE score0 END AS score,
         rejected0 OR coalesce(lower(trim(v.verdict)) = 'different', false) AS rejected, CASE WHEN reason0 = '' AND lower(trim(v.verdict)) = 'different' THEN 'verifier:different' ELSE reason0 END AS reason
         FROM against a LEFT JOIN verdicts_raw v USING (query_id, style_code))"""
 CONFIRMED = """leader AS (SELECT query_id, style_code, o_model FROM judged WHERE NOT rejected QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ord) = 1),
@@ -125,7 +125,7 @@ RESOLVED = f"""ranked AS (SELECT *, CASE WHEN rejected THEN 2 WHEN name = '' AND
     prints AS (SELECT *, coalesce(labelled AND confirmed AND len(contradictions) = 0 AND round(c_model, 4) >= 0.5 AND (round(c_colorway, 4) >= 0.5 OR (same AND sure)), false) AND NOT close AND NOT unsure AS printed, CASE WHEN close THEN least(score, 0.84{D}) ELSE score END AS s0 FROM tops),
     lifts AS (SELECT *, CASE WHEN printed THEN greatest(s0, 0.95{D}) ELSE s0 END AS s1 FROM prints),
     caps AS (SELECT *, CASE WHEN s1 >= 0.95 AND NOT same AND NOT printed THEN 0.94{D} ELSE s1 END AS s2, len(list_filter(contradictions, lambda x: starts_with(x, 'verifier:'))) > 0 AS doubted FROM lifts),
-    resolved AS (SELECT query_id, CASE WHEN NOT gone THEN style_code END AS style_code, round(CASE WHEN gone THEN 0.0{D} WHEN unnamed THEN least(score, 0.69{D}) WHEN doubted AND s2 >= 0.85 THEN least(s2, 0.84{D}) ELSE s2 END, 4) AS confidence,
+    resolved AS (SELECT query_id, CASE WHEN NOT gone THEN style_code END AS style_code, (floor((CASE WHEN gone THEN 0.0{D} WHEN unnamed THEN least(score, 0.69{D}) WHEN doubted AND s2 >= 0.85 THEN least(s2, 0.84{D}) ELSE s2 END) * 10000 + 0.5{D}) / 10000) AS confidence,
         CASE WHEN gone OR unnamed THEN 'unresolved' WHEN doubted AND s2 >= 0.85 THEN 'low' ELSE {tier('s2')} END AS status, CASE WHEN dead IS NULL THEN 'NO_CANDIDATES' WHEN gone THEN 'CONTRADICTORY_EVIDENCE' WHEN unnamed THEN 'CATALOG_MATCH_UNCERTAIN' WHEN close THEN 'MULTIPLE_CANDIDATES' ELSE '' END AS failure,
         printed AS page_confirmed, close AS ambiguous FROM caps)"""
 #: Earlier failures of the derived requests: inconsistent photos, and a leader whose listings disagree or that has none.
@@ -137,7 +137,7 @@ FINAL = f"""failed AS (SELECT r.query_id, list_filter([CASE WHEN seen AND NOT v_
     ended AS (SELECT * EXCLUDE (status), CASE WHEN list_contains(failures, 'CONTRADICTORY_EVIDENCE') AND status = 'high' THEN 'medium' ELSE status END AS status FROM every),
     final AS (SELECT e.query_id, e.status, e.status IN ('high', 'medium') AS identified, e.confidence, told AS failures, e.status IN ('low', 'unresolved') OR list_has_any(e.failures, ['MULTIPLE_CANDIDATES', 'CATALOG_MATCH_UNCERTAIN']) AS review_required,
         coalesce(nullif(j.display, ''), e.style_code) AS style_code, coalesce(nullif(j.brand, ''), j.o_brand) AS brand, coalesce(nullif(j.model, ''), j.o_model) AS model, coalesce(nullif(j.colorway, ''), j.colorways[1], CASE WHEN e.style_code IS NOT NULL THEN '' END) AS colorway, j.name AS product_name,
-        CASE WHEN e.style_code IS NOT NULL THEN k.product_id END AS product_id, CASE WHEN e.style_code IS NOT NULL AND k.product_id IS NOT NULL THEN CASE WHEN k.confirmed THEN e.confidence ELSE round(least(e.confidence, 0.84{D}), 4) END END AS match_confidence,
+        CASE WHEN e.style_code IS NOT NULL THEN k.product_id END AS product_id, CASE WHEN e.style_code IS NOT NULL AND k.product_id IS NOT NULL THEN CASE WHEN k.confirmed THEN e.confidence ELSE (floor((least(e.confidence, 0.84{D})) * 10000 + 0.5{D}) / 10000) END END AS match_confidence,
         CASE WHEN e.style_code IS NOT NULL AND e.status <> 'unresolved' THEN m.lowest_ask END AS lowest_ask, CASE WHEN e.style_code IS NOT NULL AND e.status <> 'unresolved' THEN m.highest_bid END AS highest_bid, candidates
         FROM ended e LEFT JOIN judged j USING (query_id, style_code) LEFT JOIN lists USING (query_id) LEFT JOIN confirmed k ON k.query_id = e.query_id LEFT JOIN markets m ON m.product_id = k.product_id)"""
 

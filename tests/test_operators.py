@@ -23,6 +23,8 @@ def test_knn_equals_numpy(spark):
         s = v @ v[q]
         s[q] = -9
         assert got[q] == np.argsort(-s)[:4].tolist()
+    one = knn.nearest(df.where("vec_id < 7"), df.coalesce(1), 4)
+    assert sorted(map(tuple, one.select("query_id", "rank", "vec_id").collect())) == [(q, i + 1, v) for q in range(7) for i, v in enumerate(got[q])]
     key = lambda r: tuple(r)
     whole, parts = knn.nearest(df, df, 4), knn.nearest(df, df, 4, group_bytes=1000)
     assert sorted(parts.collect(), key=key) == sorted(whole.collect(), key=key) and whole.count() == 1200
