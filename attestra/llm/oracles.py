@@ -132,4 +132,15 @@ j AS (SELECT host, segs, (t_bad + 4 * (h_bad + 4 * share) / (h_labels + 4)) / (t
 SELECT page_id, host, path, {case(lambda v, h, p: h + p)} AS rule, coalesce({case(lambda v, h, p: v)}, CASE WHEN bad_share >= 0.5 THEN 'block' ELSE 'allow' END) AS verdict FROM p JOIN j USING (host, segs)"""
 
 
-ORACLES = {"op2_rare_token_index": licence_sql(), "op6_path_templates": url_sql(), "op1_secret_ownership": SECRETS, "op3_warc_segments": WARC, "op8_quality_rules": QUALITY, "op9_hyperminhash": NEAR}
+#: Tokens as a list, parts as its slices.
+INFILL = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*{WORDS}|{SPACES}') AS ts, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+r AS (SELECT *, len(ts)::BIGINT AS n, {', '.join(f"('0x' || substr(h, {8 * i + 1}, 8))::BIGINT AS h{i + 1}" for i in range(4))} FROM d),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS lo, greatest(h1 % (n + 1), h2 % (n + 1)) AS hi,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM r),
+p AS (SELECT *, array_to_string(ts[1:lo], '') AS pre, array_to_string(ts[lo + 1:hi], '') AS mid, array_to_string(ts[hi + 1:], '') AS suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(text) AS restored_sha256 FROM p"""
+
+
+ORACLES = {"op11_chunked_infill": INFILL, "op2_rare_token_index": licence_sql(), "op6_path_templates": url_sql(), "op1_secret_ownership": SECRETS, "op3_warc_segments": WARC, "op8_quality_rules": QUALITY, "op9_hyperminhash": NEAR}
