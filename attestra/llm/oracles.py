@@ -143,4 +143,18 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix
     sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(text) AS restored_sha256 FROM p"""
 
 
-ORACLES = {"op11_chunked_infill": INFILL, "op2_rare_token_index": licence_sql(), "op6_path_templates": url_sql(), "op1_secret_ownership": SECRETS, "op3_warc_segments": WARC, "op8_quality_rules": QUALITY, "op9_hyperminhash": NEAR}
+#: Sources by size a unit of weight: those before the first that its share does not exceed stop at three times their size.
+MIXTURE = rf"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORDS}'))::BIGINT AS size, ('0x' || substr(md5('42:' || coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')), 1, 15))::BIGINT AS h FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS w FROM d GROUP BY source),
+o AS (SELECT *, row_number() OVER (ORDER BY source_size::DOUBLE / w, source) AS place FROM s),
+r AS (SELECT *, (sum(source_size) OVER () - coalesce(3 * sum(source_size) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE AS rest, sum(w) OVER (ORDER BY place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::DOUBLE AS weights FROM o),
+k AS (SELECT arg_min(rest, place) AS rest, arg_min(weights, place) AS weights, min(place) AS place FROM r WHERE rest * w <= 3 * source_size * weights),
+t AS (SELECT source, source_size, CASE WHEN r.place < k.place THEN 3 * source_size::DOUBLE ELSE k.rest * w / k.weights END AS target FROM r, k),
+f AS (SELECT *, floor(target + 0.5)::BIGINT AS flow FROM t),
+b AS (SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN flow // source_size ELSE 0 END AS copies, CASE WHEN source_size > 0 THEN flow % source_size ELSE 0 END AS rest,
+    sum(size) OVER (PARTITION BY source ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS before FROM d JOIN f ON d.source IS NOT DISTINCT FROM f.source)
+SELECT doc_id, size, source_size, target, (copies * size + greatest(0, least(size, rest - before)))::BIGINT AS taken FROM b"""
+
+
+ORACLES = {"op12_flow_mixture": MIXTURE, "op11_chunked_infill": INFILL, "op2_rare_token_index": licence_sql(), "op6_path_templates": url_sql(), "op1_secret_ownership": SECRETS, "op3_warc_segments": WARC, "op8_quality_rules": QUALITY, "op9_hyperminhash": NEAR}

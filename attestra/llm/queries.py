@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import infill, interpolation, licenses, near_dups, order_minhash, packing, quality, secrets, tokens, url_templates, warc
+from . import infill, interpolation, licenses, mixture, near_dups, order_minhash, packing, quality, secrets, tokens, url_templates, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +64,10 @@ def op11_chunked_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
 
 
+def op12_flow_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -78,5 +82,6 @@ QUERIES = {
         op9_hyperminhash,
         op10_order_minhash,
         op11_chunked_infill,
+        op12_flow_mixture,
     )
 }
