@@ -153,7 +153,7 @@ k AS (SELECT arg_min(rest, place) AS rest, arg_min(weights, place) AS weights, m
 t AS (SELECT source, source_size, CASE WHEN r.place < k.place THEN 3 * source_size::DOUBLE ELSE k.rest * w / k.weights END AS target FROM r, k),
 f AS (SELECT *, floor(target + 0.5)::BIGINT AS flow FROM t),
 b AS (SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN flow // source_size ELSE 0 END AS copies, CASE WHEN source_size > 0 THEN flow % source_size ELSE 0 END AS rest,
-    sum(size) OVER (PARTITION BY source ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS before FROM d JOIN f ON d.source IS NOT DISTINCT FROM f.source)
+    sum(size) OVER (PARTITION BY d.source ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS before FROM d JOIN f ON d.source IS NOT DISTINCT FROM f.source)
 SELECT doc_id, size, source_size, target, (copies * size + greatest(0, least(size, rest - before)))::BIGINT AS taken FROM b"""
 
 
