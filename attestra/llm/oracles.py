@@ -157,4 +157,28 @@ b AS (SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN f
 SELECT doc_id, size, source_size, target, (copies * size + greatest(0, least(size, rest - before)))::BIGINT AS taken FROM b"""
 
 
-ORACLES = {"op12_flow_mixture": MIXTURE, "op11_chunked_infill": INFILL, "op2_rare_token_index": licence_sql(), "op6_path_templates": url_sql(), "op1_secret_ownership": SECRETS, "op3_warc_segments": WARC, "op8_quality_rules": QUALITY, "op9_hyperminhash": NEAR}
+#: CRC-32 bit by bit; then the best edits of all conversations a row a round, with the lines that they give.
+CRC = "xor(list_reduce([4294967295] || flatten(list_transform(string_split(k, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])), lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) ELSE xor(a >> 1, 3988292384 * (a & 1)) END), 4294967295)"
+CONVERSATIONS = rf"""
+WITH RECURSIVE c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+b AS (SELECT *, {CRC} % 20 AS kind FROM c),
+d AS (SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM b),
+n AS (SELECT conv_id, turn, role, text, left(role, 1) AS ini, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) AS i FROM d),
+f AS (SELECT *, lag(ini) OVER (PARTITION BY conv_id ORDER BY i) AS last, CASE WHEN body = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE 'none' END AS fault FROM n),
+g AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (last || ini NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS m FROM f GROUP BY conv_id),
+ins(q, r, paid, edits, lines) AS (VALUES (0, 0, 0, '', ''), (0, 2, 3, 'I', 'user:' || chr(10)), (0, 3, 6, 'II', 'user:' || chr(10) || 'assistant:' || chr(10)), (1, 1, 0, '', ''), (1, 2, 3, 'I', 'user:' || chr(10)), (1, 3, 6, 'II', 'user:' || chr(10) || 'assistant:' || chr(10)),
+    (2, 2, 0, '', ''), (2, 3, 3, 'I', 'assistant:' || chr(10)), (3, 3, 0, '', ''), (3, 2, 3, 'I', 'user:' || chr(10))),
+ops(edit, r, ini, t, paid) AS (VALUES ('K', 0, 's', 1, 0), ('K', 0, 'u', 2, 0), ('K', 1, 'u', 2, 0), ('K', 2, 'a', 3, 0), ('K', 3, 'u', 2, 0), ('R', 0, '', 2, 3), ('R', 1, '', 2, 3), ('R', 2, '', 3, 3), ('R', 3, '', 2, 3), ('D', 0, '', 0, 4), ('D', 1, '', 1, 4), ('D', 2, '', 2, 4), ('D', 3, '', 3, 4)),
+best AS (SELECT conv_id, 0::BIGINT AS i, 0 AS q, {{'cost': 0::BIGINT, 'audit': '', 'lines': ''}} AS p FROM g
+    UNION ALL
+    SELECT f.conv_id, f.i, ops.t, min({{'cost': (p.cost + ins.paid + ops.paid + CASE WHEN edit <> 'D' AND fault = 'truncated' THEN 3 ELSE 0 END)::BIGINT, 'audit': p.audit || ins.edits || edit,
+        'lines': p.lines || ins.lines || CASE edit WHEN 'D' THEN '' WHEN 'K' THEN role || ':' || text || chr(10) ELSE CASE ops.r WHEN 2 THEN 'assistant:' ELSE 'user:' END || text || chr(10) END}})
+    FROM best JOIN f ON f.conv_id IS NOT DISTINCT FROM best.conv_id AND f.i = best.i + 1 JOIN ins USING (q) JOIN ops ON ops.r = ins.r AND (edit <> 'K' OR ops.ini = f.ini) AND (edit = 'D' OR fault NOT IN ('blank', 'duplicate')) GROUP BY f.conv_id, f.i, ops.t),
+e AS (SELECT g.conv_id, min({{'cost': (p.cost + ins.paid)::BIGINT, 'audit': p.audit || edits, 'lines': p.lines || ins.lines}}) AS p FROM best JOIN g ON g.conv_id IS NOT DISTINCT FROM best.conv_id AND i = m JOIN ins ON ins.q = best.q AND ins.r IN (0, 3) GROUP BY g.conv_id)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(e.p.cost, 0) AS cost, coalesce(e.p.audit, '') AS audit,
+    sha256(coalesce(left(e.p.lines, length(e.p.lines) - 1), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN e ON e.conv_id IS NOT DISTINCT FROM o.conv_id"""
+
+
+ORACLES = {"op13_edit_lattice_repair": CONVERSATIONS, "op12_flow_mixture": MIXTURE, "op11_chunked_infill": INFILL, "op2_rare_token_index": licence_sql(), "op6_path_templates": url_sql(), "op1_secret_ownership": SECRETS, "op3_warc_segments": WARC, "op8_quality_rules": QUALITY, "op9_hyperminhash": NEAR}

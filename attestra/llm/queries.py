@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import infill, interpolation, licenses, mixture, near_dups, order_minhash, packing, quality, secrets, tokens, url_templates, warc
+from . import conversations, infill, interpolation, licenses, mixture, near_dups, order_minhash, packing, quality, secrets, tokens, url_templates, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +68,11 @@ def op12_flow_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op13_edit_lattice_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return conversations.digest(rows, conversations.damaged(rows))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -83,5 +88,6 @@ QUERIES = {
         op10_order_minhash,
         op11_chunked_infill,
         op12_flow_mixture,
+        op13_edit_lattice_repair,
     )
 }

@@ -9,7 +9,7 @@ from attestra.llm.oracles import ORACLES
 from attestra.llm.queries import QUERIES
 
 DIR = "/root/testdata/sf0.001"
-TABLES = "documents pages labels".split()
+TABLES = "documents pages labels conversations".split()
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables")
 
