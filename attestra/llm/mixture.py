@@ -35,7 +35,7 @@ from .common import WORDS, materialize, named
 #: Patterns are the driver's; a table with more of them is no mix of sources, and is refused.
 MOST_PATTERNS = 1 << 16
 #: Rows of a pattern that one window may order.
-FEW = 1 << 16
+FEW = 1 << 12
 HASH_BITS, DIGIT = 60, 15
 
 Source = str | None
