@@ -17,7 +17,7 @@ COSINE = "list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) / (sqrt
 
 
 def near(k: int) -> str:
-    return f"""pairs AS (SELECT q.vec_id AS query_id, v.vec_id, v.label AS owner, {COSINE} AS s FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id),
+    return f"""pairs AS (SELECT q.vec_id AS query_id, v.vec_id, v.label AS owner, round({COSINE}, 9) AS s FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id),
     ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, vec_id) AS rank FROM pairs QUALIFY rank <= {k})"""
 
 
@@ -172,7 +172,7 @@ ORACLES = RESOLUTION | {
         c AS (SELECT *, round(greatest(0.0, least(1.0, (s - 0.1) / (0.5 - 0.1))), 4)::DOUBLE AS confidence FROM pooled),
         r AS (SELECT *, row_number() OVER w AS rn, lead(confidence) OVER w AS nxt FROM c WINDOW w AS (PARTITION BY query_id ORDER BY confidence DESC, owner))
         SELECT query_id, owner::BIGINT AS label, best_vec_id, confidence, coalesce(nxt >= confidence - 0.05, false) AS ambiguous, {tier("confidence")} AS tier FROM r WHERE rn = 1""",
-    "similarity_to_group": f"SELECT q.vec_id AS query_id, q.label::BIGINT AS label, round(max({COSINE}), 5) AS similarity FROM embeddings q JOIN embeddings v ON q.label = v.label AND q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0 GROUP BY ALL",
+    "similarity_to_group": f"SELECT q.vec_id AS query_id, q.label::BIGINT AS label, round(max(round({COSINE}, 9)), 5) AS similarity FROM embeddings q JOIN embeddings v ON q.label = v.label AND q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0 GROUP BY ALL",
     "url_normalize": f"SELECT page_id, {NORMAL_URL} AS url_key, {DOMAIN} AS domain FROM pages",
     "url_domain_counts": f"SELECT {DOMAIN} AS domain, count(*) AS n_pages, count(DISTINCT {NORMAL_URL}) AS n_urls FROM pages GROUP BY 1",
     "page_fields": PAGE_FIELDS,

@@ -28,6 +28,12 @@ def knn_topk(spark, sf_dir):
     return knn.nearest(queries, vectors, 10).select("query_id", "vec_id", F.round("similarity", 5).alias("similarity"), F.col("rank").cast("long").alias("rank"))
 
 
+def knn_index(spark, sf_dir):
+    """The same by an index of inverted lists (rows only: its recall is tested)."""
+    queries, vectors = asked(spark, sf_dir)
+    return knn.Index(vectors).search(queries, 10).select("query_id", "vec_id", F.round("similarity", 5).alias("similarity"), F.col("rank").cast("long").alias("rank"))
+
+
 def knn_resolve(spark, sf_dir):
     """Nearest vectors, max-pooled by label, rescaled, ranked, with tier and runner-up ambiguity."""
     queries, vectors = asked(spark, sf_dir)
@@ -406,7 +412,7 @@ def ordered_distinct_urls(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    knn_topk, knn_resolve, similarity_to_group, url_normalize, url_domain_counts, page_fields, page_codes, page_tag_text, content_dedupe, cache_key, token_scan, code_detect,
+    knn_topk, knn_index, knn_resolve, similarity_to_group, url_normalize, url_domain_counts, page_fields, page_codes, page_tag_text, content_dedupe, cache_key, token_scan, code_detect,
     title_attributes, title_parse, search_terms, model_pairs, colour_tokens, colour_similarity, json_identifiers, evidence_merge, evidence_arg_max, web_agreement_trust, multi_source_keys, latest_n_per_key,
     anti_missing, semi_held_out, lookup_fill, segment_join, choose_listing, market_min_max, ttl_cache_lookup, sliding_rate, rate_limit, daily_budget, rank_and_gap,
     observations, evidence_pool, catalog_listings, score_candidates, contradictions, verify_candidates, resolve_queries, final_rows, catalog_normalize, market_sizes, seed_updates, reparse_products, eval_tags, request_intake, result_reuse, web_discovery, image_ranking, accuracy, human_override,

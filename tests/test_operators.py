@@ -26,8 +26,46 @@ def test_knn_equals_numpy(spark):
     one = knn.nearest(df.where("vec_id < 7"), df.coalesce(1), 4)
     assert sorted(map(tuple, one.select("query_id", "rank", "vec_id").collect())) == [(q, i + 1, v) for q in range(7) for i, v in enumerate(got[q])]
     key = lambda r: tuple(r)
-    whole, parts = knn.nearest(df, df, 4), knn.nearest(df, df, 4, group_bytes=1000)
+    whole, parts = knn.nearest(df, df, 4), knn.nearest(df, df, 4, query_bytes=3000, vector_bytes=5000)
     assert sorted(parts.collect(), key=key) == sorted(whole.collect(), key=key) and whole.count() == 1200
+    other = knn.nearest(df, df.repartition(5, "embedding"), 4, query_bytes=1 << 30, vector_bytes=2000)
+    assert sorted(other.collect(), key=key) == sorted(whole.collect(), key=key)
+
+
+def test_knn_of_repeated_ids_and_rows(spark):
+    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.1]), (None, [1.0, 0.0]), (3, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = knn.nearest(df.where("vec_id = 2"), df, 9).collect()
+    assert sorted((r["rank"], r.vec_id, r.similarity) for r in got) == [(1, 1, 0.995037190), (2, 1, 0.995037190), (3, 1, 0.09950372)]
+
+
+def test_similarity_to_owner(spark):
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(200, 8))
+    label = rng.choice([1, 1, 1, 2, 3], 200)
+    label[7] = 9  # alone
+    df = spark.createDataFrame([(i, x.tolist(), int(o)) for i, (x, o) in enumerate(zip(v, label, strict=True))], "vec_id long, embedding array<double>, label int")
+    got = {r.query_id: r.similarity for r in knn.similarity_to_owner(df, df, vector_bytes=1500).collect()}
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    s = np.where((label[:, None] == label[None, :]) & ~np.eye(200, dtype=bool), u @ u.T, -2).max(1)
+    assert got.keys() == set(range(200)) - {7} and all(abs(got[i] - s[i]) < 2e-9 for i in got)
+
+
+def test_index_finds_nine_of_ten(spark):
+    rng = np.random.default_rng(6)
+    centre = rng.normal(size=(12, 24))
+    v = centre[rng.integers(0, 12, 1500)] + rng.normal(size=(1500, 24))
+    v[500:700] = v[500]  # a common vector
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>").repartition(4)
+    asked = df.where("vec_id % 10 = 0")
+    index = knn.Index(df)
+    assert index.lists.select("id").distinct().count() == 1500
+    exact = {(r.query_id, r.vec_id): r.similarity for r in knn.nearest(asked, df, 10).collect()}
+    found = {(r.query_id, r.vec_id): r.similarity for r in index.search(asked, 10, vector_bytes=20_000).collect()}
+    assert len(found) == 1500 and all(exact[p] == s for p, s in found.items() if p in exact)
+    assert len(exact.keys() & found.keys()) >= 0.9 * len(exact)
+    assert {(r.query_id, r.vec_id): r.similarity for r in index.search(asked, 10, share=1.0).collect()} == exact
+    assert knn.Index(df.limit(0)).search(asked, 10).count() == 0
 
 
 def test_knn_of_equal_vectors_prefers_small_ids(spark):
