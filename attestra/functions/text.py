@@ -10,17 +10,17 @@ from pyspark.sql import functions as F
 #: Brand and its aliases, in order of precedence; an alias must start a word (fixed values).
 BRANDS = [
     ("Jordan", ["air jordan", "jordan brand", "jordan"]),
-    ("Nike", ["nike"]),
-    ("adidas", ["adidas", "yeezy", "y-3"]),
+    ("Nike", ["nike sb", "nike", "nikelab", "nike acg"]),
+    ("adidas", ["adidas originals", "adidas", "yeezy", "y-3"]),
     ("New Balance", ["new balance", "nb"]),
-    ("ASICS", ["asics"]),
+    ("ASICS", ["asics", "asics sportstyle"]),
     ("Converse", ["converse"]),
     ("Vans", ["vans", "vault by vans"]),
     ("Puma", ["puma"]),
     ("Reebok", ["reebok"]),
     ("Salomon", ["salomon"]),
     ("On", ["on running", "on cloud", "on "]),
-    ("Hoka", ["hoka"]),
+    ("Hoka", ["hoka one one", "hoka"]),
     ("Under Armour", ["under armour", "ua curry", "curry brand"]),
     ("Saucony", ["saucony"]),
     ("Timberland", ["timberland"]),
@@ -37,6 +37,9 @@ BRANDS = [
     ("Fear of God", ["fear of god", "essentials"]),
     ("Maison Margiela", ["maison margiela", "margiela", "mm6"]),
 ]
+#: What removing the aliases one after another takes out of a text: one that holds an earlier one is never found whole.
+ALIASES = [a for _, names in BRANDS for a in names]
+REMOVED = [a for i, a in enumerate(ALIASES) if not any(f" {b} " in f" {a} " for b in ALIASES[:i])]
 #: (size category, pattern) then (gender, pattern), in order of precedence (fixed values).
 CATEGORIES = [
     ("td", r"\(td\)|\btd\b|toddlers?|\binfants?\b|\bbaby\b|crib"),

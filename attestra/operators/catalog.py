@@ -64,7 +64,7 @@ def listings(catalog: DataFrame) -> DataFrame:
     joined back, so no group is held in one place.
     """
     c = F.col
-    parsed = catalog.withColumn("parsed", models.parse_title(c("title"), c("brand")))
+    parsed = models.with_titles(catalog, "title", "brand", "parsed")
     plain = parsed.select(
         F.explode(F.transform(segments_of(c("style_id")), lambda x: x["code"])).alias("style_code"), "product_id", "style_id", text("title").alias("title"),
         filled(c("parsed.brand"), text("brand")).alias("brand"), c("parsed.model").alias("model"), text("colorway").alias("colorway"), F.lower(text("gender")).alias("gender"),
@@ -97,7 +97,7 @@ def overlay(candidates: DataFrame, listed: DataFrame, known: DataFrame | None =
     says = listed.select("style_code", "product_id", c("title").alias("name"), "brand", "model", "colorway", "gender", "size_category", "release_date", "retail_price", "product_type", c("ambiguous").alias("disagree"), c("model").alias("name_model"), "name_colours", "colour_set", "name_set")
     df = candidates.join(says, "style_code", "left")
     if known is not None:
-        own = known.select("style_code", *[c(f).alias(f"db_{f}") for f in [*facts, "retail_price"]], models.parse_title(c("name")).alias("db_parsed"))
+        own = models.with_titles(known.select("style_code", *[c(f).alias(f"db_{f}") for f in [*facts, "retail_price"]]), "db_name", None, "db_parsed")
         parsed = lambda f: F.when(text("name") != "", c(f"name_{f}"))
         df = df.join(own, "style_code", "left").withColumns({"name_model": F.coalesce(parsed("model"), c("db_parsed.model")), "name_colours": F.coalesce(parsed("colours"), c("db_parsed.colorway_text"))})
         told = lambda f, other: F.when(text(f) != "", c("colour_set" if f == "colorway" else "name_set")).otherwise(tx.colour_tokens(other))
@@ -136,7 +136,7 @@ def seeds(catalog: DataFrame) -> DataFrame:
     identifier is given."""
     c = F.col
     kind = F.lower(filled(text("product_type"), F.lit("sneakers")))
-    rows = catalog.withColumns({"first": F.get(segments_of(c("style_id")), F.lit(0)), "parsed": models.parse_title(c("title"), c("brand"))})
+    rows = models.with_titles(catalog, "title", "brand", "parsed").withColumn("first", F.get(segments_of(c("style_id")), F.lit(0)))
     rows = rows.where(c("first").isNotNull() & (F.contains(kind, F.lit("sneaker")) | F.contains(F.lower(text("product_type")), F.lit("shoe"))))
     return rows.select(
         c("first.code").alias("style_code"), c("first.display").alias("display"), text("title").alias("name"), filled(c("parsed.brand"), text("brand")).alias("brand"), c("parsed.model").alias("model"),
@@ -149,8 +149,7 @@ def seeds(catalog: DataFrame) -> DataFrame:
 def reparse(known: DataFrame) -> DataFrame:
     """style_code with new model, sub_model, gender, size_category where a product's name says otherwise than its row (null: unchanged)."""
     c = F.col
-    # Written, so that the filter below does not parse each title again for every field it asks for.
-    df = written(known.where(text("name") != "").withColumn("p", models.parse_title(c("name"), c("brand"))), "reparsed")
+    df = models.with_titles(known.where(text("name") != ""), "name", "brand", "p")
     other = lambda f: F.when((c(f"p.{f}") != "") & (c(f"p.{f}") != text(f)), c(f"p.{f}"))
     gap = lambda f: F.when((c(f"p.{f}") != "unknown") & (text(f) == ""), c(f"p.{f}"))
     out = df.select("style_code", other("model").alias("model"), other("sub_model").alias("sub_model"), gap("gender").alias("gender"), gap("size_category").alias("size_category"))

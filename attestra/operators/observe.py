@@ -3,7 +3,7 @@
 Requests have one row per query: query_id, title, page_brand, price, page_colour, labeled_codes (array of the codes that the page
 labels), seen (photos were analysed) and what they showed: v_brand, v_brand_confidence, v_model, v_model_confidence, v_colorway,
 v_official (the official colourway's name), v_gender, v_size_category, v_style_code (legible on a tag), v_guesses (array of codes),
-v_consistent. Absent texts are empty or null. Nothing here joins or shuffles.
+v_consistent. Absent texts are empty or null. Titles are parsed once for each distinct one, and joined back.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ def observe(requests: DataFrame) -> DataFrame:
     images_consistent; whether size, model and brand come from photos alone, and whether these are certain of model and brand."""
     seen = F.coalesce(F.col("seen"), F.lit(False))
     titled = text("title") != ""
-    df = requests.withColumn("parsed", models.parse_title(F.col("title"), F.col("page_brand")))
+    df = models.with_titles(requests, "title", "page_brand", "parsed")
     said = lambda field: F.when(titled, F.col(f"parsed.{field}")).otherwise(F.lit(""))
     shown = lambda c: F.when(seen, text(c)).otherwise(F.lit(""))
     sure = lambda c, least: seen & (F.coalesce(F.col(c), F.lit(0.0)) >= least)
@@ -45,11 +45,11 @@ def observe(requests: DataFrame) -> DataFrame:
     alone = lambda field: seen & said(field).isin("", "unknown")
     colours = F.filter(F.array(shown("v_colorway"), shown("v_official"), text("page_colour"), said("colorway_text")), lambda c: c != "")
     model = best("model", "v_model")
-    return df.select(
+    return models.with_model(df.withColumn("model", model), "model", "model_name").select(
         "query_id",
         best("brand", "v_brand").alias("brand"),
-        model.alias("model"),
-        models.canonical_model(model).alias("model_name"),
+        "model",
+        "model_name",
         colours.alias("colorways"),
         F.transform(colours, tx.colour_tokens).alias("colour_sets"),
         known(said("gender"), shown("v_gender")).alias("gender"),

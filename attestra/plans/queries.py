@@ -102,16 +102,15 @@ def title_attributes(spark, sf_dir):
 
 def title_parse(spark, sf_dir):
     """Every listing's title: brand, model, sub-model, gender, size, partner and colours."""
-    t = derived.frame(spark, sf_dir, "listings_raw").select("product_id", models.parse_title(F.col("title"), F.col("brand")).alias("p"))
-    return t.select("product_id", "p.*")
+    return models.with_titles(derived.frame(spark, sf_dir, "listings_raw"), "title", "brand", "p").select("product_id", "p.*")
 
 
 def search_terms(spark, sf_dir):
     """Search queries of every request."""
-    r = resolution.requests(spark, sf_dir)
+    r = models.with_titles(resolution.requests(spark, sf_dir), "title", "page_brand", "parsed")
     shown = {"brand": F.col("v_brand"), "model": F.col("v_model"), "sub_model": F.lit(""), "colour": F.coalesce(F.nullif("v_official", F.lit("")), F.col("v_colorway")), "release_names": F.array().cast("array<string>")}
     shown = {k: F.when(F.col("seen"), c) for k, c in shown.items()}
-    return r.select("query_id", F.array_join(search.search_queries(F.col("title"), F.col("page_colour"), shown, F.col("labeled_codes"), F.col("page_brand")), " | ").alias("queries"))
+    return r.select("query_id", F.array_join(search.search_queries(F.col("title"), F.col("parsed"), F.col("page_colour"), shown, F.col("labeled_codes")), " | ").alias("queries"))
 
 
 def model_pairs(spark, sf_dir):

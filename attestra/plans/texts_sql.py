@@ -78,7 +78,7 @@ def model_pattern(name: str) -> str:
 def colour_text(t: str, name: str) -> str:
     """What is left of the trimmed title t, whose model is name."""
     q = quoted(r"""['"“‘]([^'"”’]+)['"”’]""")
-    aliases = "|".join(rf"\Q{a}\E" for _, xs in text.BRANDS for a in xs)
+    aliases = "|".join(rf"\Q{a}\E" for a in text.REMOVED)
     bare = f"CASE WHEN {name} = '' THEN {t} ELSE regexp_replace({t}, {model_pattern(name)}, ' ', 'g') END"
     alias_pattern, piece_pattern = quoted(rf"(?i)\b(?:{aliases})\b"), quoted(rf"{models.TITLE_WORD}(?:\.\d)?|[^\p{{L}}\p{{N}}_'’]+")
     bare = f"regexp_replace(regexp_replace({bare}, {alias_pattern}, ' ', 'g'), '[-–|:]+', '/', 'g')"
