@@ -90,14 +90,17 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def known_brand(text: Column) -> Column:
     """First brand with an alias at the start of a word, else empty."""
-    padded = F.concat(F.lit(" "), F.lower(F.coalesce(text, F.lit(""))), F.lit(" "))
-    chain = F.lit("")
-    for brand, aliases in reversed(BRANDS):
-        found = F.lit(False)
-        for a in aliases:
-            found = found | F.contains(padded, F.lit(" " + a))
-        chain = F.when(found, F.lit(brand)).otherwise(chain)
-    return chain
+
+    def first(padded: Column) -> Column:
+        chain = F.lit("")
+        for brand, aliases in reversed(BRANDS):
+            found = F.lit(False)
+            for a in aliases:
+                found = found | F.contains(padded, F.lit(" " + a))
+            chain = F.when(found, F.lit(brand)).otherwise(chain)
+        return chain
+
+    return let(F.concat(F.lit(" "), F.lower(F.coalesce(text, F.lit(""))), F.lit(" ")), first)
 
 
 def canonical_brand(text: Column) -> Column:
@@ -111,16 +114,18 @@ def brand_family(text: Column) -> Column:
 
 def known_family(text: Column) -> Column:
     """Brand family in lower case, and empty for a brand that is not known: such a string is no evidence of anything."""
-    brand = known_brand(text)
-    return F.lower(F.when(brand.isin("Nike", "Jordan"), F.lit("Nike")).otherwise(brand))
+    return let(known_brand(text), lambda brand: F.lower(F.when(brand.isin("Nike", "Jordan"), F.lit("Nike")).otherwise(brand)))
 
 
 def size_category(text: Column) -> Column:
-    low = F.lower(F.coalesce(text, F.lit("")))
-    chain = F.when(gender_word(low) != "unknown", F.lit("adult")).otherwise(F.lit("unknown"))
-    for category, pattern in reversed(CATEGORIES):
-        chain = F.when(low.rlike(pattern), F.lit(category)).otherwise(chain)
-    return chain
+
+    def of(low: Column) -> Column:
+        chain = F.when(gender_word(low) != "unknown", F.lit("adult")).otherwise(F.lit("unknown"))
+        for category, pattern in reversed(CATEGORIES):
+            chain = F.when(low.rlike(pattern), F.lit(category)).otherwise(chain)
+        return chain
+
+    return let(F.lower(F.coalesce(text, F.lit(""))), of)
 
 
 def gender_word(low: Column) -> Column:
@@ -158,9 +163,12 @@ def jaccard(a: Column, b: Column) -> Column:
 def nickname_score(nickname: Column, name: Column) -> Column:
     """0.95 where both have the same words; 0.85 (several words) or 0.5 (one) where the nickname's are some of the name's; else null."""
     words = lambda c: F.array_distinct(F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+"), lambda w: F.length(w) >= 2))
-    x, y = words(nickname), words(name)
-    inside = (F.size(x) > 0) & (F.size(F.array_except(x, y)) == 0)
-    return F.when(inside & (F.size(x) == F.size(y)), F.lit(0.95)).when(inside & (F.size(x) > 1), F.lit(0.85)).when(inside, F.lit(0.5))
+
+    def of(x: Column, y: Column) -> Column:
+        inside = (F.size(x) > 0) & (F.size(F.array_except(x, y)) == 0)
+        return F.when(inside & (F.size(x) == F.size(y)), F.lit(0.95)).when(inside & (F.size(x) > 1), F.lit(0.85)).when(inside, F.lit(0.5))
+
+    return let(words(nickname), lambda x: let(words(name), lambda y: of(x, y)))
 
 
 def token_similarity(x: Column, y: Column) -> Column:

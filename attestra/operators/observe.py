@@ -37,7 +37,7 @@ def observe(requests: DataFrame) -> DataFrame:
     images_consistent; whether size, model and brand come from photos alone, and whether these are certain of model and brand."""
     seen = F.coalesce(F.col("seen"), F.lit(False))
     titled = text("title") != ""
-    df = models.with_titles(requests, "title", "page_brand", "parsed")
+    df = models.with_model(models.with_titles(requests, "title", "page_brand", "parsed"), "v_model", "v_model_name")
     said = lambda field: F.when(titled, F.col(f"parsed.{field}")).otherwise(F.lit(""))
     shown = lambda c: F.when(seen, text(c)).otherwise(F.lit(""))
     sure = lambda c, least: seen & (F.coalesce(F.col(c), F.lit(0.0)) >= least)
@@ -45,11 +45,12 @@ def observe(requests: DataFrame) -> DataFrame:
     alone = lambda field: seen & said(field).isin("", "unknown")
     colours = F.filter(F.array(shown("v_colorway"), shown("v_official"), text("page_colour"), said("colorway_text")), lambda c: c != "")
     model = best("model", "v_model")
-    return models.with_model(df.withColumn("model", model), "model", "model_name").select(
+    return df.select(
         "query_id",
         best("brand", "v_brand").alias("brand"),
-        "model",
-        "model_name",
+        model.alias("model"),
+        # A title's model is a canonical name already.
+        F.when(model == said("model"), F.when(~model.isin(models.NUMBERED), model).otherwise(F.lit(""))).otherwise(F.col("v_model_name")).alias("model_name"),
         colours.alias("colorways"),
         F.transform(colours, tx.colour_tokens).alias("colour_sets"),
         known(said("gender"), shown("v_gender")).alias("gender"),
@@ -77,8 +78,8 @@ def evidence_of_photos(requests: DataFrame, first_ord: int = 1000) -> DataFrame:
     read = F.struct(F.lit("vision_tag").alias("kind"), F.lit("read on a tag or box").alias("detail"), F.lit(0.9).alias("weight"), F.col("v_style_code").alias("code"))
     guess = lambda c: F.struct(F.lit("vision_guess").alias("kind"), F.lit("recalled from photos").alias("detail"), F.lit(0.35).alias("weight"), c.alias("code"))
     guesses = F.transform(F.slice(F.coalesce("v_guesses", F.array().cast("array<string>")), 1, 3), guess)
-    rows = requests.where("seen").select("query_id", hint.alias("hint"), F.posexplode(F.concat(F.array(read), guesses)).alias("i", "x"))
-    rows = rows.withColumn("code", codes.identifier_code(F.col("x.code"), F.col("hint"))).where("code IS NOT NULL")
+    named = lambda h: F.transform(F.concat(F.array(read), guesses), lambda x, i: F.struct(i.alias("i"), x.alias("x"), codes.identifier_code(x["code"], h).alias("code")))
+    rows = requests.where("seen").select("query_id", F.explode(F.filter(tx.let(hint, named), lambda r: r["code"].isNotNull())).alias("r")).select("query_id", "r.*")
     return rows.select("query_id", F.col("code.code").alias("style_code"), F.col("code.display").alias("display"), "x.kind", "x.detail", "x.weight", F.lit(None).cast("double").alias("similarity"), (F.col("i") + first_ord).cast("long").alias("ord"))
 
 
