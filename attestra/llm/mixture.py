@@ -36,7 +36,7 @@ from .common import WORDS, materialize, named
 MOST_PATTERNS = 1 << 16
 #: Rows of a pattern that one window may order.
 FEW = 1 << 12
-HASH_BITS, DIGIT = 60, 15
+HASH_BITS, DIGIT = 60, 10
 
 Source = str | None
 
@@ -134,7 +134,7 @@ def route(patterns: Sequence[tuple[Sequence[Source], int]], quotas: dict[Source,
 def digits() -> list[Column]:
     """Digits of the place of a row in the seeded order, from the most significant on: those of its hash, then those of its row number."""
     part = lambda c, shift: F.shiftright(c, shift).bitwiseAND((1 << DIGIT) - 1)
-    return [part("h", s) for s in range(HASH_BITS - DIGIT, -1, -DIGIT)] + [part("u", s) for s in range(4 * DIGIT, -1, -DIGIT)]
+    return [part("h", s) for s in range(HASH_BITS - DIGIT, -1, -DIGIT)] + [part("u", s) for s in range(6 * DIGIT, -1, -DIGIT)]
 
 
 def ends(rows: DataFrame, wanted: dict[str, int], counts: dict[str, int], few: int = FEW) -> list[tuple[str, int, int, int]]:

@@ -107,12 +107,16 @@ FROM d LEFT JOIN b USING (r) LEFT JOIN m USING (r)"""
 
 
 def url_sql() -> str:
-    """The tree level by level as a recursion over distinct shaped paths; node and branch counts are windows."""
+    """The tree level by level as a recursion over distinct shaped paths; counts of nodes, branches and pools are windows, groups a fold."""
     rules = sorted(url_templates.RULES, key=lambda r: (len(r[1]) + len(r[2]), r[1] + r[2]), reverse=True)
     fits = lambda h, p: f"(host = {quoted(h)} OR ends_with(host, {quoted('.' + h)})) AND starts_with(path, {quoted(p)})"
     case = lambda pick: "CASE " + " ".join(f"WHEN {fits(h, p)} THEN {quoted(pick(v, h, p))}" for v, h, p in rules) + " END"
     stem = r"regexp_extract(s, '^(.*?)(\.[A-Za-z0-9]{1,5})?$', 1)"
     mark = f"CASE WHEN regexp_matches({stem}, '^[0-9]+$') THEN '{{n}}' WHEN regexp_matches({stem}, '^[0-9a-fA-F-]{{16,}}$') THEN '{{id}}' WHEN regexp_matches({stem}, '[0-9]{{3,}}') THEN regexp_replace({stem}, '[0-9]+', '{{n}}', 'g') ELSE {stem} END"
+    last, new = "xs[len(xs)]", "ys[1]"
+    share = f"(({last}.b + {new}.b) / nullif({last}.n + {new}.n, 0))"
+    alike = f"coalesce(abs({last}.b / nullif({last}.n, 0) - {new}.b / nullif({new}.n, 0)) <= 2 * sqrt({share} * (1 - {share}) * (1 / nullif({last}.n, 0) + 1 / nullif({new}.n, 0))), true)"
+    both = f"{{'top': {new}.top, 'rest': {last}.rest OR {new}.rest, 'n': {last}.n + {new}.n, 'b': {last}.b + {new}.b, 'segs': {last}.segs + {new}.segs}}"
     shape = f"{mark} || regexp_extract(s, '^(.*?)(\\.[A-Za-z0-9]{{1,5}})?$', 2)".replace("\\\\", "\\")
     return rf"""
 WITH RECURSIVE u AS (SELECT page_id, url, contains(url, '://') AS there, regexp_replace(url, '(?s)^.*?://', '') AS rest FROM pages),
@@ -122,10 +126,16 @@ k AS (SELECT doc_id AS page_id, bool_or(quality = 0 OR toxic = 1) AS bad FROM la
 p AS (SELECT page_id, host, path, list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''), lambda s: {shape}) AS segs, (bad IS NOT NULL)::BIGINT AS n_labels, coalesce(bad::BIGINT, 0) AS n_bad FROM h LEFT JOIN k USING (page_id)),
 g AS (SELECT host, segs, sum(n_labels)::DOUBLE AS n_labels, sum(n_bad)::DOUBLE AS n_bad, '' AS template, len(segs) > 0 AS open, 0 AS level FROM p GROUP BY host, segs
     UNION ALL
-    SELECT host, segs, n_labels, n_bad, template || '/' || CASE WHEN paths = 1 THEN array_to_string(segs[level + 1:], '/') WHEN least_seg <> most_seg AND abs((branch_bad + rate) / (branch_labels + 1) - rate) <= 2 * sqrt(rate * (1 - rate) / (branch_labels + 1)) THEN '*' ELSE segs[level + 1] END,
-        paths > 1 AND len(segs) > level + 1, level + 1
-    FROM (SELECT *, (sum(n_bad) OVER node + 0.5::DOUBLE) / (sum(n_labels) OVER node + 1) AS rate, count(*) OVER node AS paths, min(segs[level + 1]) OVER node AS least_seg, max(segs[level + 1]) OVER node AS most_seg, sum(n_labels) OVER branch AS branch_labels, sum(n_bad) OVER branch AS branch_bad
-        FROM g WHERE open WINDOW node AS (PARTITION BY host, template), branch AS (PARTITION BY host, template, segs[level + 1]))),
+    SELECT host, segs, n_labels, n_bad, template || '/' || CASE WHEN paths = 1 THEN array_to_string(segs[level + 1:], '/') WHEN gs[spot].segs = 1 THEN seg
+        WHEN gs[spot].rest OR (spot = 1 AND len(list_filter(gs, lambda x: x.rest)) = 0) THEN '*' ELSE '*' || (spot - 1)::VARCHAR END, paths > 1 AND len(segs) > level + 1, level + 1
+    FROM (SELECT *, len(list_filter(gs, lambda x: x.top < key)) + 1 AS spot FROM (SELECT *, list_reduce(list_transform(items, lambda x: [x]), lambda xs, ys: CASE WHEN {alike} THEN xs[1:len(xs) - 1] || [{both}] ELSE xs || ys END) AS gs
+        FROM (SELECT *, list_sort(list(DISTINCT {{'top': key, 'rest': bin IS NULL, 'n': pool_labels, 'b': pool_bad, 'segs': pool_segs}}) OVER node) AS items
+        FROM (SELECT *, coalesce(bin, (pool_bad + rate) / (pool_labels + 1) * 1000) AS key
+        FROM (SELECT *, sum(n_labels) OVER pool AS pool_labels, sum(n_bad) OVER pool AS pool_bad, count(DISTINCT seg) OVER pool AS pool_segs
+        FROM (SELECT *, CASE WHEN abs(own - rate) > sqrt(4 + 2 * ln(children)) * sqrt(greatest(rate * (1 - rate), own * (1 - own)) / (branch_labels + 1)) THEN floor(own * 1000) END AS bin
+        FROM (SELECT *, (branch_bad + rate) / (branch_labels + 1) AS own
+        FROM (SELECT *, segs[level + 1] AS seg, (sum(n_bad) OVER node + 0.5::DOUBLE) / (sum(n_labels) OVER node + 1) AS rate, count(*) OVER node AS paths, count(DISTINCT segs[level + 1]) OVER node AS children, sum(n_labels) OVER branch AS branch_labels, sum(n_bad) OVER branch AS branch_bad
+        FROM g WHERE open WINDOW node AS (PARTITION BY host, template), branch AS (PARTITION BY host, template, segs[level + 1])))) WINDOW pool AS (PARTITION BY host, template, bin))) WINDOW node AS (PARTITION BY host, template))))),
 e AS (SELECT *, sum(n_labels) OVER t AS t_labels, sum(n_bad) OVER t AS t_bad, sum(n_labels) OVER o AS h_labels, sum(n_bad) OVER o AS h_bad FROM g WHERE NOT open WINDOW t AS (PARTITION BY host, template), o AS (PARTITION BY host)),
 s AS (SELECT (sum(n_bad) + 0.5::DOUBLE) / (sum(n_labels) + 1) AS share FROM p),
 j AS (SELECT host, segs, (t_bad + 4 * (h_bad + 4 * share) / (h_labels + 4)) / (t_labels + 4) AS bad_share FROM e, s)

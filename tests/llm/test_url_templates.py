@@ -1,3 +1,4 @@
+import math
 import random
 import re
 
@@ -98,12 +99,33 @@ def brute_verdicts(rows, labels, z=2.0, prior=4.0, reject=0.5):
             templates[own[0]] = template + "/" + "/".join(own[0][1][level:])
             return
         labels, bads = (sum(tree[k][j] for k in own) for j in (0, 1))
-        rate, steps = (bads + 0.5) / (labels + 1), {}
-        for seg in {k[1][level] for k in own}:
-            branch = [k for k in own if k[1][level] == seg]
-            n, b = (sum(tree[k][j] for k in branch) for j in (0, 1))
-            alike = abs((b + rate) / (n + 1) - rate) <= z * (rate * (1 - rate) / (n + 1)) ** 0.5
-            steps.setdefault("*" if alike and len({k[1][level] for k in own}) > 1 else seg, []).extend(branch)
+        rate, below = (bads + 0.5) / (labels + 1), {}
+        for k in own:
+            below.setdefault(k[1][level], []).append(k)
+        counts = {seg: [sum(tree[k][j] for k in branch) for j in (0, 1)] for seg, branch in below.items()}
+        # pools: branches that stand out by thousandths of their rate, and all the others
+        pools = {}
+        for seg, (n, b) in counts.items():
+            p = (b + rate) / (n + 1)
+            error = (max(rate * (1 - rate), p * (1 - p)) / (n + 1)) ** 0.5
+            stands_out = abs(p - rate) > (z * z + 2 * math.log(len(below))) ** 0.5 * error
+            pools.setdefault(math.floor(p * 1000) if stands_out else None, []).append(seg)
+        total = lambda segs: [sum(counts[x][j] for x in segs) for j in (0, 1)]
+        key = lambda i: float(i) if i is not None else (total(pools[None])[1] + rate) / (total(pools[None])[0] + 1) * 1000
+        groups = []
+        for i in sorted(pools, key=lambda i: (key(i), i is None)):
+            n, b = total(pools[i])
+            if groups:
+                m, c = total(groups[-1])
+                pooled = (b + c) / (n + m) if n + m else 0
+                if not n or not m or abs(b / n - c / m) <= z * (pooled * (1 - pooled) * (1 / n + 1 / m)) ** 0.5:
+                    groups[-1] += pools[i]
+                    continue
+            groups.append(list(pools[i]))
+        steps = {}
+        main = next((i for i, g in enumerate(groups) if None in pools and pools[None][0] in g), 0)
+        for i, g in enumerate(groups):
+            steps[g[0] if len(g) == 1 else "*" if i == main else f"*{i}"] = [k for seg in g for k in below[seg]]
         for step, branch in steps.items():
             judge(host, f"{template}/{step}", branch, level + 1)
 
@@ -129,3 +151,26 @@ def test_templates_and_verdicts_equal_brute_force(spark):
     got = {r.page_id: r for r in ut.url_filter(pages, spark.createDataFrame(labels, "id long, bad boolean"), rules=[]).collect()}
     want = brute_verdicts(rows, labels)
     assert {i: (r.template, r.verdict) for i, r in got.items()} == want and {v for _, v in want.values()} == {"allow", "block"}
+
+
+def test_alike_sections_are_one_and_bad_ones_another(spark):
+    """30 sections of 100 labelled urls, two all bad: the 28 others are alike, however much the bad ones move their host's rate."""
+    rows = [(i, f"http://h.example/s{chr(97 + i % 30)}/p") for i in range(3000)]
+    labels = [(i, i % 30 in (3, 8)) for i in range(3000)]
+    got = ut.url_filter(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(labels, "id long, bad boolean"), rules=[]).collect()
+    groups = {}
+    for r in got:
+        groups.setdefault((r.template, r.verdict), set()).add(r.page_id % 30)
+    assert groups == {("/*/p", "allow"): set(range(30)) - {3, 8}, ("/*1/p", "block"): {3, 8}}
+    # Half of them bad: no rate in the middle hides that there are two kinds.
+    labels = [(i, i % 30 < 15) for i in range(3000)]
+    got = ut.url_filter(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(labels, "id long, bad boolean"), rules=[]).collect()
+    assert all((r.verdict == "block") == (r.page_id % 30 < 15) for r in got) and len({r.template for r in got}) == 2
+
+
+def test_lone_bad_labels_are_chance(spark):
+    """One label a section, one in a hundred bad: none of them stands out."""
+    rows = [(i, f"http://h.example/{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyzabcd'[i // 100]}/p") for i in range(1000)]
+    labels = [(i, i % 100 == 7) for i in range(1000)]
+    got = ut.url_filter(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(labels, "id long, bad boolean"), rules=[]).collect()
+    assert {(r.template, r.verdict) for r in got} == {("/*/p", "allow")}
