@@ -80,27 +80,32 @@ def word_list(phrase: str) -> str:
 
 
 def licence_sql() -> str:
-    """Alignments as groups of (row, template, offset) over unnested words joined with the templates' postings."""
+    """Alignments as groups of (row, template, offset) over unnested words joined with the templates' words, spelled out as rows."""
     index = licenses.Index()
-    postings = ", ".join(f"({quoted(w)}, {t}, {p})" for w, ps in zip(index.vocabulary, index.postings, strict=True) for t, p in ps)
+    words = ", ".join(f"({t}, {p}, {quoted(w)})" for t, ws in enumerate(index.words) for p, w in enumerate(ws))
     in_place = " AND ".join(
         f"(template <> {t} OR ({' AND '.join(f'off + {at} >= 0 AND ws[off + {at} + 1:off + {at + len(index.phrases[p].split())}] = {word_list(index.phrases[p])}' for p, at in keys)}))" for t, keys in enumerate(index.places)
     )
     label_of = "CASE template " + " ".join(f"WHEN {t} THEN {quoted(x.label)}" for t, x in enumerate(index.templates)) + " END"
-    most = max(len(p.split()) for p in licenses.PHRASES.values())
-    leads = ", ".join(f"lead(w, {i}) OVER o AS w{i}" for i in range(1, most))
+    # The three phrases, spelled out here.
+    phrases = {"mit": "under the mit license", "apache-2": "apache license version 2", "cc-by-nc": "cc by nc"}
+    leads = ", ".join(f"lead(w, {i}) OVER o AS w{i}" for i in range(1, 4))
     stands = lambda p: " AND ".join(f"w{i or ''} = {quoted(x)}" for i, x in enumerate(p.split()))
-    base_of = "CASE " + " ".join(f"WHEN {stands(p)} THEN {quoted(label)}" for label, p in licenses.PHRASES.items()) + " END"
+    base_of = "CASE " + " ".join(f"WHEN {stands(p)} THEN {quoted(label)}" for label, p in phrases.items()) + " END"
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({LOWER}, {quoted(licenses.WORD)}) AS ws FROM documents),
 e AS (SELECT r, unnest(ws) AS w, unnest(range(len(ws))) AS pos FROM d),
 b AS (SELECT r, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, list(DISTINCT base) AS base FROM (SELECT r, pos, {base_of} AS base FROM (SELECT *, {leads} FROM e WINDOW o AS (PARTITION BY r ORDER BY pos))) WHERE base IS NOT NULL GROUP BY r),
-postings(w, template, p) AS (VALUES {postings}),
-t AS (SELECT * FROM e WHERE w IN (SELECT w FROM postings)),
-aligned AS (SELECT r, template, pos - p AS off, count(*) AS n FROM t JOIN postings USING (w) GROUP BY ALL),
-counted AS (SELECT r, template, count(*) AS whole FROM (SELECT DISTINCT r, w FROM t) JOIN postings USING (w) GROUP BY ALL),
-good AS (SELECT r, {label_of} AS label, least(n::DOUBLE / whole, 1.0::DOUBLE) AS share FROM aligned JOIN counted USING (r, template) JOIN d USING (r) WHERE n >= 0.6::DOUBLE * whole AND n >= 2 AND {in_place}),
-m AS (SELECT r, list(DISTINCT label) AS own, max(share) AS score FROM good GROUP BY r)
+words(template, p, w) AS (VALUES {words}),
+t AS (SELECT * FROM e WHERE w IN (SELECT w FROM words)),
+seen AS (SELECT w, count(DISTINCT r) AS df FROM t GROUP BY w),
+v AS (SELECT template, p, w, coalesce(df, 0) AS df, ln(1 + ((SELECT count(*) FROM d) + 1) / (coalesce(df, 0) + 0.5::DOUBLE)) AS idf FROM words LEFT JOIN seen USING (w)),
+rare AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY template ORDER BY df, w, p) <= {licenses.RAREST}),
+whole AS (SELECT template, sum(idf) AS total, least(count(*), {licenses.RAREST}) AS k FROM v GROUP BY template),
+near AS (SELECT r, template, pos - p AS off, any_value(k) AS k FROM t JOIN rare USING (w) JOIN whole USING (template) GROUP BY r, template, pos - p HAVING count(*) >= (any_value(k) + 1) // 2),
+sure AS (SELECT r, template, off FROM near JOIN d USING (r) WHERE {in_place}),
+good AS (SELECT s.r, s.template, {label_of.replace("CASE template", "CASE s.template")} AS label, sum(idf) / any_value(total) AS share FROM sure s JOIN whole ON whole.template = s.template JOIN v ON v.template = s.template JOIN t ON t.r = s.r AND t.w = v.w AND t.pos = s.off + v.p GROUP BY s.r, s.template, s.off HAVING share >= 0.75),
+m AS (SELECT r, list(DISTINCT label) AS own, round(least(max(share), 1), 6) AS score FROM good GROUP BY r)
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, array_to_string(list_sort(coalesce(base, [])), ',') AS base_labels,
     array_to_string(list_sort(list_distinct(coalesce(base, []) || coalesce(own, []))), ',') AS labels, coalesce(score, 0.0)::DOUBLE AS score
 FROM d LEFT JOIN b USING (r) LEFT JOIN m USING (r)"""
