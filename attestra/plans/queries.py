@@ -237,6 +237,12 @@ def evidence_pool(spark, sf_dir):
     return p.withColumn("evidence", F.array_join(F.transform("evidence", lambda e: F.concat(e["kind"], F.lit(":"), e["detail"])), "|"))
 
 
+def catalog_search(spark, sf_dir):
+    """The ten best listings of the whole catalogue for every request's title and photos."""
+    h = resolution.catalog_hits(spark, sf_dir)
+    return h.select("query_id", F.col("ask").cast("long").alias("ask"), "product_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
 def catalog_listings(spark, sf_dir):
     """One listing per code of the whole catalogue, compound codes by their parts."""
     ship_package(spark)
@@ -414,7 +420,7 @@ QUERIES = {f.__name__: f for f in (
     knn_topk, knn_index, knn_resolve, similarity_to_group, url_normalize, url_domain_counts, page_fields, page_codes, page_tag_text, content_dedupe, cache_key, token_scan, code_detect,
     title_attributes, title_parse, search_terms, model_pairs, colour_tokens, colour_similarity, json_identifiers, evidence_merge, evidence_arg_max, web_agreement_trust, multi_source_keys, latest_n_per_key,
     anti_missing, semi_held_out, lookup_fill, segment_join, choose_listing, market_min_max, ttl_cache_lookup, sliding_rate, rate_limit, daily_budget, rank_and_gap,
-    observations, evidence_pool, catalog_listings, score_candidates, contradictions, verify_candidates, resolve_queries, final_rows, catalog_normalize, market_sizes, seed_updates, reparse_products, eval_tags, request_intake, result_reuse, web_discovery, image_ranking, accuracy, human_override,
+    observations, evidence_pool, catalog_search, catalog_listings, score_candidates, contradictions, verify_candidates, resolve_queries, final_rows, catalog_normalize, market_sizes, seed_updates, reparse_products, eval_tags, request_intake, result_reuse, web_discovery, image_ranking, accuracy, human_override,
     failure_maps, stage_timings, cascade_delete, review_queue, eval_metrics, upsert_merge, image_insert_absent, latest_status, stream_latest_status, seeded_sample,
     ordered_distinct_urls,
 )}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import catalog, observe, scoring
+from ..operators import catalog, observe, scoring, text_search
 from ..session import ship_package, written
 from . import derived
 
@@ -21,12 +21,27 @@ def web(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.select("query_id", "style_code", "display", F.array("detail").alias("domains"), F.col("trust").cast("double").alias("trust"), F.col("agreement").cast("long").alias("agreement"), F.col("ord").alias("first_ord"))
 
 
+def asks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, ask, text: what the catalogue is asked for, the title and what photos show."""
+    asked, filled = requests(spark, sf_dir), lambda *cs: F.concat_ws(" ", *cs)
+    shown = F.when(F.col("seen") & (observe.text("v_brand") != "") & (observe.text("v_model") != ""), filled("v_brand", "v_model", observe.filled(observe.text("v_official"), observe.text("v_colorway"))))
+    return asked.select("query_id", F.posexplode(F.array(F.col("title"), shown)).alias("ask", "text")).where("text <> ''")
+
+
+def catalog_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, ask, product_id, score, rank: the catalogue's ten best listings for every text asked, by title and colourway."""
+    listed = derived.frame(spark, sf_dir, "listings_raw").select("product_id", F.concat_ws(" ", "title", "colorway").alias("text"))
+    return text_search.Index(listed).search(asks(spark, sf_dir))
+
+
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pool of all sources of evidence."""
     signals, asked = derived.frame(spark, sf_dir, "signals_raw"), requests(spark, sf_dir)
     pages = signals.where("kind = 'page_sku'").select("query_id", F.col("style_code").alias("code"), "display", F.col("detail").alias("source"), F.col("weight").alias("confidence"), "ord")
     near = signals.where("kind = 'embedding'").select("query_id", "style_code", "display", "similarity", "ord")
     parts = [observe.evidence_of_pages(pages), observe.evidence_of_photos(asked), observe.evidence_of_neighbours(near, 0.7), observe.evidence_of_web(web(spark, sf_dir))]
+    found = catalog_hits(spark, sf_dir).join(derived.frame(spark, sf_dir, "listings_raw").select("product_id", "style_id"), "product_id")
+    parts.append(observe.evidence_of_catalog(found.select("query_id", "product_id", "style_id", (F.col("ask") * 1000 + F.col("rank")).alias("ord"))))
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)

@@ -41,13 +41,24 @@ OBSERVED = f"""obs AS (SELECT query_id, {BEST('brand', 'v_brand')} AS brand, {BE
         seen AND {SAID('size_category')} IN ('', 'unknown') AS size_from_photos, seen AND {SAID('model')} IN ('', 'unknown') AS model_from_photos, seen AND {SAID('brand')} IN ('', 'unknown') AS brand_from_photos,
         seen AND v_model_confidence >= 0.9 AS model_certain, seen AND v_brand_confidence >= 0.9 AS brand_certain
     FROM requests_raw r LEFT JOIN titled p ON p.title = r.title AND p.hint = r.page_brand)"""
+#: Catalogue hits: all products that share a word with a text, scored by whole impacts.
+SEARCH = """words_of AS (SELECT product_id, style_id, len(ws) AS size, unnest(ws) AS w FROM (SELECT product_id, style_id, list_distinct(list_filter(string_split_regex(lower(title || ' ' || colorway), '[^a-z0-9]+'), lambda x: x <> '')) AS ws FROM listings_raw)),
+    impacts AS (SELECT w, round(1000 * ln(1 + (SELECT count(DISTINCT product_id) FROM words_of)::DOUBLE / count(*)))::BIGINT AS impact FROM words_of GROUP BY w),
+    asks AS (SELECT query_id, 0::BIGINT AS ask, title AS text FROM requests_raw WHERE title <> '' UNION ALL SELECT query_id, 1, v_brand || ' ' || v_model || ' ' || coalesce(nullif(v_official, ''), v_colorway) FROM requests_raw WHERE seen AND v_brand <> '' AND v_model <> ''),
+    asked AS (SELECT DISTINCT text, unnest(list_distinct(string_split_regex(lower(text), '[^a-z0-9]+'))) AS w FROM asks),
+    matched AS (SELECT text, product_id, style_id, size, sum(impact)::BIGINT AS score FROM asked JOIN impacts USING (w) JOIN words_of USING (w) GROUP BY ALL),
+    hits AS (SELECT query_id, ask, product_id, style_id, score, rank FROM asks JOIN (SELECT *, row_number() OVER (PARTITION BY text ORDER BY score DESC, size, product_id) AS rank FROM matched QUALIFY rank <= 10) USING (text)),
+    once AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY ord) AS rn FROM (SELECT query_id, product_id, style_id, min(ask * 1000 + rank) AS ord FROM hits GROUP BY ALL)),
+    listed_parts AS (SELECT query_id, rn, unnest(ps) AS shown, unnest(range(len(ps))) AS i FROM (SELECT *, list_transform(string_split(style_id, '/'), lambda x: trim(regexp_replace(x, '\\([^)]*\\)', '', 'g'))) AS ps FROM once WHERE rn <= 20))"""
 #: Evidence: pages, photos (codes here are of one format, whose first half is another brand's), neighbours, web.
-POOL = f"""web AS (SELECT query_id, style_code, display, detail, trust::DOUBLE AS trust, agreement, ord, row_number() OVER (PARTITION BY query_id ORDER BY trust DESC, agreement DESC, ord) AS rn FROM signals_raw WHERE kind = 'web'),
+POOL = f"""{SEARCH},
+    web AS (SELECT query_id, style_code, display, detail, trust::DOUBLE AS trust, agreement, ord, row_number() OVER (PARTITION BY query_id ORDER BY trust DESC, agreement DESC, ord) AS rn FROM signals_raw WHERE kind = 'web'),
     photo AS (SELECT query_id, unnest([v_style_code] || string_split(guesses, ',')[1:3]) AS raw, unnest(range(1 + len(string_split(guesses, ',')[1:3]))) AS i, {family_of("lower(v_brand || ' ' || v_model)")} AS hint FROM requests_raw WHERE seen),
     evidence AS (SELECT query_id, style_code, display, 'page_sku' AS kind, detail, weight::DOUBLE AS weight, NULL::DOUBLE AS similarity, ord FROM signals_raw WHERE kind = 'page_sku'
         UNION ALL SELECT query_id, CASE WHEN hint = 'adidas' THEN substr(raw, 1, 6) ELSE {normal('raw')} END, CASE WHEN hint = 'adidas' THEN substr(raw, 1, 6) ELSE raw END, CASE WHEN i = 0 THEN 'vision_tag' ELSE 'vision_guess' END, CASE WHEN i = 0 THEN 'read on a tag or box' ELSE 'recalled from photos' END, CASE WHEN i = 0 THEN 0.9::DOUBLE ELSE 0.35::DOUBLE END, NULL, 1000 + i FROM photo WHERE regexp_matches(raw, '^[A-Z]{{2}}[0-9]{{4}}-[0-9]{{3}}$') AND (hint IS NULL OR hint IN ('nike', 'adidas'))
         UNION ALL SELECT query_id, style_code, display, 'embedding', printf('cosine %.3f', similarity), similarity, similarity, 2000 + ord FROM signals_raw WHERE kind = 'embedding' AND similarity >= 0.7
-        UNION ALL SELECT query_id, style_code, display, 'web', detail, least(1.0::DOUBLE, trust / 2), NULL, 3000 + rn FROM web WHERE rn <= 12),
+        UNION ALL SELECT query_id, style_code, display, 'web', detail, least(1.0::DOUBLE, trust / 2), NULL, 3000 + rn FROM web WHERE rn <= 12
+        UNION ALL SELECT query_id, {normal('shown')}, shown, 'catalog_search', 'catalog text search', 0.2::DOUBLE, NULL, 4000 + rn * 100 + i FROM listed_parts),
     edges AS (SELECT query_id, style_code, kind, detail, arg_min(weight, ord) AS weight, arg_min(display, ord) AS display, max(similarity) AS similarity, min(ord) AS ord FROM evidence GROUP BY ALL),
     pool AS (SELECT query_id, style_code, arg_min(display, ord) AS display, list({{'kind': kind, 'weight': weight}} ORDER BY ord) AS ev, string_agg(kind || ':' || detail, '|' ORDER BY ord) AS evidence, max(similarity) AS similarity, min(ord) AS ord FROM edges GROUP BY ALL)"""
 RAW = ", ".join(map(sql, ("listings_raw", "requests_raw", "signals_raw", "verdicts_raw")))
@@ -149,6 +160,7 @@ TO_RESOLVED = f"{TO_AGAINST}, {VERIFIED}, {CONFIRMED}, {RESOLVED}"
 ORACLES = {
     "title_parse": f"WITH {sql('listings_raw')}, {t.parsed('(SELECT title, brand AS hint FROM listings_raw)')} SELECT product_id, t.brand, t.model, t.sub_model, t.gender, t.size_category, t.collab, t.colorway_text FROM listings_raw l JOIN titled t ON t.title = l.title AND t.hint = l.brand",
     "observations": f"WITH {RAW}, {TITLES}, {OBSERVED} SELECT * EXCLUDE (colorways, labeled_codes), array_to_string(colorways, '|') AS colorways, array_to_string(labeled_codes, ',') AS labeled_codes FROM obs",
+    "catalog_search": f"WITH {RAW}, {SEARCH} SELECT query_id, ask, product_id, score, rank FROM hits",
     "evidence_pool": f"{TO_POOL} SELECT query_id, style_code, display, evidence, similarity, ord FROM pool",
     "catalog_listings": f"{TO_LISTED} SELECT style_code, product_id, title, brand, model, colorway, gender, size_category, retail_price, ambiguous, n_listings FROM listed",
     "score_candidates": f"{TO_AGAINST} SELECT query_id, style_code, {', '.join(f'round(c_{c}, 4) AS c_{c}' for c in scoring.COMPONENTS)}, raw_score FROM against",
