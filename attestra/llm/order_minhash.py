@@ -8,7 +8,8 @@ that leaves `SPARE` candidates per pick on average; where a bucket has fewer tha
 again from all its k-mers. A fingerprint thus holds the minima over all k-mers, whatever the bound.
 
 `neighbours` finds each text's successor in an order over the whole table without a global window: ids are cut into ranges by
-quantiles, texts are shuffled once by range, and each range also receives the first text of the next one.
+quantiles, null and repeated ids by the hash of their texts; texts are shuffled once by range, and each range also receives the first
+text of the next one.
 
 Defined cases: null texts count as empty, and empty texts have a fingerprint of empty buckets, alike to itself only (likeness 1
 between two such); texts shorter than k words are one k-mer; among equal ids the order is by hash of the text, null ids come
@@ -19,6 +20,7 @@ some times its length; other columns, whatever their names, are not read.
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,6 +34,8 @@ SPARE = 3
 #: Text behind one range of ids, and the number of quantiles that cut them; beyond it ranges are cut evenly once more.
 RANGE_BYTES = 8 << 20
 QUANTILES = 1000
+#: About so many ranges at most; beyond, a range is more text.
+MOST_RANGES = 1 << 16
 #: Ranges that one row stands for where ranges are put in order.
 STRETCH = 1024
 EMPTY = 0
@@ -105,14 +109,17 @@ def as_text(fingerprint: Column) -> Column:
     return F.array_join(F.transform(fingerprint, lambda x: F.lower(F.lpad(F.hex(x), 8, "0"))), "")
 
 
-def id_range(bounds: list[int], parts: int) -> Column:
-    """Number of the row's range by descending id, then text_hash: quantile cell, then `parts` even cuts inside it. Null ids have the last.
+def id_range(bounds: list[int], parts: int, null_parts: int = 1) -> Column:
+    """Number of the row's range by descending id, then text_hash: quantile cell, then `parts` even cuts inside it. Null ids have the last
+    `null_parts` ranges.
 
-    An id that is several quantiles has as many ranges of its own, times parts, cut by the hash of the text.
+    An id that is several quantiles has as many ranges of its own, times parts; these, and those of null ids, are cut by the hash of the text.
     """
     i = F.col("doc_id")
+    spread = F.col("text_hash").cast("double") / F.lit(2.0**64) + 0.5
+    nulls = lambda first: F.lit(first) + F.greatest(F.lit(0), F.least(F.floor(spread * null_parts), F.lit(null_parts - 1)))
     if not bounds:
-        return F.when(i.isNull(), F.lit(1)).otherwise(F.lit(0)).cast("long")
+        return F.when(i.isNull(), nulls(1)).otherwise(F.lit(0)).cast("long")
     times = Counter(bounds)
     most = max(times.values()) * parts
     ordered = sorted(times, reverse=True)
@@ -123,20 +130,26 @@ def id_range(bounds: list[int], parts: int) -> Column:
     within = lambda share, n: F.greatest(F.lit(0), F.least(F.coalesce(F.floor(share * n), F.lit(0)), n - 1))
     even = most + within((high - i.cast("double")) / F.greatest(high - low, F.lit(1.0)), F.lit(parts))
     own = F.coalesce(F.when(F.get(edges, cell - 1) == i, F.get(shares, cell - 1)), F.lit(0))
-    among = within(F.col("text_hash").cast("double") / F.lit(2.0**64) + 0.5, own)
+    among = within(spread, own)
     number = cell * (most + parts) + F.when(own > 0, among).otherwise(even)
-    return F.when(i.isNull(), F.lit((len(ordered) + 1) * (most + parts))).otherwise(number).cast("long")
+    return F.when(i.isNull(), nulls((len(ordered) + 1) * (most + parts))).otherwise(number).cast("long")
 
 
-def neighbours(df: DataFrame, *columns: str) -> DataFrame:
-    """df (doc_id, text, text_hash, others) with next_<column> of the row that follows by descending doc_id; the first follows the last."""
-    size = df.agg(F.sum(F.octet_length("text")).alias("bytes")).first()["bytes"] or 0
-    ranges = max(1, int(size) // RANGE_BYTES)
+def neighbours(df: DataFrame, extend: Callable[[DataFrame], DataFrame], *columns: str) -> DataFrame:
+    """extend(df) of df (doc_id, text, text_hash) with next_<column> of the row that follows by descending doc_id; the first follows the last.
+
+    extend adds columns row by row; it works on every row once, and on the first row of each range once more.
+    """
+    size = df.agg(F.sum(F.octet_length("text")).alias("bytes"), F.sum(F.when(F.col("doc_id").isNull(), F.octet_length("text"))).alias("nulls")).first()
+    most = max(RANGE_BYTES, (size["bytes"] or 0) // MOST_RANGES)
+    of = lambda n: max(1, int(n or 0) // most)
+    ranges, null_parts = of(size["bytes"]), of(size["nulls"])
     cuts = min(ranges - 1, QUANTILES)
     bounds = df.agg(F.percentile_approx("doc_id", [(j + 1) / (cuts + 1) for j in range(cuts)], 10 * (cuts + 1)).alias("q")).first()["q"] if cuts else None
-    number = id_range(bounds or [], -(-ranges // (cuts + 1)))
+    number = id_range(bounds or [], -(-ranges // (cuts + 1)), null_parts)
+    key = F.coalesce(-F.col("doc_id"), F.lit(2**63 - 1)).alias("key")
     # One row per range: its first row's id and hash, and the range before it, round the end.
-    firsts = df.select(number.alias("range"), F.struct(F.coalesce(-F.col("doc_id"), F.lit(2**63 - 1)).alias("key"), "text_hash", "doc_id").alias("first")).groupBy("range").agg(F.min("first").alias("first"))
+    firsts = df.select(number.alias("range"), F.struct(key, "text_hash").alias("first")).groupBy("range").agg(F.min("first").alias("first"))
     firsts = materialize(firsts.withColumn("stretch", F.floor(F.col("range") / STRETCH)), "ranges")
     last = firsts.agg(F.max("range").alias("last")).first()["last"]
     # The one window without a key has a row for each stretch of ranges that is not empty.
@@ -145,19 +158,19 @@ def neighbours(df: DataFrame, *columns: str) -> DataFrame:
     inside = Window.partitionBy("stretch").orderBy("range")
     before = firsts.join(ends, "stretch").select(F.coalesce(F.lag("range").over(inside), F.col("before")).alias("into"), F.col("first.key").alias("key"), F.col("first.text_hash").alias("text_hash"))
     before = materialize(before, "ranges-before")
-    key = F.coalesce(-F.col("doc_id"), F.lit(2**63 - 1))
-    rows = df.withColumns({"range": number, "key": key}).join(before, ["key", "text_hash"], "left")
-    targets = F.array_compact(F.array(F.struct(F.col("range").alias("range"), F.lit(False).alias("guest")), F.when(F.col("into").isNotNull(), F.struct(F.col("into").alias("range"), F.lit(True).alias("guest")))))
-    dealt = rows.select("doc_id", "key", *[c for c in df.columns if c != "doc_id"], F.explode(targets).alias("at")).select("*", "at.*").drop("at")
-    w = Window.partitionBy("range").orderBy("guest", "key", "text_hash")
+    # Guests are the first rows of the next ranges, one each: equal rows are told apart by nothing, and any of them will do. At most some
+    # MOST_RANGES rows are broadcast.
+    first = F.struct(*df.columns)
+    guests = df.withColumn("key", key).join(F.broadcast(before), ["key", "text_hash"]).groupBy("into").agg(F.first(first).alias("row")).select(F.col("into").alias("range"), "row.*")
+    dealt = extend(df).withColumns({"range": number, "guest": F.lit(False)}).unionByName(extend(guests).withColumn("guest", F.lit(True)))
+    w = Window.partitionBy("range").orderBy("guest", F.coalesce(-F.col("doc_id"), F.lit(2**63 - 1)), "text_hash")
     out = dealt.withColumns({f"next_{c}": F.lead(c).over(w) for c in columns})
-    return out.where(~F.col("guest")).drop("range", "guest", "key")
+    return out.where(~F.col("guest")).drop("range", "guest")
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = K) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
-    df = texts(docs, id_col, text_col).withColumns({"text_hash": F.xxhash64("text"), "own": signature(F.col("text"), k)})
-    df = neighbours(df, "text", "own")
+    df = neighbours(texts(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text")), lambda rows: rows.withColumn("own", signature(F.col("text"), k)), "text", "own")
     n = F.length("text")
     cut = F.floor(n / 3).cast("int")
     df = df.select("doc_id", n.cast("long").alias("n_chars"), "own", "next_own", F.concat(F.substring("text", F.lit(1), n - cut), F.substring("next_text", F.lit(1), cut)).alias("edited"))

@@ -84,6 +84,19 @@ def test_one_id_in_a_third_of_all_rows_is_dealt_to_several_ranges(spark, monkeyp
     assert ranges > 3
 
 
+def test_null_ids_in_a_third_of_all_rows_are_dealt_to_several_ranges(spark, monkeypatch):
+    monkeypatch.setattr(om, "RANGE_BYTES", 400)
+    monkeypatch.setattr(om, "QUANTILES", 9)
+    rng = random.Random(9)
+    rows = [(None if i % 3 == 0 else i, "same text" if i % 9 == 0 else " ".join(f"w{rng.randrange(50)}" for _ in range(rng.randrange(1, 12)))) for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    key = lambda r: tuple(map(str, r))
+    assert sorted(map(tuple, om.fingerprints(docs).collect()), key=key) == sorted(brute(rows), key=key)
+    hashed = docs.withColumn("text_hash", om.F.xxhash64("text")).where("doc_id IS NULL")
+    for bounds in ([], [10, 40, 70]):
+        assert hashed.select(om.id_range(bounds, 2, 8)).distinct().count() == 8
+
+
 @pytest.mark.parametrize("size", [1 << 30, 20_000, 3_000])
 def test_equals_brute_force(spark, monkeypatch, size):
     monkeypatch.setattr(om, "RANGE_BYTES", size)
