@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
+
 
 def arg_max(df: DataFrame, keys: list[str], value: str, order: list[str]) -> DataFrame:
     """One row per key: the largest value, the first of equals. An aggregate, so rows are combined before the shuffle."""
@@ -66,10 +68,36 @@ def arg_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("row")).select(*keys, "row.*")
 
 
-def exact_median(df: DataFrame, column: str) -> DataFrame:
-    """One row with the exact median of a column: values are counted before they meet, so what meets is their variety."""
-    counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-    upto = counts.withColumns({"upto": F.sum("n").over(Window.orderBy(column)), "total": F.sum("n").over(Window.partitionBy())})
-    low, high = F.floor((F.col("total") + 1) / 2), F.floor((F.col("total") + 2) / 2)
-    at = lambda place: F.min(F.when(F.col("upto") >= place, F.col(column)))
-    return upto.agg(((at(low) + at(high)) / 2.0).alias("median"))
+def exact_median(df: DataFrame, column: str, few: int = 1024) -> DataFrame:
+    """One row with the exact median of a column, null where it has no numbers; NaN counts as none.
+
+    Values are counted before they meet. While more than `few` distinct values lie where the middle is, that range is cut into as many
+    parts, counted in one aggregate, and the part with the middle is looked at next: no window or sort holds all values.
+    """
+    spark, c = df.sparkSession, F.col
+    counts = written(df.where(c(column).isNotNull() & ~F.isnan(c(column).cast("double"))).groupBy(c(column).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n")), "median-counts")
+    whole = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("values"), F.min("v").alias("low"), F.max("v").alias("high")).first()
+
+    def at(place: int) -> float:
+        """The value at a place of the sorted column, from 1."""
+        low, high, values = whole["low"], whole["high"], whole["values"]
+        here = counts
+        while values > few:
+            # Halves, since the whole range may be no finite number.
+            part = F.least(F.floor((c("v") / 2 - low / 2) / (high / 2 - low / 2) * few), F.lit(few - 1))
+            parts = here.groupBy(part.alias("part")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("values"), F.min("v").alias("low"), F.max("v").alias("high")).collect()  # at most `few`
+            for p in sorted(parts, key=lambda p: p["low"]):
+                if place <= p["n"]:
+                    break
+                place -= p["n"]
+            low, high, values = p["low"], p["high"], p["values"]
+            here = counts.where(c("v").between(low, high))
+        for r in sorted(here.collect()):  # at most `few`
+            if place <= r["n"]:
+                return r["v"]
+            place -= r["n"]
+        raise AssertionError("place beyond the last value")
+
+    n = whole["n"]
+    middle = (at((n + 1) // 2) + at((n + 2) // 2)) / 2.0 if n else None
+    return spark.createDataFrame([(middle,)], "median double")

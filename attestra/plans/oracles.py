@@ -167,6 +167,11 @@ ORACLES = RESOLUTION | {
     "stage_timings": "WITH c AS (SELECT user_id, event_type, max(event_id) AS o, arg_max(value, event_id) AS v FROM events GROUP BY ALL) SELECT user_id AS query_id, string_agg(event_type || '=' || round(v * 100)::BIGINT, ';' ORDER BY o) AS timings FROM c GROUP BY 1",
     "cascade_delete": "SELECT p_partkey AS product_id, 1::BIGINT AS n, (SELECT nullif(count(*), 0) FROM lineitem WHERE l_partkey = p_partkey) AS n_images FROM part WHERE p_size <= 40",
 
+    "rate_limit": """WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+        a AS (SELECT DISTINCT user_id, 0::BIGINT AS i, []::BIGINT[] AS held, NULL::BIGINT AS event_id, NULL::BOOLEAN AS admitted FROM events
+            UNION ALL
+            SELECT user_id, i, CASE WHEN len(live) < 3 THEN live || [t] ELSE live END, event_id, len(live) < 3 FROM (SELECT e.user_id, e.i, e.t, e.event_id, list_filter(held, lambda h: h > e.t - 86400000000) AS live FROM a JOIN e ON e.user_id = a.user_id AND e.i = a.i + 1))
+        SELECT event_id, admitted FROM a WHERE i > 0""",
     "knn_topk": f"WITH {near(10)} SELECT query_id, vec_id, round(s, 5) AS similarity, rank FROM ranked",
     "knn_resolve": f"""WITH {near(30)}, pooled AS (SELECT query_id, owner, max(s) AS s, arg_min(vec_id, (-round(s, 9), vec_id)) AS best_vec_id FROM ranked GROUP BY ALL),
         c AS (SELECT *, round(greatest(0.0, least(1.0, (s - 0.1) / (0.5 - 0.1))), 4)::DOUBLE AS confidence FROM pooled),

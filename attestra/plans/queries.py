@@ -207,7 +207,7 @@ def sliding_rate(spark, sf_dir):
 
 
 def rate_limit(spark, sf_dir):
-    """Exact admission: refused requests do not count; state per key (rows only)."""
+    """Exact admission: refused requests do not count."""
     return state.admit(table(spark, sf_dir, "events"), key="user_id", time="ts", row="event_id", most=3, window_s=86_400.0)
 
 

@@ -8,38 +8,60 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.merge import arg_first
-from ..session import shared_dir
+from ..session import shared_dir, written
+
+
+def sessions(requests: DataFrame, window_us: int) -> DataFrame:
+    """requests (k, t, r) with session: the time of the first request of the run they lie in; runs are at least the window apart.
+
+    Nothing that was admitted before a session holds in it. Requests are compared within slices of time, to which those of the slice before
+    are guests; the slices' last starts are then carried along, so a key with a third of all rows is as many tasks as it has slices.
+    """
+    c = F.col
+    own = F.floor(c("t") / window_us)
+    at = F.array(F.struct(own.alias("slice"), F.lit(False).alias("guest")), F.struct((own + 1).alias("slice"), F.lit(True).alias("guest")))
+    within = Window.partitionBy("k", "slice").orderBy("t", "r")
+    seen = requests.select("k", "t", "r", F.explode(at).alias("at")).select("k", "t", "r", "at.*").withColumn("last", F.lag("t").over(within)).where(~c("guest"))
+    begins = seen.select("k", "t", "r", "slice", F.when(c("last").isNull() | (c("t") - c("last") >= window_us), c("t")).alias("begin"))
+    begins = written(begins, "session-begins")
+    ends = begins.groupBy("k", "slice").agg(F.max("begin").alias("begin"))
+    carried = ends.select("k", "slice", F.max("begin").over(Window.partitionBy("k").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
+    upto = begins.withColumn("here", F.max("begin").over(within.rowsBetween(Window.unboundedPreceding, 0)))
+    joined = upto.alias("u").join(carried.alias("c"), c("u.k").eqNullSafe(c("c.k")) & (c("u.slice") == c("c.slice")))
+    return joined.select("u.k", "u.t", "u.r", F.coalesce("u.here", "c.carried").alias("session"))
 
 
 def admit(requests: DataFrame, *, key: str, time: str, row: str, most: int, window_s: float) -> DataFrame:
     """row, admitted: at most `most` admitted requests of a key in any window_s seconds; refused ones do not count.
 
-    Rows of a key arrive sorted in a partition and are folded batch by batch: the state is the last `most` admitted times, so a
-    key with any number of requests needs no more memory than that.
+    Whether a request is admitted depends on those before it only as far back as the last pause of a whole window, so keys are cut into
+    sessions there. Rows of a session arrive sorted in a partition and are folded batch by batch: the state is the last `most` admitted
+    times, so a session of any length needs no more memory than that. A null key is a key; a null time is refused and counts nowhere.
     """
+    window_us = round(window_s * 1_000_000)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, held = None, deque()
         for batch in batches:
             out = []
-            for k, t, r in zip(batch["k"], batch["t"], batch["r"], strict=True):
-                if k != now:
-                    now, held = k, deque()
-                while held and held[0] <= t - window_s:
+            for k, s, t, r in zip(batch["k"], batch["session"], batch["t"], batch["r"], strict=True):
+                if (k, s) != now:
+                    now, held = (k, s), deque()
+                while held and held[0] <= t - window_us:
                     held.popleft()
                 if ok := len(held) < most:
                     held.append(t)
                 out.append((r, ok))
             yield pd.DataFrame(out, columns=[row, "admitted"])
 
-    seconds = F.unix_micros(F.col(time).cast("timestamp")) / 1e6
-    df = requests.select(F.col(key).alias("k"), seconds.alias("t"), F.col(row).alias("r"))
-    return df.repartition("k").sortWithinPartitions("k", "t", "r").mapInPandas(run, f"{row} long, admitted boolean")
+    df = requests.select(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("k"), F.unix_micros(F.col(time).cast("timestamp")).alias("t"), F.col(row).alias("r"))
+    dealt = sessions(df.where("t IS NOT NULL"), window_us).repartition("k", "session").sortWithinPartitions("k", "session", "t", "r")
+    return dealt.mapInPandas(run, f"{row} long, admitted boolean").unionByName(df.where("t IS NULL").select(F.col("r").cast("long").alias(row), F.lit(False).alias("admitted")))
 
 
 def admit_stream(requests: DataFrame, *, key: str, time: str, row: str, most: int, window_s: float) -> DataFrame:
