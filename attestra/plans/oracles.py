@@ -150,6 +150,7 @@ DETECT = rf"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text
     z AS (SELECT *, CASE WHEN labelled THEN 0.9::DOUBLE ELSE 0.5::DOUBLE END AS confidence FROM q WHERE labelled OR seen <= 10)
     SELECT doc_id, code, display, family, labelled AS labeled, confidence, row_number() OVER (PARTITION BY r ORDER BY confidence DESC, seen) AS ord FROM z"""
 
+TTL = """SELECT p.event_id, (SELECT v.event_id FROM events v WHERE v.event_type = 'view' AND v.user_id = p.user_id AND v.ts <= p.ts AND v.ts >= p.ts - INTERVAL 7 DAYS ORDER BY v.ts DESC, v.event_id DESC LIMIT 1) AS cached FROM events p WHERE event_type = 'purchase'"""
 ORACLES = RESOLUTION | {
     "code_detect": DETECT,
     "catalog_normalize": CATALOG,
@@ -205,7 +206,7 @@ ORACLES = RESOLUTION | {
     "choose_listing": """WITH f AS (SELECT p_brand, arg_min(p_type, p_partkey) AS t, arg_min(p_size, p_partkey) AS s FROM part GROUP BY 1)
         SELECT p_brand, (SELECT p_partkey FROM part q WHERE q.p_brand = p.p_brand ORDER BY (length(p_name) > 20) DESC, p_retailprice DESC, p_partkey LIMIT 1) AS chosen, bool_or(p_type <> t OR p_size <> s) AS ambiguous, count(*) AS n_listings FROM part p JOIN f USING (p_brand) GROUP BY p_brand""",
     "market_min_max": "SELECT l_partkey, min(l_extendedprice) FILTER (l_returnflag = 'R') AS lowest_ask, max(l_extendedprice) FILTER (l_returnflag = 'A') AS highest_bid, count(*) AS n_rows FROM lineitem WHERE l_returnflag IN ('R', 'A') GROUP BY 1",
-    "ttl_cache_lookup": """SELECT p.event_id, (SELECT v.event_id FROM events v WHERE v.event_type = 'view' AND v.user_id = p.user_id AND v.ts <= p.ts AND v.ts >= p.ts - INTERVAL 7 DAYS ORDER BY v.ts DESC, v.event_id DESC LIMIT 1) AS cached FROM events p WHERE event_type = 'purchase'""",
+    "ttl_cache_lookup": TTL,
     "sliding_rate": "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) AS in_window FROM events",
     "daily_budget": "SELECT event_id, strftime(ts, '%Y-%m-%d') AS day, count(*) OVER (PARTITION BY ts::DATE ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS used FROM events",
     "rank_and_gap": f"""WITH s AS (SELECT o_custkey, o_orderkey, round(o_totalprice / 500000.0, 4) AS score FROM orders), r AS (SELECT *, row_number() OVER w AS rn, lead(score) OVER w AS nxt FROM s WINDOW w AS (PARTITION BY o_custkey ORDER BY score DESC, o_orderkey))
@@ -214,8 +215,10 @@ ORACLES = RESOLUTION | {
     "eval_metrics": """WITH t AS (SELECT CASE WHEN len(string_split(text, ' ')) >= 20 THEN 1 ELSE 0 END AS g, quality AS q, (length(text) % 1000)::DOUBLE AS l FROM documents JOIN labels USING (doc_id))
         SELECT count(*) AS n, round(count(*) FILTER (g = q) / count(*), 6) AS accuracy, round(count(*) FILTER (g = q AND g = 1) / nullif(count(*) FILTER (g = 1), 0), 6) AS precision, round(count(*) FILTER (g = 1 AND q <> 1) / nullif(count(*) FILTER (q = 0), 0), 6) AS false_positive_rate, round(avg(l), 6) AS mean_latency, median(l) AS median_latency FROM t""",
     "upsert_merge": UPSERT,
+    "committed_upsert": UPSERT,
     "image_insert_absent": """WITH t AS (SELECT source, sha256(text) AS digest, doc_id, lang FROM documents) SELECT source, digest, min(doc_id) AS doc_id FROM t a WHERE NOT EXISTS (SELECT 1 FROM t b WHERE b.lang = 'en' AND b.source = a.source AND b.digest = a.digest) GROUP BY source, digest""",
     "latest_status": "SELECT user_id, event_type AS status, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
+    "ttl_cache_stream": TTL,
     "stream_latest_status": "SELECT user_id, event_type AS status, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
     "seeded_sample": "SELECT doc_id FROM documents ORDER BY md5('7:' || doc_id::VARCHAR), doc_id LIMIT 50",
     "ordered_distinct_urls": r"SELECT regexp_replace(url, '\?.*$', '') AS url_key, min(page_id) AS page_id, arg_min(url, page_id) AS url FROM pages GROUP BY 1",

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import codes, models, search, text, urls
-from ..operators import catalog, knn, merge, observe, records, relational, scoring
-from ..session import ship_package, written
+from ..operators import catalog, knn, merge, observe, records, relational, scoring, versions
+from ..session import shared_dir, ship_package, written
 from ..sources import pages as page_source
 from ..streaming import state
 from . import derived, resolution
@@ -202,6 +204,12 @@ def ttl_cache_lookup(spark, sf_dir):
     return relational.ttl_lookup(e.where("event_type = 'purchase'"), e.where("event_type = 'view'"), key="user_id", time="ts", row="event_id", days=7)
 
 
+def ttl_cache_stream(spark, sf_dir):
+    """The same by a streaming query whose state is the fresh entries."""
+    ship_package(spark)
+    return state.stream_ttl(spark, sf_dir, "events.parquet", 7)
+
+
 def sliding_rate(spark, sf_dir):
     return relational.counts_in_window(table(spark, sf_dir, "events"), key="user_id", time="ts", row="event_id", window_us=3_600_000_000)
 
@@ -381,15 +389,34 @@ def eval_metrics(spark, sf_dir):
     return relational.evaluate(d.join(l, "doc_id").select(guess.alias("guess"), F.col("quality").alias("truth"), (F.length("text") % 1000).cast("double").alias("latency")))
 
 
-def upsert_merge(spark, sf_dir):
+def updates(spark, sf_dir):
     """Parts as the current table, customers and suppliers of the same number as updates; suppliers are authoritative."""
     of = lambda name, key, *cols: table(spark, sf_dir, name).select(F.col(key).alias("key"), *cols)
     current = of("part", "p_partkey", F.when(F.col("p_size") > 25, F.col("p_name")).alias("name"), F.lit("").alias("color"), F.when(F.col("p_size") < 40, F.col("p_retailprice")).alias("price"))
     told = of("customer", "c_custkey", F.col("c_name").alias("name"), F.col("c_mktsegment").alias("color"), F.col("c_acctbal").alias("price"), F.lit(False).alias("authoritative"), F.lit(1).alias("ord"))
     sure = of("supplier", "s_suppkey", F.col("s_name").alias("name"), F.lit("").alias("color"), F.when(F.col("s_acctbal") > 0, F.col("s_acctbal")).alias("price"), F.lit(True).alias("authoritative"), F.lit(2).alias("ord"))
+    return current, told, sure
+
+
+def upsert_merge(spark, sf_dir):
+    current, told, sure = updates(spark, sf_dir)
     return merge.upsert(current, told.union(sure), "key", ["name", "color", "price"])
 
 
+def committed_upsert(spark, sf_dir):
+    """The same as versions of a committed table: parts, then each batch of updates folded into the version before, then compacted."""
+    current, *batches = updates(spark, sf_dir)
+    table_of = versions.Table(spark, f"{shared_dir(spark)}/products-{uuid.uuid4().hex}", ["key"], [])
+    table_of.commit(current.withColumns({c: F.nullif(c, F.lit("")) for c in ("name", "color")}), "parts")
+    for i, batch in enumerate(batches):
+        known = table_of.read()
+        # Only rows that a batch names are written again.
+        own = batch.select("key").distinct()
+        table_of.commit(merge.upsert(known.join(own, "key", "left_semi"), batch, "key", ["name", "color", "price"]), f"batch {i}")
+    table_of.compact()
+    return table_of.read()
+
+
 def image_insert_absent(spark, sf_dir):
     """Texts that a source has and its English part has not."""
     new = table(spark, sf_dir, "documents").select("source", F.sha2("text", 256).alias("digest"), "doc_id", "lang")
@@ -419,8 +446,8 @@ def ordered_distinct_urls(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     knn_topk, knn_index, knn_resolve, similarity_to_group, url_normalize, url_domain_counts, page_fields, page_codes, page_tag_text, content_dedupe, cache_key, token_scan, code_detect,
     title_attributes, title_parse, search_terms, model_pairs, colour_tokens, colour_similarity, json_identifiers, evidence_merge, evidence_arg_max, web_agreement_trust, multi_source_keys, latest_n_per_key,
-    anti_missing, semi_held_out, lookup_fill, segment_join, choose_listing, market_min_max, ttl_cache_lookup, sliding_rate, rate_limit, daily_budget, rank_and_gap,
+    anti_missing, semi_held_out, lookup_fill, segment_join, choose_listing, market_min_max, ttl_cache_lookup, ttl_cache_stream, sliding_rate, rate_limit, daily_budget, rank_and_gap,
     observations, evidence_pool, catalog_search, catalog_listings, score_candidates, contradictions, verify_candidates, resolve_queries, final_rows, catalog_normalize, market_sizes, seed_updates, reparse_products, eval_tags, request_intake, result_reuse, web_discovery, image_ranking, accuracy, human_override,
-    failure_maps, stage_timings, cascade_delete, review_queue, eval_metrics, upsert_merge, image_insert_absent, latest_status, stream_latest_status, seeded_sample,
+    failure_maps, stage_timings, cascade_delete, review_queue, eval_metrics, upsert_merge, committed_upsert, image_insert_absent, latest_status, stream_latest_status, seeded_sample,
     ordered_distinct_urls,
 )}

@@ -8,11 +8,13 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from ..operators.merge import arg_first
+from ..operators.versions import Table
 from ..session import shared_dir, written
 
 
@@ -92,6 +94,59 @@ def admit_stream(requests: DataFrame, *, key: str, time: str, row: str, most: in
     return df.groupBy("k").applyInPandasWithState(run, f"{row} long, admitted boolean", "times array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+class TtlCache(StatefulProcessor):
+    """The newest entry of a key as state, for as long as it is fresh.
+
+    Rows of a key come in order of time within a batch, entries before the requests of the same instant. A timer of event time drops an
+    entry once the watermark has left its life behind, so the state holds keys with a fresh entry only.
+    """
+
+    def __init__(self, life_us: int, row: str):
+        self.life_us, self.row = life_us, row
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.entry = handle, handle.getValueState("entry", "t long, r long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        held = self.entry.get() if self.entry.exists() else None
+        out = []
+        for t, asks, r in pd.concat(list(rows)).sort_values(["t", "asks", "r"])[["t", "asks", "r"]].itertuples(index=False):
+            if asks:
+                out.append((r, held[1] if held and held[0] >= t - self.life_us else None))
+            elif held is None or (t, r) >= tuple(held):
+                held = (int(t), int(r))
+        if held:
+            for old in self.handle.listTimers():
+                self.handle.deleteTimer(old)
+            self.entry.update(tuple(held))
+            self.handle.registerTimer((held[0] + self.life_us) // 1000 + 1)
+        yield pd.DataFrame(out, columns=[self.row, "cached"]).astype({self.row: "int64", "cached": "Int64"})
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.entry.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def ttl_stream(rows: DataFrame, *, key: str, time: str, row: str, asks: Column, days: int) -> DataFrame:
+    """row and cached of each request (rows where asks holds) as relational.ttl_lookup gives them, of a stream with requests and entries.
+
+    rows has a watermark on its time column, and its batches come in order of time; what a key has in one batch meets in one task. The state
+    store must be RocksDB's.
+    """
+    seconds = F.unix_micros(F.col(time).cast("timestamp"))
+    df = rows.select(F.col(key).alias("k"), F.col(time), seconds.alias("t"), asks.cast("int").alias("asks"), F.col(row).cast("long").alias("r"))
+    return df.groupBy("k").transformWithStateInPandas(TtlCache(days * 86_400_000_000, row), f"{row} long, cached long", "Append", "EventTime")
+
+
+def commit_stream(stream: DataFrame, table: Table, place: str) -> None:
+    """A stream, run to its end, into a committed table: a version a batch, and each batch once, whatever is repeated after a failure."""
+    query = stream.writeStream.foreachBatch(lambda batch, number: table.commit(batch, f"batch {number}") and None).option("checkpointLocation", place).trigger(availableNow=True).start()
+    query.awaitTermination()
+
+
 def append_absent(batch: DataFrame, path: str, keys: list[str], order: list[str]) -> None:
     """One batch of a stream into a growing Parquet table: rows whose key it has not yet, once each."""
     spark = batch.sparkSession
@@ -115,6 +170,26 @@ def deduplicate_within(events: DataFrame, keys: list[str], time: str, delay: str
     return events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
 
 
+#: The state store that processors with state variables need.
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def stream_ttl(spark: SparkSession, folder: str, files: str, days: int) -> DataFrame:
+    """Purchases with the newest view of their user within days, by a streaming query over the events in folder; its result is a Parquet table."""
+    events = spark.readStream.schema(spark.read.parquet(f"{folder}/{files}").schema).option("pathGlobFilter", files).parquet(folder)
+    events = events.where("event_type IN ('purchase', 'view')").withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", "0 seconds")
+    out = ttl_stream(events, key="user_id", time="at", row="event_id", asks=F.col("event_type") == "purchase", days=days)
+    place = f"{shared_dir(spark)}/ttl-{uuid.uuid4().hex}"
+    name, before = "spark.sql.streaming.stateStore.providerClass", spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set(name, ROCKS)
+    try:
+        query = out.writeStream.format("parquet").option("path", f"{place}-rows").option("checkpointLocation", place).trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.set(name, before)
+    return spark.read.schema(out.schema).parquet(f"{place}-rows")
+
+
 def stream_latest(spark: SparkSession, folder: str, files: str) -> DataFrame:
     """Latest status per user by a streaming query over the files in folder, run to its end; its result is a Parquet table."""
     schema = spark.read.parquet(f"{folder}/{files}").schema

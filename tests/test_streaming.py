@@ -42,3 +42,29 @@ def test_growing_index(spark, tmp_path):
     query.awaitTermination()
     got = spark.read.parquet(f"{tmp_path}/index").select("product_id", "image_hash").collect()
     assert sorted(map(tuple, got)) == sorted({(r[1], r[2]) for r in rows})
+
+
+def test_streamed_ttl_equals_the_lookup_and_lets_go(spark, tmp_path):
+    from attestra.operators import relational
+
+    rng = random.Random(7)
+    days = sorted(rng.randrange(0, 60 * 24) for _ in range(300))  # hours
+    rows = [(i, rng.randrange(8), rng.random() < 0.5, h) for i, h in enumerate(days)]
+    schema = "id long, k long, asks boolean, h long"
+    for i in range(4):
+        part = spark.createDataFrame(rows[i * 75 : i * 75 + 75], schema).selectExpr("id", "k", "asks", "timestamp_seconds(1700000000 + h * 3600) AS at")
+        part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    whole = spark.read.parquet(f"{tmp_path}/in")
+    want = relational.ttl_lookup(whole.where("asks"), whole.where("NOT asks"), key="k", time="at", row="id", days=7)
+    stream = spark.readStream.schema(whole.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in").withWatermark("at", "0 seconds")
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, state.ROCKS)
+    try:
+        out = state.ttl_stream(stream, key="k", time="at", row="id", asks=F.col("asks"), days=7)
+        query = out.writeStream.format("parquet").option("path", f"{tmp_path}/rows").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.set(name, before)
+    got = spark.read.schema(out.schema).parquet(f"{tmp_path}/rows")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
