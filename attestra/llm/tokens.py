@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..session import ship_package
 from . import bpe
 from .common import texts
 
@@ -28,6 +29,7 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
 
 def encode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids (array<int>)."""
+    ship_package(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = bpe.load(path)
@@ -45,6 +47,7 @@ def encode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str
 
 def decode(encoded: DataFrame, path: str, *, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """doc_id, text: special tokens are kept; null ids give an empty text."""
+    ship_package(encoded.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = bpe.load(path)
@@ -57,6 +60,7 @@ def decode(encoded: DataFrame, path: str, *, id_col: str = "doc_id", ids_col: st
 
 def round_trip(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode, decode and digest in one pass, so that neither ids nor texts leave the worker: doc_id, n_tokens, ids_sha256, decoded_sha256."""
+    ship_package(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = bpe.load(path)

@@ -24,6 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship_package
 from .common import materialize
 
 MEMBERS = "archive long, position long, member binary"
@@ -93,6 +94,7 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes]:
 
 def write_records(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", revisit_from: int = 0, segment: int = SEGMENT) -> DataFrame:
     """A table of MEMBERS: one response or revisit record per page, long ones followed by their continuations."""
+    ship_package(pages.sparkSession)
     df = pages.select(pages[id_col].cast("long").alias("page_id"), F.coalesce(pages[url_col], F.lit("")).alias("url"), F.coalesce(pages[payload_col].cast("binary"), F.lit(b"")).alias("payload"))
     df = df.withColumns({"digest": F.sha1("payload"), "size": F.octet_length("payload").cast("long")})
     alike = df.where(F.col("size") >= revisit_from).groupBy("digest", "size").agg(F.max("page_id").alias("winner"), F.count(F.lit(1)).alias("n"))
@@ -130,6 +132,7 @@ def write_records(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "
 
 def read_files(files: DataFrame) -> DataFrame:
     """MEMBERS of .warc.gz files as read by format("binaryFile"): the gzip members are told apart by inflating."""
+    ship_package(files.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -176,6 +179,7 @@ def reassemble(parts: list[tuple[int, bytes]], with_payload: bool = True) -> tup
 
 def read_records(members: DataFrame, *, with_payload: bool = True) -> DataFrame:
     """RECORDS of a table of MEMBERS."""
+    ship_package(members.sparkSession)
     kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
     names = [c.strip().split(" ")[0] for c in RECORDS.split(",")]
 
