@@ -168,6 +168,13 @@ ORACLES = RESOLUTION | {
     "stage_timings": "WITH c AS (SELECT user_id, event_type, max(event_id) AS o, arg_max(value, event_id) AS v FROM events GROUP BY ALL) SELECT user_id AS query_id, string_agg(event_type || '=' || round(v * 100)::BIGINT, ';' ORDER BY o) AS timings FROM c GROUP BY 1",
     "cascade_delete": "SELECT p_partkey AS product_id, 1::BIGINT AS n, (SELECT nullif(count(*), 0) FROM lineitem WHERE l_partkey = p_partkey) AS n_images FROM part WHERE p_size <= 40",
 
+    "catalog_lookups": f"""WITH {sql('signals_raw')}, {sql('listings_raw')}, k AS (SELECT DISTINCT {normal("regexp_replace(part, '\\([^)]*\\)', '', 'g')")} AS style_code FROM (SELECT unnest(string_split(style_id, '/')) AS part FROM listings_raw)),
+        c AS (SELECT query_id, style_code, min(CASE kind WHEN 'page_sku' THEN 0 WHEN 'web' THEN 1 ELSE 2 END) AS priority, min(ord) AS ord FROM signals_raw GROUP BY ALL)
+        SELECT query_id, style_code, row_number() OVER (PARTITION BY query_id ORDER BY priority, ord) AS rank FROM c WHERE style_code NOT IN (SELECT style_code FROM k) QUALIFY rank <= 2""",
+    "distinct_images": "SELECT source AS query_id, sha256(text) AS sha256, row_number() OVER (PARTITION BY source ORDER BY min(doc_id)) AS rank FROM documents WHERE lang <> 'de' GROUP BY source, sha256(text) QUALIFY rank <= 6",
+    "not_sneakers": f"WITH {sql('requests_raw')} SELECT query_id, 'unresolved' AS status, 0.0::DOUBLE AS confidence, 'NOT_A_SNEAKER' AS failures, true AS review_required FROM requests_raw WHERE seen AND query_id % 9 = 4",
+    "winner_updates": f"WITH {sql('outcomes_raw')} SELECT {normal('got')} AS style_code, expected AS name, '' AS brand, '' AS model, '' AS colorway, product_id IS NOT NULL AS authoritative, query_id AS ord FROM outcomes_raw WHERE status IN ('high', 'medium') AND got IS NOT NULL",
+    "review_items": f"WITH {sql('outcomes_raw')} SELECT query_id, status, confidence, ms AS created_at, expected AS title, coalesce(nullif(got, ''), string_split(ranked, ',')[2]) AS top_candidate FROM outcomes_raw WHERE review_required AND NOT reviewed ORDER BY ms DESC, query_id LIMIT 50",
     "rate_limit": """WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
         a AS (SELECT DISTINCT user_id, 0::BIGINT AS i, []::BIGINT[] AS held, NULL::BIGINT AS event_id, NULL::BOOLEAN AS admitted FROM events
             UNION ALL

@@ -345,6 +345,37 @@ def image_ranking(spark, sf_dir):
     return r.select("query_id", "ord", F.col("rank").cast("long").alias("rank"))
 
 
+def catalog_lookups(spark, sf_dir):
+    """The codes of each request to ask the catalogue for first: those of pages, then of the web, that no listing has yet."""
+    s = derived.frame(spark, sf_dir, "signals_raw")
+    first = F.min(F.when(F.col("kind") == "page_sku", 0).when(F.col("kind") == "web", 1).otherwise(2)).alias("priority")
+    known = relational.segments(derived.frame(spark, sf_dir, "listings_raw"), "product_id", "style_id").groupBy("style_code").agg(F.min("product_id").alias("product_id"))
+    return records.lookups(s.groupBy("query_id", "style_code").agg(first, F.min("ord").alias("ord")).join(known, "style_code", "left"), 2).withColumn("rank", F.col("rank").cast("long"))
+
+
+def distinct_images(spark, sf_dir):
+    """The first six different texts of each source, as images that can be decoded but for those in German."""
+    return records.distinct_images(table(spark, sf_dir, "documents").select(F.col("source").alias("query_id"), F.col("doc_id").alias("ord"), F.sha2("text", 256).alias("sha256"), (F.col("lang") != "de").alias("decodable")))
+
+
+def not_sneakers(spark, sf_dir):
+    """Final rows of requests whose photos show no sneaker."""
+    return records.not_sneakers(resolution.requests(spark, sf_dir).withColumn("v_is_sneaker", F.when(F.col("seen"), F.col("query_id") % 9 != 4)))[1]
+
+
+def winner_updates(spark, sf_dir):
+    """Updates of the product table from the results of all requests."""
+    o = derived.frame(spark, sf_dir, "outcomes_raw")
+    return records.winners(o.select("query_id", "status", F.col("got").alias("style_code"), F.col("expected").alias("product_name"), F.lit(None).cast("string").alias("brand"), F.lit("").alias("model"), F.lit("").alias("colorway"), "product_id"))
+
+
+def review_items(spark, sf_dir):
+    """The newest results that wait for a review, with the candidate shown first; of the ranked ones every other is rejected."""
+    o = derived.frame(spark, sf_dir, "outcomes_raw")
+    ranked = F.transform(F.split("ranked", ","), lambda x, i: F.struct(x.alias("style_code"), (i % 2 == 0).alias("rejected")))
+    return records.queue_items(o.select("query_id", "status", "confidence", F.col("ms").alias("created_at"), F.lit("").alias("title"), F.col("expected").alias("product_name"), F.col("got").alias("style_code"), ranked.alias("candidates"), "review_required", "reviewed"))
+
+
 def accuracy(spark, sf_dir):
     """Figures of an evaluation: top 1, top 3, confident, exact and mapped among these, false positives, latency."""
     o = derived.frame(spark, sf_dir, "outcomes_raw")
@@ -447,7 +478,7 @@ QUERIES = {f.__name__: f for f in (
     knn_topk, knn_index, knn_resolve, similarity_to_group, url_normalize, url_domain_counts, page_fields, page_codes, page_tag_text, content_dedupe, cache_key, token_scan, code_detect,
     title_attributes, title_parse, search_terms, model_pairs, colour_tokens, colour_similarity, json_identifiers, evidence_merge, evidence_arg_max, web_agreement_trust, multi_source_keys, latest_n_per_key,
     anti_missing, semi_held_out, lookup_fill, segment_join, choose_listing, market_min_max, ttl_cache_lookup, ttl_cache_stream, sliding_rate, rate_limit, daily_budget, rank_and_gap,
-    observations, evidence_pool, catalog_search, catalog_listings, score_candidates, contradictions, verify_candidates, resolve_queries, final_rows, catalog_normalize, market_sizes, seed_updates, reparse_products, eval_tags, request_intake, result_reuse, web_discovery, image_ranking, accuracy, human_override,
+    observations, evidence_pool, catalog_search, catalog_listings, score_candidates, contradictions, verify_candidates, resolve_queries, final_rows, catalog_normalize, market_sizes, seed_updates, reparse_products, eval_tags, request_intake, result_reuse, web_discovery, image_ranking, catalog_lookups, distinct_images, not_sneakers, winner_updates, review_items, accuracy, human_override,
     failure_maps, stage_timings, cascade_delete, review_queue, eval_metrics, upsert_merge, committed_upsert, image_insert_absent, latest_status, stream_latest_status, seeded_sample,
     ordered_distinct_urls,
 )}
