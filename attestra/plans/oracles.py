@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..functions import codes
-from ..operators import records
+from ..operators import catalog, records
 from . import texts_sql as t
 from .derived import MARKET_JSON, PRODUCT_JSON, VARIANT_JSON, sql
 from .resolution_sql import ORACLES as RESOLUTION
@@ -175,6 +175,13 @@ ORACLES = RESOLUTION | {
     "not_sneakers": f"WITH {sql('requests_raw')} SELECT query_id, 'unresolved' AS status, 0.0::DOUBLE AS confidence, 'NOT_A_SNEAKER' AS failures, true AS review_required FROM requests_raw WHERE seen AND query_id % 9 = 4",
     "winner_updates": f"WITH {sql('outcomes_raw')} SELECT {normal('got')} AS style_code, expected AS name, '' AS brand, '' AS model, '' AS colorway, product_id IS NOT NULL AS authoritative, query_id AS ord FROM outcomes_raw WHERE status IN ('high', 'medium') AND got IS NOT NULL",
     "review_items": f"WITH {sql('outcomes_raw')} SELECT query_id, status, confidence, ms AS created_at, expected AS title, coalesce(nullif(got, ''), string_split(ranked, ',')[2]) AS top_candidate FROM outcomes_raw WHERE review_required AND NOT reviewed ORDER BY ms DESC, query_id LIMIT 50",
+    "json_members": f"""WITH raw AS (SELECT p_partkey AS id, {PRODUCT_JSON} AS json FROM part UNION ALL SELECT -event_id - 1, props FROM events)
+        SELECT r.id, replace(t.fullkey, '"', '') AS path, t.key AS key, trim(t.atom::VARCHAR, '"') AS value FROM (SELECT * FROM raw WHERE json_valid(json)) r, json_tree(r.json) t WHERE t.type NOT IN ('OBJECT', 'ARRAY', 'NULL') AND t.key IS NOT NULL""",
+    "seed_search": f"""WITH {sql('listings_raw')}, words_of AS (SELECT product_id, len(ws) AS size, unnest(ws) AS w FROM (SELECT product_id, list_distinct(list_filter(string_split_regex(lower(title || ' ' || colorway), '[^a-z0-9]+'), lambda x: x <> '')) AS ws FROM listings_raw)),
+        impacts AS (SELECT w, round(1000 * ln(1 + (SELECT count(DISTINCT product_id) FROM words_of)::DOUBLE / count(*)))::BIGINT AS impact FROM words_of GROUP BY w),
+        asked AS (SELECT term, unnest(list_distinct(list_filter(string_split_regex(lower(term), '[^a-z0-9]+'), lambda x: x <> ''))) AS w FROM (SELECT unnest([{t.names(catalog.SEED_QUERIES)}]) AS term)),
+        matched AS (SELECT term, product_id, size, sum(impact)::BIGINT AS score FROM asked JOIN impacts USING (w) JOIN words_of USING (w) GROUP BY ALL)
+        SELECT term, product_id, score, row_number() OVER (PARTITION BY term ORDER BY score DESC, size, product_id) AS rank FROM matched QUALIFY rank <= 20""",
     "rate_limit": """WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
         a AS (SELECT DISTINCT user_id, 0::BIGINT AS i, []::BIGINT[] AS held, NULL::BIGINT AS event_id, NULL::BOOLEAN AS admitted FROM events
             UNION ALL

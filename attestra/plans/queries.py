@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import codes, models, search, text, urls
-from ..operators import catalog, knn, merge, observe, records, relational, scoring, versions
+from ..functions import codes, json_tree, models, search, text, urls
+from ..operators import catalog, knn, merge, observe, records, relational, scoring, text_search, versions
 from ..session import shared_dir, ship_package, written
 from ..sources import pages as page_source
 from ..streaming import state
@@ -140,6 +140,19 @@ def json_identifiers(spark, sf_dir):
     return relational.json_pairs(e, "event_id", "props")
 
 
+def json_members(spark, sf_dir):
+    """All scalars in the raw JSON of every part and in the properties of every event, with their paths."""
+    raw = table(spark, sf_dir, "part").selectExpr("p_partkey AS id", f"{derived.PRODUCT_JSON} AS json").union(table(spark, sf_dir, "events").selectExpr("-event_id - 1", "props"))
+    return json_tree.members(raw, "id", "json").where("kind = 'scalar' AND value IS NOT NULL").select("id", "path", "key", "value")
+
+
+def seed_search(spark, sf_dir):
+    """The listings that the terms which a catalogue is first filled with bring."""
+    listed = derived.frame(spark, sf_dir, "listings_raw").select("product_id", F.concat_ws(" ", "title", "colorway").alias("text"))
+    asks = spark.createDataFrame([(t, t) for t in catalog.SEED_QUERIES], "term string, text string")
+    return text_search.Index(listed, k=20).search(asks).select("term", "product_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
 def evidence_merge(spark, sf_dir):
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("query_id"), F.lit("all").alias("style_code"), F.col("event_type").alias("kind"), F.lit("").alias("detail"), F.col("value").alias("weight"), F.col("event_id").alias("ord"))
     return merge.merge_evidence(e).select("query_id", "n_evidence", "best_weight", F.col("ord").alias("first_ord"), "kinds")
@@ -476,7 +489,7 @@ def ordered_distinct_urls(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     knn_topk, knn_index, knn_resolve, similarity_to_group, url_normalize, url_domain_counts, page_fields, page_codes, page_tag_text, content_dedupe, cache_key, token_scan, code_detect,
-    title_attributes, title_parse, search_terms, model_pairs, colour_tokens, colour_similarity, json_identifiers, evidence_merge, evidence_arg_max, web_agreement_trust, multi_source_keys, latest_n_per_key,
+    title_attributes, title_parse, search_terms, model_pairs, colour_tokens, colour_similarity, json_identifiers, json_members, seed_search, evidence_merge, evidence_arg_max, web_agreement_trust, multi_source_keys, latest_n_per_key,
     anti_missing, semi_held_out, lookup_fill, segment_join, choose_listing, market_min_max, ttl_cache_lookup, ttl_cache_stream, sliding_rate, rate_limit, daily_budget, rank_and_gap,
     observations, evidence_pool, catalog_search, catalog_listings, score_candidates, contradictions, verify_candidates, resolve_queries, final_rows, catalog_normalize, market_sizes, seed_updates, reparse_products, eval_tags, request_intake, result_reuse, web_discovery, image_ranking, catalog_lookups, distinct_images, not_sneakers, winner_updates, review_items, accuracy, human_override,
     failure_maps, stage_timings, cascade_delete, review_queue, eval_metrics, upsert_merge, committed_upsert, image_insert_absent, latest_status, stream_latest_status, seeded_sample,
