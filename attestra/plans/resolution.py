@@ -57,7 +57,8 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scored(spark: SparkSession, sf_dir: str, listed: DataFrame | None = None) -> DataFrame:
     """Scored candidates of all requests. Titles are parsed once, in written tables of listings and observations."""
     listed = listings(spark, sf_dir) if listed is None else listed
-    own = catalog.overlay(candidates(spark, sf_dir), listed)
+    # The pool is written, so that no plan holds both its search and the scores.
+    own = catalog.overlay(written(candidates(spark, sf_dir), "pool"), listed)
     observed = written(observe.observe(requests(spark, sf_dir)), "observations")
     return scoring.score(scoring.pair(own, observed, web(spark, sf_dir)))
 
