@@ -133,13 +133,17 @@ RELATIONS: dict[str, tuple[str, str, int, dict[str, str]]] = {
 }
 
 
-def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    table, key, copies, columns = RELATIONS[name]
-    rows = spark.read.parquet(f"{sf_dir}/{table}.parquet").selectExpr(f"{key} AS n", f"explode(sequence(0, {copies - 1})) AS k")
-    out = rows.selectExpr(*[f"{e} AS {c}" for c, e in columns.items()])
+def shape(rows: DataFrame, name: str) -> DataFrame:
+    """The relation that rows of its table give, in a batch or a stream."""
+    _, key, copies, columns = RELATIONS[name]
+    out = rows.selectExpr(f"{key} AS n", f"explode(sequence(0, {copies - 1})) AS k").selectExpr(*[f"{e} AS {c}" for c, e in columns.items()])
     return out.where("there").drop("there") if "there" in columns else out
 
 
+def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return shape(spark.read.parquet(f"{sf_dir}/{RELATIONS[name][0]}.parquet"), name)
+
+
 def sql(name: str) -> str:
     """name AS (...) for a WITH clause."""
     table, key, copies, columns = RELATIONS[name]

@@ -291,6 +291,17 @@ def resolve_queries(spark, sf_dir):
     return resolution.resolved(judged, scoring.confirm(resolution.leaders(judged), listed), spark, sf_dir)
 
 
+def resolve_stream(spark, sf_dir):
+    """The same rows by a streaming query: requests arrive as files, each batch is resolved and committed once."""
+    of = lambda name: derived.frame(spark, sf_dir, name)
+    resolver = resolution.Resolver(of("listings_raw"), of("signals_raw"), of("verdicts_raw"))
+    place = f"{shared_dir(spark)}/resolve-{uuid.uuid4().hex}"
+    results = versions.Table(spark, f"{place}-rows", ["query_id"], [])
+    arriving = spark.readStream.schema(table(spark, sf_dir, "customer").schema).option("pathGlobFilter", "customer.parquet").parquet(sf_dir)
+    resolution.resolve_stream(derived.shape(arriving, "requests_raw"), resolver, results, place)
+    return results.read()
+
+
 def final_rows(spark, sf_dir):
     """Final status, product, catalogue match and market of every request; a listing's market is that of the part it came from."""
     listed = resolution.listings(spark, sf_dir)
@@ -491,7 +502,7 @@ QUERIES = {f.__name__: f for f in (
     knn_topk, knn_index, knn_resolve, similarity_to_group, url_normalize, url_domain_counts, page_fields, page_codes, page_tag_text, content_dedupe, cache_key, token_scan, code_detect,
     title_attributes, title_parse, search_terms, model_pairs, colour_tokens, colour_similarity, json_identifiers, json_members, seed_search, evidence_merge, evidence_arg_max, web_agreement_trust, multi_source_keys, latest_n_per_key,
     anti_missing, semi_held_out, lookup_fill, segment_join, choose_listing, market_min_max, ttl_cache_lookup, ttl_cache_stream, sliding_rate, rate_limit, daily_budget, rank_and_gap,
-    observations, evidence_pool, catalog_search, catalog_listings, score_candidates, contradictions, verify_candidates, resolve_queries, final_rows, catalog_normalize, market_sizes, seed_updates, reparse_products, eval_tags, request_intake, result_reuse, web_discovery, image_ranking, catalog_lookups, distinct_images, not_sneakers, winner_updates, review_items, accuracy, human_override,
+    observations, evidence_pool, catalog_search, catalog_listings, score_candidates, contradictions, verify_candidates, resolve_queries, resolve_stream, final_rows, catalog_normalize, market_sizes, seed_updates, reparse_products, eval_tags, request_intake, result_reuse, web_discovery, image_ranking, catalog_lookups, distinct_images, not_sneakers, winner_updates, review_items, accuracy, human_override,
     failure_maps, stage_timings, cascade_delete, review_queue, eval_metrics, upsert_merge, committed_upsert, image_insert_absent, latest_status, stream_latest_status, seeded_sample,
     ordered_distinct_urls,
 )}

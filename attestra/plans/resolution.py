@@ -6,41 +6,50 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import catalog, observe, scoring, text_search
+from ..operators.versions import Table
 from ..session import ship_package, written
+from ..streaming.state import commit_stream
 from . import derived
 
 
-def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = derived.frame(spark, sf_dir, "requests_raw")
+def shaped(raw: DataFrame) -> DataFrame:
+    """Requests with their lists of codes."""
     listed = lambda c: F.filter(F.split(c, ","), lambda x: x != "")
     return raw.withColumns({"labeled_codes": listed("labeled"), "v_guesses": listed("guesses")}).drop("labeled", "guesses")
 
 
-def web(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = derived.frame(spark, sf_dir, "signals_raw").where("kind = 'web'")
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shaped(derived.frame(spark, sf_dir, "requests_raw"))
+
+
+def web(signals: DataFrame) -> DataFrame:
+    w = signals.where("kind = 'web'")
     return w.select("query_id", "style_code", "display", F.array("detail").alias("domains"), F.col("trust").cast("double").alias("trust"), F.col("agreement").cast("long").alias("agreement"), F.col("ord").alias("first_ord"))
 
 
-def asks(spark: SparkSession, sf_dir: str) -> DataFrame:
+def asks(asked: DataFrame) -> DataFrame:
     """query_id, ask, text: what the catalogue is asked for, the title and what photos show."""
-    asked, filled = requests(spark, sf_dir), lambda *cs: F.concat_ws(" ", *cs)
+    filled = lambda *cs: F.concat_ws(" ", *cs)
     shown = F.when(F.col("seen") & (observe.text("v_brand") != "") & (observe.text("v_model") != ""), filled("v_brand", "v_model", observe.filled(observe.text("v_official"), observe.text("v_colorway"))))
     return asked.select("query_id", F.posexplode(F.array(F.col("title"), shown)).alias("ask", "text")).where("text <> ''")
 
 
+def index(raw: DataFrame) -> text_search.Index:
+    """The catalogue's text index, by title and colourway."""
+    return text_search.Index(raw.select("product_id", F.concat_ws(" ", "title", "colorway").alias("text")))
+
+
 def catalog_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """query_id, ask, product_id, score, rank: the catalogue's ten best listings for every text asked, by title and colourway."""
-    listed = derived.frame(spark, sf_dir, "listings_raw").select("product_id", F.concat_ws(" ", "title", "colorway").alias("text"))
-    return text_search.Index(listed).search(asks(spark, sf_dir))
+    """query_id, ask, product_id, score, rank: the catalogue's ten best listings for every text asked."""
+    return index(derived.frame(spark, sf_dir, "listings_raw")).search(asks(requests(spark, sf_dir)))
 
 
-def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pool of all sources of evidence."""
-    signals, asked = derived.frame(spark, sf_dir, "signals_raw"), requests(spark, sf_dir)
+def pool(asked: DataFrame, signals: DataFrame, hits: DataFrame, raw: DataFrame) -> DataFrame:
+    """The candidates of all sources of evidence; hits are those of the catalogue raw."""
     pages = signals.where("kind = 'page_sku'").select("query_id", F.col("style_code").alias("code"), "display", F.col("detail").alias("source"), F.col("weight").alias("confidence"), "ord")
     near = signals.where("kind = 'embedding'").select("query_id", "style_code", "display", "similarity", "ord")
-    parts = [observe.evidence_of_pages(pages), observe.evidence_of_photos(asked), observe.evidence_of_neighbours(near, 0.7), observe.evidence_of_web(web(spark, sf_dir))]
-    found = catalog_hits(spark, sf_dir).join(derived.frame(spark, sf_dir, "listings_raw").select("product_id", "style_id"), "product_id")
+    parts = [observe.evidence_of_pages(pages), observe.evidence_of_photos(asked), observe.evidence_of_neighbours(near, 0.7), observe.evidence_of_web(web(signals))]
+    found = hits.join(raw.select("product_id", "style_id"), "product_id")
     parts.append(observe.evidence_of_catalog(found.select("query_id", "product_id", "style_id", (F.col("ask") * 1000 + F.col("rank")).alias("ord"))))
     every = parts[0]
     for p in parts[1:]:
@@ -48,28 +57,38 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return observe.pool(every)
 
 
+def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pool of all requests."""
+    of = lambda name: derived.frame(spark, sf_dir, name)
+    return pool(requests(spark, sf_dir), of("signals_raw"), catalog_hits(spark, sf_dir), of("listings_raw"))
+
+
 def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One listing per code, written: scores and confirmations read it."""
     ship_package(spark)
     return written(catalog.listings(derived.frame(spark, sf_dir, "listings_raw")), "listings")
 
 
+def score(asked: DataFrame, signals: DataFrame, pooled: DataFrame, listed: DataFrame) -> DataFrame:
+    """Scored candidates. Titles are parsed once, in written tables of listings and observations."""
+    # The pool is written, so that no plan holds both its search and the scores.
+    own = catalog.overlay(written(pooled, "pool"), listed)
+    observed = written(observe.observe(asked), "observations")
+    return scoring.score(scoring.pair(own, observed, web(signals)))
+
+
 def scored(spark: SparkSession, sf_dir: str, listed: DataFrame | None = None) -> DataFrame:
-    """Scored candidates of all requests. Titles are parsed once, in written tables of listings and observations."""
+    """Scored candidates of all requests."""
     listed = listings(spark, sf_dir) if listed is None else listed
-    # The pool is written, so that no plan holds both its search and the scores.
-    own = catalog.overlay(written(candidates(spark, sf_dir), "pool"), listed)
-    observed = written(observe.observe(requests(spark, sf_dir)), "observations")
-    return scoring.score(scoring.pair(own, observed, web(spark, sf_dir)))
+    return score(requests(spark, sf_dir), derived.frame(spark, sf_dir, "signals_raw"), candidates(spark, sf_dir), listed)
 
 
-def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = derived.frame(spark, sf_dir, "verdicts_raw")
-    return v.select("query_id", "style_code", "verdict", F.col("confidence").cast("double").alias("confidence"), F.filter(F.array("note"), lambda n: n != "").alias("contradictions"))
+def verdicts(raw: DataFrame) -> DataFrame:
+    return raw.select("query_id", "style_code", "verdict", F.col("confidence").cast("double").alias("confidence"), F.filter(F.array("note"), lambda n: n != "").alias("contradictions"))
 
 
 def judged(spark: SparkSession, sf_dir: str, listed: DataFrame | None = None) -> DataFrame:
-    return scoring.verify(scoring.contradict(scored(spark, sf_dir, listed)), verdicts(spark, sf_dir))
+    return scoring.verify(scoring.contradict(scored(spark, sf_dir, listed)), verdicts(derived.frame(spark, sf_dir, "verdicts_raw")))
 
 
 def leaders(judged: DataFrame) -> DataFrame:
@@ -77,6 +96,42 @@ def leaders(judged: DataFrame) -> DataFrame:
     return scoring.rank(judged).where("place = 1 AND NOT rejected").select("query_id", "style_code", "o_model", "o_model_name")
 
 
-def resolved(judged: DataFrame, confirmed: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
-    queries = requests(spark, sf_dir).select("query_id", "labeled_codes").join(confirmed.select("query_id", "confirmed"), "query_id", "left")
+def decide(asked: DataFrame, judged: DataFrame, confirmed: DataFrame) -> DataFrame:
+    queries = asked.select("query_id", "labeled_codes").join(confirmed.select("query_id", "confirmed"), "query_id", "left")
     return scoring.resolve(queries.withColumn("confirmed", F.coalesce("confirmed", F.lit(False))), judged)
+
+
+def resolved(judged: DataFrame, confirmed: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decide(requests(spark, sf_dir), judged, confirmed)
+
+
+class Resolver:
+    """Resolution of batches of requests as they arrive, against a catalogue whose listings and index are made once.
+
+    listings, signals and verdicts are whole tables; a batch takes the signals and verdicts of its own requests. A batch that comes
+    again gives the same rows.
+    """
+
+    def __init__(self, listings: DataFrame, signals: DataFrame, verdicts: DataFrame):
+        ship_package(listings.sparkSession)
+        self.raw, self.signals, self.verdicts = listings, signals, verdicts
+        self.listed = written(catalog.listings(listings), "listings")
+        self.index = index(listings)
+
+    def resolve(self, raw: DataFrame) -> DataFrame:
+        """The decision on each request of a batch; null and unknown titles, and requests without any signal, are requests too."""
+        asked = shaped(raw)
+        signals = written(self.signals.join(asked.select("query_id"), "query_id", "left_semi"), "signals")
+        pooled = pool(asked, signals, self.index.search(asks(asked)), self.raw)
+        told = verdicts(self.verdicts.join(asked.select("query_id"), "query_id", "left_semi"))
+        judged = written(scoring.verify(scoring.contradict(score(asked, signals, pooled, self.listed)), told), "judged")
+        return decide(asked, judged, scoring.confirm(leaders(judged), self.listed))
+
+
+def resolve_stream(requests_raw: DataFrame, resolver: Resolver, results: Table, place: str) -> None:
+    """A stream of requests, run to its end, into a committed table of decisions by query_id.
+
+    Each batch is resolved as a whole and committed under its number, so one that is repeated after a failure counts once. A request that
+    is asked again has its latest decision.
+    """
+    commit_stream(requests_raw, results, place, resolver.resolve)

@@ -167,5 +167,6 @@ ORACLES = {
     "contradictions": f"{TO_AGAINST} SELECT query_id, style_code, array_to_string(contradictions, ',') AS contradictions, round(penalty, 4) AS penalty, rejected0 AS rejected, reason0 AS rejection_reason, score0 AS score FROM against",
     "verify_candidates": f"{TO_AGAINST}, {VERIFIED} SELECT query_id, style_code, array_to_string(contradictions, ',') AS contradictions, rejected, reason AS rejection_reason, score FROM judged",
     "resolve_queries": f"{TO_RESOLVED} SELECT * FROM resolved",
+    "resolve_stream": f"{TO_RESOLVED} SELECT * FROM resolved",
     "final_rows": f"{TO_RESOLVED}, {FINAL} SELECT * FROM final",
 }

@@ -39,8 +39,11 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir[0]
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read back: it is computed once, and its lineage ends here."""
+def written(df: DataFrame, name: str, reader: SparkSession | None = None) -> DataFrame:
+    """df as a Parquet table in the shared folder, read back: it is computed once, and its lineage ends here.
+
+    reader: the session that reads it, where that is not df's own (as for the batches of a stream).
+    """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return (reader or df.sparkSession).read.schema(df.schema).parquet(path)

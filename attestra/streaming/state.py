@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.errors import AnalysisException
@@ -141,9 +141,21 @@ def ttl_stream(rows: DataFrame, *, key: str, time: str, row: str, asks: Column,
     return df.groupBy("k").transformWithStateInPandas(TtlCache(days * 86_400_000_000, row), f"{row} long, cached long", "Append", "EventTime")
 
 
-def commit_stream(stream: DataFrame, table: Table, place: str) -> None:
-    """A stream, run to its end, into a committed table: a version a batch, and each batch once, whatever is repeated after a failure."""
-    query = stream.writeStream.foreachBatch(lambda batch, number: table.commit(batch, f"batch {number}") and None).option("checkpointLocation", place).trigger(availableNow=True).start()
+def commit_stream(stream: DataFrame, table: Table, place: str, step: Callable[[DataFrame], DataFrame] | None = None) -> None:
+    """A stream, run to its end, into a committed table: a version a batch, and each batch once, whatever is repeated after a failure.
+
+    step: what becomes of a batch before it is committed. It sees the batch as a written table of the committed table's session, so it may
+    read it often and join it with tables of that session; it is not called for a batch that has been committed.
+    """
+
+    def keep(batch: DataFrame, number: int) -> None:
+        name = f"batch {number}"
+        if step is None:
+            table.commit(batch, name)
+        elif name not in table.manifest()["batches"]:
+            table.commit(step(written(batch, "batch", table.spark)), name)
+
+    query = stream.writeStream.foreachBatch(keep).option("checkpointLocation", place).trigger(availableNow=True).start()
     query.awaitTermination()
 
 
