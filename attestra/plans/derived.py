@@ -114,6 +114,19 @@ RELATIONS: dict[str, tuple[str, str, int, dict[str, str]]] = {
         "review_required": "n % 7 IN (2, 3, 5)",
         "reviewed": "n % 9 = 2",
     }),
+    # The own database: products of codes in the catalogue and of others; a code may be told of more than once.
+    "known_raw": ("customer", "c_custkey", 1, {
+        "style_code": f"CASE WHEN n % 2 = 0 THEN concat('ZZ', {digits('n')}, '001') ELSE {plain('n')} END",
+        "name": f"CASE WHEN n % 7 = 3 THEN '' ELSE {title('n * 5 + 2')} END",
+        "brand": pick("n", ["Nike", "", "adidas", "Jordan"]),
+        "model": pick("n", ["", "Nike Dunk Low", ""]),
+        "colorway": pick("n * 3 + 1", COLOURS),
+        "gender": pick("n", ["men", "", "women"]),
+        "size_category": pick("n", ["adult", "gs", ""]),
+        "release_date": "CASE WHEN n % 3 = 0 THEN '' ELSE '2020-02-02' END",
+        "retail_price": f"CASE WHEN n % 4 = 0 THEN NULL ELSE {number('70 + n % 80')} END",
+        "ord": "n",
+    }),
     "decisions_raw": ("customer", "c_custkey", 3, {
         "query_id": "n",
         "action": pick("n * 2 + k", ["confirm", "reject", "select", "manual_sku", "nonsense"]),
@@ -151,6 +164,15 @@ def sql(name: str) -> str:
     return f"{name} AS (SELECT * FROM ({out}){' WHERE there' if 'there' in columns else ''})"
 
 
+#: Pages as fetched from a shop: the address asked for, the one redirected to, the page with linked data; and the shop platform's JSON.
+ASKED = """CASE WHEN page_id % 19 = 4 THEN 'http://10.0.0.7/x' WHEN page_id % 19 = 9 THEN 'ftp://shop.example.com/x' ELSE concat('https://shop.example.com/', CASE WHEN page_id % 3 = 0 THEN 'products/' ELSE 'p/' END, 'item-', CAST(page_id AS STRING), '?ref=mail') END"""
+FINAL_URL = """CASE WHEN page_id % 4 = 1 THEN concat('https://shop.example.com/en/products/moved-', CAST(page_id AS STRING)) WHEN page_id % 4 = 2 THEN '' WHEN page_id % 31 = 8 THEN 'http://192.168.0.9/' ELSE asked END"""
+LINKED = """concat('{"@type": "Product", "name": "Nike Dunk Low ', CAST(page_id AS STRING), '", "brand": {"name": "NIKE"}, "description": "<b>Shoe</b>", "sku": "DD', lpad(CAST(page_id % 1500 AS STRING), 4, '0'), '-100", "image": ["/a/', CAST(page_id AS STRING), '.jpg", "/a/', CAST(page_id AS STRING),
+    '.jpg?w=2"], "offers": [{"price": "', CAST(80 + page_id % 90 AS STRING), '.5", "priceCurrency": "EUR", "availability": "https://schema.org/InStock"}]}')"""
+FETCHED_HTML = f"""CASE WHEN page_id % 23 = 6 THEN NULL WHEN page_id % 5 < 2 THEN replace(html, '</head>', concat('<script type="application/ld+json">', {LINKED}, '</script></head>')) ELSE html END"""
+PLATFORM_KEY = """concat('https://shop.example.com', CASE WHEN page_id % 2 = 0 THEN '/products/item-' ELSE '/products/moved-' END, CAST(page_id AS STRING), '.json')"""
+PLATFORM_JSON = """concat('{"product": {"title": "Air Jordan ', CAST(page_id AS STRING), '", "vendor": "Jordan", "variants": [{"sku": "FV', lpad(CAST(page_id % 1500 AS STRING), 4, '0'), '-006", "price": "99.00", "option1": "US 9"}]}}')"""
+
 #: Raw JSON of a catalogue, its variants and its market, from parts and line items.
 PRODUCT_JSON = """CASE WHEN p_partkey % 13 = 5 THEN '{broken' ELSE concat('{"', CASE WHEN p_partkey % 11 = 3 THEN 'noId' WHEN p_partkey % 2 = 0 THEN 'id' ELSE 'productId' END, '": "', CAST(p_partkey AS STRING), '", "styleId": "DD', CAST(p_partkey AS STRING), '", "title": "', p_name, '", "brand": "', p_brand,
     '", "productType": "', p_type, '", "productAttributes": {"colorway": "', p_name, '", "gender": ', CASE WHEN p_size > 25 THEN '"men"' ELSE 'null' END, ', "retailPrice": "', CASE WHEN p_partkey % 7 = 0 THEN 'n/a' ELSE concat('$1,', CAST(100 + p_partkey % 900 AS STRING), '.5') END, '"}}') END"""

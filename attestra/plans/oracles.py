@@ -5,7 +5,7 @@ from __future__ import annotations
 from ..functions import codes
 from ..operators import catalog, records
 from . import texts_sql as t
-from .derived import MARKET_JSON, PRODUCT_JSON, VARIANT_JSON, sql
+from .derived import ASKED, FETCHED_HTML, FINAL_URL, MARKET_JSON, PRODUCT_JSON, VARIANT_JSON, sql
 from .resolution_sql import ORACLES as RESOLUTION
 from .resolution_sql import family_of, normal, tier
 
@@ -132,27 +132,52 @@ def code_case(pick) -> str:
     return out + " END"
 
 
-#: Tokens are rows here, each distinct one tried once by its prefixes; the lookaround of spaced codes is a word boundary.
-DETECT = rf"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents), h AS (SELECT r, doc_id, {family_of("lower(text)")} AS hint,
+def detect(source: str) -> str:
+    """Codes of the relation source (key, k, text, told, base), of each row for itself: z.
+
+    Tokens are rows here, each distinct one tried once by its prefixes; the lookaround of spaced codes is a word boundary.
+    """
+    return rf"""d AS (SELECT row_number() OVER () AS r, key, k, base, coalesce(text, '') AS text, told FROM {source}), h AS (SELECT r, key, k, base, coalesce(told, {family_of("lower(text)")}) AS hint,
         [list_transform(regexp_extract_all(text, {t.quoted(codes.LABELLED)}, 1), lambda x: trim(x, ' .,;:')), regexp_extract_all(text, {t.quoted(codes.TOKEN)}), list_transform(regexp_extract_all(text, '(?i)\b(?:[A-Z]{{2}}\d{{4}}|\d{{6}})\s+\d{{3}}\b'), lambda x: regexp_replace(x, '\s+', '-'))] AS ts FROM d),
-    k AS (SELECT r, doc_id, hint, unnest(ts) AS tokens, unnest(range(3)) AS kind FROM h),
-    w AS (SELECT r, doc_id, hint, kind, unnest(tokens) AS token, unnest(range(len(tokens))) AS i FROM k),
+    ks AS (SELECT r, key, k, base, hint, unnest(ts) AS tokens, unnest(range(3)) AS kind FROM h),
+    w AS (SELECT r, key, k, base, hint, kind, unnest(tokens) AS token, unnest(range(len(tokens))) AS i FROM ks),
     c AS (SELECT * FROM w WHERE regexp_matches(token, '[0-9]') AND length(token) >= 6),
     u AS (SELECT DISTINCT token, hint, kind = 0 AS labelled FROM c),
-    p AS (SELECT token, hint, labelled, regexp_extract_all(token, '[A-Za-z0-9]+|[-._/ ]') AS ps FROM u),
-    n AS (SELECT token, hint, labelled, n, trim(array_to_string(ps[1:n], '')) AS prefix FROM (SELECT *, unnest(range(1, len(ps) + 1)) AS n FROM p) WHERE regexp_matches(ps[n], '[A-Za-z0-9]')),
+    ps AS (SELECT token, hint, labelled, regexp_extract_all(token, '[A-Za-z0-9]+|[-._/ ]') AS ps FROM u),
+    n AS (SELECT token, hint, labelled, n, trim(array_to_string(ps[1:n], '')) AS prefix FROM (SELECT *, unnest(range(1, len(ps) + 1)) AS n FROM ps) WHERE regexp_matches(ps[n], '[A-Za-z0-9]')),
     f AS (SELECT *, {normal('prefix')} AS norm, regexp_matches(prefix, '[-. _/]') AS separated FROM n),
     g AS (SELECT * FROM f WHERE length(norm) BETWEEN 6 AND 13 AND NOT (regexp_full_match(norm, '[0-9]+') AND (length(norm) >= 12 OR (substr(norm, 1, 2) IN ('19', '20') AND (length(norm) = 6 OR (length(norm) = 8 AND substr(norm, 5, 2) BETWEEN '01' AND '12' AND substr(norm, 7, 2) BETWEEN '01' AND '31')))))),
     e AS (SELECT token, hint, labelled, n, norm AS code, {code_case(lambda f, dash: t.quoted(f))} AS family, {code_case(lambda f, dash: shown_code('norm', dash))} AS display FROM g),
     b AS (SELECT token, hint, labelled, arg_max({{'code': code, 'family': family, 'display': display}}, n) AS x FROM e WHERE family IS NOT NULL GROUP BY ALL),
-    o AS (SELECT r, doc_id, x.code AS code, x.family AS family, x.display AS display, labelled, kind, i FROM c JOIN b ON b.token = c.token AND b.hint IS NOT DISTINCT FROM c.hint AND b.labelled = (c.kind = 0)),
+    o AS (SELECT r, key, k, base, x.code AS code, x.family AS family, x.display AS display, labelled, kind, i FROM c JOIN b ON b.token = c.token AND b.hint IS NOT DISTINCT FROM c.hint AND b.labelled = (c.kind = 0)),
     q AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY kind, i) AS seen FROM (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY r, code ORDER BY kind, i) = 1)),
-    z AS (SELECT *, CASE WHEN labelled THEN 0.9::DOUBLE ELSE 0.5::DOUBLE END AS confidence FROM q WHERE labelled OR seen <= 10)
-    SELECT doc_id, code, display, family, labelled AS labeled, confidence, row_number() OVER (PARTITION BY r ORDER BY confidence DESC, seen) AS ord FROM z"""
+    z AS (SELECT *, CASE WHEN labelled THEN least(0.95::DOUBLE, base + 0.4::DOUBLE) ELSE base END AS confidence FROM q WHERE labelled OR seen <= 10)"""
+
+
+DETECT = f"""WITH {detect('(SELECT doc_id AS key, 0 AS k, 0.5::DOUBLE AS base, text, NULL::VARCHAR AS told FROM documents)')}
+    SELECT key AS doc_id, code, display, family, labelled AS labeled, confidence, row_number() OVER (PARTITION BY r ORDER BY confidence DESC, seen) AS ord FROM z"""
+
+#: The driver's pages have no identifiers, descriptions or brands: their codes are in titles, addresses and bodies.
+SLUG = r"translate(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#;]*)', 1), '/')[-1], '-_', '  ')"
+PAGE_CODES = f"""WITH p AS (SELECT page_id, url, {INNER('title')} AS title, left({visible('html')}, 60000) AS body FROM pages), parts AS (SELECT page_id AS key, unnest([0, 1, 2]) AS k, unnest([0.6::DOUBLE, 0.5::DOUBLE, 0.45::DOUBLE]) AS base, unnest([title, {SLUG}, body]) AS text, {family_of('lower(title)')} AS told FROM p),
+    {detect('parts')},
+    best AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY confidence DESC, k, seen) AS place FROM z QUALIFY row_number() OVER (PARTITION BY key, code ORDER BY confidence DESC, k, seen) = 1)
+    SELECT key AS page_id, code, display, ['page:title', 'page:url', 'page:body'][k + 1] AS source, labelled AS labeled, confidence, row_number() OVER (PARTITION BY key ORDER BY place) AS ord FROM best"""
+
+PAGE_PRODUCTS = f"""WITH a AS (SELECT page_id, html AS page, {ASKED} AS asked, {FETCHED_HTML} AS html FROM pages), m AS (SELECT *, {FINAL_URL} AS final FROM a), s AS (SELECT *, coalesce(nullif(final, ''), asked) AS url FROM m),
+    p AS (SELECT *, CASE WHEN starts_with(asked, 'ftp') THEN 'blocked:no http(s) address' WHEN contains(asked, '//10.') OR contains(url, '//192.168.') THEN 'blocked:address is not public' WHEN html IS NULL THEN 'fetch_failed' ELSE '' END AS why FROM s),
+    k AS (SELECT *, page_id % 5 < 2 AND why = '' AS linked, why = '' AND ((page_id % 2 = 0 AND contains(asked, '/products/item')) OR contains(url, '/products/moved')) AS shop FROM p),
+    f AS (SELECT *, lpad((page_id % 1500)::VARCHAR, 4, '0') AS d FROM k)
+    SELECT page_id, url, split_part(asked, '?', 1) <> split_part(url, '?', 1) AS moved, CASE WHEN linked THEN 'Nike Dunk Low ' || page_id WHEN shop THEN 'Air Jordan ' || page_id WHEN why = '' THEN {INNER('title')} ELSE '' END AS title,
+        CASE WHEN linked THEN 'Nike' WHEN shop THEN 'Jordan' ELSE '' END AS brand, CASE WHEN linked THEN ' Shoe ' ELSE '' END AS description, CASE WHEN linked THEN 80.5::DOUBLE + page_id % 90 WHEN shop THEN 99.0::DOUBLE END AS price, CASE WHEN linked THEN 'EUR' ELSE '' END AS currency, CASE WHEN linked THEN 'InStock' ELSE '' END AS availability,
+        concat_ws(',', CASE WHEN linked THEN 'sku=DD' || d || '-100' END, CASE WHEN shop THEN 'variant_sku=FV' || d || '-006' END) AS identifiers, CASE WHEN linked THEN 'https://shop.example.com/a/' || page_id || '.jpg' ELSE '' END AS images, CASE WHEN shop THEN 'US 9' ELSE '' END AS sizes,
+        CASE WHEN why = '' THEN concat_ws(',', CASE WHEN linked THEN 'jsonld' END, CASE WHEN shop THEN 'platform_json' END, 'html') ELSE '' END AS sources, CASE WHEN why <> '' THEN why WHEN title = '' THEN 'no_metadata' ELSE '' END AS error FROM f"""
 
 TTL = """SELECT p.event_id, (SELECT v.event_id FROM events v WHERE v.event_type = 'view' AND v.user_id = p.user_id AND v.ts <= p.ts AND v.ts >= p.ts - INTERVAL 7 DAYS ORDER BY v.ts DESC, v.event_id DESC LIMIT 1) AS cached FROM events p WHERE event_type = 'purchase'"""
 ORACLES = RESOLUTION | {
     "code_detect": DETECT,
+    "page_codes": PAGE_CODES,
+    "page_products": PAGE_PRODUCTS,
     "catalog_normalize": CATALOG,
     "market_sizes": MARKET,
     "seed_updates": SEEDS,

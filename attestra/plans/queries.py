@@ -67,10 +67,19 @@ def page_fields(spark, sf_dir):
 
 
 def page_codes(spark, sf_dir):
-    """Codes of every page from its identifiers, title, address, description and body (rows only)."""
+    """Codes of every page from its identifiers, title, address, description and body."""
     return page_source.page_codes(page_source.extract_pages(table(spark, sf_dir, "pages")))
 
 
+def page_products(spark, sf_dir):
+    """Products on pages fetched from a shop: linked data, the platform's JSON by the address asked for or redirected to, the page itself."""
+    p = table(spark, sf_dir, "pages")
+    fetched = p.selectExpr("page_id", f"{derived.ASKED} AS asked", f"{derived.FETCHED_HTML} AS html").selectExpr("page_id", "asked AS url", f"{derived.FINAL_URL} AS final_url", "html")
+    out = page_source.extract_fetched(fetched, p.selectExpr(f"{derived.PLATFORM_KEY} AS product_key", f"{derived.PLATFORM_JSON} AS json"))
+    ids = F.array_join(F.transform(F.array_sort(F.map_entries("identifiers")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+    return out.select("page_id", "url", "moved", "title", "brand", "description", "price", "currency", "availability", ids.alias("identifiers"), F.array_join("images", ",").alias("images"), F.array_join("sizes", ",").alias("sizes"), F.array_join("sources", ",").alias("sources"), "error")
+
+
 def page_tag_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.length(F.regexp_replace("html", "<[^>]+>", " ")).cast("long").alias("n_text"), F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1).alias("title"))
 
@@ -258,6 +267,15 @@ def evidence_pool(spark, sf_dir):
     return p.withColumn("evidence", F.array_join(F.transform("evidence", lambda e: F.concat(e["kind"], F.lit(":"), e["detail"])), "|"))
 
 
+def own_database(spark, sf_dir):
+    """What is known of every candidate: the catalogue's listing, and where it says nothing, the own database's first row of the code."""
+    known = merge.arg_first(derived.frame(spark, sf_dir, "known_raw"), ["style_code"], ["ord"])
+    # The pool is written, so that no plan holds both its search and the titles.
+    pooled = written(resolution.candidates(spark, sf_dir), "pool").select("query_id", "style_code")
+    facts = catalog.overlay(pooled, resolution.listings(spark, sf_dir), known)
+    return facts.select("query_id", "style_code", "product_id", "name", "brand", "model", "colorway", "gender", "size_category", "release_date", "retail_price", "name_model")
+
+
 def catalog_search(spark, sf_dir):
     """The ten best listings of the whole catalogue for every request's title and photos."""
     h = resolution.catalog_hits(spark, sf_dir)
@@ -499,10 +517,10 @@ def ordered_distinct_urls(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    knn_topk, knn_index, knn_resolve, similarity_to_group, url_normalize, url_domain_counts, page_fields, page_codes, page_tag_text, content_dedupe, cache_key, token_scan, code_detect,
+    knn_topk, knn_index, knn_resolve, similarity_to_group, url_normalize, url_domain_counts, page_fields, page_codes, page_products, page_tag_text, content_dedupe, cache_key, token_scan, code_detect,
     title_attributes, title_parse, search_terms, model_pairs, colour_tokens, colour_similarity, json_identifiers, json_members, seed_search, evidence_merge, evidence_arg_max, web_agreement_trust, multi_source_keys, latest_n_per_key,
     anti_missing, semi_held_out, lookup_fill, segment_join, choose_listing, market_min_max, ttl_cache_lookup, ttl_cache_stream, sliding_rate, rate_limit, daily_budget, rank_and_gap,
-    observations, evidence_pool, catalog_search, catalog_listings, score_candidates, contradictions, verify_candidates, resolve_queries, resolve_stream, final_rows, catalog_normalize, market_sizes, seed_updates, reparse_products, eval_tags, request_intake, result_reuse, web_discovery, image_ranking, catalog_lookups, distinct_images, not_sneakers, winner_updates, review_items, accuracy, human_override,
+    observations, evidence_pool, own_database, catalog_search, catalog_listings, score_candidates, contradictions, verify_candidates, resolve_queries, resolve_stream, final_rows, catalog_normalize, market_sizes, seed_updates, reparse_products, eval_tags, request_intake, result_reuse, web_discovery, image_ranking, catalog_lookups, distinct_images, not_sneakers, winner_updates, review_items, accuracy, human_override,
     failure_maps, stage_timings, cascade_delete, review_queue, eval_metrics, upsert_merge, committed_upsert, image_insert_absent, latest_status, stream_latest_status, seeded_sample,
     ordered_distinct_urls,
 )}

@@ -157,7 +157,15 @@ TO_LISTED = f"{TO_POOL}, {COMPARED}, {LISTED}"
 TO_AGAINST = f"{TO_LISTED}, {SCORED}, {CONTRADICTED}"
 TO_RESOLVED = f"{TO_AGAINST}, {VERIFIED}, {CONFIRMED}, {RESOLVED}"
 
+TITLES_KNOWN = t.parsed("(SELECT title, brand AS hint FROM listings_raw UNION SELECT title, NULL FROM listings_raw UNION SELECT title, page_brand FROM requests_raw UNION SELECT name, NULL FROM known_raw)")
+OWN = f"""WITH {RAW}, {sql('known_raw')}, {TITLES_KNOWN}, {PLAIN}, {OBSERVED}, {POOL}, {COMPARED}, {LISTED},
+    known AS (SELECT * FROM known_raw QUALIFY row_number() OVER (PARTITION BY style_code ORDER BY ord) = 1)
+    SELECT c.query_id, c.style_code, l.product_id, {', '.join(f"coalesce(nullif(l.{a}, ''), nullif(k.{b}, ''), '') AS {b}" for a, b in [("title", "name"), *[(f, f) for f in ("brand", "model", "colorway", "gender", "size_category", "release_date")]])},
+        coalesce(l.retail_price, k.retail_price) AS retail_price, coalesce(CASE WHEN l.title <> '' THEN l.model ELSE p.model END, '') AS name_model
+    FROM pool c LEFT JOIN listed l USING (style_code) LEFT JOIN known k USING (style_code) LEFT JOIN titled p ON p.title = k.name AND p.hint IS NULL"""
+
 ORACLES = {
+    "own_database": OWN,
     "title_parse": f"WITH {sql('listings_raw')}, {t.parsed('(SELECT title, brand AS hint FROM listings_raw)')} SELECT product_id, t.brand, t.model, t.sub_model, t.gender, t.size_category, t.collab, t.colorway_text FROM listings_raw l JOIN titled t ON t.title = l.title AND t.hint = l.brand",
     "observations": f"WITH {RAW}, {TITLES}, {OBSERVED} SELECT * EXCLUDE (colorways, labeled_codes), array_to_string(colorways, '|') AS colorways, array_to_string(labeled_codes, ',') AS labeled_codes FROM obs",
     "catalog_search": f"WITH {RAW}, {SEARCH} SELECT query_id, ask, product_id, score, rank FROM hits",

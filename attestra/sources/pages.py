@@ -360,33 +360,68 @@ def parse_page(html: str | None, url: str | None = None, platform_json: str | No
     )
 
 
-def extract_pages(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", platform: DataFrame | None = None) -> DataFrame:
-    """FIELDS of every page; brand is canonical. platform: product_key, json of shop platforms, found by the page's product key.
-
-    Null html is a page without anything; a page that cannot be read is a row with an error.
-    """
-    ship_package(pages.sparkSession)
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    if platform is None:
-        rows = rows.withColumn("platform_json", F.lit(None).cast("string"))
-    else:
-        keyed = rows.withColumn("product_key", product_key(F.col("url")))
-        rows = keyed.join(platform.select("product_key", F.col("json").alias("platform_json")), "product_key", "left").drop("product_key")
+def read(rows: DataFrame, passed: str = "") -> DataFrame:
+    """FIELDS of rows (page_id, url, html, platform_json), and behind them the columns of the schema passed, which rows have as well."""
     names = [f.strip().split(" ")[0] for f in re.sub(r"<[^>]*>", "", FIELDS).split(",")]
     kinds = {"double": pa.float64(), "long": pa.int64(), "array": pa.list_(pa.string()), "map": pa.map_(pa.string(), pa.string())}
     types = [kinds.get(f.strip().split(" ")[1], pa.string()) for f in re.sub(r"<[^>]*>", "", FIELDS).split(",")]
+    more = [f.strip().split(" ")[0] for f in passed.split(",") if f]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            page_id, url, html, shop = batch.columns
+            page_id, url, html, shop, *rest = batch.columns
             out = [parse_page(h, u, j) for h, u, j in zip(html.to_pylist(), url.to_pylist(), shop.to_pylist(), strict=True)]
             columns = [pa.array([r[i] for r in out], kind) for i, kind in enumerate(types[2:])]
-            yield pa.RecordBatch.from_arrays([page_id, url, *columns], names=names)
+            yield pa.RecordBatch.from_arrays([page_id, url, *columns, *rest], names=[*names, *more])
 
-    found = rows.select("page_id", "url", "html", "platform_json").mapInArrow(run, FIELDS)
+    found = rows.select("page_id", "url", "html", "platform_json", *more).mapInArrow(run, ", ".join(filter(None, (FIELDS, passed))))
     return found.withColumn("brand", text.canonical_brand(F.col("brand")))
 
 
+def with_platform(rows: DataFrame, platform: DataFrame, key: Column, name: str) -> DataFrame:
+    """rows with the platform's JSON of a product key as a column; rows without a key are spread by themselves and meet nothing."""
+    spread = F.concat_ws(" ", F.lit("none"), F.xxhash64("page_id", "url").cast("string"))
+    keyed = rows.withColumn("product_key", F.coalesce(F.nullif(key, F.lit("")), spread))
+    return keyed.join(platform.select("product_key", F.col("json").alias(name)), "product_key", "left").drop("product_key")
+
+
+def extract_pages(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", platform: DataFrame | None = None) -> DataFrame:
+    """FIELDS of every page; brand is canonical. platform: product_key, json of shop platforms, found by the page's product key.
+
+    Null html is a page without anything; a page that cannot be read is a row with an error.
+    """
+    ship_package(pages.sparkSession)
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
+    if platform is None:
+        return read(rows.withColumn("platform_json", F.lit(None).cast("string")))
+    return read(with_platform(rows, platform, product_key(F.col("url")), "platform_json"))
+
+
+def extract_fetched(fetched: DataFrame, platform: DataFrame | None = None) -> DataFrame:
+    """FIELDS of what was fetched, with asked (the address asked for) and moved; url is the address where the page was found.
+
+    fetched: page_id, url, final_url (where redirects led; null or empty if nowhere), html (null where the fetch failed). platform: one row
+    a product_key, json. The platform's JSON is looked up by the address asked for and, where that brings none, once more by the one
+    redirected to. Addresses that must not be fetched and failed fetches are rows with an error and nothing else.
+    """
+    ship_package(fetched.sparkSession)
+    c = F.col
+    final = F.coalesce(F.nullif(c("final_url"), F.lit("")), c("url"))
+    why = F.when(blocked(c("url")) != "", blocked(c("url"))).when(blocked(final) != "", blocked(final)).when(c("html").isNull(), F.lit("fetch_failed")).otherwise(F.lit(""))
+    rows = fetched.select(c("page_id").cast("long").alias("page_id"), final.alias("url"), c("html"), c("url").alias("asked"), why.alias("why")).withColumn("html", F.when(c("why") == "", c("html")))
+    rows = rows.withColumn("moved", redirected(c("asked"), c("url")))
+    if platform is None:
+        rows = rows.withColumn("platform_json", F.lit(None).cast("string"))
+    else:
+        fine = lambda key: F.when(c("why") == "", key)
+        rows = with_platform(rows, platform, fine(product_key(c("asked"))), "first")
+        again = fine(F.when(c("first").isNull() & ~c("asked").eqNullSafe(c("url")), product_key(c("url"))))
+        rows = with_platform(rows, platform, again, "second").withColumn("platform_json", F.coalesce("first", "second"))
+    out = read(rows, "asked string, moved boolean, why string")
+    bad = c("why") != ""
+    return out.withColumns({"error": F.when(bad, c("why")).otherwise(c("error")), "sources": F.when(bad, F.array().cast("array<string>")).otherwise(c("sources"))}).drop("why")
+
+
 def product_key(url: Column) -> Column:
     """Where a shop platform has the JSON of a product page: host and handle of /products/<handle>; empty for other pages."""
     pattern = r"^(https?://[^/]+)(?:/[^?#]*)?/products/([A-Za-z0-9._%-]+)"
