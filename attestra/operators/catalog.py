@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import models
 from ..functions import text as tx
-from ..session import written
+from ..session import growing, written
 from .observe import filled, text
 from .relational import segments_of
 
@@ -73,7 +73,7 @@ def listings(catalog: DataFrame) -> DataFrame:
     plain = written(plain, "listing-parts")
     first = plain.groupBy("style_code").agg(F.min_by(F.struct("title", "model", "colorway", "colour_set", "gender", "said_size"), "ord").alias("first"), F.count(F.lit(1)).alias("n"))
     alone, many = first.where("n = 1"), first.where("n > 1")
-    both = plain.join(many, "style_code").withColumns({"first_title": c("first.title"), "first_model": c("first.model")})
+    both = growing(plain).join(many, "style_code").withColumns({"first_title": c("first.title"), "first_model": c("first.model")})
     both = models.with_model_similarity(both, "first_title", "title", "alike", names=("first_model", "model"))
     colours = F.when((c("first.colorway") != "") & (c("colorway") != ""), tx.token_similarity(c("first.colour_set"), c("colour_set")))
     genders = (c("first.gender") != "") & (c("gender") != "") & (c("first.gender") != c("gender"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..config import Settings
 from ..functions import models
 from ..functions import text as tx
+from ..session import growing
 from .observe import filled, text
 
 NEUTRAL = 0.5
@@ -37,7 +38,7 @@ def pair(candidates: DataFrame, observations: DataFrame, web: DataFrame) -> Data
     """Candidates with their observation as o_* and what the web says of their code (query_id, style_code, agreement, trust)."""
     own = observations.select("query_id", *[F.col(c).alias(f"o_{c}") for c in observations.columns if c != "query_id"])
     said = web.select("query_id", "style_code", F.col("agreement").alias("web_agreement"), F.col("trust").alias("web_trust"))
-    return candidates.join(own, "query_id").join(said, ["query_id", "style_code"], "left")
+    return candidates.join(growing(own), "query_id").join(growing(said), ["query_id", "style_code"], "left")
 
 
 def sku_component(evidence: Column, agreement: Column, trust: Column) -> Column:
@@ -164,7 +165,7 @@ def verify(df: DataFrame, verdicts: DataFrame, settings: Settings | None = None)
     uncertain caps the score below medium, same lifts it with its confidence."""
     t, c = (settings or Settings()).thresholds, F.col
     v = verdicts.select("query_id", "style_code", F.lower(F.trim("verdict")).alias("verdict"), c("confidence").alias("verdict_confidence"), c("contradictions").alias("notes"))
-    joined = df.join(v, ["query_id", "style_code"], "left")
+    joined = df.join(growing(v), ["query_id", "style_code"], "left")
     lift = F.when(c("verdict_confidence") >= 0.85, F.lit(0.10)).when(c("verdict_confidence") >= 0.7, F.lit(0.05)).otherwise(F.lit(0.0))
     changed = F.when(c("verdict") == "same", round4(F.least(F.lit(1.0), c("score") + lift))).when(c("verdict") == "uncertain", round4(F.least(c("score"), F.lit(t.medium - 0.01))))
     different = F.coalesce(c("verdict") == "different", F.lit(False))
@@ -202,7 +203,7 @@ def resolve(queries: DataFrame, candidates: DataFrame, settings: Settings | None
     df = df.withColumns({"turn": F.row_number().over(own), "next_dead": F.lead("dead").over(own), "next_score": F.lead("score").over(own), "next_verdict": F.lead("verdict").over(own)})
     top = df.where("turn = 1").select("query_id", "style_code", "score", "dead", "verdict", "verdict_confidence", "next_dead", "next_score", "next_verdict", "contradictions", "c_model", "c_colorway")
     yes = lambda cond: F.coalesce(cond, F.lit(False))
-    row = queries.select("query_id", "confirmed", "labeled_codes").join(top, "query_id", "left")
+    row = queries.select("query_id", "confirmed", "labeled_codes").join(growing(top), "query_id", "left")
     same, unsure = yes(c("verdict") == "same"), yes(c("verdict") == "uncertain")
     gone, unnamed = c("dead").isNull() | (c("dead") == 2), yes(c("dead") == 1)
     close = yes((c("next_dead") == 0) & (c("next_score") >= c("score") - t.runner_up_gap)) & ~(same & ~yes(c("next_verdict") == "same"))
@@ -237,7 +238,7 @@ def finalize(resolved: DataFrame, candidates: DataFrame, failures: DataFrame, ca
     shown = F.transform(F.array_sort(F.collect_list(F.struct("place", "style_code"))), lambda x: x["style_code"])
     lists = ranked.groupBy("query_id").agg(shown.alias("candidates"))
     own = candidates.select("query_id", "style_code", "display", "name", "brand", "model", "colorway", "gender", "size_category", "release_date", "o_brand", "o_model", "o_colorways")
-    df = resolved.join(own, ["query_id", "style_code"], "left").join(lists, "query_id", "left").join(failures, "query_id", "left").join(catalog.withColumnRenamed("confirmed", "listed"), "query_id", "left")
+    df = resolved.join(growing(own), ["query_id", "style_code"], "left").join(growing(lists), "query_id", "left").join(growing(failures), "query_id", "left").join(growing(catalog.withColumnRenamed("confirmed", "listed")), "query_id", "left")
     every = F.array_distinct(F.filter(F.concat(F.coalesce("codes", F.array().cast("array<string>")), F.array("failure")), lambda x: x != ""))
     demoted = F.array_contains(every, "CONTRADICTORY_EVIDENCE") & (c("status") == "high")
     df = df.withColumns({"failures": every, "status": F.when(demoted, F.lit("medium")).otherwise(c("status"))})
@@ -265,7 +266,7 @@ def confirm(leaders: DataFrame, listings: DataFrame) -> DataFrame:
     ambiguous, one row per code. A listing confirms unless listings of the code disagree or its model is another one (similarity
     below 0.6).
     """
-    df = models.with_model_similarity(leaders.join(listings, "style_code"), "o_model", "title", "agree", names=("o_model_name", "model"))
+    df = models.with_model_similarity(growing(leaders).join(listings, "style_code"), "o_model", "title", "agree", names=("o_model_name", "model"))
     alike = (text("o_model") == "") | F.col("agree").isNull() | (F.col("agree") >= 0.6)
     return df.select("query_id", "product_id", "title", "ambiguous", (~F.col("ambiguous") & alike).alias("confirmed"))
 
@@ -279,7 +280,7 @@ def override(resolved: DataFrame, decisions: DataFrame) -> DataFrame:
     c = F.col
     valid = decisions.where(c("action").isin("confirm", "reject") | (c("action").isin("select", "manual_sku") & (text("chosen") != "")))
     last = valid.groupBy("query_id").agg(F.max_by(F.struct("action", "chosen"), F.struct("decided_at", "ord")).alias("d")).select("query_id", "d.action", "d.chosen")
-    df = resolved.join(last, "query_id", "left")
+    df = resolved.join(growing(last), "query_id", "left")
     chosen = F.when(c("action") == "confirm", c("style_code")).otherwise(c("chosen"))
     decided, out = c("action").isNotNull(), c("action") == "reject"
     return df.select(

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import written
+from ..session import growing, written
 
 #: Signatures of a chunk of a posting list.
 CHUNK = 10_000
@@ -72,5 +72,7 @@ class Index:
         best = lambda *by: F.row_number().over(Window.partitionBy("question").orderBy(F.desc("score"), "size", *by))
         near = scored.withColumn("rank", best("least")).where(c("rank") <= self.k).drop("rank", "least")
         hits = near.join(self.first, "sid").withColumn("rank", best("product_id")).where(c("rank") <= self.k)
-        found = asked.select("set", "question").join(hits.select("question", "product_id", "score", "rank"), "question").drop("question")
-        return asks.withColumn("set", F.array_join(tokens(c("text")), " ")).join(found, "set").drop("set", "text")
+        # Hits are a row for each set and place, fewer than those of all asks; written, so that no plan holds both the search and the asks.
+        hits = written(hits.select("question", "product_id", "score", "rank"), "search-hits")
+        found = asked.select("set", "question").join(hits, "question").drop("question")
+        return growing(asks.withColumn("set", F.array_join(tokens(c("text")), " "))).join(found, "set").drop("set", "text")
