@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import codes, urls
+from ..session import growing, written
 from .merge import exact_median, insert_absent, top_n
 from .observe import filled, text
 
@@ -68,12 +69,14 @@ def discover(results: DataFrame, hint: str | None = None, per_result: int = 2) -
     named = results.select("query_id", "ord", domain.alias("domain"), F.substring(text("title"), 1, 160).alias("shown"), F.slice(found, 1, per_result).alias("found"))
     rows = named.select("query_id", "ord", "domain", c("shown").alias("title"), F.posexplode("found").alias("i", "x"))
     rows = rows.select("query_id", "domain", "title", c("x.code").alias("style_code"), c("x.display").alias("display"), c("x.labeled").alias("labeled"), (c("ord") * per_result + c("i")).alias("ord"))
+    # Written, as domains and titles both read it: codes are looked for once.
+    rows = written(rows, "discovered")
     first = rows.groupBy("query_id", "style_code", "domain").agg(F.min_by("labeled", "ord").alias("labeled"), F.min_by("display", "ord").alias("display"), F.min("ord").alias("ord"))
     value = trust_of(c("domain")) * F.when(c("labeled"), F.lit(1.0)).otherwise(F.lit(0.7))
     in_order = lambda x: F.transform(F.array_sort(F.collect_list(F.struct("ord", x))), lambda e: e[x])
     pool = first.groupBy("query_id", "style_code").agg(F.min_by("display", "ord").alias("display"), F.count(F.lit(1)).alias("agreement"), F.round(F.sum(value), 6).alias("trust"), in_order("domain").alias("domains"), F.min("ord").alias("first_ord"))
     titles = rows.where("title <> ''").groupBy("query_id", "style_code", "title").agg(F.min("ord").alias("ord")).groupBy("query_id", "style_code").agg(in_order("title").alias("titles"))
-    return pool.join(titles, ["query_id", "style_code"], "left")
+    return pool.join(growing(titles), ["query_id", "style_code"], "left")
 
 
 def lookups(candidates: DataFrame, most: int = 8) -> DataFrame:

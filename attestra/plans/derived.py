@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import spread
+
 PHRASES = [
     "Nike Dunk Low Retro", "Air Jordan 1 Retro High OG", "adidas Samba OG", "New Balance 990v6", "Nike Air Force 1 ''07 LV8", "Jordan 4 Retro", "Nike Dunk High", "Air Jordan 1 Little Kids Low",
     "Travis Scott x Air Jordan 1 Low", "ASICS Gel-Kayano 14", "Nike Dunk", "plain canvas shoe", "Yeezy Boost 350 V2", "Nike SB Dunk Low Pro", "Air Jordan 11 Retro", "Vans Old Skool",
@@ -154,7 +156,9 @@ def shape(rows: DataFrame, name: str) -> DataFrame:
 
 
 def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return shape(spark.read.parquet(f"{sf_dir}/{RELATIONS[name][0]}.parquet"), name)
+    """The relation of a name; only keys are dealt out, what is made of them is made where they are."""
+    file, key, *_ = RELATIONS[name]
+    return shape(spread(spark.read.parquet(f"{sf_dir}/{file}.parquet").select(key), key), name)
 
 
 def sql(name: str) -> str:

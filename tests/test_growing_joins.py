@@ -5,9 +5,10 @@ import re
 from pyspark.sql import functions as F
 
 from attestra.functions import models
-from attestra.operators import scoring
+from attestra.operators import records, scoring
 from attestra.operators.text_search import Index
-from attestra.plans import resolution
+from attestra.plans import derived, resolution
+from attestra.plans.queries import QUERIES
 from attestra.session import written
 
 
@@ -58,3 +59,20 @@ def test_confirmed(spark):
     decided = resolution.decide(asked, judged, judged.select("query_id", F.lit(True).alias("confirmed")))
     assert not broadcasts(decided)
     assert decided.where("status <> 'unresolved'").count() == 50
+
+
+def test_small_files_are_spread(spark, tmp_path):
+    """Rows derived from one small file are the work of as many tasks as a shuffle has, and codes of results are looked for once."""
+    spark.range(40).withColumnRenamed("id", "c_custkey").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    results = derived.frame(spark, str(tmp_path), "results_raw")
+    assert results.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert results.count() == 120
+    found = records.discover(results)
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() > 40
+
+
+def test_listings_of_codes(spark, tmp_path):
+    for table, key in (("customer", "c_custkey"), ("part", "p_partkey")):
+        spark.range(40).withColumnRenamed("id", key).write.parquet(f"{tmp_path}/{table}.parquet")
+    assert not broadcasts(QUERIES["segment_join"](spark, str(tmp_path)))
