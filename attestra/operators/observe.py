@@ -115,19 +115,62 @@ def evidence_of_catalog(hits: DataFrame, most: int = 20, first_ord: int = 4000)
     return parts.select("query_id", F.col("part.code").alias("style_code"), F.col("part.display").alias("display"), F.lit("catalog_search").alias("kind"), F.lit("catalog text search").alias("detail"), F.lit(0.2).alias("weight"), F.lit(None).cast("double").alias("similarity"), (F.col("rank") * 100 + F.col("i") + first_ord).cast("long").alias("ord"))
 
 
-def pool(evidence: DataFrame) -> DataFrame:
-    """One candidate per query and code from EVIDENCE rows of all sources: display, evidence (struct kind, detail, weight; distinct
-    by kind and detail, in order), similarity (the best) and ord (of the first row).
+#: A row of gathered() without its query.
+GATHERED = "struct<style_code: string, edges: array<struct<ord: bigint, kind: string, detail: string, weight: double>>, shown: struct<ord: bigint, display: string>, similarity: double, ord: bigint>"
+
+
+def gathered(evidence: DataFrame) -> DataFrame:
+    """One row per query and code from EVIDENCE rows: edges (struct ord, kind, detail, weight; distinct by kind and detail, in order),
+    shown (struct ord, display of the first row that has one), similarity (the best) and ord (of the first row).
 
     Two aggregates with partial sums: the first row of each (kind, detail), then one row per candidate.
     """
-    shown = F.when((text("display") != "") & (codes.normalize_code(F.col("display")) != F.col("display")), F.col("display"))
-    rows = evidence.where(text("style_code") != "")
-    edges = rows.groupBy("query_id", "style_code", "kind", "detail").agg(
-        F.min_by("weight", "ord").alias("weight"), F.min("ord").alias("ord"), F.max("similarity").alias("similarity"), F.min_by(shown, F.when(shown.isNotNull(), F.col("ord"))).alias("display")
+    shown = F.when((text("display") != "") & (codes.normalize_code(F.col("display")) != F.col("display")), F.struct("ord", "display"))
+    rows = evidence.where(text("style_code") != "").withColumn("shown", shown)
+    edges = rows.groupBy("query_id", "style_code", "kind", "detail").agg(F.min_by("weight", "ord").alias("weight"), F.min("ord").alias("ord"), F.max("similarity").alias("similarity"), F.min("shown").alias("shown"))
+    own = F.array_sort(F.collect_list(F.struct("ord", "kind", "detail", "weight")))
+    return edges.groupBy("query_id", "style_code").agg(own.alias("edges"), F.min("shown").alias("shown"), F.max("similarity").alias("similarity"), F.min("ord").alias("ord"))
+
+
+def told(edges: Column) -> Column:
+    return F.transform(edges, lambda e: F.struct(e["kind"].alias("kind"), e["detail"].alias("detail"), e["weight"].alias("weight")))
+
+
+def candidate(x: Column) -> Column:
+    """struct(style_code, display, evidence, similarity, ord) of a struct GATHERED."""
+    return F.struct(
+        x["style_code"].alias("style_code"), F.coalesce(x["shown"]["display"], x["style_code"]).alias("display"), told(x["edges"]).alias("evidence"), x["similarity"].alias("similarity"), x["ord"].alias("ord")
     )
-    own = F.transform(F.array_sort(F.collect_list(F.struct("ord", "kind", "detail", "weight"))), lambda e: F.struct(e["kind"].alias("kind"), e["detail"].alias("detail"), e["weight"].alias("weight")))
-    return edges.groupBy("query_id", "style_code").agg(
-        F.coalesce(F.min_by("display", F.when(F.col("display").isNotNull(), F.col("ord"))), F.first("style_code")).alias("display"),
-        own.alias("evidence"), F.max("similarity").alias("similarity"), F.min("ord").alias("ord"),
-    )
+
+
+def by_query(rows: DataFrame, name: str) -> DataFrame:
+    """One row per query with its rows of gathered() as an array, and as the candidates that they are by themselves: what one request has found, no more."""
+    row = F.struct("style_code", "edges", "shown", "similarity", "ord").cast(GATHERED)
+    return rows.select("query_id", row.alias("row")).groupBy("query_id").agg(F.collect_list("row").alias(name)).withColumn(f"{name}_ready", F.transform(name, candidate))
+
+
+def met(df: DataFrame, a: str, b: str) -> DataFrame:
+    """Candidates, as of pool(), of queries with the columns of two by_query(): a code that both have is one candidate with the evidence of both."""
+    here, there = F.col(f"{a}.style_code"), F.col(f"{b}.style_code")
+
+    def both(x: Column, y: Column) -> Column:
+        # least, greatest and array_min pass nulls over.
+        return candidate(
+            F.struct(
+                x["style_code"].alias("style_code"), F.array_sort(F.concat(x["edges"], y["edges"])).alias("edges"), F.array_min(F.array(x["shown"], y["shown"])).alias("shown"),
+                F.greatest(x["similarity"], y["similarity"]).alias("similarity"), F.least(x["ord"], y["ord"]).alias("ord"),
+            )
+        )
+
+    # A query may have either alone.
+    same = F.arrays_overlap(here, there)
+    alone = F.filter(f"{b}_ready", lambda y: ~F.array_contains(here, y["style_code"]))
+    own = F.transform(a, lambda x, i: F.when(F.array_contains(there, x["style_code"]), both(x, F.get(b, (F.array_position(there, x["style_code"]) - 1).cast("int")))).otherwise(F.get(f"{a}_ready", i)))
+    every = F.when(same, F.concat(own, alone)).when(here.isNull(), F.col(f"{b}_ready")).when(there.isNull(), F.col(f"{a}_ready")).otherwise(F.concat(f"{a}_ready", f"{b}_ready"))
+    return df.select("query_id", F.explode(every).alias("c")).select("query_id", "c.*")
+
+
+def pool(evidence: DataFrame) -> DataFrame:
+    """One candidate per query and code from EVIDENCE rows of all sources: display, evidence (struct kind, detail, weight; distinct
+    by kind and detail, in order), similarity (the best) and ord (of the first row)."""
+    return gathered(evidence).select("query_id", "style_code", F.coalesce("shown.display", "style_code").alias("display"), told(F.col("edges")).alias("evidence"), "similarity", "ord")

@@ -34,7 +34,8 @@ class Index:
 
     def __init__(self, products: DataFrame, *, k: int = 10, chunk: int = CHUNK):
         self.k, c = k, F.col
-        rows = products.where(c("product_id").isNotNull()).select("product_id", tokens(c("text")).alias("words")).distinct().where(F.size("words") > 0)
+        # Written, so that texts are cut once, in the tasks that products are dealt to, and not by a filter where they are read.
+        rows = written(products.where(c("product_id").isNotNull()).select("product_id", tokens(c("text")).alias("words")).distinct(), "search-rows").where(F.size("words") > 0)
         rows = rows.withColumn("sid", F.md5(F.array_join("words", " ")))
         place = F.row_number().over(Window.partitionBy("sid").orderBy("product_id"))
         self.first = written(rows.select("sid", "product_id", place.alias("place")).where(c("place") <= k).drop("place"), "search-first")

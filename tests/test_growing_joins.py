@@ -1,11 +1,12 @@
 """Relations that grow with the requests are joined by shuffle, however small Spark estimates them: none goes through the driver."""
 
+import os
 import re
 
 from pyspark.sql import functions as F
 
 from attestra.functions import models
-from attestra.operators import records, scoring
+from attestra.operators import observe, records, scoring
 from attestra.operators.text_search import Index
 from attestra.plans import derived, resolution
 from attestra.plans.queries import QUERIES
@@ -76,3 +77,38 @@ def test_listings_of_codes(spark, tmp_path):
     for table, key in (("customer", "c_custkey"), ("part", "p_partkey")):
         spark.range(40).withColumnRenamed("id", key).write.parquet(f"{tmp_path}/{table}.parquet")
     assert not broadcasts(QUERIES["segment_join"](spark, str(tmp_path)))
+
+
+EVIDENCE = "query_id long, style_code string, display string, kind string, detail string, weight double, similarity double, ord long"
+
+
+def test_evidence_that_meets_by_query_is_the_pool_of_all(spark):
+    one = [(1, "AB1", "AB1", "page_sku", "x", 0.9, None, 7), (1, "AB1", "A-B1", "page_sku", "x", 0.8, 0.7, 9), (1, "CD2", "C-D2", "web", "y", 0.5, 0.9, 9000), (2, "AB1", "AB1", "web", "y", 0.5, None, 1), (4, "", "", "web", "y", 0.5, None, 1)]
+    other = [(1, "AB1", "AB-1", "catalog_search", "c", 0.2, None, 3), (1, "CD2", "CD-2", "catalog_search", "c", 0.2, None, 4000), (1, "EF3", "EF3", "catalog_search", "c", 0.2, None, 4100), (3, "AB1", "A B1", "catalog_search", "c", 0.2, 0.4, 2)]
+    a, b = (spark.createDataFrame(r, EVIDENCE) for r in (one, other))
+    by = lambda df, name: observe.by_query(observe.gathered(df), name)
+    met = observe.met(by(a, "own").join(by(b, "listed"), "query_id", "full_outer"), "own", "listed")
+    want = observe.pool(a.unionByName(b))
+    assert met.columns == want.columns
+    assert sorted(met.collect(), key=str) == sorted(want.collect(), key=str)
+
+
+def test_the_catalogue_is_asked_once_for_equal_requests(spark, tmp_path, monkeypatch):
+    for table, key in (("customer", "c_custkey"), ("part", "p_partkey")):
+        spark.range(40).withColumnRenamed("id", key).write.parquet(f"{tmp_path}/{table}.parquet")
+    asked, search = [], Index.search
+    monkeypatch.setattr(Index, "search", lambda self, asks: asked.append(asks.count()) or search(self, asks))
+    few = resolution.requests(spark, str(tmp_path)).where("query_id IN (1, 2, 3)")
+    many = few.withColumn("query_id", F.explode(F.sequence(F.col("query_id") * 100, F.col("query_id") * 100 + 19)))
+    raw, none = derived.frame(spark, str(tmp_path), "listings_raw"), derived.frame(spark, str(tmp_path), "signals_raw").limit(0)
+    pooled = resolution.pool(many, none, resolution.index(raw), raw)
+    assert pooled.select("query_id").distinct().count() == 60
+    assert asked and asked[0] <= 6
+
+
+def test_texts_of_a_catalogue_are_cut_where_products_are_dealt(spark):
+    raw = spark.createDataFrame([("p1", "nike dunk"), ("p2", ""), ("p3", None), (None, "nike")], "product_id string, text string")
+    index = Index(raw.repartition(2, "product_id"))
+    for table in (index.first, index.tokens):
+        assert table.count() > 0
+    assert "search-rows" in str(sorted(os.listdir(spark.conf.get("spark.checkpoint.dir"))))
