@@ -162,13 +162,18 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def nickname_score(nickname: Column, name: Column) -> Column:
     """0.95 where both have the same words; 0.85 (several words) or 0.5 (one) where the nickname's are some of the name's; else null."""
-    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+"), lambda w: F.length(w) >= 2))
+    return let(name_words(nickname), lambda x: let(name_words(name), lambda y: words_score(x, y)))
 
-    def of(x: Column, y: Column) -> Column:
-        inside = (F.size(x) > 0) & (F.size(F.array_except(x, y)) == 0)
-        return F.when(inside & (F.size(x) == F.size(y)), F.lit(0.95)).when(inside & (F.size(x) > 1), F.lit(0.85)).when(inside, F.lit(0.5))
 
-    return let(words(nickname), lambda x: let(words(name), lambda y: of(x, y)))
+def name_words(text: Column) -> Column:
+    """Distinct words of two letters or more."""
+    return F.array_distinct(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), lambda w: F.length(w) >= 2))
+
+
+def words_score(x: Column, y: Column) -> Column:
+    """nickname_score of the words of a nickname and a name."""
+    inside = (F.size(x) > 0) & (F.size(F.array_except(x, y)) == 0)
+    return F.when(inside & (F.size(x) == F.size(y)), F.lit(0.95)).when(inside & (F.size(x) > 1), F.lit(0.85)).when(inside, F.lit(0.5))
 
 
 def token_similarity(x: Column, y: Column) -> Column:
@@ -184,6 +189,36 @@ def token_similarity(x: Column, y: Column) -> Column:
     return F.least(by_colour, by_name)
 
 
+#: Colour tokens by their bit: a word of bits for each 62 colours, nicknames in a word of their own.
+BITS = [[w for w in KNOWN if w not in NICKNAMES][i : i + 62] for i in range(0, len(KNOWN) - len(set(NICKNAMES)), 62)] + [NICKNAMES]
+
+
+def marks(tokens: Column) -> Column:
+    """struct(w0, w1, ..., colours, nicknames, lead) of distinct colour tokens: sets of bits, their sizes, and the leading primary. Made once for each text, so that pairs cost little."""
+    zero = F.lit(0).cast("long")
+
+    def word(names: list[str]) -> Column:
+        bit = F.create_map(*[x for b, w in enumerate(names) for x in (F.lit(w), F.lit(1 << b).cast("long"))])
+        return F.aggregate(tokens, zero, lambda a, w: a.bitwiseOR(F.coalesce(F.try_element_at(bit, w), zero)))
+
+    words = [word(names).alias(f"w{i}") for i, names in enumerate(BITS)]
+    lead = F.get(F.filter(F.split(F.array_join(F.filter(tokens, lambda w: ~w.isin(NICKNAMES)), " "), " "), lambda w: w.isin(PRIMARIES)), F.lit(0))
+    named = F.size(F.filter(tokens, lambda w: w.isin(NICKNAMES)))
+    return F.when(tokens.isNotNull(), F.struct(*words, (F.size(tokens) - named).alias("colours"), named.alias("nicknames"), lead.alias("lead")))
+
+
+def mark_similarity(x: Column, y: Column) -> Column:
+    """token_similarity of the tokens of two marks."""
+    *colours, nickname = [f"w{i}" for i in range(len(BITS))]
+
+    def alike(words: list[str], n: str) -> Column:
+        shared = sum((F.bit_count(x[w].bitwiseAND(y[w])) for w in words[1:]), F.bit_count(x[words[0]].bitwiseAND(y[words[0]])))
+        return F.when((x[n] > 0) & (y[n] > 0), F.try_divide(shared.cast("double"), x[n] + y[n] - shared))
+
+    turned = F.when(F.coalesce(x["lead"] != y["lead"], F.lit(False)), F.lit(0.7)).otherwise(F.lit(1.0))
+    return F.least(alike(colours, "colours") * turned, alike([nickname], "nicknames"))
+
+
 def colour_similarity(a: Column, b: Column) -> Column:
     """token_similarity of two texts."""
     return let(colour_tokens(a), lambda x: let(colour_tokens(b), lambda y: token_similarity(x, y)))

@@ -68,14 +68,14 @@ def listings(catalog: DataFrame) -> DataFrame:
     plain = parsed.select(
         F.explode(F.transform(segments_of(c("style_id")), lambda x: x["code"])).alias("style_code"), "product_id", "style_id", text("title").alias("title"),
         filled(c("parsed.brand"), text("brand")).alias("brand"), c("parsed.model").alias("model"), text("colorway").alias("colorway"), F.lower(text("gender")).alias("gender"),
-        c("parsed.size_category").alias("said_size"), c("parsed.colorway_text").alias("name_colours"), tx.colour_tokens(c("colorway")).alias("colour_set"), tx.colour_tokens(c("parsed.colorway_text")).alias("name_set"), text("release_date").alias("release_date"), c("retail_price").cast("double").alias("retail_price"), text("product_type").alias("product_type"), "ord",
+        c("parsed.size_category").alias("said_size"), c("parsed.colorway_text").alias("name_colours"), tx.marks(tx.colour_tokens(c("colorway"))).alias("colour_set"), tx.marks(tx.colour_tokens(c("parsed.colorway_text"))).alias("name_set"), text("release_date").alias("release_date"), c("retail_price").cast("double").alias("retail_price"), text("product_type").alias("product_type"), "ord",
     )
     plain = written(plain, "listing-parts")
     first = plain.groupBy("style_code").agg(F.min_by(F.struct("title", "model", "colorway", "colour_set", "gender", "said_size"), "ord").alias("first"), F.count(F.lit(1)).alias("n"))
     alone, many = first.where("n = 1"), first.where("n > 1")
     both = growing(plain).join(many, "style_code").withColumns({"first_title": c("first.title"), "first_model": c("first.model")})
     both = models.with_model_similarity(both, "first_title", "title", "alike", names=("first_model", "model"))
-    colours = F.when((c("first.colorway") != "") & (c("colorway") != ""), tx.token_similarity(c("first.colour_set"), c("colour_set")))
+    colours = F.when((c("first.colorway") != "") & (c("colorway") != ""), tx.mark_similarity(c("first.colour_set"), c("colour_set")))
     genders = (c("first.gender") != "") & (c("gender") != "") & (c("first.gender") != c("gender"))
     apart = (c("alike") < 0.9) | (colours < 0.9) | (c("first.said_size") != c("said_size")) | genders
     own = ["product_id", "style_id", "title", "brand", "model", "colorway", "gender", "said_size", "name_colours", "colour_set", "name_set", "release_date", "retail_price", "product_type"]
@@ -83,25 +83,29 @@ def listings(catalog: DataFrame) -> DataFrame:
     chosen = both.groupBy("style_code").agg(F.max_by(F.struct(*own), rich).alias("x"), F.coalesce(F.bool_or(apart), F.lit(False)).alias("ambiguous"), F.count(F.lit(1)).alias("n_listings"))
     single = plain.join(alone.select("style_code"), "style_code", "left_semi").select("style_code", *own, F.lit(False).alias("ambiguous"), F.lit(1).cast("long").alias("n_listings"))
     every = chosen.select("style_code", "x.*", "ambiguous", "n_listings").unionByName(single)
-    return every.withColumn("size_category", size_of(c("said_size"), c("gender"))).drop("said_size")
+    return every.withColumns({"size_category": size_of(c("said_size"), c("gender")), "family": tx.known_family(c("brand")), "name_words": tx.name_words(c("name_colours"))}).drop("said_size")
 
 
 def overlay(candidates: DataFrame, listed: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """Candidates (query_id, style_code, …) with what the catalogue says of their code, and where it says nothing, the own database;
-    name_model and name_colours are what the name says, colour_set and name_set the tokens of colourway and name.
+    name_model and name_colours are what the name says, colour_set and name_set the marks of colourway and name, family that of the
+    brand, name_words the words of name_colours.
 
     known: style_code and any of name, brand, model, colorway, gender, size_category, release_date, retail_price; it only fills gaps.
     """
     c = F.col
     facts = ["name", "brand", "model", "colorway", "gender", "size_category", "release_date"]
-    says = listed.select("style_code", "product_id", c("title").alias("name"), "brand", "model", "colorway", "gender", "size_category", "release_date", "retail_price", "product_type", c("ambiguous").alias("disagree"), c("model").alias("name_model"), "name_colours", "colour_set", "name_set")
+    says = listed.select("style_code", "product_id", c("title").alias("name"), "brand", "model", "colorway", "gender", "size_category", "release_date", "retail_price", "product_type", c("ambiguous").alias("disagree"), c("model").alias("name_model"), "name_colours", "colour_set", "name_set", "family", "name_words")
     df = candidates.join(says, "style_code", "left")
     if known is not None:
         own = models.with_titles(known.select("style_code", *[c(f).alias(f"db_{f}") for f in [*facts, "retail_price"]]), "db_name", None, "db_parsed")
+        said = c("db_parsed.colorway_text")
+        own = own.withColumns({"db_colour_set": tx.marks(tx.colour_tokens(c("db_colorway"))), "db_name_set": tx.marks(tx.colour_tokens(said)), "db_family": tx.known_family(c("db_brand")), "db_name_words": tx.name_words(said)})
         parsed = lambda f: F.when(text("name") != "", c(f"name_{f}"))
         df = df.join(own, "style_code", "left").withColumns({"name_model": F.coalesce(parsed("model"), c("db_parsed.model")), "name_colours": F.coalesce(parsed("colours"), c("db_parsed.colorway_text"))})
-        told = lambda f, other: F.when(text(f) != "", c("colour_set" if f == "colorway" else "name_set")).otherwise(tx.colour_tokens(other))
-        df = df.withColumns({"colour_set": told("colorway", c("db_colorway")), "name_set": told("name", c("db_parsed.colorway_text"))})
+        told = lambda f, other: F.when(text(f) != "", c("colour_set" if f == "colorway" else "name_set")).otherwise(other)
+        df = df.withColumns({"colour_set": told("colorway", c("db_colour_set")), "name_set": told("name", c("db_name_set"))})
+        df = df.withColumns({"family": F.when(text("brand") != "", c("family")).otherwise(c("db_family")), "name_words": F.when(text("name") != "", c("name_words")).otherwise(c("db_name_words"))})
         df = df.withColumns({**{f: filled(text(f), text(f"db_{f}")) for f in facts}, "retail_price": F.coalesce("retail_price", "db_retail_price")}).drop(*[x for x in df.columns if x.startswith("db_")])
     return df.withColumns({f: text(f) for f in [*facts, "product_type", "name_model", "name_colours"]})
 

@@ -33,7 +33,7 @@ def known(*parts: Column) -> Column:
 
 
 def observe(requests: DataFrame) -> DataFrame:
-    """query_id with brand, model and its canonical name, colorways and their tokens, gender, size_category, price, labeled_codes, tag_code, nickname, collab, colour_named,
+    """query_id with brand and its family, model and its canonical name, colorways and their marks, gender, size_category, price, labeled_codes, tag_code, nickname and its words, collab, colour_named,
     images_consistent; whether size, model and brand come from photos alone, and whether these are certain of model and brand."""
     seen = F.coalesce(F.col("seen"), F.lit(False))
     titled = text("title") != ""
@@ -48,17 +48,19 @@ def observe(requests: DataFrame) -> DataFrame:
     return df.select(
         "query_id",
         best("brand", "v_brand").alias("brand"),
+        tx.known_family(best("brand", "v_brand")).alias("family"),
         model.alias("model"),
         # A title's model is a canonical name already.
         F.when(model == said("model"), F.when(~model.isin(models.NUMBERED), model).otherwise(F.lit(""))).otherwise(F.col("v_model_name")).alias("model_name"),
         colours.alias("colorways"),
-        F.transform(colours, tx.colour_tokens).alias("colour_sets"),
+        F.transform(colours, lambda c: tx.marks(tx.colour_tokens(c))).alias("colour_sets"),
         known(said("gender"), shown("v_gender")).alias("gender"),
         known(said("size_category"), shown("v_size_category")).alias("size_category"),
         F.col("price").cast("double").alias("price"),
         F.coalesce("labeled_codes", F.array().cast("array<string>")).alias("labeled_codes"),
         codes.normalize_code(shown("v_style_code")).alias("tag_code"),
         F.lower(F.trim(shown("v_official"))).alias("nickname"),
+        tx.name_words(F.lower(F.trim(shown("v_official")))).alias("nickname_words"),
         said("collab").alias("collab"),
         (~seen | F.coalesce(F.col("v_consistent"), F.lit(True))).alias("images_consistent"),
         alone("size_category").alias("size_from_photos"),

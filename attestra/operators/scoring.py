@@ -20,6 +20,8 @@ NEUTRAL = 0.5
 FOOTWEAR = "sneaker|shoe|footwear|boot|slide|sandal|clog"
 #: Evidence that counts as a signal of its own (fixed values).
 SIGNALS = ("page_sku", "vision_tag", "web", "embedding", "vision_guess", "user")
+#: Colours of an observation, at most.
+COLOURS = 4
 COMPONENTS = ("sku", "model", "colorway", "embedding", "metadata", "agreement")
 
 
@@ -37,8 +39,11 @@ def rescale(similarity: Column, floor: float, full: float) -> Column:
 def pair(candidates: DataFrame, observations: DataFrame, web: DataFrame) -> DataFrame:
     """Candidates with their observation as o_* and what the web says of their code (query_id, style_code, agreement, trust)."""
     own = observations.select("query_id", *[F.col(c).alias(f"o_{c}") for c in observations.columns if c != "query_id"])
-    said = web.select("query_id", "style_code", F.col("agreement").alias("web_agreement"), F.col("trust").alias("web_trust"))
-    return candidates.join(growing(own), "query_id").join(growing(said), ["query_id", "style_code"], "left")
+    # What the web says of a query's codes comes along with its observation, so that candidates are dealt once.
+    said = web.groupBy("query_id").agg(F.collect_list(F.struct("style_code", F.col("agreement").alias("web_agreement"), F.col("trust").alias("web_trust"))).alias("said"))
+    both = candidates.join(growing(own.join(growing(said), "query_id", "left")), "query_id")
+    told = F.filter("said", lambda w: w["style_code"] == F.col("style_code"))
+    return both.withColumn("w", F.explode_outer(told)).select(*[F.col(c) for c in both.columns if c != "said"], "w.web_agreement", "w.web_trust")
 
 
 def sku_component(evidence: Column, agreement: Column, trust: Column) -> Column:
@@ -55,27 +60,30 @@ def sku_component(evidence: Column, agreement: Column, trust: Column) -> Column:
         .otherwise(F.lit(0.0))
     )
     scored = F.transform(evidence, lambda e, i: F.struct(value(e).alias("value"), (-i).alias("order"), kind(e).alias("why")))
-    best = tx.let(F.array_max(scored), lambda b: F.when(b["value"] > 0, F.struct(b["value"].alias("value"), b["why"].alias("why"))))
+    told = lambda v, why: F.when(v > 0, F.struct(v.alias("value"), why.alias("why")))
+    # Most candidates have one row of evidence, which needs no comparison.
+    only = F.get(evidence, F.lit(0))
+    best = F.when(F.size(evidence) == 1, told(value(only), kind(only))).otherwise(tx.let(F.array_max(scored), lambda b: told(b["value"], b["why"])))
     return F.coalesce(best, F.struct(F.lit(0.0).alias("value"), F.lit("none").alias("why")))
 
 
 def mean_of_known(*checks: Column) -> Column:
     """Mean of the checks that are not null; 0.5 where none is."""
-    known = F.filter(F.array(*checks), lambda x: x.isNotNull())
-    return F.coalesce(F.try_divide(F.aggregate(known, F.lit(0.0), lambda a, x: a + x), F.size(known)), F.lit(NEUTRAL))
+    total = sum((F.coalesce(x, F.lit(0.0)) for x in checks), F.lit(0.0))
+    return F.coalesce(F.try_divide(total, sum((x.isNotNull().cast("int") for x in checks), F.lit(0))), F.lit(NEUTRAL))
 
 
-def same_family(a: Column, b: Column) -> Column:
-    """Whether two brands are of one family; null where either is not known."""
-    x, y = tx.known_family(a), tx.known_family(b)
+def same_family(x: Column, y: Column) -> Column:
+    """Whether two families of brands are one; null where either is not known."""
     return F.when((x != "") & (y != ""), x == y)
 
 
-def colour_component(wanted: Column, colorway: Column, colours: Column, name: Column, name_text: Column, name_colours: Column, nickname: Column) -> Column:
-    """The best likeness of the observed colours (arrays of tokens) with the catalogue's, else with the name's; or by the nickname."""
+def colour_component(wanted: Column, colorway: Column, colours: Column, name: Column, name_words: Column, name_colours: Column, nickname: Column, nickname_words: Column) -> Column:
+    """The best likeness of the observed colours (an array of marks) with the catalogue's, else with the name's; or by the nickname."""
     target = F.when(text(colorway) != "", colours).when(text(name) != "", name_colours)
-    by_colour = F.array_max(F.transform(wanted, lambda c: tx.token_similarity(c, target)))
-    by_name = F.when((nickname != "") & (text(name) != ""), tx.nickname_score(nickname, name_text))
+    # An observation has four colours at most: what photos, their official name, the page and the title say.
+    by_colour = F.greatest(*[tx.mark_similarity(F.get(wanted, F.lit(i)), target) for i in range(COLOURS)])
+    by_name = F.when((nickname != "") & (text(name) != ""), tx.words_score(nickname_words, name_words))
     return F.coalesce(F.greatest(by_colour, by_name), F.lit(NEUTRAL))
 
 
@@ -92,20 +100,20 @@ def score(pairs: DataFrame, settings: Settings | None = None) -> DataFrame:
 
     Candidates have query_id, style_code, evidence (array of struct kind, weight), similarity, ord and, empty where nothing is known,
     name, brand, model, colorway, gender, size_category, retail_price, product_type, disagree (several listings that differ), and what
-    the name says: name_model, name_colours, and the tokens of colourway and name: colour_set, name_set. Models of candidates are canonical names, as titles are parsed to.
+    the name says: name_model, name_colours and its words name_words, the brand's family, and the marks of colourway and name: colour_set, name_set. Models of candidates are canonical names, as titles are parsed to.
     """
     s = settings or Settings()
     t, c = s.thresholds, F.col
     df = pairs.withColumn("own_model", filled(text("model"), text("name_model")))
-    df = df.withColumns({"same_size": tx.compatible(c("o_size_category"), c("size_category")), "same_gender": tx.compatible(c("o_gender"), c("gender"), "unisex"), "same_brand": same_family(c("o_brand"), c("brand"))})
+    df = df.withColumns({"same_size": tx.compatible(c("o_size_category"), c("size_category")), "same_gender": tx.compatible(c("o_gender"), c("gender"), "unisex"), "same_brand": same_family(c("o_family"), c("family"))})
     df = models.with_model_similarity(df, "o_model", "own_model", "model_similarity", names=("o_model_name", "own_model"))
-    strong = F.array_intersect(F.transform("evidence", lambda e: e["kind"]), F.array(*map(F.lit, SIGNALS)))
+    strong = F.array_intersect(c("evidence.kind"), F.array(*map(F.lit, SIGNALS)))
     df = df.withColumn("sku", sku_component(c("evidence"), c("web_agreement"), c("web_trust"))).withColumns(
         {
             "c_sku": c("sku.value"),
             "why": c("sku.why"),
             "c_model": F.coalesce(c("model_similarity"), F.lit(NEUTRAL)),
-            "c_colorway": colour_component(c("o_colour_sets"), c("colorway"), c("colour_set"), c("name"), c("name_colours"), c("name_set"), c("o_nickname")),
+            "c_colorway": colour_component(c("o_colour_sets"), c("colorway"), c("colour_set"), c("name"), c("name_words"), c("name_set"), c("o_nickname"), c("o_nickname_words")),
             "c_embedding": rescale(c("similarity"), t.similarity_floor, t.similarity_full),
             "c_metadata": metadata_component(c("o_price"), c("retail_price"), c("same_gender"), c("same_size"), c("same_brand")),
             "c_agreement": F.least(F.lit(1.0), F.size(strong) / 2.0),

@@ -6,6 +6,7 @@ import re
 from pyspark.sql import functions as F
 
 from attestra.functions import models
+from attestra.functions import text as tx
 from attestra.operators import observe, records, scoring
 from attestra.operators.text_search import Index
 from attestra.plans import derived, resolution
@@ -112,3 +113,25 @@ def test_texts_of_a_catalogue_are_cut_where_products_are_dealt(spark):
     for table in (index.first, index.tokens):
         assert table.count() > 0
     assert "search-rows" in str(sorted(os.listdir(spark.conf.get("spark.checkpoint.dir"))))
+
+
+def test_marks_of_colours_compare_as_their_tokens(spark):
+    names = ["", "White/Black", "Black/White", "Off White/Black", "University Red", "Panda", "Reverse Panda", "Sail/Gum", "Core Black & Gold", "Bred", "nothing", "brass wolf bronze coconut milk og", "white white panda", None]
+    rows = spark.createDataFrame([(a, b) for a in names for b in names], "a string, b string")
+    x, y = tx.colour_tokens(F.col("a")), tx.colour_tokens(F.col("b"))
+    got = rows.select("a", "b", tx.token_similarity(x, y).alias("tokens"), tx.mark_similarity(tx.marks(x), tx.marks(y)).alias("marks")).collect()
+    assert [r for r in got if r.tokens != r.marks] == []
+    assert len({r.marks for r in got}) > 4
+    # Every token has a bit of its own, and a word holds them.
+    assert sorted(w for names in tx.BITS for w in set(names)) == tx.KNOWN and max(map(len, tx.BITS)) < 64
+
+
+def test_candidates_are_dealt_once(spark):
+    """Candidates meet observations and what the web says in one shuffle; a code that the web names twice stays two rows."""
+    keys = written(spark.range(50).select(F.col("id").alias("query_id"), F.lit("DD000010").alias("style_code")), "keys")
+    observed = written(keys.select("query_id", F.lit("Nike").alias("brand")), "observed")
+    web = keys.select("*", F.explode(F.array(F.lit(1), F.lit(2))).alias("agreement"), F.lit(0.5).alias("trust")).where("query_id < 10 OR agreement = 3")
+    paired = scoring.pair(keys, observed, written(web, "web"))
+    plan = paired._jdf.queryExecution().executedPlan().toString()
+    assert paired.count() == 60 and paired.where("web_agreement = 2 AND o_brand = 'Nike'").count() == 10
+    assert not re.search(r"hashpartitioning\(query_id#\d+L, style_code", plan)
