@@ -68,9 +68,9 @@ def listings(catalog: DataFrame) -> DataFrame:
     plain = parsed.select(
         F.explode(F.transform(segments_of(c("style_id")), lambda x: x["code"])).alias("style_code"), "product_id", "style_id", text("title").alias("title"),
         filled(c("parsed.brand"), text("brand")).alias("brand"), c("parsed.model").alias("model"), text("colorway").alias("colorway"), F.lower(text("gender")).alias("gender"),
-        c("parsed.size_category").alias("said_size"), c("parsed.colorway_text").alias("name_colours"), tx.marks(tx.colour_tokens(c("colorway"))).alias("colour_set"), tx.marks(tx.colour_tokens(c("parsed.colorway_text"))).alias("name_set"), text("release_date").alias("release_date"), c("retail_price").cast("double").alias("retail_price"), text("product_type").alias("product_type"), "ord",
+        c("parsed.size_category").alias("said_size"), c("parsed.colorway_text").alias("name_colours"), text("release_date").alias("release_date"), c("retail_price").cast("double").alias("retail_price"), text("product_type").alias("product_type"), "ord",
     )
-    plain = written(plain, "listing-parts")
+    plain = tx.with_marks(written(plain, "listing-parts"), {"colour_set": "colorway", "name_set": "name_colours"})
     first = plain.groupBy("style_code").agg(F.min_by(F.struct("title", "model", "colorway", "colour_set", "gender", "said_size"), "ord").alias("first"), F.count(F.lit(1)).alias("n"))
     alone, many = first.where("n = 1"), first.where("n > 1")
     both = growing(plain).join(many, "style_code").withColumns({"first_title": c("first.title"), "first_model": c("first.model")})

@@ -43,7 +43,10 @@ def observe(requests: DataFrame) -> DataFrame:
     sure = lambda c, least: seen & (F.coalesce(F.col(c), F.lit(0.0)) >= least)
     best = lambda field, c: F.when((shown(c) != "") & sure(f"{c}_confidence", SURE), shown(c)).otherwise(filled(said(field), shown(c)))
     alone = lambda field: seen & said(field).isin("", "unknown")
-    colours = F.filter(F.array(shown("v_colorway"), shown("v_official"), text("page_colour"), said("colorway_text")), lambda c: c != "")
+    # Colours as they are told, in order, each with its marks.
+    df = df.withColumns({"colour_0": shown("v_colorway"), "colour_1": shown("v_official"), "colour_2": text("page_colour"), "colour_3": said("colorway_text")})
+    df = tx.with_marks(df, {f"marks_{i}": f"colour_{i}" for i in range(4)})
+    colours = F.filter(F.array(*[F.struct(F.col(f"colour_{i}").alias("text"), F.col(f"marks_{i}").alias("marks")) for i in range(4)]), lambda x: x["text"] != "")
     model = best("model", "v_model")
     return df.select(
         "query_id",
@@ -52,8 +55,8 @@ def observe(requests: DataFrame) -> DataFrame:
         model.alias("model"),
         # A title's model is a canonical name already.
         F.when(model == said("model"), F.when(~model.isin(models.NUMBERED), model).otherwise(F.lit(""))).otherwise(F.col("v_model_name")).alias("model_name"),
-        colours.alias("colorways"),
-        F.transform(colours, lambda c: tx.marks(tx.colour_tokens(c))).alias("colour_sets"),
+        F.transform(colours, lambda x: x["text"]).alias("colorways"),
+        F.transform(colours, lambda x: x["marks"]).alias("colour_sets"),
         known(said("gender"), shown("v_gender")).alias("gender"),
         known(said("size_category"), shown("v_size_category")).alias("size_category"),
         F.col("price").cast("double").alias("price"),
@@ -146,13 +149,24 @@ def candidate(x: Column) -> Column:
 
 
 def by_query(rows: DataFrame, name: str) -> DataFrame:
-    """One row per query with its rows of gathered() as an array, and as the candidates that they are by themselves: what one request has found, no more."""
+    """One row per query with its rows of gathered() as an array: what one request has found, no more."""
     row = F.struct("style_code", "edges", "shown", "similarity", "ord").cast(GATHERED)
-    return rows.select("query_id", row.alias("row")).groupBy("query_id").agg(F.collect_list("row").alias(name)).withColumn(f"{name}_ready", F.transform(name, candidate))
+    return rows.select("query_id", row.alias("row")).groupBy("query_id").agg(F.collect_list("row").alias(name))
+
+
+def ready(df: DataFrame, name: str) -> DataFrame:
+    """df of by_query() with its rows as the candidates that they are by themselves, for a side that many queries meet."""
+    return df.withColumn(f"{name}_ready", F.transform(name, candidate))
 
 
 def met(df: DataFrame, a: str, b: str) -> DataFrame:
     """Candidates, as of pool(), of queries with the columns of two by_query(): a code that both have is one candidate with the evidence of both."""
+    return met_by_query(df, a, b).select("query_id", F.explode("candidates").alias("c")).select("query_id", "c.*")
+
+
+def met_by_query(df: DataFrame, a: str, b: str) -> DataFrame:
+    """query_id, candidates: those of met() as an array, one row a query; b may be ready()."""
+    df = df if f"{b}_ready" in df.columns else ready(df, b)
     here, there = F.col(f"{a}.style_code"), F.col(f"{b}.style_code")
 
     def both(x: Column, y: Column) -> Column:
@@ -167,9 +181,10 @@ def met(df: DataFrame, a: str, b: str) -> DataFrame:
     # A query may have either alone.
     same = F.arrays_overlap(here, there)
     alone = F.filter(f"{b}_ready", lambda y: ~F.array_contains(here, y["style_code"]))
-    own = F.transform(a, lambda x, i: F.when(F.array_contains(there, x["style_code"]), both(x, F.get(b, (F.array_position(there, x["style_code"]) - 1).cast("int")))).otherwise(F.get(f"{a}_ready", i)))
-    every = F.when(same, F.concat(own, alone)).when(here.isNull(), F.col(f"{b}_ready")).when(there.isNull(), F.col(f"{a}_ready")).otherwise(F.concat(f"{a}_ready", f"{b}_ready"))
-    return df.select("query_id", F.explode(every).alias("c")).select("query_id", "c.*")
+    own = F.transform(a, lambda x: F.when(F.array_contains(there, x["style_code"]), both(x, F.get(b, (F.array_position(there, x["style_code"]) - 1).cast("int")))).otherwise(candidate(x)))
+    single = F.transform(a, candidate)
+    every = F.when(same, F.concat(own, alone)).when(here.isNull(), F.col(f"{b}_ready")).when(there.isNull(), single).otherwise(F.concat(single, f"{b}_ready"))
+    return df.select("query_id", every.alias("candidates"))
 
 
 def pool(evidence: DataFrame) -> DataFrame:

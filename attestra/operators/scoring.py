@@ -38,10 +38,25 @@ def rescale(similarity: Column, floor: float, full: float) -> Column:
 
 def pair(candidates: DataFrame, observations: DataFrame, web: DataFrame) -> DataFrame:
     """Candidates with their observation as o_* and what the web says of their code (query_id, style_code, agreement, trust)."""
+    return with_web(candidates.join(growing(told_by_query(observations, web)), "query_id"))
+
+
+def pair_by_query(found: DataFrame, observations: DataFrame, web: DataFrame) -> DataFrame:
+    """pair() of candidates that are an array (query_id, candidates): queries meet their observation, a row each, before candidates become rows."""
+    both = found.join(growing(told_by_query(observations, web)), "query_id").withColumn("c", F.explode("candidates"))
+    return with_web(both.select("query_id", "c.*", *[c for c in both.columns if c not in ("query_id", "candidates", "c")]))
+
+
+def told_by_query(observations: DataFrame, web: DataFrame) -> DataFrame:
+    """Observations as o_* with said, what the web says of the query's codes, one row a query."""
     own = observations.select("query_id", *[F.col(c).alias(f"o_{c}") for c in observations.columns if c != "query_id"])
-    # What the web says of a query's codes comes along with its observation, so that candidates are dealt once.
+    # It comes along with the observation, so that candidates are dealt once.
     said = web.groupBy("query_id").agg(F.collect_list(F.struct("style_code", F.col("agreement").alias("web_agreement"), F.col("trust").alias("web_trust"))).alias("said"))
-    both = candidates.join(growing(own.join(growing(said), "query_id", "left")), "query_id")
+    return own.join(growing(said), "query_id", "left")
+
+
+def with_web(both: DataFrame) -> DataFrame:
+    """Candidates with what is said of their own code."""
     told = F.filter("said", lambda w: w["style_code"] == F.col("style_code"))
     return both.withColumn("w", F.explode_outer(told)).select(*[F.col(c) for c in both.columns if c != "said"], "w.web_agreement", "w.web_trust")
 

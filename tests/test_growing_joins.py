@@ -135,3 +135,30 @@ def test_candidates_are_dealt_once(spark):
     plan = paired._jdf.queryExecution().executedPlan().toString()
     assert paired.count() == 60 and paired.where("web_agreement = 2 AND o_brand = 'Nike'").count() == 10
     assert not re.search(r"hashpartitioning\(query_id#\d+L, style_code", plan)
+
+
+def test_colours_are_looked_at_once_for_each_text(spark, monkeypatch):
+    """Marks are made for distinct texts, nulls as the empty text, and are those of each text by itself."""
+    rows = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate([("White/Black", "Panda"), ("Panda", None), (None, ""), ("", "Sail/Gum")] * 25)], "id int, a string, b string")
+    seen, marks = [], tx.marks
+    monkeypatch.setattr(tx, "written", lambda df, name: seen.append(df.count()) or written(df, name))
+    got = tx.with_marks(rows, {"x": "a", "y": "b"})
+    assert seen == [4] and got.count() == 100 and got.columns == ["id", "a", "b", "x", "y"]
+    wanted = lambda c: marks(tx.colour_tokens(F.col(c)))
+    assert got.where(~F.col("x").eqNullSafe(wanted("a")) | ~F.col("y").eqNullSafe(wanted("b"))).count() == 0
+    observed = observe.observe(resolution.shaped(derived.shape(spark.range(30).withColumnRenamed("id", "c_custkey"), "requests_raw")))
+    assert observed.count() == 30 and len(seen) == 2 and seen[1] < 30
+
+
+def test_candidates_of_a_query_meet_its_observation_as_one_row(spark):
+    one = F.struct(F.lit("DD000010").alias("style_code"), F.lit(0.5).alias("similarity"))
+    two = F.struct(F.lit("DD000011").alias("style_code"), F.lit(0.7).alias("similarity"))
+    found = written(spark.range(50).select(F.col("id").alias("query_id"), F.array(one, two).alias("candidates")), "found")
+    observed = written(found.select("query_id", F.lit("Nike").alias("brand")), "observed")
+    web = written(found.where("query_id < 10").select("query_id", F.lit("DD000010").alias("style_code"), F.explode(F.array(F.lit(1), F.lit(2))).alias("agreement"), F.lit(0.5).alias("trust")), "web")
+    paired = scoring.pair_by_query(found, observed, web)
+    plain = scoring.pair(found.select("query_id", F.explode("candidates").alias("c")).select("query_id", "c.*"), observed, web)
+    assert paired.columns == plain.columns
+    assert sorted(paired.collect(), key=str) == sorted(plain.collect(), key=str) and paired.count() == 110
+    plan = paired._jdf.queryExecution().executedPlan().toString()
+    assert not broadcasts(paired) and "Generate" in plan[: plan.index("SortMergeJoin")]
