@@ -101,6 +101,8 @@ def overlay(candidates: DataFrame, listed: DataFrame, known: DataFrame | None =
         own = models.with_titles(known.select("style_code", *[c(f).alias(f"db_{f}") for f in [*facts, "retail_price"]]), "db_name", None, "db_parsed")
         said = c("db_parsed.colorway_text")
         own = own.withColumns({"db_colour_set": tx.marks(tx.colour_tokens(c("db_colorway"))), "db_name_set": tx.marks(tx.colour_tokens(said)), "db_family": tx.known_family(c("db_brand")), "db_name_words": tx.name_words(said)})
+        # Written, a row for each code: as a plan it is estimated by the rows it is made of, and candidates would be dealt out by code to meet it.
+        own = written(own, "known")
         parsed = lambda f: F.when(text("name") != "", c(f"name_{f}"))
         df = df.join(own, "style_code", "left").withColumns({"name_model": F.coalesce(parsed("model"), c("db_parsed.model")), "name_colours": F.coalesce(parsed("colours"), c("db_parsed.colorway_text"))})
         told = lambda f, other: F.when(text(f) != "", c("colour_set" if f == "colorway" else "name_set")).otherwise(other)

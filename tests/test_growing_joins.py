@@ -162,3 +162,11 @@ def test_candidates_of_a_query_meet_its_observation_as_one_row(spark):
     assert sorted(paired.collect(), key=str) == sorted(plain.collect(), key=str) and paired.count() == 110
     plan = paired._jdf.queryExecution().executedPlan().toString()
     assert not broadcasts(paired) and "Generate" in plan[: plan.index("SortMergeJoin")]
+
+
+def test_keys_are_those_of_the_pool(spark, tmp_path):
+    for table, key in (("customer", "c_custkey"), ("part", "p_partkey")):
+        spark.range(60).withColumnRenamed("id", key).write.parquet(f"{tmp_path}/{table}.parquet")
+    keys, pool = (resolution.gathered(spark, str(tmp_path), step) for step in (resolution.keys, resolution.pool))
+    assert sorted(keys.collect()) == sorted(pool.select("query_id", "style_code").collect())
+    assert keys.count() > 60
