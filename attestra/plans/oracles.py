@@ -57,7 +57,7 @@ def visible(c: str) -> str:
 
 INNER = lambda tag: collapsed(unescaped(f"regexp_replace(regexp_extract(html, '(?s)<{tag}>(.*?)</{tag}>', 1), '<[^>]+>', '', 'g')"))
 PAGE_FIELDS = f"""WITH p AS (SELECT page_id, url, html, {INNER('title')} AS title, {INNER('h1')} AS h1, {visible('html')} AS text FROM pages)
-    SELECT page_id, title, h1, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang, len(regexp_extract_all(html, '<a href='))::BIGINT AS n_links, CASE WHEN title = '' THEN 'no_metadata' ELSE '' END AS error, length(left(text, 60000))::BIGINT AS n_text, sha256(left(text, 60000)) AS text_sha256,
+    SELECT page_id, title, h1, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang, len(regexp_extract_all(html, '<a href='))::BIGINT AS n_links, CASE WHEN title = '' THEN 'no_metadata' ELSE '' END AS error, length(text)::BIGINT AS n_text, sha256(text) AS text_sha256,
         CASE WHEN regexp_matches(url, '^https?://[^/?#:]+') THEN '' ELSE 'blocked:no http(s) address' END AS blocked, CASE WHEN contains(url, '/products/') THEN NULL ELSE '' END AS product_key FROM p"""
 
 #: Queries of each request in their order, the first of those that differ by case alone.
