@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from attestra.functions import models
 from attestra.functions import text as tx
-from attestra.operators import observe, records, scoring
+from attestra.operators import observe, records, relational, scoring
 from attestra.operators.text_search import Index
 from attestra.plans import derived, resolution
 from attestra.plans.queries import QUERIES
@@ -170,3 +170,17 @@ def test_keys_are_those_of_the_pool(spark, tmp_path):
     keys, pool = (resolution.gathered(spark, str(tmp_path), step) for step in (resolution.keys, resolution.pool))
     assert sorted(keys.collect()) == sorted(pool.select("query_id", "style_code").collect())
     assert keys.count() > 60
+
+
+def test_values_of_a_key_meet_rows_as_blocks(spark, tmp_path, monkeypatch):
+    """A left join with repeated, null and unknown keys and null values; what crosses the join of listings are blocks of bounded size, dealt to all tasks."""
+    monkeypatch.setattr(relational, "BLOCK", 3)
+    rows = spark.createDataFrame([(i, k) for i in range(20) for k in ("a", "b", "none", None)], "query_id long, code string").withColumn("more", F.col("query_id") * 2)
+    values = spark.createDataFrame([("a", f"p{i}") for i in range(50)] + [("b", None), ("b", "p1"), ("b", "p1"), (None, "p9"), ("other", "p3")], "code string, product_id string")
+    got, want = relational.with_values(rows, values, "code", "product_id", "query_id"), rows.join(values, "code", "left").select(*rows.columns, "product_id")
+    assert got.columns == want.columns and got.count() == 20 * (50 + 3 + 2)
+    assert sorted(got.collect(), key=str) == sorted(want.collect(), key=str)
+    for table, key in (("customer", "c_custkey"), ("part", "p_partkey")):
+        spark.range(40).withColumnRenamed("id", key).write.parquet(f"{tmp_path}/{table}.parquet")
+    plan = QUERIES["segment_join"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" in plan[: plan.index("SortMergeJoin")]
