@@ -1,6 +1,7 @@
 """Resolution as a stream: the rows of the batch query after the last batch, after a killed batch and after a restart."""
 
 import os
+import re
 
 import duckdb
 import pytest
@@ -57,3 +58,22 @@ def test_an_empty_batch_and_requests_without_signals(spark):
     [row] = resolver.resolve(blank).collect()
     assert (row.status, row.failure, row.confidence, row.style_code) == ("unresolved", "NO_CANDIDATES", 0.0, None)
     assert resolver.resolve(blank.limit(0)).count() == 0
+
+
+def test_a_batch_keeps_one_row_a_request(spark, tmp_path, monkeypatch):
+    """What a batch writes are its signals, what they come to and its catalogue's evidence: no table of scored candidates, nor a shuffle of them by code."""
+    for table, key in (("customer", "c_custkey"), ("part", "p_partkey")):
+        spark.range(40).withColumnRenamed("id", key).write.parquet(f"{tmp_path}/{table}.parquet")
+    relation = lambda name: derived.frame(spark, str(tmp_path), name)
+    resolver = resolution.Resolver(relation("listings_raw"), relation("signals_raw"), relation("verdicts_raw"))
+    tables, written = {}, resolution.written
+
+    def kept(df, name):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert not re.search(r"hashpartitioning\(query_id#\d+L, style_code#\d+, \d", plan) or "c_model" not in plan
+        tables[name] = written(df, name)
+        return tables[name]
+
+    monkeypatch.setattr(resolution, "written", kept)
+    assert resolver.resolve(relation("requests_raw")).count() == 40
+    assert {name for name, df in tables.items() if "score" in df.columns} == set() and tables["standings"].count() <= 40
